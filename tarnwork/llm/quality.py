@@ -85,8 +85,9 @@ def measure(text, codes):
     )
 
 
-def metrics(docs, id_col="doc_id", text_col="text", stratum_col="lang"):
-    """One row a document: ``doc_id``, ``stratum`` and METRICS."""
+def metrics(docs, id_col="doc_id", text_col="text", stratum_col="lang", carry=()):
+    """One row a document: ``doc_id``, ``stratum``, METRICS and, if ``carry`` names columns,
+    ``carried``: a struct of them."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -94,10 +95,12 @@ def metrics(docs, id_col="doc_id", text_col="text", stratum_col="lang"):
         for batch in batches:
             rows = [measure(t, codes) for t in batch.column(2).to_pylist()]
             columns = list(zip(*rows)) if rows else [()] * len(METRICS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "stratum", *METRICS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns), *batch.columns[3:]], ["doc_id", "stratum", *METRICS, *(["carried"] if carry else [])])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, f"doc_id {id_type}, stratum string, " + ", ".join(f"{m} bigint" for m in METRICS))
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"), *carried)
+    schema = f"doc_id {id_type}, stratum string, " + ", ".join(f"{m} bigint" for m in METRICS)
+    return picked.mapInArrow(run, schema + (f", carried {picked.schema['carried'].dataType.simpleString()}" if carry else ""))
 
 
 def value(rule):
@@ -169,3 +172,11 @@ def quality_rules(docs, labels, id_col="doc_id", text_col="text", stratum_col="l
     measured = stage(metrics(docs, id_col, text_col, stratum_col), "quality-metrics")
     cutoffs = calibrate(measured, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", risk, confidence, good_weight)
     return judge(measured, cutoffs).withColumnRenamed("doc_id", id_col)
+
+
+def keep_good(docs, labels, id_col="doc_id", text_col="text", stratum_col="lang", risk=0.02, confidence=0.05, good_weight=10.0):
+    """The documents that the rules keep, with all their columns.  Texts are measured twice
+    (for the cutoffs, then to filter), which spares a shuffle of them."""
+    names = labels.withColumnRenamed(id_col, "doc_id")
+    cutoffs = calibrate(metrics(docs, id_col, text_col, stratum_col), names, "doc_id", risk, confidence, good_weight)
+    return judge(metrics(docs, id_col, text_col, stratum_col, docs.columns), cutoffs).filter("kept").select("carried.*")

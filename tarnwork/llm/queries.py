@@ -1,9 +1,8 @@
 """The operators' registered queries over the driver's tables, and SQL where it exists."""
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
-from . import packing, quality, sharding, token_counts, token_files, warc
+from . import decontamination, html_text, jaccard, packing, quality, sharding, substrings, token_counts, token_files, warc
 
 
 def _table(spark, sf_dir, name):
@@ -26,6 +25,11 @@ def op3_token_files(spark, sf_dir):
     return token_files.read_token_shards(manifest)
 
 
+def op4_jaccard(spark, sf_dir):
+    """Method: blocked sparse product of the document by 3-gram incidence."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op5_warc(spark, sf_dir):
     """Method: candidate boundaries, kept where the chain from the file's start reaches them."""
     files = warc.write_warc(_table(spark, sf_dir, "pages"))
@@ -43,8 +47,23 @@ def op7_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_html_text(spark, sf_dir):
+    """Method: a bidirectional LSTM over leaf blocks."""
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_decontamination(spark, sf_dir):
+    """Method: SimHash windows, Hamming blocks, exact weighted-shingle similarity."""
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_substrings(spark, sf_dir):
+    """Method: run-length BWT with sampled run ends and streamed matching statistics."""
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_token_files, op5_warc, op6_packing, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_token_files, op4_jaccard, op5_warc, op6_packing, op7_quality_rules, op8_html_text, op9_decontamination, op10_substrings)}
 
 
 # Pages whose payload repeats revisit the largest page_id among them.
