@@ -144,13 +144,15 @@ def candidates_between(pairs, classes, num, den):
     b = side.select(F.col("cid").alias("b"), F.col("n").alias("nb"), *(F.col(f"w{i}").alias(f"b{i}") for i in range(BITMAP_WORDS)))
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
     both = F.col("na") + F.col("nb")
-    return pairs.join(a, "a").join(b, "b").filter(differ <= both - 2 * F.expr(f"((na + nb) * {num} + {den + num - 1}) div {den + num}")).select("a", "b", "na", "nb")
+    return pairs.join(a, "a").join(b, "b").filter(differ <= both - 2 * F.expr(f"((na + nb) * {num} + {den + num - 1}) div {den + num}")).select("a", "b")
 
 
 def verify(pairs, classes, docs, id_col, text_col, k, num, den):
     """Those of the pairs (a, b) whose whole sets reach the threshold."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    owners = classes.select("cid", "rid", "sig").join(needed, "cid", "left_semi")
+    owners = stage(classes.select("cid", "rid", "sig").join(needed, "cid", "left_semi"), "jaccard-owners")
+    # Staged, so that the planner knows its size: below its threshold no text is shuffled.
+    ids = stage(owners.select("rid").distinct(), "jaccard-ids")
 
     def sets(batches):
         import xxhash
@@ -160,7 +162,7 @@ def verify(pairs, classes, docs, id_col, text_col, k, num, den):
             got = [shingle_set(t, k, codes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(g) for g in got], pa.binary()), pa.array(got, pa.binary())], ["rid", "sig", "grams"])
 
-    texts = docs.select(_rid(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).join(owners.select("rid").distinct(), "rid", "left_semi")
+    texts = docs.select(_rid(id_col, text_col).alias("rid"), F.col(text_col).alias("text")).join(ids, "rid", "left_semi")
     found = texts.mapInArrow(sets, "rid bigint, sig binary, grams binary")
     grams = stage(found.join(owners, ["rid", "sig"]).dropDuplicates(["cid"]).select("cid", "grams"), "gram-sets")
 
@@ -178,9 +180,9 @@ def verify(pairs, classes, docs, id_col, text_col, k, num, den):
     return joined.select("a", "b", "x", "y").mapInArrow(overlap, "a bigint, b bigint")
 
 
-def cross_pairs(entries, num, den, block=BLOCK):
-    """Pairs of the column products, between components only.  ``entries``: ``key``, ``cid``,
-    ``n``, ``pos``, ``comp``."""
+def cross_pairs(entries, classes, num, den, block=BLOCK):
+    """Pairs of the column products, between components only, whose sizes, positions and
+    bitmaps allow the threshold.  ``entries``: ``key``, ``cid``, ``n``, ``pos``, ``comp``."""
     w = Window.partitionBy("key")
     busy = (
         entries.withColumn("m", F.count(F.lit(1)).over(w))
@@ -193,6 +195,8 @@ def cross_pairs(entries, num, den, block=BLOCK):
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         .select("key", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "t", "n", "cid", "pos", "comp")
     )
+    words = [f"w{i}" for i in range(BITMAP_WORDS)]
+    busy = busy.join(classes.select("cid", *(F.col("bitmap")[i].alias(w) for i, w in enumerate(words))), "cid").select("key", "i", "j", "t", "n", "cid", "pos", "comp", *words)
     dealt = busy.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "cid")
 
     def products(batches):
@@ -210,7 +214,7 @@ def cross_pairs(entries, num, den, block=BLOCK):
             yield from multiply(held)
 
     def multiply(cols):
-        key, i, j, t, n, cid, pos, comp = cols
+        key, i, j, t, n, cid, pos, comp, *bits = cols
         size = len(key)
         if size < 2:
             return
@@ -225,9 +229,13 @@ def cross_pairs(entries, num, den, block=BLOCK):
             good = (comp[at] != comp[b]) & (1 + np.minimum(n[at] - pos[at], n[b] - pos[b]) - 1 >= need)
             # A pair of one strip belongs to the diagonal block alone.
             good &= (t[at] != t[b]) | (i[at] == j[at])
-            if good.any():
-                found.append(np.stack([np.minimum(cid[at[good]], cid[b[good]]), np.maximum(cid[at[good]], cid[b[good]])]))
-                held += int(good.sum())
+            x, y, need = at[good], b[good], need[good]
+            differ = sum(np.bitwise_count((w[x] ^ w[y]).view(np.uint64)).astype(np.int64) for w in bits)
+            close = differ <= n[x] + n[y] - 2 * need
+            if close.any():
+                x, y = x[close], y[close]
+                found.append(np.stack([np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])]))
+                held += len(x)
             if held > 200_000:
                 yield batch_of(found)
                 found, held = [], 0
@@ -263,7 +271,7 @@ def jaccard_components(docs, k=3, num=90, den=100, id_col="doc_id", text_col="te
     # Second product: all columns that can matter, between first components.
     marked = classes.select("cid", "n", "prefix").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     entries = marked.select("cid", "n", "comp", F.posexplode("prefix").alias("pos", "key"))
-    second = stage(candidates_between(cross_pairs(entries, num, den, block), classes, num, den), "jaccard-pairs")
+    second = stage(cross_pairs(entries, classes, num, den, block), "jaccard-pairs")
     links = links.unionByName(stage(verify(second, classes, docs, id_col, text_col, k, num, den), "jaccard-links"))
 
     labels = components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
