@@ -7,7 +7,8 @@ lists, for each value of a piece, the items within ``radius // BLOCKS`` bits of
 every item within ``radius`` of a window is found.  What is found is verified by the
 weighted Jaccard similarity of the shingles (sum of lesser over sum of greater counts).
 
-Windows without a shingle of any item have similarity 0 to all and get no fingerprint.
+Windows without a shingle of any item of their length have similarity 0 to all of them
+and get no fingerprint.
 Items are held against all documents in blocks of at most ``block_words`` words, so what
 is broadcast has a fixed bound.
 
@@ -74,6 +75,11 @@ class HammingIndex:
         return q[ok], item[ok]
 
 
+def among(values, known):
+    """Which values are in ``known`` (sorted, not empty)."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Items:
     """Benchmark items, by length, ready to be searched for."""
 
@@ -87,17 +93,20 @@ class Items:
         for size, members in sorted(by.items()):
             sets = [np.unique(h, return_counts=True) for _, h in members]
             prints = np.concatenate([to_fingerprints(bit_votes(h).sum(0, keepdims=True)) for _, h in members])
-            self.groups.append((size, [i for i, _ in members], sets, HammingIndex(prints, radius)))
-        long = [s[0] for size, _, sets, _ in self.groups if size >= SHINGLE for s in sets]
+            own = np.unique(np.concatenate([s[0] for s in sets]))
+            self.groups.append((size, [i for i, _ in members], sets, HammingIndex(prints, radius), own))
+        long = [own for size, _, _, _, own in self.groups if size >= SHINGLE]
         self.long = np.unique(np.concatenate(long)) if long else np.zeros(0, np.uint64)
-        self.short = {size: np.unique(np.concatenate([s[0] for s in sets])) for size, _, sets, _ in self.groups if size < SHINGLE}
+        self.short = any(size < SHINGLE for size, *_ in self.groups)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.long >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def hits(self, shingles):
         """Places whose shingle is one of an item."""
+        if not len(self.long):
+            return np.zeros(0, np.int64)
         at = np.flatnonzero(self.filter[(shingles >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        return at[np.isin(shingles[at], self.long)] if len(at) else at
+        return at[among(shingles[at], self.long)]
 
     def matches(self, codes, threshold):
         """Best window of each item: (item id, first word, words, similarity)."""
@@ -109,22 +118,23 @@ class Items:
         if not len(hits) and not self.short:
             return out
         sums = None
-        for size, ids, sets, index in self.groups:
+        for size, ids, sets, index, known in self.groups:
             k = min(SHINGLE, size, n)
             if size < SHINGLE:
                 own = shingle_hashes(codes, k) if n >= size else np.zeros(0, np.uint64)
-                starts, width = np.flatnonzero(np.isin(own, self.short[size])), 1
+                starts, width = np.flatnonzero(among(own, known)), 1
                 votes = bit_votes(own[starts])
             else:
-                if not len(hits):
+                near = hits[among(shingles[hits], known)]
+                if not len(near):
                     continue
                 own = shingles
                 width = min(size, n) - k + 1
                 if sums is None:
                     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bit_votes(shingles), axis=0, dtype=np.int32)])
                 mark = np.zeros(len(shingles) - width + 2, np.int32)
-                np.add.at(mark, np.clip(hits - width + 1, 0, len(mark) - 1), 1)
-                np.add.at(mark, np.minimum(hits + 1, len(mark) - 1), -1)
+                np.add.at(mark, np.clip(near - width + 1, 0, len(mark) - 1), 1)
+                np.add.at(mark, np.minimum(near + 1, len(mark) - 1), -1)
                 starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
                 votes = sums[starts + width] - sums[starts]
             if not len(starts):
