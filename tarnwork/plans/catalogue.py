@@ -1,9 +1,575 @@
-"""The registered queries of the library and the SQL they are checked against."""
+"""The registered queries of the library and the SQL they are checked against.
+
+A query takes (spark, sf_dir).  Chinese formats are exercised on notices composed from
+``orders``; the driver's own texts are invented European prose."""
+
+from pyspark.sql import functions as F
+
+from ..functions import metadata as M
+from ..functions import text as T
+from ..operators import cache, chunking, conversation, evaluation, hybrid, lexical, sections, store, vectors
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+# ---- documents and cleaning
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE regexp_matches(text, '\\S') GROUP BY source")
+def drop_empty_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter(T.strip("text") != "").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS total_files, count_if(n_chars >= 100) AS processed, count_if(n_chars < 100) AS failed, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (n_chars < 100), '') AS failed_ids FROM documents")
+def ingest_report(spark, sf_dir):
+    bad = F.col("n_chars") < 100
+    failed = F.array_sort(F.collect_list(F.when(bad, F.col("doc_id"))))
+    return table(spark, sf_dir, "documents").agg(
+        F.count(F.lit(1)).alias("total_files"), F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"), F.array_join(F.transform(failed, lambda x: x.cast("string")), ",").alias("failed_ids")
+    )
+
+
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace(replace(%s, chr(12288), ' '), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+SPACED = r"replace(text, '. ', '.  ' || chr(10) || chr(10) || chr(10) || chr(10) || chr(12288))"
+
+
+@query(f"SELECT doc_id, {CLEAN % SPACED} AS cleaned FROM documents")
+def clean_markdown(spark, sf_dir):
+    spaced = F.replace(F.col("text"), F.lit(". "), F.lit(".  \n\n\n\n　"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_markdown(spaced).alias("cleaned"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS body FROM documents""")
+def txt_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.txt_normalize("text").alias("body"))
+
+
+NOISE = "The|And|Of|Is"
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(trim(x), '^(?:{NOISE})')), chr(10)) AS kept FROM documents""")
+def noise_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.noise_lines("text", NOISE).alias("kept"))
+
+
+@query("SELECT doc_id, source AS publish_source FROM documents")
+def publish_source(spark, sf_dir):
+    said = F.concat(F.left("text", F.lit(40)), F.lit("\n发布来源: "), F.col("source"), F.lit(" \n"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.publish_source(said).alias("publish_source"))
+
+
+@query("""SELECT o_orderkey, '# ' || o_orderpriority || chr(10) || chr(10) || '#### 一、' || o_custkey || chr(10) || chr(10) || '### ' || o_orderstatus || chr(10) || 'body' AS standard FROM orders""")
+def md_standardize(spark, sf_dir):
+    raw = F.concat(F.lit("# "), "o_orderpriority", F.lit("\n发布来源：x\n\n\n**一、"), F.col("o_custkey").cast("string"), F.lit("**\n**"), "o_orderstatus", F.lit("**\nbody"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.md_standardize(raw).alias("standard"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS title FROM orders")
+def md_title(spark, sf_dir):
+    raw = F.concat(F.lit("\nLogin | Join\n"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("# "), F.col("o_custkey").cast("string"))).otherwise(F.col("o_orderpriority")), F.lit("\nmore"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.md_title(raw, F.lit("stem"), "Login").alias("title"))
+
+
+@query("""SELECT o_orderkey, chr(10) || '## 第一章 ' || o_custkey || chr(10) || chr(10) || '### 第三条 x' || chr(10) || chr(10) || '#### 一、y' || chr(10) || chr(10) || '- （一）z' || chr(10) || '- 1.' || o_orderstatus || chr(10) || o_orderpriority AS outline FROM orders""")
+def outline_to_markdown(spark, sf_dir):
+    raw = F.concat(F.lit("第一章 "), F.col("o_custkey").cast("string"), F.lit("\n12\n第三条 x\n一、y\n（一）z\n 1."), "o_orderstatus", F.lit("\n"), "o_orderpriority")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.outline_to_markdown(raw).alias("outline"))
+
+
+@query(
+    """SELECT r_regionkey, '| nation | key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE CAST(n_nationkey AS VARCHAR) END || ' |', chr(10) ORDER BY n_nationkey) AS md
+FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey"""
+)
+def cells_to_table(spark, sf_dir):
+    row = F.when(F.col("n_nationkey") % 3 == 0, F.array(F.col("n_name"))).otherwise(F.array(F.col("n_name"), F.col("n_nationkey").cast("string")))
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = joined.groupBy("r_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    return rows.select("r_regionkey", T.cells_to_table(F.concat(F.array(F.array(F.lit("nation"), F.lit("key"))), F.col("rows"))).alias("md"))
+
+
+FINAL = """'---' || chr(10) || 'title: ' || CASE WHEN doc_id % 2 = 0 THEN '"no: ' || doc_id || '"' ELSE 'no ' || doc_id END || chr(10) || 'source: ' || source || chr(10) || 'category: ' || lang || chr(10) || '---'"""
+
+
+@query(f"SELECT doc_id, {FINAL} || chr(10) || chr(10) || {CLEAN % 'text'} || chr(10) AS final_document FROM documents")
+def final_document(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.concat(F.when(F.col("doc_id") % 2 == 0, "no: ").otherwise("no "), F.col("doc_id").cast("string"))).withColumn("category", F.col("lang"))
+    for f in T.FIELDS:
+        if f not in docs.columns:
+            docs = docs.withColumn(f, F.lit(None).cast("string"))
+    return docs.select("doc_id", T.final_document("text").alias("final_document"))
+
+
+HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?is)<nav\b.*?</nav>', '', 'g'), '(?is)<footer\b.*?</footer>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g')"""
+
+
+@query(
+    rf"""SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g') AS title,
+array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace({HTML}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS body FROM pages"""
+)
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_title("html", F.lit("stem")).alias("title"), T.html_text("html").alias("body"))
+
+
+# ---- metadata of notices composed from orders
+
+NAMES = ["财政部", "工业和信息化部"]
+
+
+def notices(spark, sf_dir):
+    o, d = table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date")
+    day = lambda c: F.concat(F.year(c).cast("string"), F.lit("年"), F.month(c).cast("string"), F.lit("月"), F.day(c).cast("string"), F.lit("日"))
+    key = F.col("o_orderkey").cast("string")
+    body = F.concat(
+        F.lit("关于融资支持的通知\n财金〔2024〕"), key, F.lit("号\n"), F.when(F.col("o_orderkey") % 2 == 0, "财政部").otherwise("某局"), F.lit("\n全国适用。\n自"), day(F.date_add(d, 10)), F.lit("起施行，有效期至"), day(F.date_add(d, 400)), F.lit("。\n"), day(d)
+    )
+    return o.select("o_orderkey", body.alias("text"))
+
+
+@query(
+    """SELECT o_orderkey, '财金〔2024〕' || o_orderkey || '号' AS policy_number, CASE WHEN o_orderkey % 2 = 0 THEN '财政部' END AS issuing_authority,
+strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS publish_date, strftime(CAST(o_orderdate AS DATE) + 10, '%Y-%m-%d') AS effective_date, strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d') AS expiry_date,
+'全国' AS applicable_region, '关于融资支持的通知' AS title, '融资' AS category, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'issuing_authority' END AS missing FROM orders"""
+)
+def extract_metadata(spark, sf_dir):
+    found = notices(spark, sf_dir).select(
+        "o_orderkey",
+        M.policy_number("text").alias("policy_number"),
+        M.issuing_authority("text", NAMES).alias("issuing_authority"),
+        M.publish_date("text").alias("publish_date"),
+        M.effective_date("text").alias("effective_date"),
+        M.expiry_date("text").alias("expiry_date"),
+        M.applicable_region("text").alias("applicable_region"),
+        M.guess_title("text", ["通知", "办法"]).alias("title"),
+        M.classify_category(F.lit(""), "text", {"人才": ["人才", "就业"], "融资": ["融资", "贷款"]}).alias("category"),
+    )
+    return found.withColumn("missing", F.array_join(M.missing_fields(found.columns[1:]), ","))
+
+
+CATS = {"sea": ["the", "of"], "hill": ["le", "que", "de"], "field": ["der", "die"]}
+
+
+@query(
+    """WITH c AS (SELECT doc_id, source || ' ' || left(text, 1000) AS t FROM documents),
+n AS (SELECT doc_id, CAST(contains(t,'the') AS INT)+CAST(contains(t,'of') AS INT) AS a, CAST(contains(t,'le') AS INT)+CAST(contains(t,'que') AS INT)+CAST(contains(t,'de') AS INT) AS b, CAST(contains(t,'der') AS INT)+CAST(contains(t,'die') AS INT) AS c FROM c)
+SELECT doc_id, CASE WHEN greatest(a,b,c)=0 THEN '其他' WHEN a=greatest(a,b,c) THEN 'sea' WHEN b=greatest(a,b,c) THEN 'hill' ELSE 'field' END AS category FROM n"""
+)
+def classify_category(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", M.classify_category("source", "text", CATS).alias("category"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE o_orderstatus END AS title FROM orders")
+def merge_metadata(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    return table(spark, sf_dir, "orders").select("o_orderkey", M.first_present(F.when(k == 0, F.col("o_custkey").cast("string")).otherwise(""), F.when(k == 1, F.col("o_orderpriority")), "o_orderstatus").alias("title"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'title=' || o_custkey END AS found FROM orders")
+def model_metadata_reply(spark, sf_dir):
+    good = F.concat(F.lit('{"title": "'), F.col("o_custkey").cast("string"), F.lit('", "other": "x", "category": null}'))
+    reply = F.when(F.col("o_orderkey") % 10 == 0, "{bad").when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).otherwise(good)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", reply.alias("reply"), F.array(F.lit("title"), F.lit("category")).alias("wanted"))
+    got = M.model_metadata_reply("reply", "wanted")
+    return rows.select("o_orderkey", F.array_join(F.transform(F.map_entries(got), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("found"))
+
+
+# ---- sections, chunks, store
+
+COMPOSED = """SELECT o_custkey, string_agg(CASE WHEN o_orderkey % 4 = 0 THEN '## ' || o_orderkey WHEN o_orderkey % 4 = 1 THEN '### ' || o_orderkey ELSE 'text ' || o_orderkey END, chr(10) ORDER BY o_orderkey) AS md FROM orders GROUP BY o_custkey"""
+
+
+def composed(spark, sf_dir):
+    key, m = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
+    line = F.concat(F.when(m == 0, "## ").when(m == 1, "### ").otherwise("text "), key)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("md"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 AS m, CAST(sum(CASE WHEN o_orderkey % 4 < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS section_no FROM orders)
+SELECT o_custkey, section_no, CASE WHEN section_no = 0 THEN 0 ELSE CAST(arg_min(m, o_orderkey) + 2 AS INT) END AS level, CASE WHEN section_no = 0 THEN '' ELSE CAST(min(o_orderkey) AS VARCHAR) END AS heading,
+string_agg(CASE WHEN m = 0 THEN '## ' WHEN m = 1 THEN '### ' ELSE 'text ' END || o_orderkey, chr(10) ORDER BY o_orderkey) AS content FROM o GROUP BY o_custkey, section_no"""
+)
+def parse_sections(spark, sf_dir):
+    return sections.parse_sections(composed(spark, sf_dir), "o_custkey", "md")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, count_if(o_orderkey % 4 = 0) AS n2, count_if(o_orderkey % 4 = 1) AS n3, coalesce(min(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey END), 1e18) AS s2, coalesce(min(CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey END), 1e18) AS s3 FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN n3 >= 3 THEN 3 WHEN n2 >= 2 THEN 2 WHEN n2 + n3 = 0 THEN 0 WHEN n2 > n3 THEN 2 WHEN n3 > n2 THEN 3 WHEN s2 < s3 THEN 2 ELSE 3 END AS split_level FROM c"""
+)
+def split_level(spark, sf_dir):
+    return sections.split_level(sections.parse_sections(composed(spark, sf_dir), "o_custkey", "md"), "o_custkey")
+
+
+@query()
+def chunk_paragraphs(spark, sf_dir):
+    return chunking.chunk_paragraphs(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query()
+def split_fixed(spark, sf_dir):
+    return chunking.split_fixed(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("SELECT doc_id, md5(source || '::parent::' || doc_id || '::0') AS id FROM documents")
+def chunk_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", store.chunk_id("source", F.lit("parent"), "doc_id", F.lit("0")).alias("id"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def dedup_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("::", F.col("user_id").cast("string"), "event_type").alias("id"), "user_id", "event_type", "event_id")
+    return store.dedup_ids(rows, ["event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def new_chunks_only(spark, sf_dir):
+    return store.new_chunks_only(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def get_by_ids(spark, sf_dir):
+    return store.get_by_ids(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query(
+    """WITH b AS (SELECT source, string_agg(left(text, 20), chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY source), r AS (SELECT DISTINCT source FROM documents UNION ALL SELECT 'none')
+SELECT r.source, CASE WHEN body IS NULL THEN '未找到文档' ELSE '文件：' || r.source || chr(10) || body END AS detail FROM r LEFT JOIN b ON r.source = b.source"""
+)
+def document_detail(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("chunk_index"), F.left("text", F.lit(20)).alias("text"))
+    asked = docs.select("source").distinct().unionByName(spark.createDataFrame([("none",)], "source string"))
+    return store.document_detail(asked, docs)
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def store_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') BETWEEN '2024-03-01' AND '2024-08-31' AND source = 'src3' AND lang = 'en'")
+def metadata_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("child").alias("role"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd").alias("publish_date"), F.col("source").alias("issuing_authority"), F.col("lang").alias("category"))
+    return d.filter(hybrid.metadata_filter("2024-03-01", "2024-08-31", "src3", "en")).select("doc_id")
+
+
+# ---- lexical search
+
+TOKENS = r"""tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[#*>\-|`]', ' ', 'g'), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[0-9.%]+$'))) AS term FROM documents)"""
+BM25 = rf"""WITH {TOKENS}, tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM documents) AS avgdl),
+raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[#*>\-|`]', ' ', 'g'), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[0-9.%]+$'))) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT item_id AS query_id, tf.doc_id AS id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
+top AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 20)"""
+
+
+def corpus(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+
+
+def asked(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(rf"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tok GROUP BY doc_id")
+def tokenize(spark, sf_dir):
+    words = lexical.tokenize("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_terms")).filter("n_tokens > 0")
+
+
+@query(BM25 + " SELECT term, df, round(idf, 6) AS idf FROM idf")
+def build_index(spark, sf_dir):
+    return lexical.build_index(corpus(spark, sf_dir))["terms"].withColumn("idf", F.round("idf", 6))
+
+
+@query(BM25 + " SELECT * FROM top")
+def bm25_search(spark, sf_dir):
+    return lexical.bm25_search(lexical.build_index(corpus(spark, sf_dir)), asked(spark, sf_dir))
+
+
+def flagship(spark, sf_dir):
+    return bm25_search(spark, sf_dir)
+
+
+@query(rf"WITH {TOKENS}, tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL UNION ALL SELECT lang, doc_id, 5 FROM documents) SELECT term, doc_id AS id, CAST(sum(tf) AS BIGINT) AS tf FROM tf GROUP BY ALL")
+def weighted_keywords(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return lexical.postings(docs, keywords=docs.select("id", F.create_map("lang", F.lit(5)).alias("keywords")))
+
+
+# ---- vectors and hybrid search
+
+VEC = """SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0"""
+
+
+@query(
+    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / (2.0 * 2.0) * 4.0 / list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm2, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS x0 FROM embeddings"""
+)
+def l2_normalize(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    u = e.select("vec_id", vectors.l2_normalize("embedding").alias("u"))
+    return u.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"), F.round(F.col("u")[0], 6).alias("x0"))
+
+
+@query(f"SELECT query_id, id, round(s, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INT) AS rank FROM ({VEC}) QUALIFY rank <= 20")
+def vector_topk(spark, sf_dir):
+    return _near(spark, sf_dir)
+
+
+def _near(spark, sf_dir, k=20):
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.vector_topk(e.select(F.col("vec_id").alias("id"), "embedding"), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k, exclude_self=True)
+
+
+LEGS = f"""v AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ({VEC}) QUALIFY rank <= 20),
+l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY abs(id - query_id), id) AS rank FROM ({VEC}) QUALIFY rank <= 20),
+legs AS (SELECT query_id, 0 AS leg, id, rank FROM v UNION ALL SELECT query_id, 1, id, rank FROM l),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS raw, min(leg * 100 + rank) AS seen FROM legs GROUP BY ALL),
+fused AS (SELECT query_id, id, round(raw, 6) AS rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, seen, id) AS INT) AS rank FROM f QUALIFY rank <= 10)"""
+
+
+def _legs(spark, sf_dir):
+    """The vector leg, and a second leg that ranks by distance of ids."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    q = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"))
+    # The 20 nearest ids lie within 40 places, so the join is an equi-join on the neighbours.
+    near = q.withColumn("id", F.explode(F.transform(F.sequence(F.lit(-40), F.lit(40)), lambda x: F.col("query_id") + x))).filter("id != query_id").join(e, "id", "left_semi")
+    second = lexical.top_k(near, 20, "query_id", F.abs(F.col("id") - F.col("query_id")), F.col("id"))
+    return _near(spark, sf_dir).select("query_id", F.lit(0).alias("leg"), "id", "rank").unionByName(second.select("query_id", F.lit(1).alias("leg"), "id", "rank"))
+
+
+@query(f"WITH {LEGS} SELECT * FROM fused")
+def rrf_merge(spark, sf_dir):
+    return hybrid.rrf_merge(_legs(spark, sf_dir))
+
+
+@query(f"WITH {LEGS}, x AS (SELECT query_id, id, rrf_score, (id * 7919 + query_id) % 1009 AS rerank_score FROM fused) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf_score DESC, id) AS INT) AS rank FROM x QUALIFY rank <= 5")
+def rerank(spark, sf_dir):
+    fused = hybrid.rrf_merge(_legs(spark, sf_dir))
+    return hybrid.rerank(fused, fused.select("query_id", "id", ((F.col("id") * 7919 + F.col("query_id")) % 1009).alias("rerank_score")), 5)
+
+
+@query(
+    f"""WITH {LEGS}, p AS (SELECT query_id, id // 10 AS id, arg_min(rrf_score, rank) AS rrf_score, min(rank) AS first FROM fused GROUP BY query_id, id // 10)
+SELECT query_id, id, rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first) AS INT) AS rank FROM p WHERE id % 7 <> 0"""
+)
+def resolve_parents(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    parents = e.select(F.expr("vec_id div 10").alias("id")).distinct().filter("id % 7 != 0")
+    return hybrid.resolve_parents(hybrid.rrf_merge(_legs(spark, sf_dir)).withColumn("parent_id", F.expr("id div 10")), parents)
+
+
+@query(
+    BM25
+    + """, h AS (SELECT query_id, rank, source, score, left(text, 30) AS t FROM top JOIN documents ON id = doc_id WHERE rank <= 3)
+SELECT item_id AS query_id, coalesce(a, '未找到相关政策') AS answer, coalesce(s, '') AS sources FROM benchmark LEFT JOIN (SELECT query_id, string_agg('[片段 ' || rank || ']' || chr(10) || '来源文件：' || source || chr(10) || '相关度：' || format('{:.4f}', score) || chr(10) || '内容：' || t, chr(10) || '---' || chr(10) ORDER BY rank) AS a FROM h GROUP BY 1) x ON x.query_id = item_id
+LEFT JOIN (SELECT query_id, string_agg(source, ',' ORDER BY r) AS s FROM (SELECT query_id, source, min(rank) AS r FROM h GROUP BY ALL) GROUP BY 1) y ON y.query_id = item_id"""
+)
+def format_hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.left("text", F.lit(30)).alias("text"))
+    hits = bm25_search(spark, sf_dir).filter("rank <= 3").join(docs, "id")
+    said = hybrid.format_hits(asked(spark, sf_dir), hits)
+    return said.withColumn("sources", F.array_join(hybrid.hit_sources("answer"), ","))
+
+
+# ---- conversations
+
+SPOKEN = "m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WHERE role IN ('user', 'assistant'))"
+
+
+@query(f"WITH {SPOKEN} SELECT conv_id, turn, role, text FROM m WHERE back <= 4 AND NOT (total > 4 AND back = 4 AND role = 'assistant')")
+def history_window(spark, sf_dir):
+    return conversation.history_window(table(spark, sf_dir, "conversations"), 2)
+
+
+@query(f"""WITH {SPOKEN} SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END, chr(10) ORDER BY turn) AS context FROM m WHERE back <= 6 GROUP BY conv_id""")
+def recent_context(spark, sf_dir):
+    return conversation.recent_context(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, turn, turn > 0 AND (contains(text, 'it') OR contains(text, 'that') OR length(text) < 10) AS rewrite FROM conversations WHERE role = 'user'")
+def needs_rewrite(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("history", F.when(F.col("turn") > 0, "x"))
+    return said.select("conv_id", "turn", conversation.needs_rewrite("text", "history", ["it", "that"]).alias("rewrite"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN 'ok reply' ELSE text END AS query FROM benchmark")
+def accept_rewrite(spark, sf_dir):
+    k = F.col("item_id") % 3
+    b = table(spark, sf_dir, "benchmark").withColumn("reply", F.when(k == 1, " ok reply ").when(k == 2, F.repeat("text", F.lit(6))))
+    return b.select("item_id", conversation.accept_rewrite("text", "reply").alias("query"))
+
+
+# ---- cache: entries keyed by user and event type
+
+ENTRIES = "e AS (SELECT user_id || ':' || event_type AS key, max(ts) AS ts, min(ts) AS seen FROM events GROUP BY ALL)"
+
+
+def entries(spark, sf_dir):
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key")
+    return table(spark, sf_dir, "events").groupBy(key).agg(F.max("ts").alias("ts"), F.min("ts").alias("seen"))
+
+
+@query(f"WITH {ENTRIES}, n AS (SELECT max(ts) AS now FROM events) SELECT key FROM e, n WHERE epoch(date_trunc('second', now)) - epoch(date_trunc('second', ts)) <= 86400")
+def cache_expire(spark, sf_dir):
+    now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
+    return cache.cache_expire(entries(spark, sf_dir).crossJoin(F.broadcast(now)), F.col("now")).select("key")
+
+
+@query(f"WITH {ENTRIES} SELECT key FROM e ORDER BY ts DESC, key LIMIT 100")
+def cache_evict_lru(spark, sf_dir):
+    return cache.cache_evict_lru(entries(spark, sf_dir).withColumn("last_accessed", F.col("ts")), 100).select("key")
+
+
+@query(f"WITH {ENTRIES} SELECT count(*) AS n, 1000 AS capacity FROM e")
+def cache_stats(spark, sf_dir):
+    return entries(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.lit(1000).alias("capacity"))
+
+
+@query(f"WITH {ENTRIES} SELECT key FROM e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') u WHERE split_part(key, ':', 1) = CAST(u.user_id AS VARCHAR))")
+def cache_invalidate(spark, sf_dir):
+    updated = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("source")).distinct()
+    return cache.cache_invalidate(entries(spark, sf_dir).withColumn("sources", F.array(F.split("key", ":")[0], F.lit("all"))), updated).select("key")
+
+
+@query(f"WITH {ENTRIES} SELECT key, CASE WHEN split_part(key, ':', 2) = 'click' THEN ts ELSE seen END AS last_accessed FROM e")
+def cache_touch(spark, sf_dir):
+    clicks = table(spark, sf_dir, "events").filter("event_type = 'click'").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").alias("hit_ts"))
+    return cache.cache_touch(entries(spark, sf_dir).withColumn("last_accessed", F.col("seen")), clicks).select("key", "last_accessed")
+
+
+@query(f"WITH {ENTRIES} SELECT key, CASE WHEN split_part(key, ':', 2) = 'click' THEN 'new' ELSE 'old' END AS answer FROM e")
+def cache_upsert(spark, sf_dir):
+    old = entries(spark, sf_dir).select("key", F.col("seen").alias("ts"), F.lit("old").alias("answer"))
+    new = entries(spark, sf_dir).filter("key like '%:click'").select("key", "ts", F.lit("new").alias("answer"))
+    return cache.cache_upsert(old, new).select("key", "answer")
+
+
+@query(f"SELECT query_id, CASE WHEN s >= 0.5 THEN id END AS hit FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM ({VEC})) WHERE r = 1")
+def cache_lookup(spark, sf_dir):
+    return _near(spark, sf_dir, 1).select("query_id", F.when(F.col("score") >= 0.5, F.col("id")).alias("hit"))
+
+
+# ---- evaluation: items against the documents that contain them
+
+EXPECTED = "ex AS (SELECT DISTINCT item_id AS query_id, source FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+RANKED = f"rk AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source) AS rank FROM top JOIN documents ON id = doc_id GROUP BY query_id, source), {EXPECTED}, hit AS (SELECT query_id, min(rank) AS first FROM rk JOIN ex USING (query_id, source) GROUP BY 1), sc AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'even' END AS category, CASE WHEN ex.query_id IS NULL OR first <= 5 THEN 1.0 ELSE 0.0 END AS recall, CASE WHEN ex.query_id IS NULL THEN 1.0 ELSE coalesce(1.0::DOUBLE / first, 0) END AS rr FROM benchmark LEFT JOIN (SELECT DISTINCT query_id FROM ex) ex ON ex.query_id = item_id LEFT JOIN hit ON hit.query_id = item_id)".replace(", sc AS", ", score AS")
+
+
+def expected(spark, sf_dir):
+    """Sources whose texts hold the item: shared five-word windows first, then ``contains``."""
+    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5))))  # noqa: E731, ARG005
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), words.alias("w"))
+    # The second window: whole words at both ends wherever the item lies in the text.
+    b = b.select("query_id", "item", F.xxhash64(F.slice("w", 2, 5)).alias("g"))
+    d = table(spark, sf_dir, "documents").select("source", "text", words.alias("w")).select("source", "text", F.explode(gram("w")).alias("g"))
+    return d.join(b, "g").filter(F.contains("text", F.col("item"))).select("query_id", "source").distinct()
+
+
+def ranked(spark, sf_dir):
+    hits = bm25_search(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    return evaluation.dedup_sources(hits)
+
+
+def scored(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").alias("category"))
+    return evaluation.score_queries(items, expected(spark, sf_dir), ranked(spark, sf_dir), 5)
+
+
+@query(BM25 + f", {RANKED} SELECT query_id, source, CAST(rank AS INT) AS rank FROM rk")
+def dedup_sources(spark, sf_dir):
+    return ranked(spark, sf_dir)
+
+
+@query(BM25 + f", {RANKED} SELECT query_id, CAST(recall AS DOUBLE) AS recall, round(rr, 6) AS rr FROM score")
+def recall_and_mrr(spark, sf_dir):
+    return scored(spark, sf_dir).select("query_id", "recall", F.round("rr", 6).alias("rr"))
+
+
+@query(BM25 + f", {RANKED} SELECT CASE WHEN grouping(c) = 1 THEN 'overall' ELSE c END AS category, count(*) AS total, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM (SELECT coalesce(category, '其他') AS c, recall, rr FROM score) GROUP BY GROUPING SETS ((), (c))")
+def evaluate_retrieval(spark, sf_dir):
+    return evaluation.evaluate_retrieval(scored(spark, sf_dir))
+
+
+@query(BM25 + f", {RANKED} SELECT query_id FROM score WHERE recall = 0")
+def retrieval_failures(spark, sf_dir):
+    return scored(spark, sf_dir).filter("recall = 0").select("query_id")
+
+
+@query("SELECT DISTINCT source, source AS name FROM documents")
+def normalize_source(spark, sf_dir):
+    named = F.concat(F.lit("　"), "source", F.lit(".html"))
+    return table(spark, sf_dir, "documents").select("source").distinct().select("source", evaluation.normalize_source(named).alias("name"))
+
+
+SWEEP = f"""{LEGS}, lab AS (SELECT vec_id AS id, label AS source FROM embeddings), s AS (SELECT query_id, leg, source, rank FROM legs JOIN lab USING (id)), e2 AS (SELECT vec_id AS query_id, label AS source FROM embeddings WHERE vec_id % 20 = 0),
+g AS (SELECT k AS value, query_id, source, round(sum(1.0::DOUBLE / (k + rank)), 9) AS t FROM s, (SELECT unnest([20.0, 60.0, 100.0])::DOUBLE AS k) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY value, query_id ORDER BY t DESC, source) AS rank FROM g),
+h AS (SELECT value, query_id, min(rank) AS first FROM r JOIN e2 USING (query_id, source) WHERE rank <= 3 GROUP BY ALL), sweep AS (SELECT k.value, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count_if(first IS NULL) AS failures FROM (SELECT DISTINCT value FROM g) k CROSS JOIN e2 LEFT JOIN h ON h.value = k.value AND h.query_id = e2.query_id GROUP BY 1)"""
+
+
+def _sweep(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    legs = _legs(spark, sf_dir).join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("source")), "id")
+    return evaluation.param_sweep(legs, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("source")), [20, 60, 100], 3)
+
+
+@query(f"WITH {SWEEP} SELECT * FROM sweep")
+def param_sweep(spark, sf_dir):
+    return _sweep(spark, sf_dir)
+
+
+@query(f"WITH {SWEEP} SELECT value, recall_at_k FROM sweep ORDER BY recall_at_k DESC, value LIMIT 1")
+def best_param(spark, sf_dir):
+    return _sweep(spark, sf_dir).agg(F.max(F.struct("recall_at_k", (-F.col("value")).alias("v"))).alias("b")).select((-F.col("b.v")).alias("value"), "b.recall_at_k")
+
+
+JUDGED = "j AS (SELECT o_orderkey, o_orderpriority AS category, o_orderkey % 10 = 0 AS bad, CAST(o_orderkey % 5 + 1 AS INT) AS f FROM orders)"
+
+
+def judged(spark, sf_dir):
+    good = F.concat(F.lit('{"faithfulness": '), (F.col("o_orderkey") % 5 + 1).cast("string"), F.lit(', "relevance": 4, "completeness": 3, "correctness": 2, "reason": "fine"}'))
+    reply = F.when(F.col("o_orderkey") % 10 == 0, "not json").when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).otherwise(good)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("category"), reply.alias("reply")).select("o_orderkey", "category", *evaluation.judge_reply("reply"))
+
+
+@query(f"WITH {JUDGED} SELECT o_orderkey, category, CASE WHEN bad THEN 0 ELSE f END AS faithfulness, CASE WHEN bad THEN 0 ELSE 4 END AS relevance, CASE WHEN bad THEN 0 ELSE 3 END AS completeness, CASE WHEN bad THEN 0 ELSE 2 END AS correctness, CASE WHEN bad THEN 'JSON 解析失败: not json' ELSE 'fine' END AS reason FROM j")
+def judge_reply(spark, sf_dir):
+    return judged(spark, sf_dir)
+
+
+@query(
+    f"""WITH {JUDGED} SELECT CASE WHEN grouping(category) = 1 THEN 'overall' ELSE category END AS category, round(avg(CASE WHEN bad THEN 0 ELSE f END), 6) AS faithfulness, round(avg(CASE WHEN bad THEN 0 ELSE 4 END), 6) AS relevance, round(avg(CASE WHEN bad THEN 0 ELSE 3 END), 6) AS completeness, round(avg(CASE WHEN bad THEN 0 ELSE 2 END), 6) AS correctness FROM j GROUP BY GROUPING SETS ((), (category))"""
+)
+def judge_summary(spark, sf_dir):
+    return evaluation.judge_summary(judged(spark, sf_dir))
+
+
+@query(BM25 + """ SELECT item_id AS query_id, coalesce(c, '（无检索结果）') AS context FROM benchmark LEFT JOIN (SELECT query_id, left(string_agg(left(text, 600), chr(10) || '---' || chr(10) ORDER BY rank), 2000) AS c FROM top JOIN documents ON id = doc_id WHERE rank <= 5 GROUP BY 1) ON query_id = item_id""")
+def judge_input(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(600)).alias("text"))
+    hits = bm25_search(spark, sf_dir).filter("rank <= 5").join(docs, "id").select("query_id", "rank", "text")
+    return evaluation.judge_input(asked(spark, sf_dir).select("query_id").join(hits, "query_id", "left"))
