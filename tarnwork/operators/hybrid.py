@@ -16,7 +16,12 @@ def rrf_merge(legs, k=60, top=10):
 
 def rerank(hits, scores, top):
     """Keeps the ``top`` hits of each query by a table of pair scores (query_id, id, rerank_score)."""
-    return top_k(hits.drop("rank").join(scores, ["query_id", "id"]), top, "query_id", F.desc("rerank_score"), F.desc("rrf_score"), F.col("id"))
+    return rerank_scored(hits.join(scores, ["query_id", "id"]), top)
+
+
+def rerank_scored(hits, top):
+    """The same where ``rerank_score`` is a column of the hits, as a pair scorer adds it."""
+    return top_k(hits.drop("rank"), top, "query_id", F.desc("rerank_score"), F.desc("rrf_score"), F.col("id"))
 
 
 def resolve_parents(hits, parents):

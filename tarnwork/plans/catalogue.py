@@ -369,7 +369,7 @@ def rrf_merge(spark, sf_dir):
 @query(f"WITH {LEGS}, x AS (SELECT query_id, id, rrf_score, (id * 7919 + query_id) % 1009 AS rerank_score FROM fused) SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf_score DESC, id) AS INT) AS rank FROM x QUALIFY rank <= 5")
 def rerank(spark, sf_dir):
     fused = hybrid.rrf_merge(_legs(spark, sf_dir))
-    return hybrid.rerank(fused, fused.select("query_id", "id", ((F.col("id") * 7919 + F.col("query_id")) % 1009).alias("rerank_score")), 5)
+    return hybrid.rerank_scored(fused.withColumn("rerank_score", (F.col("id") * 7919 + F.col("query_id")) % 1009), 5)
 
 
 @query(
