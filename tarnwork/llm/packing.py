@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import ByteBpe
+from .byte_bpe import shared as byte_bpe
 from .common import partitions, stage
 
 GROUP_BYTES = 4 << 20
@@ -59,7 +59,7 @@ def pack(docs, tokenizer_path, end_id, capacity=1024, id_col="doc_id", text_col=
         return zlib.crc32(ids.astype("<u4").tobytes())
 
     def encode(batches):
-        bpe = ByteBpe(tokenizer_path)
+        bpe = byte_bpe(tokenizer_path)
         end = bpe.pack([end_id])
         for batch in batches:
             out = {"i": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "rest": []}
@@ -81,7 +81,7 @@ def pack(docs, tokenizer_path, end_id, capacity=1024, id_col="doc_id", text_col=
 
     def place(batches):
         """Rows of a group are adjacent; full pieces (no ``rest``) come first."""
-        dtype = ByteBpe(tokenizer_path).dtype
+        dtype = byte_bpe(tokenizer_path).dtype
         held, name, sequence = [], None, 0
 
         def flush():

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import ByteBpe
+from .byte_bpe import shared as byte_bpe
 from .common import fresh_dir, mix64, partitions, stage
 
 GAMMA = 2.0
@@ -170,7 +170,7 @@ def write_token_shards(docs, tokenizer_path, end_id, id_col="doc_id", text_col="
         fs, path = filesystem(root)
         fs.create_dir(path, recursive=True)
         name = f"{path}/{shard:06d}-{uuid.uuid4().hex}"
-        bpe = ByteBpe(tokenizer_path)
+        bpe = byte_bpe(tokenizer_path)
         end = bpe.pack([end_id])
         ids, valid, lengths = [], [], []
         with fs.open_output_stream(name + ".ids") as out:
