@@ -1 +1,3 @@
+"""Registered queries and their SQL."""
 
+from . import catalogue, structure  # noqa: F401  (structure registers its queries)
