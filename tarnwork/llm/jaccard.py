@@ -9,8 +9,8 @@ and only where a pair can still reach the threshold:
    column among the first ``|x| - least overlap + 1`` of both, so only these columns are
    multiplied; entries of a column whose sizes or positions cannot reach the threshold are
    dropped, and so are pairs whose parity bitmaps differ in too many places.
-3. A first product takes neighbours in size in three columns a row.  Its links give
-   first components; the second product skips columns inside one component, and
+3. A first product takes, in each column, neighbours in size alone, at most one pair an
+   entry.  Its links give first components; the second product skips columns inside one component, and
    pairs within one, so large groups of near copies cost no quadratic work.
    Columns with many entries are cut into square blocks of bounded size.
 4. For the pairs left, whole sets are intersected.
@@ -259,10 +259,12 @@ def jaccard_components(docs, k=3, num=90, den=100, id_col="doc_id", text_col="te
     shape = full.select("sig", "rid", "n", "prefix", "bitmap").join(classes, ["sig", "rid"]).dropDuplicates(["sig"])
     classes = stage(shape.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
 
-    # First product: neighbours in size, three columns a row.
-    entries = classes.select("cid", "n", F.posexplode(F.slice("prefix", 1, 3)).alias("pos", "key"))
-    near = Window.partitionBy("key").orderBy("n", "cid")
-    first = entries.withColumn("a", F.lag("cid").over(near)).withColumn("m", F.lag("n").over(near)).filter(f"a is not null and {den} * m >= {num} * n")
+    # First product: each entry of a column with the one before it.  Rows of one size are
+    # ordered by another hash in each column, so that a row meets other rows in each.
+    entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "key"))
+    near = Window.partitionBy("key").orderBy("n", F.xxhash64("cid", "key"), "cid")
+    first = entries.withColumn("a", F.lag("cid").over(near)).withColumn("m", F.lag("n").over(near)).withColumn("q", F.lag("pos").over(near)).filter(f"a is not null and {den} * m >= {num} * n")
+    first = first.filter(f"least(n - pos, m - q) >= ((n + m) * {num} + {den + num - 1}) div {den + num}")
     first = first.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
     pairs = stage(candidates_between(first, classes, num, den), "jaccard-pairs")
     links = stage(verify(pairs, classes, docs, id_col, text_col, k, num, den), "jaccard-links")
