@@ -132,15 +132,23 @@ def final_document(body, fields=FIELDS):
     return F.concat(frontmatter(fields), F.lit("\n\n"), clean_markdown(body), F.lit("\n"))
 
 
+# References decoded in texts, the ampersand last.
+REFERENCES = {"&nbsp;": " ", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
+def decode(c):
+    for name, char in REFERENCES.items():
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
 def html_text(c):
     """Text nodes of a page without scripts, styles and navigation; a line each."""
     bare = F.regexp_replace(col(c), r"(?is)<(script|style|nav|footer|header)\b.*?</\1>", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return txt_normalize(bare)
+    return txt_normalize(decode(bare))
 
 
 def html_title(c, stem):
     inner = lambda tag: F.nullif(strip(F.regexp_extract(col(c), rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
-    return F.coalesce(inner("title"), inner("h1"), col(stem))
+    return F.coalesce(decode(inner("title")), decode(inner("h1")), col(stem))

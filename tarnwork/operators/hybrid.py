@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .lexical import top_k
+from .lexical import bm25_search, top_k
+from .vectors import vector_topk
 
 
 def rrf_merge(legs, k=60, top=10):
@@ -35,6 +36,24 @@ def resolve_parents(hits, parents):
     return top_k(found.unionByName(alone), 2**31 - 1, "query_id", F.desc("rrf_score"), F.col("first")).select("query_id", "id", "rrf_score", "rank")
 
 
+def hybrid_search(chunks, queries, index, keep=None, score=None, top=7, leg_top=20, k=60, parents=None):
+    """Vector and lexical legs over ``chunks`` (id, text, embedding, perhaps parent_id), fused.
+
+    ``queries``: query_id, query, embedding.  ``keep``: predicate on the chunks (see
+    ``metadata_filter``); the index is built over those it keeps.  ``score``: a function that
+    adds ``rerank_score`` to (query_id, query, id, text, rrf_score); with it ten fused hits are scored."""
+    kept = chunks if keep is None else chunks.filter(keep)
+    near = vector_topk(kept, queries, leg_top).select("query_id", F.lit(0).alias("leg"), "id", "rank")
+    said = bm25_search(index, queries, leg_top).select("query_id", F.lit(1).alias("leg"), "id", "rank")
+    hits = rrf_merge(near.unionByName(said), k, top if score is None else 10)
+    if score is not None:
+        pairs = hits.join(kept.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
+        hits = rerank_scored(score(pairs), top).select("query_id", "id", "rrf_score", "rerank_score", "rank")
+    if parents is None:
+        return hits
+    return resolve_parents(hits.join(kept.select("id", "parent_id"), "id"), parents)
+
+
 def format_hits(queries, hits, empty="未找到相关政策"):
     """One text a query: its hits as numbered blocks in rank order."""
     piece = F.concat(F.lit("[片段 "), F.col("rank").cast("string"), F.lit("]\n来源文件："), F.col("source"), F.lit("\n相关度："), F.format_string("%.4f", F.col("score")), F.lit("\n内容："), F.col("text"))

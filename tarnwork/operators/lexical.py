@@ -6,10 +6,24 @@ from pyspark.sql import functions as F
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def tokenize(c):
-    """Runs of letters and digits of two characters or more, numbers left out; case kept."""
+# Words of the field that a run of Han characters is searched for first.
+HAN_WORDS = """中小微企业 中小企业 专精特新 小巨人 贷款贴息 融资担保 融资租赁 政府性融资担保 设备更新 技术改造 产业升级
+工业互联网 人工智能 新质生产力 新型工业化 跨境电商 跨境电子商务 企业年金 社保 养老保险 固体废物 循环利用 科技创新 知识产权
+增值税 消费税 所得税 进口关税 工信部 财政部 科技部 发改委 国务院 海关总署 税务总局 金融监管总局""".split()
+
+
+def tokenize(c, han_words=HAN_WORDS):
+    """Runs of letters and digits of two characters or more, numbers left out; case kept.
+
+    Han characters: the longest word of ``han_words`` at each place; between such words,
+    every two neighbours.  Another dictionary takes the place of this one by the parameter."""
     plain = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[#*>\-|`]", " ")
-    return F.filter(F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: (F.length(t) >= 2) & ~t.rlike(r"^[\d.%]+$"))
+    known = "|".join(sorted(han_words, key=lambda w: (-len(w), w))) or "(?!)"
+    pattern = rf"(?:{known})|(?:(?!{known})\p{{IsHan}})+|(?:(?!\p{{IsHan}})[\p{{L}}\p{{N}}])+"
+    runs = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+    cut = F.transform(runs, lambda r: F.when(r.rlike(rf"^(?!(?:{known})$)\p{{IsHan}}{{3,}}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array(r)))
+    words = F.when(F.coalesce(plain.rlike(r"\p{IsHan}{3}"), F.lit(False)), F.flatten(cut)).otherwise(runs)
+    return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^[\d.%]+$"))
 
 
 def postings(chunks, id_col="id", text_col="text", keywords=None):

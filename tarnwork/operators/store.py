@@ -27,3 +27,8 @@ def document_detail(requested, chunks, missing="未找到文档"):
     """Texts of each requested source in chunk order, under its name."""
     body = chunks.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("body"))
     return requested.join(body, "source", "left").select("source", F.when(F.col("body").isNull(), F.lit(missing)).otherwise(F.concat(F.lit("文件："), F.col("source"), F.lit("\n"), F.col("body"))).alias("detail"))
+
+
+def get_by_source(chunks, sources, source_col="source", order="chunk_index"):
+    """All chunks of the named sources, in order."""
+    return chunks.filter(F.col(source_col).isin(list(sources))).orderBy(source_col, order)

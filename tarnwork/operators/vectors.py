@@ -1,6 +1,9 @@
 """Unit vectors and exact cosine neighbours in blocks."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -16,6 +19,33 @@ def l2_normalize(c):
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
+def hashed_words(texts, dim=64):
+    """Unit vectors of signed word hashes: the encoder where no model is plugged in."""
+    import xxhash
+
+    out = np.zeros((len(texts), dim))
+    for row, text in enumerate(texts):
+        for word in (text or "").lower().split():
+            h = xxhash.xxh3_64_intdigest(word)
+            out[row, h % dim] += 1 if h >> 63 else -1
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
+def embed_column(rows, text_col="text", encode=hashed_words, batch_size=32, name="embedding"):
+    """Adds ``name`` (array<float>): ``encode`` takes lists of at most ``batch_size`` texts and
+    returns a matrix.  It is called inside tasks, so a model it loads stays in their worker."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            values = part.tolist()
+            made = [np.asarray(encode(values[i : i + batch_size]), np.float32) for i in range(0, len(values), batch_size)]
+            yield pd.Series([v for m in made for v in m])
+
+    return rows.withColumn(name, run(text_col))
+
+
 def vector_topk(vectors, queries, k=20, id_col="id", query_id="query_id", vector_col="embedding", exclude_self=False, block=BLOCK):
     """Top ``k`` rows of each query by cosine of unit vectors (``score`` to 4 digits); ties by id.
 

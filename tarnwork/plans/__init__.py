@@ -1,3 +1,3 @@
 """Registered queries and their SQL."""
 
-from . import catalogue, structure  # noqa: F401  (structure registers its queries)
+from . import catalogue, pages, structure  # noqa: F401  (the other two register their queries)

@@ -125,7 +125,7 @@ HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_re
 
 
 @query(
-    rf"""SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g') AS title,
+    rf"""SELECT page_id, replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '^\s+|\s+$', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS title,
 array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace({HTML}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS body FROM pages"""
 )
 def html_text(spark, sf_dir):

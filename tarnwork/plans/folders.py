@@ -1,0 +1,16 @@
+"""Folders for tables that queries write and read back."""
+
+import tempfile
+import uuid
+
+_OWN = {}
+
+
+def fresh_dir(spark, label):
+    """A new path below ``spark.checkpoint.dir``; below a temporary folder where the session
+    does not name one (tests, one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not found and app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tarnwork-plans-")
+    return f"{(found or _OWN[app]).rstrip('/')}/plans/{label}-{uuid.uuid4().hex}"
