@@ -88,3 +88,10 @@ def model_metadata_reply(reply, wanted):
     """The reply's non-null values for the wanted keys; null on bad JSON."""
     parsed = F.from_json(unfenced(reply), "map<string,string>")
     return F.map_filter(parsed, lambda k, v: F.array_contains(col(wanted), k) & v.isNotNull())
+
+
+def reply_prompt(c, missing, head=1000, tail=500):
+    """What is sent to a model for the missing fields: head and tail of the text; null where nothing is missing."""
+    said = F.concat(F.lit("缺失字段: "), F.array_join(col(missing), ", "), F.lit("\n\n"), F.left(col(c), F.lit(head)))
+    end = F.when(F.length(col(c)) > head, F.concat(F.lit("\n...\n"), F.right(col(c), F.lit(tail)))).otherwise("")
+    return F.when(F.size(col(missing)) > 0, F.concat(said, end))

@@ -20,7 +20,7 @@ def cache_evict_lru(cache, max_size=1000):
 
 def cache_upsert(cache, new):
     """New rows replace old ones of their key; the latest of several."""
-    both = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    both = cache.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).repartition("key")  # see rrf_merge on unions
     w = Window.partitionBy("key").orderBy(F.desc("_new"), F.desc("ts"))
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_new")
 

@@ -38,6 +38,18 @@ def evaluate_retrieval(scored, other="其他"):
     )
 
 
+def compare_modes(expected, hits, k):
+    """Means and totals of several searches (``mode``) over the queries of ``expected``.  ``hits``:
+    mode, query_id, source, rank; repeats of a source count once."""
+    dealt = hits.repartition("mode", "query_id", "source")  # see rrf_merge on unions
+    first = dealt.groupBy("mode", "query_id", "source").agg(F.min("rank").alias("rank"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("mode", "query_id").orderBy("rank", "source")))
+    best = ranked.join(expected, ["query_id", "source"]).groupBy("mode", "query_id").agg(F.min("rank").alias("first"))
+    every = expected.select("query_id").distinct().crossJoin(F.broadcast(hits.select("mode").distinct()))
+    scored = every.join(best, ["mode", "query_id"], "left").withColumn("recall", F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0)))
+    return scored.groupBy("mode").agg(F.count(F.lit(1)).alias("total"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+
+
 def param_sweep(legs, expected, values, top):
     """Hit rate and mean reciprocal rank for each k of the fusion.  The legs (query_id, leg, source,
     rank) are computed once; queries with nothing expected are left out."""

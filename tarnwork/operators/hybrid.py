@@ -10,7 +10,10 @@ from .vectors import vector_topk
 def rrf_merge(legs, k=60, top=10):
     """``legs``: query_id, leg (0 vector, 1 lexical), id, rank.  Adds 1 / (k + rank) over the
     legs; ties: lower leg, then rank, then id."""
-    fused = legs.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("raw"), F.min(F.struct("leg", "rank")).alias("seen"))
+    # Dealt anew by both keys: Spark 4.1 may take a union of legs that are each dealt by query
+    # for dealt by query as a whole, and was seen to return a query's rows twice.
+    dealt = legs.repartition("query_id", "id")
+    fused = dealt.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("raw"), F.min(F.struct("leg", "rank")).alias("seen"))
     ranked = top_k(fused.withColumn("raw", F.round("raw", 9)), top, "query_id", F.desc("raw"), F.col("seen.leg"), F.col("seen.rank"), F.col("id"))
     return ranked.select("query_id", "id", F.round("raw", 6).alias("rrf_score"), "rank")
 

@@ -42,7 +42,7 @@ def drop_empty_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(T.strip("text") != "").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS total_files, count_if(n_chars >= 100) AS processed, count_if(n_chars < 100) AS failed, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (n_chars < 100), '') AS failed_ids FROM documents")
+@query("SELECT count(*) AS total_files, count(*) FILTER (n_chars >= 100) AS processed, count(*) FILTER (n_chars < 100) AS failed, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (n_chars < 100), '') AS failed_ids FROM documents")
 def ingest_report(spark, sf_dir):
     bad = F.col("n_chars") < 100
     failed = F.array_sort(F.collect_list(F.when(bad, F.col("doc_id"))))
@@ -528,7 +528,7 @@ def normalize_source(spark, sf_dir):
 
 SWEEP = f"""{LEGS}, lab AS (SELECT vec_id AS id, label AS source FROM embeddings), s AS (SELECT query_id, leg, source, rank FROM legs JOIN lab USING (id)), e2 AS (SELECT vec_id AS query_id, label AS source FROM embeddings WHERE vec_id % 20 = 0),
 g AS (SELECT k AS value, query_id, source, round(sum(1.0::DOUBLE / (k + rank)), 9) AS t FROM s, (SELECT unnest([20.0, 60.0, 100.0])::DOUBLE AS k) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY value, query_id ORDER BY t DESC, source) AS rank FROM g),
-h AS (SELECT value, query_id, min(rank) AS first FROM r JOIN e2 USING (query_id, source) WHERE rank <= 3 GROUP BY ALL), sweep AS (SELECT k.value, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count_if(first IS NULL) AS failures FROM (SELECT DISTINCT value FROM g) k CROSS JOIN e2 LEFT JOIN h ON h.value = k.value AND h.query_id = e2.query_id GROUP BY 1)"""
+h AS (SELECT value, query_id, min(rank) AS first FROM r JOIN e2 USING (query_id, source) WHERE rank <= 3 GROUP BY ALL), sweep AS (SELECT k.value, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) FILTER (first IS NULL) AS failures FROM (SELECT DISTINCT value FROM g) k CROSS JOIN e2 LEFT JOIN h ON h.value = k.value AND h.query_id = e2.query_id GROUP BY 1)"""
 
 
 def _sweep(spark, sf_dir):

@@ -4,10 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..operators import hybrid, lexical, store, vectors
+from ..functions import metadata as M
+from ..operators import evaluation, hybrid, lexical, store, vectors
 from ..sources import files
 from ..streaming import jobs
-from .catalogue import BM25, SPOKEN, corpus, query, table
+from .catalogue import BM25, LEGS, SPOKEN, _legs, corpus, query, table
 from .folders import fresh_dir
 
 @query(r"SELECT page_id, 'made ' || page_id AS author, 'a,b' AS keywords, strftime(DATE '2024-01-01' + CAST(page_id % 365 AS INT), '%Y-%m-%d') AS publish_date FROM pages")
@@ -115,3 +116,42 @@ def stream_history(spark, sf_dir):
     last = spark.read.parquet(path).groupBy("conv_id").agg(F.max_by(F.struct("turns", "roles"), "batch").alias("w"))
     said = F.zip_with("w.turns", "w.roles", lambda t, r: F.concat_ws(":", t.cast("string"), r))
     return last.select("conv_id", F.array_join(said, ",").alias("kept"))
+
+
+@query("SELECT doc_id, '缺失字段: title, ' || lang || chr(10) || chr(10) || left(text, 1000) || CASE WHEN length(text) > 1000 THEN chr(10) || '...' || chr(10) || right(text, 500) ELSE '' END AS prompt FROM documents WHERE doc_id % 2 = 0")
+def reply_prompt_rows(spark, sf_dir):
+    """Fields are missing in every other document; only those get a prompt."""
+    gone = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("title"), F.col("lang"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.reply_prompt("text", gone).alias("prompt")).filter("prompt is not null")
+
+
+@query(
+    f"""WITH {LEGS}, lab AS (SELECT vec_id AS id, label AS source FROM embeddings), e2 AS (SELECT vec_id AS query_id, label AS source FROM embeddings WHERE vec_id % 20 = 0),
+rows AS (SELECT 'vector' AS mode, query_id, id, rank FROM v UNION ALL SELECT 'hybrid', query_id, id, rank FROM fused),
+src AS (SELECT mode, query_id, source, row_number() OVER (PARTITION BY mode, query_id ORDER BY min(rank), source) AS rank FROM rows JOIN lab USING (id) GROUP BY mode, query_id, source),
+h AS (SELECT mode, query_id, min(rank) AS first FROM src JOIN e2 USING (query_id, source) GROUP BY ALL)
+SELECT m.mode, count(*) AS total, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM (SELECT DISTINCT mode FROM rows) m CROSS JOIN e2 LEFT JOIN h ON h.mode = m.mode AND h.query_id = e2.query_id GROUP BY 1"""
+)
+def compare_modes(spark, sf_dir):
+    """The vector leg alone against the fused legs; the label of a vector is its source."""
+    e = table(spark, sf_dir, "embeddings")
+    named = e.select(F.col("vec_id").alias("id"), F.col("label").alias("source"))
+    wanted = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("source"))
+    legs = _legs(spark, sf_dir)
+    modes = legs.filter("leg = 0").select(F.lit("vector").alias("mode"), "query_id", "id", "rank")
+    modes = modes.unionByName(hybrid.rrf_merge(legs).select(F.lit("hybrid").alias("mode"), "query_id", "id", "rank"))
+    return evaluation.compare_modes(wanted, modes.join(named, "id"), 3)
+
+
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id || ':' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
+r AS (SELECT key, i, ts, ts AS stored, false AS hit FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, o.ts, CASE WHEN epoch_us(o.ts) - epoch_us(stored) <= 86400000000 THEN stored ELSE o.ts END, epoch_us(o.ts) - epoch_us(stored) <= 86400000000 FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+SELECT key, count(*) AS asked, count(*) FILTER (hit) AS hits FROM r GROUP BY key"""
+)
+def stream_cache(spark, sf_dir):
+    """Hits a key of a stream of all events, within a day of the miss that stored the answer."""
+    path = fresh_dir(spark, "answers")
+    rows = table(spark, sf_dir, "events").select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    made = jobs.stream_cache(streamed(spark, rows, "asked"))
+    made.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", fresh_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(path).groupBy("key").agg(F.count(F.lit(1)).alias("asked"), F.count_if("hit").alias("hits"))
