@@ -3,9 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnwork.functions import html
-from tarnwork.operators import hybrid, lexical, vectors
-from tarnwork.streaming import jobs  # noqa: F401  (imports with the rest)
+from tarnwork.functions import html, metadata
+from tarnwork.operators import evaluation, hybrid, lexical, vectors
 
 
 def one(spark, value, expr):
@@ -74,3 +73,23 @@ def test_hybrid_search(spark):
     assert {r["id"] for r in hybrid.hybrid_search(chunks, asked, index, parents=parents).collect()} == {10, 30}
     kept = hybrid.hybrid_search(chunks, asked, lexical.build_index(chunks.filter("id > 1")), keep=F.col("id") > 1).collect()
     assert 1 not in {r["id"] for r in kept}
+
+
+def test_compare_modes_over_nested_unions(spark):
+    """Legs that are each dealt by query, fused, and joined to another search."""
+    pairs = spark.range(40).selectExpr("id % 8 query_id", "id div 8 id")
+    ranked = lambda o: lexical.top_k(pairs, 5, "query_id", o).select("query_id", "id", "rank")
+    legs = ranked(F.col("id")).withColumn("leg", F.lit(0)).unionByName(ranked(F.desc("id")).withColumn("leg", F.lit(1)))
+    fused = hybrid.rrf_merge(legs)
+    assert fused.count() == 40
+    hits = legs.filter("leg = 0").select(F.lit("one").alias("mode"), "query_id", "id", "rank").unionByName(fused.select(F.lit("both").alias("mode"), "query_id", "id", "rank"))
+    hits = hits.withColumn("source", F.col("id"))
+    wanted = spark.range(8).selectExpr("id query_id", "cast(0 as bigint) source")
+    got = {r["mode"]: (r["total"], r["recall"], r["mrr"]) for r in evaluation.compare_modes(wanted, hits, 1).collect()}
+    assert got["one"] == (8, 1.0, 1.0) and got["both"][0] == 8
+
+
+def test_reply_prompt(spark):
+    rows = spark.createDataFrame([("a" * 1001, ["x", "y"]), ("b", []), (None, ["x"])], "t string, m array<string>")
+    got = [r[0] for r in rows.select(metadata.reply_prompt("t", "m")).collect()]
+    assert got[0] == "缺失字段: x, y\n\n" + "a" * 1000 + "\n...\n" + "a" * 500 and got[1:] == [None, None]
