@@ -1,14 +1,21 @@
 """Quality rules whose cutoffs carry a guarantee on false rejections.
 
 Every text gets its metrics.  Labelled documents are halved by a hash of their id.
-One half certifies: for each stratum and rule the cutoffs of a fixed grid are tested
-from lax to strict; a cutoff passes when the exact binomial probability of so few
-rejected good documents, were the true rate ``risk / rules``, is at most
-``confidence / (strata * rules)`` (Bonferroni), and testing stops at the first that
-fails, so the grid needs no further correction.  The other half chooses, among the
-certified cutoffs, the one that rejects most bad documents, good ones counting
-``good_weight`` times; ties go to the laxest.  A rule with no certified cutoff, or
-none that helps, rejects nothing in that stratum.
+One half chooses: each stratum gets a path of steps, a step being a rule and a cutoff
+of its fixed grid.  Each step is the one that rejects most of the bad documents still
+there, good ones counting ``good_weight`` times, until none helps; ties go to the
+laxest.  The other half certifies the path from its first step on: a step stands when
+the exact binomial probability that all steps so far jointly reject so few good
+documents, were the true rate ``risk``, is at most ``confidence / (strata + 1)``
+(Bonferroni); testing stops at the first that fails, so a path needs no further
+correction.  With probability ``1 - confidence`` every certified path rejects at most a
+share ``risk`` of the good documents that it was certified on.
+
+All strata together form one more path, the pool.  A stratum without a step of its own
+(it has too few labels, see ``least_labels``) takes the certified steps of the pool, as
+many as its own good labels do not contradict (rejected so often with a probability
+below ``confidence``, were the rate ``risk``).  The pool's bound holds for the good
+documents of all strata together, not for each.  A stratum without labels has no rule.
 
 Nulls: a null text has no words; a null stratum is a stratum of its own; labels that
 are null or of unknown documents are ignored, of several labels of a document the
@@ -118,41 +125,112 @@ def binomial_tail(k, n, p):
     return float(min(1.0, np.exp(top) * np.exp(logs - top).sum()))
 
 
-def choose(counts, risk, confidence, good_weight):
-    """(stratum, rule) -> cutoff, from rows (stratum, rule, half, good, level, n):
-    how many labelled documents reach each level (the number of cutoffs they exceed)."""
-    table = {}
-    for stratum, rule, half, good, level, n in counts:
-        cell = table.setdefault((stratum, rule), np.zeros((2, 2, len(RULES[rule][1]) + 1), np.int64))
-        cell[half, good, level] += n
-    strata = len({s for s, _ in table}) or 1
-    out = {}
-    for (stratum, rule), cell in sorted(table.items()):
-        over = cell[:, :, ::-1].cumsum(-1)[:, :, ::-1]  # over[h, g, j]: exceed the first j cutoffs at least
-        total, best = over[:, :, 0], (0.0, None)
-        for j, cutoff in enumerate(RULES[rule][1], 1):
-            if total[0, 1] == 0 or binomial_tail(int(over[0, 1, j]), int(total[0, 1]), risk / len(RULES)) > confidence / (strata * len(RULES)):
-                break
-            gain = over[1, 0, j] / max(1, total[1, 0]) - good_weight * over[1, 1, j] / max(1, total[1, 1])
-            if gain > best[0] + 1e-12:
-                best = (gain, cutoff)
-        if best[1] is not None:
-            out[stratum, rule] = best[1]
-    return out
+def least_labels(strata, risk=0.02, confidence=0.05):
+    """Good labels that certify a path in the certifying half if it rejects none of them."""
+    return math.ceil(math.log(confidence / (strata + 1)) / math.log1p(-risk))
+
+
+def without_overlap(counts):
+    """``rest`` of ``choose`` for rows of which each is a group of documents that exceed
+    cutoffs of one rule alone."""
+
+    def rest(paths):
+        for row in counts:
+            for s in (row[0], None):
+                if row[4] < dict(paths.get(s, ())).get(row[1], math.inf):
+                    yield (s, *row[1:])
+
+    return rest
+
+
+def choose(counts, risk, confidence, good_weight, rest=None, grids=None):
+    """(stratum, rule) -> cutoff, from rows (stratum, rule, half, good, level, n): how many
+    labelled documents reach each level, that is, exceed the first ``level`` cutoffs of
+    ``grids[rule]`` (the grids of RULES by default) and no other.
+
+    ``rest(paths)`` gives these rows for the documents that no step rejects, ``paths``
+    mapping a stratum to its steps (rule, level); the pool's stratum is None."""
+    rest = rest or without_overlap(counts)
+    grids = grids or {r: RULES[r][1] for r in RULES}
+
+    def tally(paths):
+        table = {}
+        for stratum, rule, half, good, level, n in rest(paths):
+            cell = table.setdefault(stratum, {}).setdefault(rule, np.zeros((2, 2, len(grids[rule]) + 1), np.int64))
+            cell[half, good, level] += n
+        return table
+
+    def left(cells, half, good):
+        return max((int(c[half, good].sum()) for c in cells.values()), default=0)
+
+    first = table = tally({})
+    total = {s: np.array([[left(cells, h, g) for g in (0, 1)] for h in (0, 1)]) for s, cells in first.items()}
+    named = sorted(s for s in first if s is not None)
+    alpha = confidence / (len(named) + 1)
+    paths, certified = {s: [] for s in first}, {s: [] for s in first}
+    going = sorted(first, key=lambda s: (s is None, s or ""))
+    while going:
+        stepped = []
+        for s in going:
+            best = (0.0, None)
+            for rule in (r for r in RULES if r in table.get(s, {})):
+                cell = table[s][rule][1]
+                over = cell[:, ::-1].cumsum(-1)[:, ::-1]  # over[g, j]: exceed the first j cutoffs at least
+                for _, j in sorted(((c, j) for j, c in enumerate(grids[rule], 1)), reverse=True):
+                    gain = over[0, j] / max(1, total[s][1, 0]) - good_weight * over[1, j] / max(1, total[s][1, 1])
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (rule, j))
+            if best[1] is not None:
+                paths[s].append(best[1])
+                stepped.append(s)
+        going = []
+        if stepped:
+            table = tally({s: paths[s] for s in first})
+            for s in stepped:
+                n = int(total[s][0, 1])
+                if n and binomial_tail(n - left(table.get(s, {}), 0, 1), n, risk) <= alpha:
+                    certified[s] = list(paths[s])
+                    going.append(s)
+    thin, pool = [s for s in named if not certified[s]], certified.get(None, [])
+    for k in range(len(pool), 0, -1):
+        table = tally({s: pool[:k] for s in thin}) if thin else {}
+        for s in thin:
+            n = int(total[s][:, 1].sum())
+            k_rejected = n - left(table.get(s, {}), 0, 1) - left(table.get(s, {}), 1, 1)
+            if not k_rejected or 1 - binomial_tail(k_rejected - 1, n, risk) >= confidence:
+                certified[s] = pool[:k]
+        thin = [s for s in thin if not certified[s]]
+    # A later step of a rule is stricter, so it replaces the earlier one.
+    return {(s, rule): grids[rule][j - 1] for s in named for rule, j in certified[s]}
 
 
 def calibrate(measured, labels, id_col="doc_id", risk=0.02, confidence=0.05, good_weight=10.0):
-    """Cutoffs per stratum and rule.  What reaches the driver is a table of counts by
-    stratum, rule, half, label and level; strata are few (languages)."""
+    """Cutoffs per stratum and rule.  What reaches the driver are tables of counts by
+    stratum, rule, half, label and level, one a step of the longest path; strata are few
+    (languages)."""
     label = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min("quality").cast("int").alias("good"))
-    levels = [F.struct(F.lit(r).alias("rule"), sum(((value(r) > c).cast("int") for c in RULES[r][1]), F.lit(0)).alias("level")) for r in RULES]
-    labelled = (
+    levels = [sum(((value(r) > c).cast("int") for c in RULES[r][1]), F.lit(0)) for r in RULES]
+    groups = (
         measured.filter(base_passed())
         .join(label.filter(F.col("good").isin(0, 1)), "doc_id")
-        .select("stratum", "good", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), F.explode(F.array(*levels)).alias("x"))
+        .groupBy("stratum", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), "good", F.array(*levels).alias("levels"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = labelled.groupBy("stratum", "x.rule", "half", "good", "x.level").agg(F.count(F.lit(1)).alias("n"))
-    return choose([tuple(r) for r in counts.select("stratum", "rule", "half", "good", "level", "n").toLocalIterator()], risk, confidence, good_weight)
+    groups = stage(groups, "quality-levels")
+    both = groups.withColumn("stratum", F.explode(F.array("stratum", F.lit(None).cast("string"))))
+    names = F.array(*map(F.lit, RULES))
+
+    def rest(paths):
+        gone = F.lit(False)
+        for s, steps in paths.items():
+            for rule, j in dict(steps).items():
+                gone = gone | (F.col("stratum").eqNullSafe(F.lit(s)) & (F.col("levels")[list(RULES).index(rule)] >= j))
+        found = both.filter(~gone).select("*", F.posexplode("levels").alias("at", "level"))
+        found = found.groupBy("stratum", names[F.col("at")].alias("rule"), "half", "good", "level").agg(F.sum("n").alias("n"))
+        return [tuple(r) for r in found.toLocalIterator()]
+
+    # A document that exceeds some cutoffs exceeds the strictest ones.
+    return choose([], risk, confidence, good_weight, rest, {r: RULES[r][1][::-1] for r in RULES})
 
 
 def base_passed():

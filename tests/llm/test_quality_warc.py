@@ -91,3 +91,47 @@ def test_warc_round_trip(spark):
                 assert g["record_type"] == ("revisit" if revisit else "response") and g["refers_to"] == (304 if revisit else None)
                 assert g["payload"] == (None if revisit else raw)
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
+
+
+def rows_of(stratum, good, level, n, rule="symbols"):
+    return [(stratum, rule, h, good, level, n) for h in (0, 1)]
+
+
+def test_thin_strata_get_rules_and_joint_risk_holds():
+    # 250 good labels in the certifying half certify 0.02; a cut of the risk by rules needs 2,582.
+    counts = rows_of("de", 1, 0, 250) + rows_of("de", 0, 5, 20) + rows_of("en", 1, 0, 900) + rows_of("en", 0, 5, 90) + rows_of("es", 1, 0, 30)
+    cut = quality.choose(counts, 0.02, 0.05, 10.0)
+    assert set(cut) == {("de", "symbols"), ("en", "symbols"), ("es", "symbols")}  # es by the pool
+    assert quality.least_labels(3) == 217
+    # The pool does not reach a stratum whose good labels speak against it.
+    assert ("it", "symbols") not in quality.choose(counts + rows_of("it", 1, 5, 8), 0.02, 0.05, 1.0)
+    # Two rules that reject 15 of 1,000 good documents each pass alone, jointly they do not.
+    two = [("s", r, 0, g, lv, n) for r in ("symbols", "bangs") for g, lv, n in ((1, 0, 2970), (1, 9, 30))] + [("s", r, 1, g, lv, n) for r in ("symbols", "bangs") for g, lv, n in ((1, 0, 3000), (0, 9, 50))]
+
+    def rest(paths):
+        out = []
+        for s in ("s", None):
+            steps = dict(paths.get(s, ()))
+            hit = [r for r in ("symbols", "bangs") if steps.get(r, 99) <= 9]
+            for r in ("symbols", "bangs"):
+                for _, rule, h, g, lv, n in two:
+                    if rule == r and not (lv and r in hit):
+                        other = next(x for x in ("symbols", "bangs") if x != r)
+                        out.append((s, r, h, g, lv, n - (30 if (h, g, lv) == (0, 1, 0) and other in hit else 0)))
+        return out
+
+    assert len(quality.choose([], 0.02, 0.05, 1.0, rest)) == 1
+
+
+def test_few_labels_reject_symbol_junk(spark):
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(1400):
+        bad = i % 7 == 0
+        words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(30)]
+        rows.append((i, (" | " if bad else " ").join(words) + ".", "xx" if i % 35 in (0, 1) else "en"))
+        labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows + [(5000, rows[0][1], "unlabelled")], "doc_id bigint, text string, lang string")
+    got = {x["doc_id"]: x["kept"] for x in quality.quality_rules(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    assert got.pop(5000)  # no labels, no certificate
+    assert got == {i: bool(q) for i, q in labels}
