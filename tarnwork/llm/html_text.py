@@ -37,19 +37,44 @@ BREAKS = set(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template iframe svg math textarea select button object canvas audio video".split())
+SILENT = set("script style noscript template iframe svg textarea select button object canvas audio video".split())
+# Silent elements whose contents are no markup, and those that cannot hold their like.
+RAW = set("script style noscript iframe textarea".split())
+ALONE = {"select", "button"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = set("ul ol dl table nav article section div body main aside footer header form td th".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<([!?])[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in SILENT - RAW}
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW | {"title"}}
+
+
+def ends_of(page, name):
+    """Offset of each start tag of ``name`` -> that of its end tag; unclosed ones are absent."""
+    out, opened = {}, []
+    for m in TAGS[name].finditer(page):
+        if m[1]:
+            if opened:
+                out[opened.pop()] = m.start()
+        elif not m[0].endswith("/>"):
+            if name in ALONE:
+                opened.clear()
+            opened.append(m.start())
+    return out
 
 
 def blocks_of(page):
-    """[(text, path tokens, characters in links, depth)] of a page, in order."""
+    """[(text, path tokens, characters in links, depth)] of a page, in order.
+
+    The contents of script, style and other raw-text elements end at the next end tag of
+    their name, whatever stands before it; without one, script and style reach to the end
+    of the page, as in browsers.  Other silent elements end at their end tag or where a
+    block around them closes; without an end tag, at the next tag of a block."""
+    page = page or ""
     out, stack, parts, linked = [], [], [], 0
-    skip = None
+    skip, until, inner, ends, at, unclosed = None, None, {}, {}, 0, set()
 
     def close():
         nonlocal linked
@@ -60,8 +85,16 @@ def blocks_of(page):
             parts.clear()
             linked = 0
 
-    for m in TOKEN.finditer(page or ""):
+    while m := TOKEN.match(page, at):
+        at = m.end()
         text, name = m[5], m[3]
+        if skip is not None and until is not None and m.start() >= until:
+            skip = None
+            if m.start() == until:
+                continue
+        elif skip is not None and until is not None and at > until:
+            at = until  # a stray quote or comment inside must not swallow the end tag
+            continue
         if text is not None:
             if skip is None:
                 parts.append(text)
@@ -72,9 +105,20 @@ def blocks_of(page):
             continue
         name = name.lower()
         if skip is not None:
-            if m[2] and name == skip:
-                skip = None
-            continue
+            if name in RAW and not m[2] and (end := ENDS[name].search(page, at)):
+                at = end.end()
+            if name not in BREAKS:
+                continue
+            if until is not None:
+                if not m[2]:
+                    inner[name] = inner.get(name, 0) + 1
+                    continue
+                if inner.get(name):
+                    inner[name] -= 1
+                    continue
+                if all(tag != name for tag, _ in stack):
+                    continue
+            skip = None
         if m[2]:
             if name in BREAKS:
                 close()
@@ -84,8 +128,19 @@ def blocks_of(page):
                     break
             continue
         if name in SILENT:
-            if not m[4].endswith("/"):
-                skip = name
+            if m[4].endswith("/"):
+                continue
+            if name in RAW and name not in unclosed:
+                end = ENDS[name].search(page, at)
+                if end:
+                    at = end.end()
+                    continue
+                if name in ("script", "style"):
+                    break
+                unclosed.add(name)
+            if name not in RAW and name not in ends:
+                ends[name] = ends_of(page, name)
+            skip, until, inner = name, ends.get(name, {}).get(m.start()), {}
             continue
         if name == "br":
             parts.append(" ")
@@ -102,6 +157,13 @@ def blocks_of(page):
             for kind, *values in ATTRIBUTE.findall(m[4]):
                 tokens += [f"{'r' if kind.lower() == 'role' else 'c'}:{w.lower()}" for w in NAME.findall("".join(values))]
             stack.append((name, tokens))
+            if name == "title" and "title" not in unclosed:
+                end = ENDS[name].search(page, at)
+                if end:
+                    parts.append(page[at : end.start()])
+                    at = end.start()
+                else:
+                    unclosed.add(name)
     close()
     return out
 

@@ -86,3 +86,35 @@ def test_driver_style_page(labeller):
     text = '<body><nav><ul><li><a href="/x">x</a></li></ul></nav><!-- ad --><div class="ad">Alpha beta.</div><article><h1>Beta gamma.</h1><p><b>Gamma.<br><p>Delta &amp; mu.</p></article><footer>&copy; a.b &middot; Nu.</footer>'
     assert h.label_pages(labeller, h.Features(), [text, None, text]) == [["Beta gamma.", "Gamma.", "Delta & mu."], [], ["Beta gamma.", "Gamma.", "Delta & mu."]]
     assert re.search("Nu", text)
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<script>s = '<!--';</script>",
+        "<style>a:before{content:'<b \"'}</style >",
+        "<SCRIPT>if(a<b&&'\"'){}</Script\n>",
+        "<textarea><!-- <p x='></textarea>",
+        "<script>s = '<script '</script>",
+        "<div><button>Menu</div>",
+        "<button>Menu",
+        "<select><option>x<option>y",
+        "<div><svg><g></div>",
+        "<object data=x>",
+        "<iframe src=x>",
+        "<button>a<div>b</div></button>",
+        "<svg><svg></svg>no</svg>",
+        "<template><p>no</p></template>",
+        "<svg><style>a{content:'<b \"</body>'}</style></svg>",
+        "<object><!-- </object>",
+    ],
+)
+@pytest.mark.parametrize("after", ["", "<button>z</button><svg></svg>"])
+def test_silent_elements_leave_the_article(before, after):
+    page = f"<body>{before}<article><p>kept <math><mi>x</mi></math> too</p></article>{after}</body>"
+    assert [b[0] for b in h.blocks_of(page)] == ["kept x too"]
+
+
+def test_title_holds_no_markup():
+    assert [b[0] for b in h.blocks_of("<title>a <!-- b <p></title><p>c</p>")] == ["a <!-- b <p>", "c"]
