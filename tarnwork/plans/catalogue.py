@@ -76,7 +76,7 @@ def noise_lines(spark, sf_dir):
 
 @query("SELECT doc_id, source AS publish_source FROM documents")
 def publish_source(spark, sf_dir):
-    said = F.concat(F.left("text", F.lit(40)), F.lit("\n发布来源: "), F.col("source"), F.lit(" \n"))
+    said = F.concat("text", F.lit("\n发布来源: "), F.col("source"), F.lit(" \n"))
     return table(spark, sf_dir, "documents").select("doc_id", T.publish_source(said).alias("publish_source"))
 
 

@@ -82,3 +82,11 @@ def test_store(spark):
     chunks = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one")], "source string, chunk_index int, text string")
     asked = spark.createDataFrame([("a",), ("b",)], "source string")
     assert {r["source"]: r["detail"] for r in store.document_detail(asked, chunks).collect()} == {"a": "文件：a\none\ntwo", "b": "未找到文档"}
+
+
+def test_publish_source_reads_whole_texts(spark, tmp_path):
+    from tarnwork.plans import catalogue
+
+    rows = [(1, "x" * 60 + "\n发布来源: far\n" + "y" * 99, "own"), (2, "z" * 5000, "own")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["publish_source"] for r in catalogue.publish_source(spark, str(tmp_path)).collect()} == {1: "far", 2: "own"}
