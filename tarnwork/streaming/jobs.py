@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -22,6 +23,49 @@ def stream_ingest(stream, path, checkpoint, id_col="id", order=None):
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+SLICE = 50_000  # rows of a frame that a stream's step returns
+
+
+def last_window(kept, frames, most):
+    """The window ``kept`` (turn, role, text) after the messages of ``frames`` in order of turn.
+
+    Of each frame stay its turns and who spoke (9 bytes a message) and the messages of the
+    ``most`` last turns so far: whether a leading assistant's message is dropped depends on
+    the roles of all messages, but no other text is ever needed."""
+    turns, helped, last, seen = [], [], [], 0
+    for rows in frames:
+        turns.append(rows["turn"].to_numpy(np.int64, copy=True))
+        helped.append((rows["role"] == "assistant").to_numpy(bool, copy=True))
+        late = np.argsort(turns[-1], kind="stable")[-most:]
+        last = sorted(last + [(int(turns[-1][i]), seen + int(i), rows["role"].iloc[i], rows["text"].iloc[i]) for i in late], key=lambda m: m[:2])[-most:]
+        seen += len(rows)
+    turns = np.concatenate(turns)
+    helped = np.concatenate(helped)[np.argsort(turns, kind="stable")]
+    roles = np.concatenate([np.array([m[1] == "assistant" for m in kept], bool), helped])
+    size, end = len(kept), len(kept)
+    for _ in range(len(helped)):
+        end += 1
+        full = size >= most
+        size = min(size + 1, most)
+        if full and roles[end - size]:
+            size -= 1
+    return [*kept, *([turn, role, text] for turn, _, role, text in last)][-size:] if size else []
+
+
+def walk_times(stored, frames, ttl_seconds):
+    """(stored, times, hits): the times of ``frames`` in order, which of them are hits, and the
+    time of the last miss; times in microseconds.  Only the times are held, 8 bytes a row."""
+    times = np.sort(np.concatenate([rows["ts"].to_numpy("datetime64[us]", copy=True) for rows in frames]))
+    at, ttl = times.view(np.int64), int(ttl_seconds * 1_000_000)
+    hits, i = np.ones(len(at), bool), 0
+    while True:
+        if stored is not None:
+            i = int(np.searchsorted(at, stored + ttl, "right"))
+        if i >= len(at):
+            return stored, times, hits
+        hits[i], stored = False, int(at[i])
+
+
 def stream_history(messages, max_rounds=10):
     """The running window of each conversation, as ``turns``, ``roles``, ``texts``: a row for each
     conversation that got messages (update mode).  The window grows to ``2 * max_rounds``; from
@@ -30,12 +74,7 @@ def stream_history(messages, max_rounds=10):
 
     def step(key, frames, state):
         kept = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
-        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
-            full = len(kept) >= most
-            kept = [*kept, [int(turn), role, text]][-most:]
-            if full and kept[0][1] == "assistant":
-                kept = kept[1:]
+        kept = last_window(kept, frames, most)
         state.update((json.dumps(kept),))
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [[m[0] for m in kept]], "roles": [[m[1] for m in kept]], "texts": [[m[2] for m in kept]]})
 
@@ -53,16 +92,12 @@ def stream_cache(asked, ttl_seconds=86400, delay="1 hour"):
         if state.hasTimedOut:
             state.remove()
             return
-        stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        hits = []
-        for ts in rows["ts"]:
-            hit = stored is not None and (ts - stored).total_seconds() <= ttl_seconds
-            stored = stored if hit else ts
-            hits.append(hit)
-        state.update((stored.value // 1000,))
-        state.setTimeoutTimestamp(max(stored.value // 1_000_000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"key": [key[0]] * len(hits), "ts": rows["ts"].to_numpy(), "hit": hits})
+        stored, times, hits = walk_times(state.get[0] if state.exists else None, frames, ttl_seconds)
+        state.update((stored,))
+        state.setTimeoutTimestamp(max(stored // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        for a in range(0, len(hits), SLICE):
+            part = slice(a, a + SLICE)
+            yield pd.DataFrame({"key": key[0], "ts": times[part].astype("datetime64[ns]"), "hit": hits[part]})
 
     marked = asked.select("key", "ts").withWatermark("ts", delay)
     return marked.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, hit boolean", "stored bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,6 +1,8 @@
 """Tables, structured chunks, files and streams on small cases worked out by hand."""
 
 import json
+import random
+import weakref
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -113,3 +115,42 @@ def test_stream_cache_equals_the_ordered_walk(spark, tmp_path):
     jobs.stream_cache(stream, 10).writeStream.format("memory").queryName("cached").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["key"], r["ts"].second): r["hit"] for r in spark.table("cached").collect()}
     assert got == {("a", 0): False, ("a", 10): True, ("a", 11): False, ("b", 5): False, ("a", 20): True}
+
+
+def one_at_a_time(frames):
+    """Frames of which none may be held but the last."""
+    given = []
+    for make in frames:
+        assert all(f() is None for f in given[:-1])
+        frame = make()
+        given.append(weakref.ref(frame))
+        yield frame
+        del frame
+
+
+def test_stream_steps_hold_no_frames_and_equal_the_plain_walk():
+    r = random.Random(3)
+    for most in (2, 4, 6):
+        for _ in range(60):
+            kept, plain, base = [], [], 0
+            for _ in range(3):
+                rows = [(base + r.randrange(12), r.choice(["user", "assistant", "assistant"]), f"m{r.random()}") for _ in range(r.randrange(1, 15))]
+                base += 12
+                parts = [rows[a : a + 4] for a in range(0, len(rows), 4)]
+                kept = jobs.last_window(kept, one_at_a_time([lambda p=p: pd.DataFrame(p, columns=["turn", "role", "text"]) for p in parts]), most)
+                for m in sorted(rows, key=lambda m: m[0]):
+                    full = len(plain) >= most
+                    plain = [*plain, list(m)][-most:]
+                    if full and plain[0][1] == "assistant":
+                        plain = plain[1:]
+                assert kept == plain
+    for _ in range(100):
+        stored = r.choice([None, 1_000_000 * r.randrange(50)])
+        seconds = [r.randrange(200) for _ in range(r.randrange(1, 40))]
+        parts = [seconds[a : a + 7] for a in range(0, len(seconds), 7)]
+        found = jobs.walk_times(stored, one_at_a_time([lambda p=p: pd.DataFrame({"ts": pd.to_datetime(p, unit="s")}) for p in parts]), 10)
+        hits, at = [], stored
+        for t in sorted(seconds):
+            hits.append(at is not None and t * 1_000_000 - at <= 10_000_000)
+            at = at if hits[-1] else t * 1_000_000
+        assert (found[0], found[1].view("int64").tolist(), found[2].tolist()) == (at, [t * 1_000_000 for t in sorted(seconds)], hits)
