@@ -7,6 +7,7 @@ and survives the loss of any executor.
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -14,11 +15,13 @@ _OWN_DIRS = {}
 
 
 def shared_dir(spark):
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session, or a temporary one where the setting is absent (tests, one machine)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    A temporary folder stands in for it on one machine only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tarnwork-")
@@ -29,10 +32,26 @@ def fresh_dir(spark, label):
     return f"{shared_dir(spark)}/tarnwork/{label}-{uuid.uuid4().hex}"
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+@contextmanager
+def small_batches(spark, rows=BATCH_ROWS):
+    """Arrow batches of at most ``rows`` rows while an action of ours runs: whole texts are
+    long, and both the executor and its Python workers hold a batch or two per task."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def stage(df, label):
     """Write ``df`` to the shared folder and read it back."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,7 +74,7 @@ def mix64(x):
 class WordCodes(dict):
     """word (bytes) -> 64-bit hash, remembered for at most ``limit`` words."""
 
-    def __init__(self, limit=400_000):
+    def __init__(self, limit=200_000):
         import xxhash
 
         super().__init__()

@@ -1,6 +1,6 @@
 """Quality rules whose cutoffs carry a guarantee on false rejections.
 
-Every text gets its metrics.  Labelled documents are halved by a hash of their id.
+Every text gets its metrics.  Labelled documents are halved by a hash of their text, so that copies share a half.
 One half chooses: each stratum gets a path of steps, a step being a rule and a cutoff
 of its fixed grid.  Each step is the one that rejects most of the bad documents still
 there, good ones counting ``good_weight`` times, until none helps; ties go to the
@@ -23,10 +23,12 @@ worst counts.  Repeated rows are judged alike; empty tables give empty results.
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import WordCodes, shingle_hashes, stage
 
@@ -92,22 +94,24 @@ def measure(text, codes):
     )
 
 
-def metrics(docs, id_col="doc_id", text_col="text", stratum_col="lang", carry=()):
-    """One row a document: ``doc_id``, ``stratum``, METRICS and, if ``carry`` names columns,
-    ``carried``: a struct of them."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+@F.arrow_udf(StructType([StructField(m, LongType()) for m in METRICS]))
+def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The metrics of a column of texts, as a struct."""
+    codes = WordCodes()
+    for texts in batches:
+        rows = [measure(t, codes) for t in (x.as_py() for x in texts)]
+        yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(METRICS))], METRICS)
 
-    def run(batches):
-        codes = WordCodes()
-        for batch in batches:
-            rows = [measure(t, codes) for t in batch.column(2).to_pylist()]
-            columns = list(zip(*rows)) if rows else [()] * len(METRICS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns), *batch.columns[3:]], ["doc_id", "stratum", *METRICS, *(["carried"] if carry else [])])
 
+def with_metrics(docs, id_col="doc_id", text_col="text", stratum_col="lang", carry=()):
+    """One row a document: ``doc_id``, ``stratum`` (empty for null, else ``=`` and the value),
+    ``half``, METRICS and, if ``carry`` names columns, ``carried``: a struct of them.  Only
+    the text goes through Python.  Texts that are equal are in the same half."""
+    stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit(""))
+    half = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(2)).cast("int")
     carried = [F.struct(*carry).alias("carried")] if carry else []
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"), *carried)
-    schema = f"doc_id {id_type}, stratum string, " + ", ".join(f"{m} bigint" for m in METRICS)
-    return picked.mapInArrow(run, schema + (f", carried {picked.schema['carried'].dataType.simpleString()}" if carry else ""))
+    picked = docs.select(F.col(id_col).alias("doc_id"), stratum.alias("stratum"), half.alias("half"), measured(F.col(text_col)).alias("metrics"), *carried)
+    return picked.select("doc_id", "stratum", "half", "metrics.*", *(["carried"] if carry else []))
 
 
 def value(rule):
@@ -115,14 +119,35 @@ def value(rule):
     return F.coalesce(F.expr(f"try_divide({top}, {bottom})"), F.lit(0.0))
 
 
+def beta_fraction(a, b, x):
+    """Continued fraction of the incomplete beta function (Lentz's evaluation)."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out, m = d, 1
+    while True:
+        change = 1.0
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / ((1 + term * d) or tiny)
+            c = (1 + term / c) or tiny
+            change = c * d
+            out *= change
+        if abs(change - 1) < 1e-14:
+            return out
+        m += 1
+
+
 def binomial_tail(k, n, p):
-    """P(X <= k) of n trials with probability p, exactly."""
+    """P(X <= k) of n trials with probability p: the regularised incomplete beta function
+    of 1 - p with parameters n - k and k + 1.  Time grows with the root of n at most."""
+    if k < 0:
+        return 0.0
     if k >= n:
         return 1.0
-    i = np.arange(k + 1)
-    logs = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
-    top = logs.max()
-    return float(min(1.0, np.exp(top) * np.exp(logs - top).sum()))
+    a, b, x = n - k, k + 1, 1 - p
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front * beta_fraction(a, b, x) / a)
+    return max(0.0, 1.0 - front * beta_fraction(b, a, 1 - x) / b)
 
 
 def least_labels(strata, risk=0.02, confidence=0.05):
@@ -213,7 +238,7 @@ def calibrate(measured, labels, id_col="doc_id", risk=0.02, confidence=0.05, goo
     groups = (
         measured.filter(base_passed())
         .join(label.filter(F.col("good").isin(0, 1)), "doc_id")
-        .groupBy("stratum", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), "good", F.array(*levels).alias("levels"))
+        .groupBy("stratum", "half", "good", F.array(*levels).alias("levels"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     groups = stage(groups, "quality-levels")
@@ -247,14 +272,14 @@ def judge(measured, cutoffs):
 
 def quality_rules(docs, labels, id_col="doc_id", text_col="text", stratum_col="lang", risk=0.02, confidence=0.05, good_weight=10.0):
     """One row a document: id, METRICS, ``base_failed``, ``kept``."""
-    measured = stage(metrics(docs, id_col, text_col, stratum_col), "quality-metrics")
-    cutoffs = calibrate(measured, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", risk, confidence, good_weight)
-    return judge(measured, cutoffs).withColumnRenamed("doc_id", id_col)
+    found = stage(with_metrics(docs, id_col, text_col, stratum_col), "quality-metrics")
+    cutoffs = calibrate(found, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", risk, confidence, good_weight)
+    return judge(found, cutoffs).drop("half").withColumnRenamed("doc_id", id_col)
 
 
 def keep_good(docs, labels, id_col="doc_id", text_col="text", stratum_col="lang", risk=0.02, confidence=0.05, good_weight=10.0):
     """The documents that the rules keep, with all their columns.  Texts are measured twice
-    (for the cutoffs, then to filter), which spares a shuffle of them."""
-    names = labels.withColumnRenamed(id_col, "doc_id")
-    cutoffs = calibrate(metrics(docs, id_col, text_col, stratum_col), names, "doc_id", risk, confidence, good_weight)
-    return judge(metrics(docs, id_col, text_col, stratum_col, docs.columns), cutoffs).filter("kept").select("carried.*")
+    (for the cutoffs, then to filter): that costs less than to store or shuffle them."""
+    found = with_metrics(docs, id_col, text_col, stratum_col)
+    cutoffs = calibrate(found, labels.withColumnRenamed(id_col, "doc_id"), "doc_id", risk, confidence, good_weight)
+    return judge(with_metrics(docs, id_col, text_col, stratum_col, docs.columns), cutoffs).filter("kept").select("carried.*")

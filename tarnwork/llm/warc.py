@@ -16,6 +16,7 @@ that repeat the winning id are responses too.  Empty tables give empty results.
 """
 
 import hashlib
+import itertools
 import uuid
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import fresh_dir, partitions, stage
 from .token_files import filesystem
 
 MAGIC = b"WARC/1.1\r\n"
-HEAD_LIMIT = 1 << 16
+READ_ON = 1 << 16  # first step of reading on behind a range
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -90,31 +91,43 @@ def write_warc(pages, id_col="page_id", url_col="url", payload_col="html", min_r
     return files.select(F.concat(F.lit(root + "/"), F.col("name")).alias("path"), "size", "records")
 
 
+class Incomplete(Exception):
+    """The head does not end within what was read."""
+
+
 def parse_head(raw, at):
     """(fields, start of the block, start of the next record), or None if no head is there.
-    ``raw[at:]`` starts with the magic bytes."""
-    end = raw.find(b"\r\n\r\n", at, at + HEAD_LIMIT)
-    if end < 0:
-        return None
-    fields = {}
-    for line in raw[at + len(MAGIC) : end].split(b"\r\n"):
-        key, colon, val = line.partition(b":")
+    ``raw[at:]`` starts with the magic bytes; heads may have any length."""
+    fields, line = {}, at + len(MAGIC)
+    while True:
+        end = raw.find(b"\r\n", line)
+        if end < 0:
+            raise Incomplete
+        if end == line:
+            break
+        key, colon, val = raw[line:end].partition(b":")
         if not colon:
             return None
         fields[key.strip().lower()] = val.strip()
+        line = end + 2
     length = fields.get(b"content-length", b"")
     if not length.isdigit() or b"warc-type" not in fields:
         return None
-    return fields, end + 4, end + 4 + int(length) + 4
+    return fields, end + 2, end + 2 + int(length) + 4
 
 
-def candidates(raw, start, stop, base):
+def candidates(raw, start, stop, base, more=lambda: b""):
     """{offset: successor} of what looks like a record head in [start, stop) of the file;
-    ``raw`` begins at ``base``."""
+    ``raw`` begins at ``base``, and ``more()`` gives the bytes behind it (none at the end)."""
     out, at = {}, raw.find(MAGIC, start - base)
     while 0 <= at < stop - base:
-        if head := parse_head(raw, at):
-            out[base + at] = base + head[2]
+        try:
+            if head := parse_head(raw, at):
+                out[base + at] = base + head[2]
+        except Incomplete:
+            if next_bytes := more():
+                raw += next_bytes
+                continue
         at = raw.find(MAGIC, at + 1)
     return out
 
@@ -130,8 +143,9 @@ def links(files, chunk):
                 fs, path = filesystem(row["path"])
                 with fs.open_input_file(path) as f:
                     f.seek(start)
-                    raw = f.read(min(stop + HEAD_LIMIT, row["size"]) - start)
-                succ = candidates(raw, start, stop, start)
+                    raw = f.read(min(stop + len(MAGIC), row["size"]) - start)
+                    steps = itertools.count()
+                    succ = candidates(raw, start, stop, start, lambda: f.read(READ_ON << next(steps)))
                 exits = {}
                 for at in sorted(succ, reverse=True):
                     exits[at] = exits.get(succ[at], succ[at])
@@ -189,13 +203,18 @@ def read_warc(files, chunk=4 << 20, payloads=True):
                     f.seek(at)
                     raw, base, out, held = f.read(stop - at), at, [], 0
                     while at < stop:
-                        head = parse_head(raw, at - base) if raw[at - base : at - base + len(MAGIC)] == MAGIC else None
-                        if head is None or base + head[2] > base + len(raw):
+                        need = READ_ON + len(raw)
+                        try:
+                            head = parse_head(raw, at - base) if raw.startswith(MAGIC, at - base) else None
+                            need = head[2] - len(raw) if head else need
+                        except Incomplete:
+                            head = None
+                        if head is None or need > 0:
+                            # Only a head or block that is cut off is read on for.
                             if base + len(raw) >= row["size"]:
                                 raise ValueError(f"{path} is damaged at byte {at}")
-                            need = HEAD_LIMIT if head is None else head[2] - len(raw)
-                            f.seek(base + len(raw))
-                            raw += f.read(max(need, 1))
+                            raw, base = raw[at - base :], at
+                            raw += f.read(need)
                             continue
                         fields, block, end = head
                         http = raw.find(b"\r\n\r\n", block, end) + 4

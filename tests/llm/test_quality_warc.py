@@ -38,6 +38,18 @@ def test_binomial():
         assert quality.binomial_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
 
 
+def test_binomial_at_scale():
+    """The closed form at sizes where a sum over terms would be slow; normal limit."""
+    assert quality.binomial_tail(2_000_000, 100_000_000, 0.02) == pytest.approx(0.5, abs=1e-3)
+    assert quality.binomial_tail(1_997_200, 100_000_000, 0.02) == pytest.approx(0.0228, abs=1e-3)
+    assert quality.binomial_tail(-1, 5, 0.1) == 0 and quality.binomial_tail(5, 5, 0.1) == 1
+
+
+def test_null_stratum_is_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b", None), (2, "a b", ""), (3, "a b", "en")], "doc_id bigint, text string, lang string")
+    assert len({r["stratum"] for r in quality.with_metrics(docs).collect()}) == 3
+
+
 def test_rules_keep_good_and_reject_bad(spark):
     r = random.Random(4)
     rows, labels = [], []
@@ -93,6 +105,14 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("size, chunk", [(70_000, 700), (70_000, 4 << 20), (5_000_000, 100_000), (5_000_000, 4 << 20)])
+def test_warc_heads_of_any_length(spark, size, chunk):
+    rows = [(i, "http://h/" + "u" * (size if i % 3 == 0 else 5), FAKE[: 40 * i] + "p" * i) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    got = {g["page_id"]: g for g in warc.read_warc(warc.write_warc(pages), chunk=chunk).collect()}
+    assert {i: (g["url"], g["payload"]) for i, g in got.items()} == {i: (u, h.encode()) for i, u, h in rows}
+
+
 def rows_of(stratum, good, level, n, rule="symbols"):
     return [(stratum, rule, h, good, level, n) for h in (0, 1)]
 
