@@ -18,6 +18,7 @@ each.  Empty tables give an empty result; other columns are ignored.
 """
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -185,3 +186,21 @@ def contaminated(docs, items, id_col="doc_id", text_col="text", item_id="item_id
 
     parts = [search(spark.sparkContext.broadcast(b)) for b in item_blocks(items, item_id, item_text, block_words)]
     return reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("doc_id", id_col)
+
+
+def without_leaks(docs, items, text_col="text", item_id="item_id", item_text="text", threshold=THRESHOLD, radius=RADIUS, block_words=BLOCK_WORDS):
+    """The rows of ``docs``, with all their columns, whose text has no such window.  Each row
+    is judged by its own text, so null and repeated ids change nothing; no row is shuffled."""
+
+    def clean(shared):
+        @F.arrow_udf("boolean")
+        def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            held, codes = Items(shared.value, radius), WordCodes()
+            for texts in batches:
+                yield pa.array([not held.matches(codes.of(words_of(t.as_py())), threshold) for t in texts], pa.bool_())
+
+        return judge
+
+    for block in item_blocks(items, item_id, item_text, block_words):
+        docs = docs.filter(clean(docs.sparkSession.sparkContext.broadcast(block))(F.col(text_col)))
+    return docs
