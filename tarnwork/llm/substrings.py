@@ -4,49 +4,57 @@ Every window of ``length`` bytes has an anchor: the leftmost GRAM-byte string in
 least hash.  Equal windows have equal anchors, so the corpus falls apart by anchors, and
 windows that follow each other with one anchor form a segment.  Segments of anchors
 that occur once are done.  Segments that are equal byte for byte are one row with a
-count.  Where an anchor has several different segments, they are indexed in blocks:
-suffixes are sorted, the Burrows-Wheeler transform is kept as runs, and matches with the
-neighbouring suffix are measured only at the ends of runs.  Matching statistics stream
-from these samples through the text (inside a run the match of the next position is one
-shorter), and a position with a match of ``length`` or more starts a repeated window.
-Anchors with more than ``block_bytes`` of segments count the windows themselves, by
-128-bit hashes.  Nothing is capped.
+count: they would share every run of the index.
+
+Where an anchor has several different segments, these are indexed: the Burrows-Wheeler
+transform is kept as runs (symbol, length) with the text places at both ends of each,
+and nothing else of the suffix order.  Matches are measured at these places only, and
+matching statistics stream from there through the text (inside a run the match of the
+next position is one shorter); a match of ``length`` or more starts a repeated window.
+
+An index holds the groups of about ``block_bytes``.  A group beyond that is dealt anew,
+and exactly: windows are told apart by where the anchor stands in them, in classes of half
+the width each round, and by a hash of the bytes that all windows of a class share.  Equal
+windows stay together, and at the width of one the bytes are the whole window.
 
 A null text is empty.  Texts shorter than ``length`` have no windows.  Rows that repeat
 are copies of each other.  An empty table gives an empty result; other columns are ignored.
 """
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import mix64, stage
+from .common import mix64, partitions, stage
 
-GRAM = 32
-PIECE = 4 << 20
-BLOCK_BYTES = 1 << 20
+GRAM = 64
+PIECE = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def segments(raw, length):
-    """(anchor, start, count) arrays: runs of window starts with one anchor."""
+    """(anchor, start, count, place of the anchor behind start) arrays: runs of window
+    starts with one anchor."""
     out = [_segments(raw[a : a + PIECE + length - 1], length, a) for a in range(0, max(1, len(raw) - length + 1), PIECE)] if len(raw) >= length else []
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def _segments(raw, length, base):
-    n = len(raw)
-    load = lambda at: np.ndarray(n - GRAM + 1, "<u8", raw, at, (1,))
+    n, gram = len(raw), min(GRAM, length)
+    load = lambda at: np.ndarray(n - gram + 1, "<u8", raw, at, (1,))
     h = load(0) * np.uint64(0x9E3779B97F4A7C15)
-    for at in (8, 16, 24):
+    for at in sorted({*range(8, gram - 7, 8), gram - 8}):
         h = (h ^ (h >> np.uint64(29))) + load(at)
         h *= np.uint64(0xBF58476D1CE4E5B9)
     h = mix64(h)
     # The least hash of each window, with its place in the low bits.
     place = np.uint64(23)
     least = (h >> place << place) | np.arange(len(h), dtype=np.uint64)
-    width, have = length - GRAM + 1, 1
+    width, have = length - gram + 1, 1
     while have * 2 <= width:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
@@ -55,105 +63,115 @@ def _segments(raw, length, base):
     at = (least & np.uint64((1 << 23) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.concatenate([first, [len(at)]]))
-    return h[at[first]].view(np.int64), first + base, count
-
-
-def suffix_array(symbols):
-    """Suffixes of an array whose zeros are separators, each of its own rank."""
-    n = len(symbols)
-    gaps = symbols == 0
-    if n > 1:
-        packed = np.zeros(n + 8, np.uint64)
-        packed[:n] = symbols
-        # Separators sort before all else, in order of place; bytes are 1..256, nine bits each.
-        key, width = np.zeros(n, np.uint64), 6
-        for j in range(width):
-            key = (key << np.uint64(9)) | packed[j : j + n]
-    else:
-        key, width = symbols.astype(np.uint64), 1
-    # Nothing after a separator may take part in a key.
-    nearest = np.where(gaps, np.arange(n), n)
-    nearest = np.minimum.accumulate(nearest[::-1])[::-1] - np.arange(n)
-    cut = np.minimum(nearest, width)
-    key = key >> (np.uint64(9) * (width - cut).astype(np.uint64)) << (np.uint64(9) * (width - cut).astype(np.uint64))
-    order = np.argsort(key, kind="stable")
-    # A suffix that ends within the key is told apart by its separator, whose order is that of places.
-    fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]]) | (nearest < width)[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    have = width
-    while True:
-        pair = np.zeros(n, np.int64)
-        pair[: n - have] = rank[have:] + 1 if n > have else 0
-        tied = np.zeros(n, bool)
-        by = np.argsort(rank, kind="stable")
-        same = rank[by][1:] == rank[by][:-1]
-        tied[by[1:][same]] = True
-        tied[by[:-1][same]] = True
-        t = np.flatnonzero(tied)
-        if not len(t) or have > n:
-            return by
-        key = rank[t] * np.int64(n + 2) + pair[t]
-        o = np.argsort(key, kind="stable")
-        t, key = t[o], key[o]
-        group = rank[t]
-        head = np.concatenate([[True], group[1:] != group[:-1]])
-        start = np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[t] = group + np.maximum.accumulate(np.where(new, np.arange(len(t)), 0)) - start
+    return h[at[first]].view(np.int64), first + base, count, at[first] - first
+
+
+def suffix_array(text, gaps):
+    """Order of the suffixes of a byte array; ``gaps`` marks separators, which sort before
+    all bytes and among themselves by place, and end the suffixes before them."""
+    n, width = len(text), 7
+    symbols = np.zeros(n + width, np.uint64)
+    symbols[:n] = np.where(gaps, 0, text.astype(np.uint64) + np.uint64(1))
+    key = np.zeros(n, np.uint64)
+    for j in range(width):
+        key = (key << np.uint64(9)) | symbols[j : j + n]
+    to_gap = (np.minimum.accumulate(np.where(gaps, np.arange(n), n)[::-1])[::-1] - np.arange(n)).astype(np.int32)
+    # Nothing behind a separator may take part in a key.
+    drop = np.uint64(9) * (width - np.minimum(to_gap, width)).astype(np.uint64)
+    key = key >> drop << drop
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    slots, have = np.flatnonzero(~(head & np.append(head[1:], True))), width
+    while len(slots):
+        t = order[slots]
+        # Suffixes that ended by now are told apart by place.
+        behind = np.where(to_gap[t] < have, t, n + rank[np.minimum(t + have, n - 1)].astype(np.int64))
+        pair = rank[t].astype(np.int64) * (2 * n) + behind
+        o = np.argsort(pair)
+        t, pair = t[o], pair[o]
+        head = np.concatenate([[True], pair[1:] != pair[:-1]])
+        order[slots] = t
+        rank[t] = slots[np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))]
+        slots = slots[~(head & np.append(head[1:], True))]
         have *= 2
+    return order
 
 
 class RunLengthIndex:
-    """Runs of the BWT of segments, with the suffixes at both ends of each run."""
+    """Runs of the BWT of some byte strings, with the text places of both ends of each run.
+
+    ``symbols`` (0 stands for a separator, else the byte plus 1), ``lengths``, ``first`` and
+    ``last`` have an entry a run.  The suffix above a run's first is the last of the run before."""
 
     def __init__(self, parts):
-        sizes = np.array([len(p) + 1 for p in parts])
-        self.starts = np.cumsum(sizes) - sizes
-        self.symbols = np.zeros(int(sizes.sum()), np.uint16)
-        for at, p in zip(self.starts, parts):
-            self.symbols[at : at + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 1
-        order = suffix_array(self.symbols)
-        # What stands before each suffix; a separator stands before each first one and differs from all.
-        bwt = np.where(order > 0, self.symbols[order - 1].astype(np.int64), 0)
-        change = (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)
-        heads = np.concatenate([[0], np.flatnonzero(change) + 1])
-        tails = np.concatenate([np.flatnonzero(change), [len(order) - 1]])
-        self.runs = list(zip(bwt[heads].tolist(), (tails - heads + 1).tolist())) if len(order) < 64 else None
-        self.n_runs, self.n = len(heads), len(order)
-        self.head_samples = (order[heads], np.where(heads > 0, order[heads - 1], -1))
-        self.tail_samples = (order[tails], np.where(tails + 1 < len(order), order[np.minimum(tails + 1, len(order) - 1)], -1))
+        sizes = np.array([len(p) + 1 for p in parts], np.int64)
+        self.starts, self.n = np.cumsum(sizes) - sizes, int(sizes.sum())
+        self.gaps_at = self.starts + sizes - 1
+        self.text = np.frombuffer(b"\0".join(parts) + bytes(9), np.uint8)
+        gaps = np.zeros(self.n, bool)
+        gaps[self.gaps_at] = True
+        order = suffix_array(self.text[: self.n], gaps)
+        bwt = np.where(gaps[order - 1], 0, self.text[: self.n][order - 1].astype(np.uint16) + 1)
+        # Separators differ from each other, so each is a run.
+        heads = np.concatenate([[0], np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)) + 1])
+        self.symbols, self.lengths = bwt[heads], np.diff(np.append(heads, self.n)).astype(np.int32)
+        self.first, self.last = order[heads], order[np.append(heads[1:], self.n) - 1]
+        self.n_runs = len(heads)
 
     def common(self, a, b):
-        """Length of the common prefix of suffixes a and b; a separator matches nothing."""
-        out = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(b >= 0)
-        text = np.concatenate([self.symbols, np.zeros(1, np.uint16)])
-        step = 0
+        """Length of the common prefix of the suffixes at a and b, up to a separator; 0 for b < 0."""
+        room = lambda x: self.gaps_at[np.searchsorted(self.gaps_at, x)] - x
+        limit = np.where(b >= 0, np.minimum(room(a), room(np.maximum(b, 0))), 0)
+        words = np.ndarray(self.n + 1, "<u8", self.text, 0, (1,))
+        out, live, step = limit.copy(), np.flatnonzero(limit > 0), 0
         while len(live):
-            x, y = text[np.minimum(a[live] + step, self.n)], text[np.minimum(b[live] + step, self.n)]
-            live = live[(x == y) & (x != 0)]
-            out[live] += 1
-            step += 1
+            x = words[a[live] + step] ^ words[b[live] + step]
+            ends = x != 0
+            low = x[ends] & (~x[ends] + np.uint64(1))
+            at = live[ends]
+            out[at] = np.minimum(limit[at], step + np.bitwise_count(low - np.uint64(1)).astype(np.int64) // 8)
+            step += 8
+            live = live[~ends]
+            live = live[limit[live] > step]
         return out
 
     def matching_statistics(self):
-        """For each position the longest match with another place of the index."""
+        """For each position the longest match with another place, streamed from the run ends."""
         best = np.zeros(self.n, np.int64)
-        for at, other in (self.head_samples, self.tail_samples):
-            value = np.zeros(self.n, np.int64)
-            last = np.zeros(self.n, np.int64)
-            last[at] = at
-            value[at] = self.common(at, other)
-            last = np.maximum.accumulate(last)
-            best = np.maximum(best, value[last] - (np.arange(self.n) - last))
+        none, every = np.full(1, -1, self.first.dtype), np.arange(self.n)
+        for at, other in ((self.first, np.concatenate([none, self.last[:-1]])), (self.last, np.concatenate([self.first[1:], none]))):
+            value, since = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+            since[at] = at
+            value[at] = self.common(at.astype(np.int64), other.astype(np.int64))
+            since = np.maximum.accumulate(since)
+            best = np.maximum(best, value[since] - (every - since))
         return best
 
     def repeated(self, length):
-        """For each segment a bool array over its positions: a match of ``length`` starts here."""
+        """For each string a bool array over its positions: a match of ``length`` starts here."""
         hit = self.matching_statistics() >= length
-        ends = np.append(self.starts[1:], self.n) - 1
-        return [hit[a:b] for a, b in zip(self.starts, ends)]
+        return [hit[a:b] for a, b in zip(self.starts, self.gaps_at)]
+
+    def restored(self):
+        """The strings, read backwards from the runs alone by last-to-first steps."""
+        begins = np.cumsum(self.lengths) - self.lengths
+        by = np.argsort(self.symbols, kind="stable")
+        to = np.empty(self.n_runs, np.int64)
+        to[by] = np.cumsum(self.lengths[by]) - self.lengths[by]  # row of a run's first symbol in sorted order
+        out = []
+        for row in range(len(self.starts)):
+            got = bytearray()
+            while True:
+                run = int(np.searchsorted(begins, row, "right")) - 1
+                if not self.symbols[run]:
+                    break
+                got.append(int(self.symbols[run]) - 1)
+                row = int(to[run] + row - begins[run])
+            out.append(bytes(got[::-1]))
+        return out
 
 
 def runs_of(flags):
@@ -164,16 +182,17 @@ def runs_of(flags):
 
 KEY = ["doc_id", "tk"]
 RUNS = "array<struct<a:int,b:int>>"
+RUNS_ARROW = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+PIECES = "key bigint, piece bigint, m bigint, off int, bytes binary, anchor bigint, seg bigint, shift int"
 
 
-def _texts(docs, id_col, text_col, carry=()):
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    carried = [F.struct(*carry).alias("carried")] if carry else []
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tk"), text.cast("binary").alias("raw"), *carried)
+def _keys(id_col, text_col):
+    return [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tk")]
 
 
-def occurrences(texts, length):
+def occurrences(docs, length, id_col, text_col):
     """A row a segment: its document, place, anchor and content hash."""
+    texts = docs.select(*_keys(id_col, text_col), F.col(text_col).cast("binary").alias("raw")).filter(F.octet_length("raw") >= length)
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -181,126 +200,169 @@ def occurrences(texts, length):
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            at, anchors, starts, counts, hashes, held = [], [], [], [], [], 0
+            at, found, hashes, held = [], [], [], 0
 
             def flush():
                 take = pa.array(np.repeat(np.array([i for i, _ in at]), [k for _, k in at]), pa.int64())
+                anchor, start, count, off = (np.concatenate(x) for x in zip(*found))
                 return pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(anchors), pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
-                    ["doc_id", "tk", "anchor", "seg", "start", "n"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(anchor, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (start, count, off))],
+                    ["doc_id", "tk", "anchor", "seg", "start", "n", "off"],
                 )
 
             for i, value in enumerate(batch.column(2)):
                 raw = value.as_py()
-                if len(raw) < length:
-                    continue
-                a, s, k = segments(raw, length)
-                at.append((i, len(a))), anchors.append(a), starts.append(s), counts.append(k)
-                hashes += [digest(raw[x : x + y + length - 1]) for x, y in zip(s.tolist(), k.tolist())]
-                held += len(a)
-                if held > 100_000:
+                got = segments(raw, length)
+                at.append((i, len(got[0]))), found.append(got)
+                hashes += [digest(raw[x:y]) for x, y in zip(got[1].tolist(), (got[1] + got[2] + (length - 1)).tolist())]
+                held += len(got[0])
+                if held > 50_000:
                     yield flush()
-                    at, anchors, starts, counts, hashes, held = [], [], [], [], [], 0
+                    at, found, hashes, held = [], [], [], 0
             if held:
                 yield flush()
 
-    return texts.mapInArrow(run, f"doc_id {id_type}, tk bigint, anchor bigint, seg bigint, start int, n int")
+    return texts.mapInArrow(run, f"doc_id {id_type}, tk bigint, anchor bigint, seg bigint, start int, n int, off int")
 
 
-def cut_out(texts, distinct, length):
-    """The bytes of one place of each different segment: ``anchor``, ``seg``, ``m``, ``bytes``."""
-    wanted = distinct.groupBy(*(f"at.{k}" for k in KEY)).agg(F.collect_list(F.struct("anchor", "seg", "m", "at.start", "n")).alias("segs"))
+def cut_out(docs, distinct, length, id_col, text_col):
+    """The bytes of one place of each of these segments, as pieces of one group an anchor."""
+    wanted = distinct.groupBy(*(F.col(f"at.{k}").alias(k) for k in KEY)).agg(F.collect_list(F.struct("anchor", "seg", "m", "n", "off", "at.start")).alias("segs"))
+    texts = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
 
     def cut(batches):
+        def batch_of(rows):
+            anchor, seg, m, off, raw = zip(*rows)
+            big = lambda x: pa.array(x, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [big(anchor), big(seg), big(m), pa.array(off, pa.int32()), pa.array(raw, pa.binary()), big(anchor), big(seg), pa.array([0] * len(rows), pa.int32())],
+                ["key", "piece", "m", "off", "bytes", "anchor", "seg", "shift"],
+            )
+
         for batch in batches:
-            for raw, segs in zip(batch.column(0), batch.column(1)):
-                raw, segs = raw.as_py(), segs.as_py()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "anchor": pa.array([s["anchor"] for s in segs], pa.int64()),
-                        "seg": pa.array([s["seg"] for s in segs], pa.int64()),
-                        "m": pa.array([s["m"] for s in segs], pa.int64()),
-                        "bytes": pa.array([raw[s["start"] : s["start"] + s["n"] + length - 1] for s in segs], pa.binary()),
-                    }
-                )
+            rows, held = [], 0
+            for text, segs in zip(batch.column(0), batch.column(1)):
+                raw = text.as_py().encode()
+                for s in segs.as_py():
+                    rows.append((s["anchor"], s["seg"], s["m"], s["off"], raw[s["start"] : s["start"] + s["n"] + length - 1]))
+                    held += s["n"] + length
+                if held > 4 << 20:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
     same = [texts[k].eqNullSafe(wanted[k]) for k in KEY]
-    return texts.join(wanted, same).select("raw", "segs").mapInArrow(cut, "anchor bigint, seg bigint, m bigint, bytes binary")
+    # Rows with one id and text give the same bytes again; groups drop what repeats.
+    return texts.join(wanted, same).select("text", "segs").mapInArrow(cut, PIECES)
 
 
-def indexed_runs(cut, length, block_bytes):
-    """Repeated window starts of segments that occur once, by the index: ``anchor``, ``seg``, ``runs``."""
+def indexed_runs(pieces, length, block_bytes):
+    """Repeated window starts by the index: ``anchor``, ``seg``, ``runs``.  Pieces of a ``key``
+    are a group; pieces equal in ``key`` and ``piece`` are one string found in several places."""
 
     def run(batches):
-        held, size, seen = [], 0, set()
+        held, size, last = [], 0, None
 
         def flush():
-            res = [(a, s, runs_of(f)) for (a, s, m, _), f in zip(held, RunLengthIndex([x[3] for x in held]).repeated(length)) if m == 1]
-            held.clear(), seen.clear()
-            res = [x for x in res if x[2]]
-            if res:
-                a, s, r = zip(*res)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array([[{"a": x, "b": y} for x, y in v] for v in r], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["anchor", "seg", "runs"]
-                )
+            out = []
+            for (raw, roots), flags in zip(held, RunLengthIndex([h[0] for h in held]).repeated(length)):
+                runs = runs_of(flags) if sum(roots.values()) == 1 else [(0, len(raw) - length + 1)]
+                out += [(a, s, [{"a": x + shift, "b": y + shift} for x, y in runs]) for a, s, shift in roots if runs]
+            held.clear()
+            if out:
+                a, s, r = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(r, RUNS_ARROW)], ["anchor", "seg", "runs"])
 
-        last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= block_bytes and row[0] != last:
-                    yield from flush()
-                    size = 0
-                last = row[0]
-                if row[:2] not in seen:
-                    seen.add(row[:2]), held.append(row)
-                    size += len(row[3]) + 1
+            for at in range(0, batch.num_rows, 1024):
+                for key, piece, m, _, raw, *root in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                    if last != (key, piece):
+                        if size >= block_bytes and key != last[0]:
+                            yield from flush()
+                            size = 0
+                        held.append((raw, {}))
+                        size += len(raw) + 1
+                        last = (key, piece)
+                    held[-1][1][tuple(root)] = m
         if held:
             yield from flush()
 
-    return cut.repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(run, f"anchor bigint, seg bigint, runs {RUNS}")
+    names = [f.split()[0] for f in PIECES.split(", ")]
+    dealt = pieces.select(names).repartition(partitions(pieces.sparkSession), "key").sortWithinPartitions("key", "piece")
+    return dealt.mapInArrow(run, f"anchor bigint, seg bigint, runs {RUNS}")
 
 
-def counted_runs(cut, length):
-    """The same for anchors with too many segments for a block: windows counted by hash."""
+def refined(pieces, length, width):
+    """The pieces cut by the place of the anchor in their windows, ``width`` places a class,
+    in groups of one class whose windows share the same bytes."""
 
-    def windows(batches):
+    def run(batches):
         import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
+        names = [f.split()[0] for f in PIECES.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
-            for anchor, seg, m, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, held = [], 0
+            for key, _, m, off, raw, anchor, seg, shift in zip(*(c.to_pylist() for c in batch.columns)):
                 n = len(raw) - length + 1
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "anchor": pa.array([anchor] * n, pa.int64()),
-                        "seg": pa.array([seg] * n, pa.int64()),
-                        "m": pa.array([m] * n, pa.int64()),
-                        "j": pa.array(range(n), pa.int32()),
-                        "w": pa.array([xxhash.xxh3_128_digest(raw[j : j + length]) for j in range(n)], pa.binary()),
-                    }
-                )
+                for c in range((off - n + 1) // width, off // width + 1):
+                    a, b = max(0, off - (c + 1) * width + 1), min(n - 1, off - c * width)
+                    shared = raw[off - c * width : off - (c + 1) * width + 1 + length]
+                    own = raw[a : b + length]
+                    group = digest(shared, seed=(key * 0x9E3779B97F4A7C15 + c) & (1 << 64) - 1)
+                    rows.append((signed(group), signed(digest(own)), m, off - a, own, anchor, seg, shift + a))
+                    held += len(own)
+                if held > 4 << 20:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
-    found = cut.dropDuplicates(["anchor", "seg"]).mapInArrow(windows, "anchor bigint, seg bigint, m bigint, j int, w binary")
-    twice = found.groupBy("w").agg(F.sum("m").alias("t")).filter("t > 1").select("w")
-    hit = found.filter("m = 1").join(twice, "w", "left_semi")
-    return hit.groupBy("anchor", "seg").agg(F.collect_list(F.struct(F.col("j").alias("a"), (F.col("j") + 1).alias("b"))).alias("runs"))
+    return pieces.mapInArrow(run, PIECES)
+
+
+def settled(pieces, length, block_bytes):
+    """Repeated window starts of the pieces' segments, whatever the size of their groups.
+    ``pieces`` has the ``size`` of each group as a column."""
+    names = [f.split()[0] for f in PIECES.split(", ")]
+    found, large, width = [indexed_runs(pieces.filter(F.col("size") <= block_bytes), length, block_bytes)], pieces.filter(F.col("size") > block_bytes), length - min(GRAM, length) + 1
+    while width > 1 and not large.isEmpty():
+        width = -(-width // 2)
+        cut = stage(refined(large.select(names), length, width), "segments-refined")
+        groups = stage(cut.groupBy("key").agg(F.sum("m").alias("total"), F.sum(F.octet_length("bytes") + 1).alias("size")).filter("total > 1").select("key", "size"), "segments-groups")
+        cut = stage(cut.join(groups, "key"), "segments-refined")
+        found.append(indexed_runs(cut.filter(F.col("size") <= block_bytes), length, block_bytes))
+        large = cut.filter(F.col("size") > block_bytes)
+    if width == 1:  # what is left are equal windows
+        found.append(large.select("anchor", "seg", F.array(F.struct(F.col("shift").alias("a"), (F.col("shift") + 1).alias("b"))).cast(RUNS).alias("runs")))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def repeated_spans(docs, length=200, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES):
     """A row for each document with repeated windows: ``doc_id``, ``tk`` (a hash of the text),
     ``spans``: [from, to) of window starts, not merged."""
-    texts = _texts(docs, id_col, text_col)
-    all_of = occurrences(texts, length)
-    twice = all_of.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    all_of = stage(occurrences(docs, length, id_col, text_col), "segments-all")
+    twice = stage(all_of.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "segments-anchors")
+    # Each join on anchors reads two staged tables and is staged itself, so that skewed ones are split.
     kept = stage(all_of.join(twice, "anchor", "left_semi"), "segments")
     at = F.struct(*KEY, "start")
-    distinct = stage(kept.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"), F.min(at).alias("at")), "segments-distinct")
-    groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.min("m").alias("least"), F.sum(F.col("n") + length).alias("size"))
-    mixed = groups.filter("d > 1 and least = 1").select("anchor", "size")
-    cut = stage(cut_out(texts, distinct.join(mixed.select("anchor"), "anchor", "left_semi"), length).join(mixed, "anchor"), "segments-cut")
-    row = ("anchor", "seg", "m", "bytes")
-    single = indexed_runs(cut.filter(F.col("size") <= block_bytes).select(*row), length, block_bytes).unionByName(counted_runs(cut.filter(F.col("size") > block_bytes).select(*row), length))
+    distinct = stage(kept.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"), F.min("off").alias("off"), F.min(at).alias("at")), "segments-distinct")
+    groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.min("m").alias("least"), F.sum(F.col("n") + length).cast("bigint").alias("size"))
+    mixed = stage(groups.filter("d > 1 and least = 1").select("anchor", "size"), "segments-mixed")
+    several = stage(distinct.join(mixed, "anchor", "left_semi"), "segments-several")
+    pieces = stage(cut_out(docs, several, length, id_col, text_col), "segments-cut")
+    pieces = pieces.join(mixed, "anchor")
     copies = distinct.filter("m > 1").select("anchor", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).cast(RUNS).alias("runs"))
-    runs = stage(single.unionByName(copies), "segments-runs")
+    # Segments with copies are repeated as a whole, whatever the index says of them.
+    single = settled(stage(pieces, "segments-pieces"), length, block_bytes).join(copies.select("anchor", "seg"), ["anchor", "seg"], "left_anti")
+    runs = stage(single.select("anchor", "seg", "runs").unionByName(copies), "segments-runs")
     hits = kept.join(runs, ["anchor", "seg"]).select(*KEY, F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b"))).alias("r"))
     return hits.groupBy(*KEY).agg(F.flatten(F.collect_list("r")).alias("spans"))
 
@@ -316,37 +378,48 @@ def merged(spans, length):
     return out
 
 
-def remove_repeats(docs, length=200, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES, carry=(), as_text=False):
-    """One row a document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``,
-    ``kept`` (the remaining bytes; with ``as_text`` a string without characters that a cut
-    broke) and, if ``carry`` names columns, ``carried``: a struct of them."""
-    spans = stage(repeated_spans(docs, length, id_col, text_col, block_bytes), "spans")
-    texts = _texts(docs, id_col, text_col, carry)
-    joined = texts.join(spans, [texts[k].eqNullSafe(spans[k]) for k in KEY], "left").select(texts["doc_id"], "raw", "spans", *(["carried"] if carry else []))
-    id_type = joined.schema["doc_id"].dataType.simpleString()
+CUT = "n_removed bigint, n_spans bigint, kept_sha256 string, kept "
 
-    def apply(batches):
-        for batch in batches:
-            rows, held = [], 0
-            for i, (raw, s) in enumerate(zip(batch.column(1), batch.column(2))):
-                raw, gone = raw.as_py(), merged(s.as_py(), length)
+
+def cut_texts(docs, length=200, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES, as_text=False):
+    """The rows of ``docs`` as a struct ``row``, and ``cut``: a struct of CUT for texts with
+    repeated strings, else null.  ``kept`` is binary or, with ``as_text``, a string without the
+    characters that a cut broke.  Only texts with repeated strings pass through Python."""
+    spans = stage(repeated_spans(docs, length, id_col, text_col, block_bytes), "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_keys(id_col, text_col))
+    joined = rows.join(spans, [rows[k].eqNullSafe(spans[k]) for k in KEY], "left").select("row", "spans")
+
+    @F.arrow_udf(CUT + ("string" if as_text else "binary"))
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in batches:
+            rows = []
+            for text, s in zip(texts, spans):
+                if not s.is_valid:
+                    rows.append((0, 0, None, None))
+                    continue
+                raw, gone = text.as_py().encode(), merged(s.as_py(), length)
                 cuts = [0, *(x for g in gone for x in g), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                rows.append((i, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
-                held += len(kept)
-                if held > 16 << 20:
-                    yield batch_of(batch, rows)
-                    rows, held = [], 0
-            if rows:
-                yield batch_of(batch, rows)
-
-    def batch_of(batch, rows):
-        i, n, removed, spans, sha, kept = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at := pa.array(i, pa.int64())), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.string() if as_text else pa.binary()), *(c.take(at) for c in batch.columns[3:])],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *(["carried"] if carry else [])],
-        )
-
-    schema = f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept {'string' if as_text else 'binary'}"
-    out = joined.mapInArrow(apply, schema + (f", carried {joined.schema['carried'].dataType.simpleString()}" if carry else ""))
-    return out.withColumnRenamed("doc_id", id_col)
+                rows.append((len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if as_text else kept))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()]
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, types)], [f.split()[0] for f in CUT.split(", ")])
+
+    has = F.col("spans").isNotNull()
+    called = joined.withColumn("has", has).withColumn("cut", apply(F.when(has, F.col("row")[text_col]), F.col("spans")))
+    return called.select("row", F.when(F.col("has"), F.col("cut")).alias("cut"))
+
+
+def remove_repeats(docs, length=200, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES):
+    """One row a document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and
+    ``kept`` (the remaining bytes)."""
+    done = cut_texts(docs.select(id_col, text_col), length, id_col, text_col, block_bytes)
+    raw = F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary")
+    number = lambda name: F.coalesce(F.col("cut")[name], F.lit(0).cast("bigint")).alias(name)
+    return done.select(
+        F.col("row")[id_col].alias(id_col),
+        F.octet_length(raw).cast("bigint").alias("n_bytes"),
+        number("n_removed"),
+        number("n_spans"),
+        F.coalesce(F.col("cut.kept_sha256"), F.sha2(raw, 256)).alias("kept_sha256"),
+        F.coalesce(F.col("cut.kept"), raw).alias("kept"),
+    )

@@ -39,35 +39,35 @@ def test_index_statistics(seed):
                     k += 1
                 best = max(best, k)
         assert got[index.starts[p] + i] == best, (p, i)
-    assert index.n_runs <= index.n
+    assert index.n_runs <= index.n and index.lengths.sum() == index.n and index.restored() == parts
 
 
 def test_segments_cover_all_windows():
     r = random.Random(1)
     for n in (63, 64, 65, 500, 5000):
         raw = bytes(r.choices(b"abcd", k=n))
-        _, start, count = substrings.segments(raw, 64)
+        _, start, count, _ = substrings.segments(raw, 64)
         assert [x for s, c in zip(start, count) for x in range(s, s + c)] == list(range(max(0, n - 63)))
 
 
 def corpus(seed):
     r = random.Random(seed)
     letter = lambda n: "".join(r.choices("abcdefgh é", k=n))
-    shared = [letter(90) for _ in range(4)]
-    texts = [None, "", "a" * 300, "ab" * 200, "short", "x" * 64, "x" * 63, shared[0] * 3]
+    shared = [letter(140) for _ in range(4)]
+    texts = [None, "", "a" * 300, "ab" * 200, "short", "x" * 100, "x" * 99, shared[0] * 3]
     for _ in range(60):
         texts.append("".join(r.choice([letter(r.randrange(150)), r.choice(shared), r.choice(shared)[r.randrange(40) :]]) for _ in range(r.randrange(1, 6))))
     return texts + texts[20:24] + [texts[30][:50] + "!" + texts[30][50:]]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 3000, 0])
+@pytest.mark.parametrize("block", [1 << 20, 3000, 700, 0])
 def test_removal_equals_brute_force(spark, block, monkeypatch):
     texts = corpus(block)
     docs = spark.createDataFrame([(i if i != 15 else None, t, "x", 3) for i, t in enumerate(texts)], "doc_id bigint, text string, kept string, n int").repartition(3)
     docs = docs.union(docs.filter("doc_id = 40"))
-    got = substrings.remove_repeats(docs, length=64, block_bytes=block).collect()
+    got = substrings.remove_repeats(docs, length=100, block_bytes=block).collect()
     raw = [(-1 if i == 15 else i, (t or "").encode()) for i, t in enumerate(texts)] + [(40, (texts[40] or "").encode())]
-    want = [(i, *x) for (i, _), x in zip(raw, brute([t for _, t in raw], 64))]
+    want = [(i, *x) for (i, _), x in zip(raw, brute([t for _, t in raw], 100))]
     assert sorted((-1 if g["doc_id"] is None else g["doc_id"], g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) for g in got) == sorted(want)
     assert substrings.remove_repeats(docs.limit(0), length=64).count() == 0
 
@@ -77,5 +77,5 @@ def test_long_text_in_pieces(spark, monkeypatch):
     r = random.Random(9)
     raw = bytes(r.choices(b"abcdefghij", k=1000))
     for t in (raw, raw[400:700]):
-        _, start, count = substrings.segments(t, 64)
+        _, start, count, _ = substrings.segments(t, 64)
         assert [x for s, c in zip(start, count) for x in range(s, s + c)] == list(range(len(t) - 63))
