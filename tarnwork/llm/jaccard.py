@@ -7,13 +7,16 @@ and only where a pair can still reach the threshold:
 2. N-grams are put into one order for all, by the count of their rarest word (a
    bounded sketch over all texts), rare first.  A pair above the threshold shares a
    column among the first ``|x| - least overlap + 1`` of both, so only these columns are
-   multiplied; entries of a column whose sizes or positions cannot reach the threshold are
-   dropped, and so are pairs whose parity bitmaps differ in too many places.
+   multiplied; pairs whose sizes cannot reach the threshold are dropped, and so are pairs
+   whose parity bitmaps differ in too many places.
 3. A first product takes, in each column, neighbours in size alone, at most one pair an
    entry.  Its links give first components; the second product skips columns inside one component, and
    pairs within one, so large groups of near copies cost no quadratic work.
-   Columns with many entries are cut into square blocks of bounded size.
-4. For the pairs left, whole sets are intersected.
+   Columns with many entries are cut into square blocks of bounded size.  Each block
+   gives partial overlaps, which are added up over all columns; a pair is dropped when its
+   overlap and the lesser rest of both rows stay below the least overlap of their sizes.
+4. For the pairs left, the overlap of the remaining columns is added, block by block,
+   with the same bound.
 
 N-grams and sets are told apart by 64 and 128 bit hashes.
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import WordCodes, mix64, shingle_hashes, stage
+from .common import WordCodes, mix64, shingle_hashes, small_batches, stage
 from .components import components
 
 SKETCH_BITS = 20
@@ -65,7 +68,8 @@ class Counts:
 
         rows = docs.select(F.col(text_col)).mapInArrow(tally, "bucket int, n bigint").groupBy("bucket").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("n"))
         logs = np.zeros(1 << SKETCH_BITS, np.uint8)
-        found = rows.toArrow()  # at most 2**SKETCH_BITS rows
+        with small_batches(docs.sparkSession):
+            found = rows.toArrow()  # at most 2**SKETCH_BITS rows
         logs[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
         return cls(logs)
 
@@ -133,7 +137,8 @@ def describe(docs, id_col, text_col, k, num, den, counts):
 
 
 def _rid(id_col, text_col):
-    return F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.col(text_col)))
+    """A hash of id and text: rows that share it are repeated rows."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def candidates_between(pairs, classes, num, den):
@@ -147,6 +152,23 @@ def candidates_between(pairs, classes, num, den):
     return pairs.join(a, "a").join(b, "b").filter(differ <= both - 2 * F.expr(f"((na + nb) * {num} + {den + num - 1}) div {den + num}")).select("a", "b")
 
 
+def reaches(p, q, num, den, blocks=4):
+    """Whether the overlap of two rows of the matrix (sorted columns) reaches the threshold:
+    it is added up over blocks of columns, until the rest cannot make up for what is missing."""
+    need, overlap = least_overlap(len(p) + len(q), num, den + num), 0
+    if min(len(p), len(q)) < need:
+        return False
+    borders = (np.arange(1, blocks, dtype=np.uint64) << np.uint64(62)).tolist()
+    cut_p, cut_q = ([0, *np.searchsorted(v, np.array(borders, np.uint64)).tolist(), len(v)] for v in (p, q))
+    for k in range(blocks):
+        x, y = p[cut_p[k] : cut_p[k + 1]], q[cut_q[k] : cut_q[k + 1]]
+        if len(x) and len(y):
+            overlap += int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        if overlap + min(len(p) - cut_p[k + 1], len(q) - cut_q[k + 1]) < need:
+            return False
+    return True
+
+
 def verify(pairs, classes, docs, id_col, text_col, k, num, den):
     """Those of the pairs (a, b) whose whole sets reach the threshold."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -170,9 +192,7 @@ def verify(pairs, classes, docs, id_col, text_col, k, num, den):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(den * common >= num * (len(p) + len(q) - common))
+                keep.append(reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
@@ -181,8 +201,19 @@ def verify(pairs, classes, docs, id_col, text_col, k, num, den):
 
 
 def cross_pairs(entries, classes, num, den, block=BLOCK):
-    """Pairs of the column products, between components only, whose sizes, positions and
-    bitmaps allow the threshold.  ``entries``: ``key``, ``cid``, ``n``, ``pos``, ``comp``."""
+    """Pairs (a, b) of the column products, between components only, that can still reach the
+    threshold: overlaps add up over the columns; behind the last column that was counted a
+    pair can gain no more than the lesser rest of both rows."""
+    partial = partial_overlaps(entries, classes, num, den, block)
+    total = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("overlap"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    return total.filter(f"overlap + least(na - 1 - pa, nb - 1 - pb) >= ((na + nb) * {num} + {den + num - 1}) div {den + num}").select("a", "b")
+
+
+def partial_overlaps(entries, classes, num, den, block):
+    """Overlaps of pairs in blocks of columns: ``a``, ``b``, ``na``, ``nb``, ``overlap``, and
+    the last places ``pa``, ``pb`` that it counts.  ``entries``: ``key``, ``cid``, ``n``, ``pos``,
+    ``comp``.  Columns so far back in either row that the pair could not reach the threshold
+    if it were the first shared one are not counted: the bound covers what is behind."""
     w = Window.partitionBy("key")
     busy = (
         entries.withColumn("m", F.count(F.lit(1)).over(w))
@@ -200,7 +231,7 @@ def cross_pairs(entries, classes, num, den, block=BLOCK):
     dealt = busy.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "cid")
 
     def products(batches):
-        held = None
+        held, found = None, []
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
@@ -209,49 +240,56 @@ def cross_pairs(entries, classes, num, den, block=BLOCK):
             cut = new[-1] if len(new) else 0
             held = [c[cut:] for c in cols]
             if cut:
-                yield from multiply([c[:cut] for c in cols])
+                yield from multiply([c[:cut] for c in cols], found)
         if held is not None:
-            yield from multiply(held)
+            yield from multiply(held, found)
+        if found:
+            yield batch_of(found)
 
-    def multiply(cols):
+    def multiply(cols, found):
+        """Adds the pairs of these columns to ``found``; gives it away when it is large."""
         key, i, j, t, n, cid, pos, comp, *bits = cols
         size = len(key)
         if size < 2:
             return
         group = np.concatenate([[0], np.cumsum((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))])
-        at, step, found, held = np.arange(size - 1), 1, [], 0
+        at, step = np.arange(size - 1), 1
         while len(at):
             at = at[at + step < size]
             b = at + step
             ok = (group[at] == group[b]) & (den * n[at] >= num * n[b])  # n grows inside a group
             at, b = at[ok], b[ok]
             need = -(-(n[at] + n[b]) * num // (den + num))
-            good = (comp[at] != comp[b]) & (1 + np.minimum(n[at] - pos[at], n[b] - pos[b]) - 1 >= need)
             # A pair of one strip belongs to the diagonal block alone.
-            good &= (t[at] != t[b]) | (i[at] == j[at])
+            good = (comp[at] != comp[b]) & ((t[at] != t[b]) | (i[at] == j[at])) & (np.minimum(n[at] - pos[at], n[b] - pos[b]) >= need)
             x, y, need = at[good], b[good], need[good]
+            x, y = np.where(cid[x] < cid[y], x, y), np.where(cid[x] < cid[y], y, x)
             differ = sum(np.bitwise_count((w[x] ^ w[y]).view(np.uint64)).astype(np.int64) for w in bits)
             close = differ <= n[x] + n[y] - 2 * need
             if close.any():
                 x, y = x[close], y[close]
-                found.append(np.stack([np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])]))
-                held += len(x)
-            if held > 200_000:
+                found.append(np.stack([cid[x], cid[y], n[x], n[y], pos[x], pos[y]]))
+            if sum(f.shape[1] for f in found) > 300_000 or len(found) > 1000:
                 yield batch_of(found)
-                found, held = [], 0
+                found.clear()
             step += 1
-        if held:
-            yield batch_of(found)
 
     def batch_of(found):
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        """One row a pair, with its partial overlap and the last places it was found at."""
+        a, b, na, nb, pa_, pb = np.concatenate(found, axis=1)
+        order = np.lexsort((pa_, b, a))
+        a, b, na, nb, pa_, pb = (v[order] for v in (a, b, na, nb, pa_, pb))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        last = np.append(first[1:], len(a)) - 1
+        cols = (a[first], b[first], na[first], nb[first], last - first + 1, np.maximum.reduceat(pa_, first), np.maximum.reduceat(pb, first))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb", "overlap", "pa", "pb"])
 
-    return dealt.mapInArrow(products, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(products, "a bigint, b bigint, na bigint, nb bigint, overlap bigint, pa bigint, pb bigint")
 
 
-def jaccard_components(docs, k=3, num=90, den=100, id_col="doc_id", text_col="text", block=BLOCK):
-    """One row a document: id, ``n_shingles``, ``component_id`` (the least id that links reach)."""
+def jaccard_groups(docs, k=3, num=90, den=100, id_col="doc_id", text_col="text", block=BLOCK):
+    """One row a document: ``doc_id``, ``rid`` (a hash of id and text), ``n``, ``comp`` (a
+    number of its component; null without words), ``component_id``."""
     counts = Counts.of(docs, text_col)
     described = stage(describe(docs, id_col, text_col, k, num, den, counts), "jaccard-docs")
     full = described.filter("n > 0")
@@ -279,5 +317,25 @@ def jaccard_components(docs, k=3, num=90, den=100, id_col="doc_id", text_col="te
     labels = components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
     members = stage(classes.select("sig", "cid", "least").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "jaccard-members")
     heads = members.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = members.join(heads, "comp").select("sig", "component_id")
-    return described.select("doc_id", "n", "sig").join(named, "sig", "left").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = members.join(heads, "comp").select("sig", "comp", "component_id")
+    return described.select("doc_id", "rid", "n", "sig").join(named, "sig", "left").select("doc_id", "rid", "n", "comp", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs, k=3, num=90, den=100, id_col="doc_id", text_col="text", block=BLOCK):
+    """One row a document: id, ``n_shingles``, ``component_id`` (the least id that links reach)."""
+    found = jaccard_groups(docs, k, num, den, id_col, text_col, block)
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_components(docs, k=5, num=80, den=100, id_col="doc_id", text_col="text", block=BLOCK):
+    """One row of ``docs``, with all its columns, of each component: the least by id (nulls
+    last), then by hash of id and text.  Rows without words have no component and all stay."""
+    found = stage(jaccard_groups(docs, k, num, den, id_col, text_col, block).select("doc_id", "rid", "comp"), "jaccard-found")
+    first = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("f"))
+    keep = first.select("f.doc_id", "f.rid", F.lit(True).alias("one")).unionByName(found.filter("comp is null").select("doc_id", "rid", F.lit(False).alias("one")).distinct())
+    keep = stage(keep, "jaccard-keep")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), _rid(id_col, text_col).alias("rid"))
+    kept = rows.join(keep.select(F.col("doc_id").alias("d"), "rid", "one"), "rid").filter(F.col("doc_id").eqNullSafe(F.col("d")))
+    # Of repeated rows one stays; the join has dealt them by ``rid`` already.
+    again = Window.partitionBy("rid", "doc_id").orderBy("one")
+    return kept.withColumn("place", F.row_number().over(again)).filter("place = 1 or not one").select("row.*")
