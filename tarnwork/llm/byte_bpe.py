@@ -3,7 +3,7 @@
 The library splits a text into pre-tokens that never cross white space, except
 for one blank that leads a word, and that end where letters meet a mark.  A text
 therefore falls into runs whose ids the library gives one by one and which a worker
-remembers, in two generations of at most ``cache_size`` runs; texts that hold a special
+remembers, in two generations of about ``cache_size`` runs; texts that hold a special
 token's string, where that rule does not hold, are encoded whole.
 """
 
@@ -15,14 +15,15 @@ from functools import lru_cache
 import numpy as np
 
 WHITE = "\t-\r \x85\xa0  -     　"
+CHUNK = 1 << 20  # characters whose new runs go to the library together
 # A run of letters ends before a mark; the mark begins a run of its own.
-RUN = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?|)])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+RUN = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,;:!?|)])| ?[^{WHITE}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 class ByteBpe:
     """``encode(texts)`` gives each text's ids as the bytes of a little-endian array."""
 
-    def __init__(self, path, cache_size=450_000):
+    def __init__(self, path, cache_size=150_000):
         import json
         import os
 
@@ -47,28 +48,40 @@ class ByteBpe:
         return packed.tobytes()
 
     def encode(self, texts):
-        cache, out = self.cache, []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif any(s in text for s in self.special):
-                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                runs = RUN.findall(text)
-                if new := [r for r in dict.fromkeys(runs) if r not in cache]:
-                    if len(cache) + len(new) > self.cache_size:
-                        self.old, self.cache = cache, {}
-                        cache, new = self.cache, list(dict.fromkeys(runs))
-                    old = self.old
-                    cache.update((r, old[r]) for r in new if r in old)
-                    new = [r for r in new if r not in old]
-                    for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                        cache[r] = self.pack(e.ids)
-                out.append(b"".join(map(cache.__getitem__, runs)))
+        out, at = [], 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and size < CHUNK:
+                size += len(texts[stop] or "")
+                stop += 1
+            out += self._encode(texts[at:stop])
+            at = stop
         return out
 
+    def _encode(self, texts):
+        whole = [bool(t) and any(s in t for s in self.special) for t in texts]
+        runs = [() if w or not t else RUN.findall(t) for t, w in zip(texts, whole)]
+        need = set().union(*runs)
+        if new := need.difference(self.cache):
+            if len(self.cache) + len(new) > self.cache_size:
+                self.old, self.cache = self.cache, {}
+                new = need
+            old = self.old
+            self.cache.update((r, old[r]) for r in new if r in old)
+            new = [r for r in new if r not in old]
+            for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                self.cache[r] = self.pack(e.ids)
+        get = self.cache.__getitem__
+        return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join(map(get, r)) for t, w, r in zip(texts, whole, runs)]
+
 
 @lru_cache(maxsize=2)
 def shared(path):
     """The worker's own encoder for this file: its cache serves all tasks of the worker."""
     return ByteBpe(path)
+
+
+def encoded_rows(column, bpe, rows=512):
+    """The packed ids of each text of an Arrow column, ``rows`` texts at a time."""
+    for at in range(0, len(column), rows):
+        yield from bpe.encode(column.slice(at, rows).to_pylist())

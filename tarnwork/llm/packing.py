@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import encoded_rows
 from .byte_bpe import shared as byte_bpe
 from .common import partitions, stage
 
@@ -63,8 +64,8 @@ def pack(docs, tokenizer_path, end_id, capacity=1024, id_col="doc_id", text_col=
         end = bpe.pack([end_id])
         for batch in batches:
             out = {"i": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "rest": []}
-            for i, value in enumerate(batch.column(1)):
-                raw = bpe.encode([value.as_py()])[0] + end
+            for i, raw in enumerate(encoded_rows(batch.column(1), bpe)):
+                raw += end
                 ids = np.frombuffer(raw, bpe.dtype)
                 full = len(ids) - len(ids) % capacity
                 for start in range(0, full, capacity):

@@ -4,9 +4,9 @@ No vocabulary entry of such a model crosses a line feed or has a blank after
 another character, so the text falls into units (blanks and the characters after
 them; runs of blanks; line feeds) whose token counts add up exactly.  Lengths of
 units are looked up in two tiers inside each task: a table of frequent units,
-broadcast, then a cache in the worker that is filled by the library.  No unit is
-shuffled; only bounded summaries (at most ``table_size`` units of a task) travel,
-to choose the frequent units.
+broadcast, then a cache in the worker that is filled by the library.  Units of texts are
+not shuffled.  To choose the frequent ones each task sums up all its texts in one row of
+at most ``table_size`` units, and such rows are merged in a tree.
 
 Nulls count as empty texts (0 tokens).  Rows are independent: ties, repeated rows
 and other columns change nothing, an empty table gives an empty result.
@@ -18,9 +18,11 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from .common import stage
+
 TABLE_SIZE = 32_768
 CACHE_SIZE = 500_000
-FAN_IN = 16
+FAN_IN = 64
 UNIT = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 
 
@@ -90,26 +92,51 @@ def frequent_units(docs, text_col="text", table_size=TABLE_SIZE):
                 if len(counts) > 8 * table_size:
                     counts = trim(counts, 2 * table_size)
         if counts:
-            yield rows(TaskContext.get().partitionId() % FAN_IN, trim(counts, table_size))
+            yield rows(TaskContext.get().partitionId(), trim(counts, table_size))
 
     def merge(batches):
-        counts = Counter()
+        counts, slot = Counter(), 0
         for batch in batches:
-            for u, n in zip(batch.column("units").to_pylist(), batch.column("counts").to_pylist()):
+            for at, u, n in zip(*(batch.column(c).to_pylist() for c in ("slot", "units", "counts"))):
                 counts.update(dict(zip(u, n)))
-                counts = trim(counts, 4 * table_size)
+                counts, slot = trim(counts, 4 * table_size), at
         if counts:
-            yield rows(0, trim(counts, table_size))
+            yield rows(slot, trim(counts, table_size))
 
     schema = "slot int, units array<string>, counts array<bigint>"
-    each = docs.select(F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(summarise, schema)
-    merged = each.repartition(FAN_IN, "slot").mapInArrow(merge, schema)
+    level = docs.select(F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(summarise, schema)
+    size = level.rdd.getNumPartitions()
+    level = stage(level, "unit-summaries")
+    while size > FAN_IN:
+        # A tree: FAN_IN neighbours a group, so that no task reads more than FAN_IN summaries.
+        size = -(-size // FAN_IN)
+        groups = level.withColumn("slot", F.expr(f"slot div {FAN_IN}").cast("int")).repartitionByRange(size, "slot").sortWithinPartitions("slot")
+        level = stage(groups.mapInArrow(by_slot(merge), schema), "unit-summaries")
     total = Counter()
-    for row in merged.toLocalIterator():  # FAN_IN rows at most
+    for row in level.toLocalIterator():  # FAN_IN rows at most
         total.update(dict(zip(row["units"], row["counts"])))
+        total = trim(total, 4 * table_size)
     return [u for u, _ in total.most_common(table_size)]
 
 
+def by_slot(merge):
+    """``merge`` for each run of rows with one slot."""
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            for i, slot in enumerate(batch.column("slot").to_pylist()):
+                if held and slot != last:
+                    yield from merge(held)
+                    held = []
+                held.append(batch.slice(i, 1))
+                last = slot
+        if held:
+            yield from merge(held)
+
+    return run
+
+
 def token_counts(docs, model_path, id_col="doc_id", text_col="text", limit=4096, table_size=TABLE_SIZE):
     """One row a document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit``.
 

@@ -1,21 +1,23 @@
 """Token ids in binary shards, with a minimal perfect hash index for keyed access.
 
 A shard is two files.  ``ids``: the raw ids, little-endian, two bytes each where
-the vocabulary allows it, else four.  ``index``: a header, the document keys in
-order, and a minimal perfect hash function over the keys (levels of bit arrays: a
-key lives at the first level where its bit has no rival) whose slots hold a
-fingerprint of the key, the document's start in the shard and its length.  A key is
-looked up with a few bit tests and one slot, then its ids are one slice of the file.
+the vocabulary allows it, else four.  ``index``: a header of fixed size, then a minimal
+perfect hash function over the keys (levels of bits in blocks with their rank: a key lives
+at the first level where its bit has no rival), then slots of fixed size (a fingerprint of
+the key, the document's start in the shard, its length), then the ids in order.
+A document is found by key with the header, a block or two and one slot, each at a place
+that is computed, so the bytes read do not grow with the shard.
 Shards cover ascending ranges of keys; a manifest table names them.
 
 Files are written by tasks under names of their own; the manifest (staged) names
 only those of the attempts that counted, so lost executors leave orphans, not errors.
 
-A null text is empty (the end id alone).  Null ids come first.  Repeated ids are
-told apart by their place among equals.  An empty table gives empty results.
+Ids are bigint, or cast to it.  A null text is empty (the end id alone).  Null ids come
+first.  Repeated ids are told apart by their place among equals.  An empty table gives
+empty results.
 """
 
-import json
+import struct
 import uuid
 import zlib
 
@@ -24,11 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .byte_bpe import encoded_rows
 from .byte_bpe import shared as byte_bpe
 from .common import fresh_dir, mix64, partitions, stage
 
 GAMMA = 2.0
-MAGIC = b"TKIX0001"
+READ_IDS = 1 << 20
+MAGIC = b"TKIX0002"
+MOST_LEVELS = 60
+HEADER = struct.Struct(f"<8sQQQ8sQ{MOST_LEVELS}Q")  # magic, documents, null ids, seed, dtype, levels, their sizes in blocks
+BLOCK = np.dtype([("rank", "<u8"), ("bits", "u1", 64)])  # 512 bits, and how many are set before them
+SLOT = np.dtype([("print", "<u4"), ("length", "<u4"), ("start", "<u8")])
 MANIFEST = "shard int, ids_path string, index_path string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint"
 
 
@@ -37,49 +45,53 @@ def _hash(keys, level):
 
 
 class PerfectHash:
-    """Minimal perfect hash over distinct uint64 keys."""
+    """Minimal perfect hash over distinct uint64 keys; each level is an array of BLOCK."""
 
-    def __init__(self, bits):
-        self.bits = bits
-        self.ranks, seen = [], 0
-        for b in bits:
-            counts = np.concatenate([[0], np.cumsum(b)])[:-1] if len(b) else np.zeros(0, np.int64)
-            self.ranks.append(counts + seen)
-            seen += int(b.sum())
+    def __init__(self, levels):
+        self.levels = levels
 
     @classmethod
     def build(cls, keys, gamma=GAMMA):
         if len(np.unique(keys)) != len(keys):
             raise ValueError("keys repeat")
-        bits, level = [], 0
+        levels, seen = [], 0
         while len(keys):
-            size = max(64, int(gamma * len(keys)))
-            at = (_hash(keys, level) % np.uint64(size)).astype(np.int64)
-            alone = np.bincount(at, minlength=size) == 1
-            bits.append(alone)
+            blocks = max(1, -(-int(gamma * len(keys)) // 512))
+            at = (_hash(keys, len(levels)) % np.uint64(512 * blocks)).astype(np.int64)
+            alone = np.bincount(at, minlength=512 * blocks) == 1
+            level = np.zeros(blocks, BLOCK)
+            level["bits"] = np.packbits(alone).reshape(-1, 64)
+            counts = alone.reshape(-1, 512).sum(1)
+            level["rank"] = seen + np.cumsum(counts) - counts
+            seen += int(counts.sum())
+            levels.append(level)
             keys = keys[~alone[at]]
-            level += 1
-        return cls(bits)
+        return cls(levels)
 
     def slots(self, keys):
         """Slot of each key; -1 for keys that no level holds."""
         out = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        for level, (b, rank) in enumerate(zip(self.bits, self.ranks)):
+        for number, level in enumerate(self.levels):
             if not len(left):
                 break
-            at = (_hash(keys[left], level) % np.uint64(len(b))).astype(np.int64)
-            hit = b[at]
-            out[left[hit]] = rank[at[hit]]
+            at = (_hash(keys[left], number) % np.uint64(512 * len(level))).astype(np.int64)
+            bits = np.unpackbits(level["bits"].ravel())
+            inside = np.cumsum(bits, dtype=np.int64) - bits
+            hit = bits[at] == 1
+            block = at[hit] // 512
+            out[left[hit]] = level["rank"][block].astype(np.int64) + inside[at[hit]] - inside[block * 512]
             left = left[~hit]
         return out
 
 
-def document_keys(ids, occurrence):
-    """Distinct uint64 keys of (id, place among equal ids); ids is int64."""
-    ids = np.asarray(ids, np.int64).view(np.uint64)
-    occurrence = np.asarray(occurrence, np.uint64)
-    return np.where(occurrence == 0, mix64(ids), mix64(mix64(ids) + occurrence * np.uint64(0x9E3779B97F4A7C15)))
+def document_keys(ids, valid, occurrence, seed=0):
+    """uint64 keys of (id or null, place among equal ids); ids is int64.  First places of ids
+    never meet each other; others do with a chance of 2**-64, and then another seed is taken."""
+    ids = mix64(np.asarray(ids, np.int64).view(np.uint64) ^ np.uint64(seed))
+    ids = np.where(valid, ids, mix64(np.full(1, 0xA5A5F00D + seed, np.uint64)))
+    occurrence = np.asarray(occurrence, np.uint64) + ~np.asarray(valid)
+    return np.where(occurrence == 0, ids, mix64(ids + occurrence * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _occurrences(ids, valid):
@@ -92,62 +104,66 @@ def _occurrences(ids, valid):
 
 
 def pack_index(ids, valid, lengths, dtype):
-    n = len(ids)
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype("<u8") if n else np.zeros(0, "<u8")
+    n, seed = len(ids), 0
     occurrence = _occurrences(ids, valid)
-    keys = document_keys(np.where(valid, ids, -(2**63) + 1), occurrence)
+    while True:
+        keys = document_keys(ids, valid, occurrence, seed)
+        if len(np.unique(keys)) == n:
+            break
+        seed += 1
     mph = PerfectHash.build(keys)
-    slot = mph.slots(keys)
-    prints, s, k = np.zeros(n, "<u4"), np.zeros(n, "<u8"), np.zeros(n, "<u4")
-    prints[slot], s[slot], k[slot] = (keys >> np.uint64(32)).astype("<u4"), starts, lengths
-    header = {"n": n, "null_ids": int((~valid).sum()), "dtype": dtype.str, "levels": [len(b) for b in mph.bits]}
-    head = json.dumps(header).encode()
-    parts = [MAGIC, len(head).to_bytes(8, "little"), head, *(np.packbits(b).tobytes() for b in mph.bits)]
-    return b"".join([*parts, prints.tobytes(), s.tobytes(), k.tobytes(), np.asarray(ids, "<i8").tobytes()])
+    slots = np.zeros(n, SLOT)
+    at = mph.slots(keys)
+    slots["print"][at] = (keys >> np.uint64(32)).astype("<u4")
+    slots["start"][at], slots["length"][at] = np.cumsum(lengths) - lengths, lengths
+    sizes = [len(level) for level in mph.levels]
+    head = HEADER.pack(MAGIC, n, int((~valid).sum()), seed, dtype.str.encode(), len(sizes), *sizes, *[0] * (MOST_LEVELS - len(sizes)))
+    return b"".join([head, *(level.tobytes() for level in mph.levels), slots.tobytes(), np.asarray(ids, "<i8").tobytes()])
 
 
 class ShardReader:
-    """Keyed access to one shard: ``find`` gives start and length, ``ids`` the ids."""
+    """Access to one shard, by key or as a whole."""
 
     def __init__(self, fs, ids_path, index_path):
-        with fs.open_input_stream(index_path) as f:
-            raw = f.read()
-        if raw[:8] != MAGIC:
+        self.index, self.file = fs.open_input_file(index_path), fs.open_input_file(ids_path)
+        magic, self.n, self.null_ids, self.seed, dtype, levels, *sizes = HEADER.unpack(self.index.read(HEADER.size))
+        if magic != MAGIC:
             raise ValueError("not an index file")
-        size = int.from_bytes(raw[8:16], "little")
-        h, at = json.loads(raw[16 : 16 + size]), 16 + size
-        bits = []
-        for m in h["levels"]:
-            width = (m + 7) // 8
-            bits.append(np.unpackbits(np.frombuffer(raw, np.uint8, width, at), count=m).astype(bool))
-            at += width
-        self.n, self.null_ids, self.dtype, self.mph = h["n"], h["null_ids"], np.dtype(h["dtype"]), PerfectHash(bits)
-        self.prints = np.frombuffer(raw, "<u4", self.n, at)
-        self.starts = np.frombuffer(raw, "<u8", self.n, at + 4 * self.n)
-        self.lengths = np.frombuffer(raw, "<u4", self.n, at + 12 * self.n)
-        self.doc_ids = np.frombuffer(raw, "<i8", self.n, at + 16 * self.n)
-        self.file = fs.open_input_file(ids_path)
-
-    def find(self, keys):
-        """Start and length of each key; length -1 where the key is not stored."""
-        slot = self.mph.slots(keys)
-        ok = (slot >= 0) & (slot < self.n)
-        safe = np.where(ok, slot, 0)
-        if self.n:
-            ok &= self.prints[safe] == (keys >> np.uint64(32)).astype(np.uint32)
-            return np.where(ok, self.starts[safe], 0).astype(np.int64), np.where(ok, self.lengths[safe].astype(np.int64), -1)
-        return np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+        self.dtype, self.sizes = np.dtype(dtype.rstrip(b"\0").decode()), sizes[:levels]
+        self.places = HEADER.size + BLOCK.itemsize * np.cumsum([0, *self.sizes])
+        self.slots_at = int(self.places[-1])
+
+    def _read(self, file, at, dtype, n):
+        file.seek(int(at))
+        return np.frombuffer(file.read(n * dtype.itemsize), dtype)
 
     def ids(self, start, length):
-        width = self.dtype.itemsize
-        self.file.seek(int(start) * width)
-        return np.frombuffer(self.file.read(int(length) * width), self.dtype)
+        return self._read(self.file, start * self.dtype.itemsize, self.dtype, int(length))
 
     def get(self, doc_id, occurrence=0):
         """The ids of one document, or None."""
-        key = document_keys([-(2**63) + 1 if doc_id is None else doc_id], [occurrence])
-        start, length = self.find(key)
-        return None if length[0] < 0 else self.ids(start[0], length[0])
+        key = document_keys([doc_id or 0], np.array([doc_id is not None]), [occurrence], self.seed)
+        for number, size in enumerate(self.sizes):
+            at = int(_hash(key, number)[0] % np.uint64(512 * size))
+            block = self._read(self.index, self.places[number] + BLOCK.itemsize * (at // 512), BLOCK, 1)[0]
+            bits = np.unpackbits(block["bits"])
+            if bits[at % 512]:
+                slot = self._read(self.index, self.slots_at + SLOT.itemsize * (int(block["rank"]) + int(bits[: at % 512].sum())), SLOT, 1)[0]
+                return self.ids(int(slot["start"]), slot["length"]) if slot["print"] == key[0] >> np.uint64(32) else None
+        return None
+
+    def documents(self):
+        """(id, whether it is not null, start, length) arrays of all documents in order, each
+        looked up by its key."""
+        levels = [self._read(self.index, at, BLOCK, size) for at, size in zip(self.places, self.sizes)]
+        slots = self._read(self.index, self.slots_at, SLOT, self.n)
+        ids = self._read(self.index, self.slots_at + SLOT.itemsize * self.n, np.dtype("<i8"), self.n)
+        valid = np.arange(self.n) >= self.null_ids
+        keys = document_keys(ids, valid, _occurrences(ids, valid), self.seed)
+        at = PerfectHash(levels).slots(keys)
+        if (at < 0).any() or (slots["print"][at] != (keys >> np.uint64(32)).astype("<u4")).any():
+            raise ValueError("the index lost a document")
+        return ids, valid, slots["start"][at].astype(np.int64), slots["length"][at].astype(np.int64)
 
 
 def filesystem(uri):
@@ -178,10 +194,9 @@ def write_token_shards(docs, tokenizer_path, end_id, id_col="doc_id", text_col="
                 column = batch.column(0)
                 valid.append(np.asarray(column.is_valid()))
                 ids.append(column.fill_null(0).to_numpy(zero_copy_only=False))
-                for text in batch.column(1):
-                    payload = bpe.encode([text.as_py()])[0] + end
-                    out.write(payload)
-                    lengths.append(len(payload) // bpe.dtype.itemsize)
+                for payload in encoded_rows(batch.column(1), bpe):
+                    out.write(payload + end)
+                    lengths.append(len(payload) // bpe.dtype.itemsize + 1)
         if not lengths:
             fs.delete_file(name + ".ids")
             return
@@ -209,8 +224,7 @@ def write_token_shards(docs, tokenizer_path, end_id, id_col="doc_id", text_col="
 
 def read_token_shards(manifest):
     """One row a document, looked up by key in its shard: ``doc_id``, ``start`` (ids of
-    all documents before it), ``n_tokens``, ``ids`` as bytes of the stored width, ``ids_crc32``
-    (of the ids as 32-bit integers)."""
+    all documents before it), ``n_tokens``, ``ids_crc32`` (of the ids as 32-bit integers)."""
     spark = manifest.sparkSession
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))  # a row a shard
@@ -221,22 +235,22 @@ def read_token_shards(manifest):
             for row in batch.to_pylist():
                 fs, ids_path = filesystem(row["ids_path"])
                 reader = ShardReader(fs, ids_path, filesystem(row["index_path"])[1])
-                valid = np.arange(reader.n) >= reader.null_ids
-                keys = document_keys(np.where(valid, reader.doc_ids, -(2**63) + 1), _occurrences(reader.doc_ids, valid))
-                start, length = reader.find(keys)
-                if (length < 0).any():
-                    raise ValueError(f"{row['index_path']} lost a document")
-                for a in range(0, reader.n, 4096):
-                    b = min(a + 4096, reader.n)
-                    crc = [zlib.crc32(reader.ids(s, k).astype("<u4").tobytes()) for s, k in zip(start[a:b], length[a:b])]
+                doc_ids, valid, start, length = reader.documents()
+                ends, a = np.cumsum(length), 0
+                while a < reader.n:
+                    # Documents follow each other in the file, so that one read serves many.
+                    b = min(max(a + 1, int(np.searchsorted(ends, start[a] + READ_IDS, "right"))), a + 8192, reader.n)
+                    ids = reader.ids(int(start[a]), int(start[b - 1] + length[b - 1] - start[a])).astype("<u4").data
+                    crc = [zlib.crc32(ids[x : x + y]) for x, y in zip((start[a:b] - start[a]).tolist(), length[a:b].tolist())]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array(reader.doc_ids[a:b], pa.int64(), mask=~valid[a:b]),
+                            "doc_id": pa.array(doc_ids[a:b], pa.int64(), mask=~valid[a:b]),
                             "start": pa.array(start[a:b] + row["start"], pa.int64()),
                             "n_tokens": pa.array(length[a:b], pa.int64()),
                             "ids_crc32": pa.array(crc, pa.int64()),
                         }
                     )
+                    a = b
 
     return shards.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

@@ -102,6 +102,53 @@ def test_token_files_round_trip(spark, docs):
     assert token_files.read_token_shards(token_files.write_token_shards(docs.limit(0), BPE, 2)).count() == 0
 
 
+def test_keyed_access_reads_a_fixed_number_of_bytes(tmp_path):
+    from pyarrow import fs
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.read_bytes = file, 0
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            got = self.file.read(n)
+            self.read_bytes += len(got)
+            return got
+
+    most = []
+    for n in (100, 20_000):
+        ids = np.arange(n, dtype=np.int64) * 7
+        (tmp_path / "ids").write_bytes(np.arange(3 * n, dtype="<u2").tobytes())
+        (tmp_path / "index").write_bytes(token_files.pack_index(ids, np.ones(n, bool), np.full(n, 3), np.dtype("<u2")))
+        reader = token_files.ShardReader(fs.LocalFileSystem(), str(tmp_path / "ids"), str(tmp_path / "index"))
+        reader.index, reader.file = Counted(reader.index), Counted(reader.file)
+        cost = []
+        for i in range(0, n, max(1, n // 50)):
+            before = reader.index.read_bytes + reader.file.read_bytes
+            assert reader.get(int(ids[i])).tolist() == [x % 65536 for x in range(3 * i, 3 * i + 3)]
+            cost.append(reader.index.read_bytes + reader.file.read_bytes - before)
+        assert reader.get(3) is None
+        most.append(sum(cost) / len(cost))
+    assert max(most) < 400  # some blocks of 72 bytes, a slot and the ids, whatever the size
+
+
+def test_null_ids_have_keys_of_their_own():
+    ids = np.array([0, 0, -(2**63), -(2**63) + 1, 0, 5, 5])
+    valid = np.array([False, False, True, True, True, True, True])
+    assert token_files.pack_index(ids, valid, np.ones(7, int), np.dtype("<u2"))
+    keys = token_files.document_keys(ids, valid, token_files._occurrences(ids, valid))
+    assert len(set(keys.tolist())) == 7
+
+
+def test_frequent_units_merge_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FAN_IN", 3)
+    docs = spark.createDataFrame([(i, "the cat " * (i % 5) + f"w{i}") for i in range(200)], "doc_id bigint, text string").repartition(11)
+    got = token_counts.frequent_units(docs, table_size=50)
+    assert {" the", " cat"} <= set(got[:3]) and len(got) == 50
+
+
 def check_packing(got, want, capacity, groups):
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
