@@ -3,11 +3,11 @@
 A page becomes a sequence of leaf blocks (text between block-level tags), each with
 hashed vectors of its tag path (names, classes, ids, roles) and of its words, and a
 few numbers.  A bidirectional LSTM in numpy reads the whole sequence and labels each
-block as content or not; content blocks are joined in page order.
+block as content or not; content blocks are joined in page order by two line feeds.
 
 There are no labelled pages, so the labeller is trained on layouts drawn from the lists
 below (menus, banners, notices, adverts, forms, sidebars, footers, comments around an
-article), filled with sentences of at most ``TRAINING_PAGES`` pages (those of least id).
+article), filled with at most ``SENTENCES`` sentences each of a sample of ``TRAINING_PAGES`` pages.
 All pages are extracted whole; scripts, styles and form controls are never text.
 
 A null or empty page gives an empty text.  Repeated ids are pages of their own; a null
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import WordCodes
 
 TRAINING_PAGES = 60
+SENTENCES = 40
 TRAINING_LAYOUTS = 700
 PATH_DIM, WORD_DIM, NUMBERS = 128, 32, 8
 DIM = PATH_DIM + WORD_DIM + NUMBERS
@@ -44,11 +45,12 @@ ALONE = {"select", "button"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = set("ul ol dl table nav article section div body main aside footer header form td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<([!?])[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+PLAIN = re.compile("[^>\"']*+")
+ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I) for name in SILENT - RAW}
-ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I) for name in RAW | {"title"}}
+TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^<>]*+>?", re.I) for name in SILENT - RAW}
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^<>]*+>?", re.I) for name in RAW | {"title"}}
 
 
 def ends_of(page, name):
@@ -65,70 +67,176 @@ def ends_of(page, name):
     return out
 
 
+class Path:
+    """The open elements of a place in the page: the tokens of the last, and the path to it."""
+
+    __slots__ = ("parent", "tokens", "key")
+
+    def __init__(self, parent, tokens):
+        self.parent, self.tokens = parent, tokens
+        self.key = hash((parent.key if parent else 0, tokens))
+
+
+class OpenElements:
+    """Stack of open elements that finds names and barriers without walking it."""
+
+    def __init__(self):
+        self.names, self.paths, self.places, self.barriers = [], [], {}, [-1]
+
+    def push(self, name, tokens):
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in HOLDS:
+            self.barriers.append(len(self.names))
+        self.names.append(name)
+        self.paths.append(Path(self.paths[-1] if self.paths else None, tokens))
+
+    def cut(self, size):
+        while len(self.names) > size:
+            self.places[self.names.pop()].pop()
+            self.paths.pop()
+        while self.barriers[-1] >= size:
+            self.barriers.pop()
+
+    def last(self, name):
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def end(self, name):
+        if (at := self.last(name)) >= 0:
+            self.cut(at)
+
+    def start_block(self, name):
+        """Closes what a new block of this name ends, up to the nearest element that holds blocks."""
+        at = max(map(self.last, CLOSES.get(name, ()) or ("p",)))
+        at = max(at, self.last("p"))
+        if at >= 0 and at >= self.barriers[-1]:
+            self.cut(at)
+
+
+class Markup:
+    """Finds the ends of tags, comments and declarations of one page in linear time."""
+
+    def __init__(self, page):
+        self.page, self.missing = page, set()
+
+    def find(self, what, at, limit):
+        """As ``str.find``; what is missing once up to the page's end is not sought again."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at, limit)
+        if found < 0 and limit >= len(self.page):
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at, limit):
+        """Offset behind the ``>`` of the tag, -1 without one.  A quote without its like is
+        an ordinary character."""
+        while True:
+            at = PLAIN.match(self.page, at, limit).end()
+            if at >= limit:
+                return -1
+            mark = self.page[at]
+            if mark == ">":
+                return at + 1
+            at = max(at, self.find(mark, at + 1, limit)) + 1
+
+    def declaration_end(self, at, limit):
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if self.page.startswith(opening, at):
+                end = self.find(closing, at + len(opening), limit)
+                if end >= 0:
+                    return end + len(closing)
+                if opening == "<!--":
+                    return limit
+        return (self.find(">", at, limit) + 1) or limit
+
+
 def blocks_of(page):
-    """[(text, path tokens, characters in links, depth)] of a page, in order.
+    """[(text, path, characters in links, depth)] of a page, in order, in linear time.
 
     The contents of script, style and other raw-text elements end at the next end tag of
     their name, whatever stands before it; without one, script and style reach to the end
-    of the page, as in browsers.  Other silent elements end at their end tag or where a
-    block around them closes; without an end tag, at the next tag of a block."""
+    of the page, as in browsers, and so does a tag without its end.  Other silent elements
+    end at their end tag or where a block around them closes; without an end tag, at the
+    next tag of a block."""
     page = page or ""
-    out, stack, parts, linked = [], [], [], 0
-    skip, until, inner, ends, at, unclosed = None, None, {}, {}, 0, set()
+    size, markup, opened = len(page), Markup(page), OpenElements()
+    out, parts, linked, at = [], [], 0, 0
+    skip, until, inner, ends, unclosed = None, None, {}, {}, set()
 
     def close():
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, [t for _, tokens in stack for t in tokens], linked, len(stack)))
+                out.append((text, opened.paths[-1] if opened.paths else None, linked, len(opened.names)))
             parts.clear()
             linked = 0
 
-    while m := TOKEN.match(page, at):
-        at = m.end()
-        text, name = m[5], m[3]
-        if skip is not None and until is not None and m.start() >= until:
-            skip = None
-            if m.start() == until:
-                continue
-        elif skip is not None and until is not None and at > until:
-            at = until  # a stray quote or comment inside must not swallow the end tag
+    def say(text):
+        nonlocal linked
+        if skip is None and text:
+            parts.append(text)
+            if opened.last("a") >= 0:
+                linked += len(text)
+
+    while at < size:
+        here = page.find("<", at)
+        if here < 0:
+            here = size
+        if skip is not None and until is not None and here >= until:
+            skip, here = None, until
+            at = until
+            tag = TAG.match(page, at)
+            at = markup.tag_end(tag.end(), size)
+            if at < 0:
+                break
             continue
-        if text is not None:
-            if skip is None:
-                parts.append(text)
-                if any(tag == "a" for tag, _ in stack):
-                    linked += len(text)
+        say(page[at:here])
+        at = here
+        if at >= size:
+            break
+        # A stray quote or comment inside a silent element must not swallow its end tag.
+        limit = size if skip is None or until is None else until
+        tag = TAG.match(page, at)
+        if not tag:
+            if page.startswith(("<!", "<?"), at):
+                at = markup.declaration_end(at, limit)
+            else:
+                say("<")
+                at += 1
             continue
-        if name is None:
+        start, closing, name = at, tag[1], tag[2].lower()
+        at = markup.tag_end(tag.end(), limit)
+        if at < 0:
+            at = limit
             continue
-        name = name.lower()
+        attributes = page[tag.end() : at - 1]
         if skip is not None:
-            if name in RAW and not m[2] and (end := ENDS[name].search(page, at)):
-                at = end.end()
+            if name in RAW and not closing and name not in unclosed:
+                if end := ENDS[name].search(page, at, limit):
+                    at = end.end()
+                elif limit == size:
+                    unclosed.add(name)
             if name not in BREAKS:
                 continue
             if until is not None:
-                if not m[2]:
+                if not closing:
                     inner[name] = inner.get(name, 0) + 1
                     continue
                 if inner.get(name):
                     inner[name] -= 1
                     continue
-                if all(tag != name for tag, _ in stack):
+                if opened.last(name) < 0:
                     continue
             skip = None
-        if m[2]:
+        if closing:
             if name in BREAKS:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            opened.end(name)
             continue
         if name in SILENT:
-            if m[4].endswith("/"):
+            if attributes.endswith("/"):
                 continue
             if name in RAW and name not in unclosed:
                 end = ENDS[name].search(page, at)
@@ -140,23 +248,18 @@ def blocks_of(page):
                 unclosed.add(name)
             if name not in RAW and name not in ends:
                 ends[name] = ends_of(page, name)
-            skip, until, inner = name, ends.get(name, {}).get(m.start()), {}
+            skip, until, inner = name, ends.get(name, {}).get(start), {}
             continue
         if name == "br":
             parts.append(" ")
         if name in BREAKS:
             close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(name, {"p"}) | {"p"}:
-                    del stack[i:]
-                    break
-                if stack[i][0] in HOLDS:
-                    break
-        if name not in VOID and not m[4].endswith("/"):
+            opened.start_block(name)
+        if name not in VOID and not attributes.endswith("/"):
             tokens = [name]
-            for kind, *values in ATTRIBUTE.findall(m[4]):
+            for kind, *values in ATTRIBUTE.findall(attributes):
                 tokens += [f"{'r' if kind.lower() == 'role' else 'c'}:{w.lower()}" for w in NAME.findall("".join(values))]
-            stack.append((name, tokens))
+            opened.push(name, tuple(tokens))
             if name == "title" and "title" not in unclosed:
                 end = ENDS[name].search(page, at)
                 if end:
@@ -174,13 +277,20 @@ class Features:
     def __init__(self):
         self.codes, self.paths = WordCodes(), {}
 
-    def path(self, tokens):
-        key = tuple(tokens)
-        if key not in self.paths:
-            if len(self.paths) >= 20_000:
-                self.paths.clear()
-            self.paths[key] = np.minimum(np.bincount([self.codes[p.encode()] % PATH_DIM for p in tokens] or [0], minlength=PATH_DIM) * bool(tokens), 3)
-        return self.paths[key]
+    def path(self, path):
+        """How often the path's tokens fall into each place, kept for the path and for some above it."""
+        below, node = [], path
+        while node is not None and node.key not in self.paths:
+            below.append(node)
+            node = node.parent
+        counts = self.paths[node.key] if node is not None else np.zeros(PATH_DIM, np.int32)
+        if len(self.paths) >= 20_000:
+            self.paths.clear()
+        for i, node in enumerate(reversed(below), 1):
+            counts = counts + np.bincount([self.codes[p.encode()] % PATH_DIM for p in node.tokens], minlength=PATH_DIM).astype(np.int32)
+            if i == len(below) or i % 64 == 0:
+                self.paths[node.key] = counts
+        return np.minimum(counts, 3)
 
     def __call__(self, blocks):
         out = np.zeros((len(blocks), DIM), np.float32)
@@ -413,12 +523,13 @@ def _placed(x, first, total):
     return x
 
 
-def sample_sentences(pages, id_col, html_col, most=TRAINING_PAGES):
-    """Sentences of the pages of least id; at most 40 of each."""
+def sample_sentences(pages, id_col, html_col, most=TRAINING_PAGES, each=SENTENCES):
+    """Sentences of the ``most`` pages whose ids have the least hashes; at most ``each`` of a
+    page, evenly spread over it."""
     out = []
-    for row in pages.filter(F.col(html_col).isNotNull()).orderBy(id_col).select(html_col).limit(most).toLocalIterator():
-        said = [s for b, *_ in blocks_of(row[0][:200_000]) for s in re.split(r"(?<=[.!?]) ", b) if len(s.split()) > 1]
-        out += said[:40]
+    for row in pages.filter(F.col(html_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(most).toLocalIterator():
+        said = [s for b, *_ in blocks_of(row[0]) for s in re.split(r"(?<=[.!?]) ", b) if len(s.split()) > 1]
+        out += said[:: max(1, -(-len(said) // each))]
     return out or ["Some words of a plain text.", "More of the same here."]
 
 
@@ -433,7 +544,7 @@ def extract_text(pages, id_col="page_id", url_col="url", html_col="html", traini
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                text = ["\n".join(x) for x in label_pages(own, features, part.column(2).to_pylist())]
+                text = ["\n\n".join(x) for x in label_pages(own, features, part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     picked = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
