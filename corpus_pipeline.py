@@ -2,11 +2,10 @@
 benchmark leaks, packing.  Each stage works on what its predecessor wrote."""
 
 import public_tokenizers
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm import decontamination, jaccard, packing, quality, substrings
-from tarnwork.llm.common import fresh_dir, stage
+from tarnwork.llm.common import fresh_dir
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -15,29 +14,24 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_copies_stage(spark, docs, sf_dir):
-    """The document of least id of each component of 5-gram similarity 0.8; documents
-    with a null id cannot be named and stay."""
-    found = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    keep = stage(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_copy", F.row_number().over(first)).filter("_copy = 1").select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One row of each component of 5-gram similarity 0.8: that of least id, and of least
+    hash of id and text among equals; null ids come last.  Rows without words have no
+    component and all stay."""
+    return jaccard.first_of_components(docs, k=5, num=80, den=100)
 
 
 def passages_stage(spark, docs, sf_dir):
     """Texts without the 200-byte strings that occur more than once.  A character cut by a
     removed span goes with it; texts with nothing left but blanks go."""
-    cut = substrings.remove_repeats(docs, carry=docs.columns, as_text=True)
-    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("carried.text")))
-    cut = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
-    return cut.select(*(changed.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns))
+    done = substrings.cut_texts(docs, as_text=True).filter(r"cut is null or cut.kept rlike '\\S'")
+    changed = {"text": F.col("cut.kept"), "n_chars": F.length("cut.kept").cast("bigint")}
+    column = lambda c: F.when(F.col("cut").isNotNull(), changed[c]).otherwise(F.col("row")[c]) if c in changed else F.col("row")[c]
+    return done.select(*(column(c).alias(c) for c in docs.columns))
 
 
 def leaks_stage(spark, docs, sf_dir):
-    """Documents without a benchmark passage."""
-    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(stage(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    """Rows whose own text has no benchmark passage."""
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark, docs, sf_dir):
