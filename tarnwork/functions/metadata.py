@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .defaults import AUTHORITIES, CATEGORIES
 from .text import col, first, lines, strip
 
 # Patterns of the document formats.
@@ -15,15 +16,20 @@ def _found(c, pattern, group=0):
 
 def normalize_date(c):
     """``2024 年 3 月 5 日`` to ``2024-03-05``; no range check."""
-    part = lambda i, n: F.lpad(F.regexp_extract(col(c), DATE, i), n, "0")
-    return F.when(col(c).rlike(DATE), F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2)))
+    return _iso(_found(col(c), DATE))
+
+
+def _iso(date):
+    """A date as DATE finds it, in ISO form; each pattern runs once."""
+    wide = F.regexp_replace(date, DATE, "$1-0$2-0$3")
+    return F.regexp_replace(wide, r"-0(\d\d)", "-$1")
 
 
 def policy_number(c):
     return _found(F.left(col(c), F.lit(500)), NUMBER)
 
 
-def issuing_authority(c, names):
+def issuing_authority(c, names=AUTHORITIES):
     """The first known name in the number's prefix, else in the head, else the source line."""
     known = F.array(*map(F.lit, names))
     named = lambda where: first(F.filter(known, lambda a: F.contains(where, a)))
@@ -36,15 +42,19 @@ def publish_date(c):
     """The last date of the tail, else the first of the head."""
     dates = lambda part: F.regexp_extract_all(part, F.lit(DATE), F.lit(0))
     last = F.try_element_at(dates(F.right(col(c), F.lit(500))), F.lit(-1))
-    return normalize_date(F.coalesce(last, first(dates(F.left(col(c), F.lit(500))))))
+    return _iso(F.coalesce(last, first(dates(F.left(col(c), F.lit(500))))))
 
 
 def effective_date(c):
-    return normalize_date(F.coalesce(*(_found(col(c), f"自({DATE})起{verb}", 1) for verb in ("施行", "执行", "实施"))))
+    """The date of the first ``自…起`` with the first of three verbs that occurs."""
+    said = F.regexp_extract_all(col(c), F.lit(f"自{DATE}起(?:施行|执行|实施)"), F.lit(0))
+    ends = lambda verb: first(F.filter(said, lambda x: F.endswith(x, F.lit(verb))))
+    one = F.coalesce(*map(ends, ("施行", "执行", "实施")))
+    return _iso(_found(one, DATE))
 
 
 def expiry_date(c):
-    return normalize_date(F.coalesce(_found(col(c), f"有效期至({DATE})", 1), _found(col(c), f"执行至({DATE})", 1), _found(col(c), f"有效期.*?({DATE})止", 1)))
+    return _iso(F.coalesce(_found(col(c), f"有效期至({DATE})", 1), _found(col(c), f"执行至({DATE})", 1), _found(col(c), f"有效期.*?({DATE})止", 1)))
 
 
 def applicable_region(c):
@@ -58,7 +68,7 @@ def guess_title(c, words, least=5, long=10):
     return first(F.filter(F.transform(lines(c), strip), fits))
 
 
-def classify_category(title, c, keywords, other="其他"):
+def classify_category(title, c, keywords=CATEGORIES, other="其他"):
     """The category with most distinct keywords in title and head; ties by order."""
     where = F.concat_ws(" ", col(title), F.left(col(c), F.lit(1000)))
     counts = {k: sum((F.contains(where, F.lit(w)).cast("int") for w in ws), F.lit(0)) for k, ws in keywords.items()}
@@ -95,3 +105,16 @@ def reply_prompt(c, missing, head=1000, tail=500):
     said = F.concat(F.lit("缺失字段: "), F.array_join(col(missing), ", "), F.lit("\n\n"), F.left(col(c), F.lit(head)))
     end = F.when(F.length(col(c)) > head, F.concat(F.lit("\n...\n"), F.right(col(c), F.lit(tail)))).otherwise("")
     return F.when(F.size(col(missing)) > 0, F.concat(said, end))
+
+
+def merge_metadata(parsed, matched, replied, fields, id_col="source"):
+    """``fields`` of every document of ``parsed``: its own value first, then that of ``matched`` (by
+    pattern), then of ``replied`` (by a model); empty counts as missing.  The tables share
+    ``id_col`` and may lack fields."""
+
+    def side(rows, name):
+        return rows.select(id_col, *(F.col(f).alias(f"{name}_{f}") for f in fields if f in rows.columns))
+
+    joined = side(parsed, "p").join(side(matched, "m"), id_col, "left").join(side(replied, "r"), id_col, "left")
+    values = lambda f: [F.col(f"{n}_{f}").cast("string") for n in "pmr" if f"{n}_{f}" in joined.columns] or [F.lit(None).cast("string")]
+    return joined.select(id_col, *(first_present(*values(f)).alias(f) for f in fields))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from .defaults import TEXT_NOISE, any_of
+
 
 def col(c):
     return F.col(c) if isinstance(c, str) else c
@@ -43,7 +45,7 @@ def txt_title(c, stem):
     return F.coalesce(first(F.filter(F.transform(lines(c), strip), lambda x: x != "")), col(stem))
 
 
-def noise_lines(c, pattern):
+def noise_lines(c, pattern=any_of(TEXT_NOISE)):
     """Without the lines that begin like ``pattern``; blank lines stay, leading ones go."""
     kept = F.filter(lines(c), lambda x: ~strip(x).rlike(f"^(?:{pattern})"))
     return F.regexp_replace(join_lines(kept), r"^(?:[ \t]*\n)+", "")

@@ -1,8 +1,10 @@
-"""The answer cache as tables: expiry, eviction, invalidation, touch, upsert."""
+"""The answer cache as tables: lookup, expiry, eviction, invalidation, touch, upsert."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .vectors import vector_topk
+
 
 def cache_key(embedding, dims=10):
     """md5 of the first dimensions, rounded to 6 digits."""
@@ -35,3 +37,19 @@ def cache_invalidate(cache, updated):
     """Entries none of whose sources were updated (``source``)."""
     gone = cache.select("key", F.explode("sources").alias("source")).join(updated.select("source"), "source", "left_semi").select("key").distinct()
     return cache.join(gone, "key", "left_anti")
+
+
+def cache_lookup(cache, queries, now, ttl_seconds=86400, threshold=0.92):
+    """For each query (query_id, embedding) the live entry of highest cosine, if that reaches
+    ``threshold``: ``query_id``, ``key`` (null for a miss), ``score``.  Entries older than
+    ``ttl_seconds`` at ``now`` (a column or literal) take no part."""
+    live = cache_expire(cache, now, ttl_seconds)
+    best = vector_topk(live.select("key", "embedding"), queries, 1, id_col="key")
+    hit = best.filter((F.col("score") > 0) & (F.col("score") >= threshold)).select("query_id", "key", "score")
+    return queries.select("query_id").join(hit, "query_id", "left")
+
+
+def cache_invalidated(cache, updated):
+    """How many entries ``cache_invalidate`` takes away: one row."""
+    gone = cache.select("key", F.explode("sources").alias("source")).join(updated.select("source"), "source", "left_semi")
+    return gone.agg(F.count_distinct("key").alias("invalidated"))

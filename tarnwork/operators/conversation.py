@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.defaults import REFERRING
+
 
 def history_window(messages, max_rounds=10):
     """The last ``2 * max_rounds`` messages of each conversation, without a leading assistant
@@ -23,7 +25,7 @@ def recent_context(messages, rounds=3, most=200, names=("用户", "助手")):
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("context"))
 
 
-def needs_rewrite(query, history, words, short=10):
+def needs_rewrite(query, history, words=REFERRING, short=10):
     """True with a history and a referring word or a short query."""
     q = F.col(query)
     refers = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(q, w))

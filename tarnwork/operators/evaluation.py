@@ -63,6 +63,62 @@ def param_sweep(legs, expected, values, top):
     return joined.groupBy("value").agg(F.round(F.avg(F.col("first").isNotNull().cast("double")), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count_if(F.col("first").isNull()).alias("failures"))
 
 
+def cut_sweep(ranked, expected, values):
+    """Hit rate and mean reciprocal rank for each number of results ``top_k``.  ``ranked``: query_id,
+    source, rank.  Queries with nothing expected are left out."""
+    first = ranked.join(expected, ["query_id", "source"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    every = expected.select("query_id").distinct().join(first, "query_id", "left")
+    rows = every.withColumn("value", F.explode(F.array(*(F.lit(int(v)) for v in values)))).withColumn("first", F.when(F.col("first") <= F.col("value"), F.col("first")))
+    return rows.groupBy("value").agg(*_sweep_row())
+
+
+def rerank_sweep(plain, reranked, expected, top):
+    """The same with and without the reranker (``value``), at ``top`` results of either ranking."""
+    sides = [cut_sweep(r, expected, [top]).withColumn("value", F.lit(v)) for v, r in ((False, plain), (True, reranked))]
+    return sides[0].unionByName(sides[1])
+
+
+def _sweep_row():
+    miss = F.col("first").isNull()
+    return F.round(F.avg((~miss).cast("double")), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.count_if(miss).alias("failures")
+
+
+def best_param(sweep, order="value"):
+    """The row of the highest hit rate; the first by ``order`` of equals."""
+    return sweep.orderBy(F.desc("recall_at_k"), order).limit(1)
+
+
+def retrieval_failures(scored, expected, ranked, k):
+    """Queries with something expected and nothing of it found: with the expected sources and the first
+    ``k`` retrieved ones in rank order."""
+    missed = scored.filter("recall = 0").select("query_id")
+    wanted = expected.groupBy("query_id").agg(F.array_sort(F.collect_set("source")).alias("expected"))
+    got = ranked.filter(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("retrieved"))
+    return missed.join(wanted, "query_id").join(got, "query_id", "left").select("query_id", "expected", F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
+
+
+def containing(docs, items, text_col="text", item_col="item", window=5):
+    """Which documents hold which items (``query_id``, ``item``) as a substring: the columns of
+    ``docs`` but the text, and ``query_id``.
+
+    Whole words inside an item are whole words of a text that holds it.  So items of ``window`` + 2
+    words or more meet texts by the hash of their second to last but one words; only hashes of some item
+    are kept of a text, before its words are spread, and texts come back for the pairs found.
+    Shorter items, a stated set, are searched for in every text."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    rest, hashes = [c for c in docs.columns if c != text_col], lambda w, i: F.xxhash64(*(F.get(w, i + j) for j in range(window)))
+    asked = items.withColumn("_w", words(item_col)).withColumn("_long", F.size("_w") >= window + 2)
+    keys = asked.filter("_long").select("query_id", item_col, hashes(F.col("_w"), F.lit(1)).alias("_g"))
+    spread = docs.select(*rest, words(F.col(text_col)).alias("_w")).filter(F.size("_w") >= window)
+    grams = spread.select(*rest, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - window), lambda i: hashes(F.col("_w"), i)))).alias("_g"))
+    pairs = grams.join(keys.select("_g").distinct(), "_g", "left_semi").join(keys.select("_g", "query_id"), "_g").drop("_g").distinct()
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in rest]
+    found = docs.alias("d").join(pairs.alias("p"), same).join(items.select("query_id", F.col(item_col).alias("_item")), "query_id").filter(F.contains(F.col(f"d.{text_col}"), F.col("_item")))
+    long = found.select("query_id", *(F.col(f"d.{c}").alias(c) for c in rest)).distinct()
+    short = docs.join(asked.filter("not _long").select("query_id", F.col(item_col).alias("_item")), F.contains(F.col(text_col), F.col("_item"))).select("query_id", *rest)
+    return long.unionByName(short)
+
+
 DIMENSIONS = ["faithfulness", "relevance", "completeness", "correctness"]
 
 

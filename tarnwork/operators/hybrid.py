@@ -57,10 +57,16 @@ def hybrid_search(chunks, queries, index, keep=None, score=None, top=7, leg_top=
     return resolve_parents(hits.join(kept.select("id", "parent_id"), "id"), parents)
 
 
-def format_hits(queries, hits, empty="未找到相关政策"):
-    """One text a query: its hits as numbered blocks in rank order."""
-    piece = F.concat(F.lit("[片段 "), F.col("rank").cast("string"), F.lit("]\n来源文件："), F.col("source"), F.lit("\n相关度："), F.format_string("%.4f", F.col("score")), F.lit("\n内容："), F.col("text"))
-    said = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n---\n").alias("answer"))
+def shown_score(columns):
+    """The score that is shown of a hit: of fusion, else of the reranker, else of the search."""
+    return F.coalesce(*(F.col(c).cast("double") for c in ("rrf_score", "rerank_score", "score") if c in columns), F.lit(0.0))
+
+
+def format_hits(queries, hits, top=5, empty="未找到相关政策"):
+    """One text a query: its first ``top`` hits (1 to 10) as numbered blocks in rank order."""
+    most = min(max(1, top), 10)
+    piece = F.concat(F.lit("[片段 "), F.col("rank").cast("string"), F.lit("]\n来源文件："), F.col("source"), F.lit("\n相关度："), F.format_string("%.4f", shown_score(hits.columns)), F.lit("\n内容："), F.col("text"))
+    said = hits.filter(F.col("rank") <= most).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n---\n").alias("answer"))
     return queries.select("query_id").join(said, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(empty)))
 
 
@@ -81,3 +87,16 @@ def metadata_filter(date_from=None, date_to=None, issuing_authority=None, catego
     if category:
         out &= F.col("category") == category
     return out
+
+
+def query_filter(chunk="c", asked="q"):
+    """The same as a join condition with limits of each query: nullable columns ``date_from``,
+    ``date_to``, ``issuing_authority`` and ``category`` of the queries; null or empty ones are ignored."""
+    c, q = (lambda name, side=side: F.col(f"{side}.{name}") for side in (chunk, asked))
+    free = lambda name: F.coalesce(q(name), F.lit("")) == ""
+    pairs = [("date_from", c("publish_date") >= q("date_from")), ("date_to", c("publish_date") <= q("date_to"))]
+    pairs += [(name, c(name) == q(name)) for name in ("issuing_authority", "category")]
+    out = c("role") == "child"
+    for name, met in pairs:
+        out &= free(name) | F.coalesce(met, F.lit(False))
+    return out

@@ -7,23 +7,29 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 # Words of the field that a run of Han characters is searched for first.
-HAN_WORDS = """中小微企业 中小企业 专精特新 小巨人 贷款贴息 融资担保 融资租赁 政府性融资担保 设备更新 技术改造 产业升级
-工业互联网 人工智能 新质生产力 新型工业化 跨境电商 跨境电子商务 企业年金 社保 养老保险 固体废物 循环利用 科技创新 知识产权
-增值税 消费税 所得税 进口关税 工信部 财政部 科技部 发改委 国务院 海关总署 税务总局 金融监管总局""".split()
+HAN_WORDS = (
+    "中小微企业", "中小企业", "专精特新", "小巨人", "贷款贴息", "融资担保", "融资租赁", "政府性融资担保", "设备更新", "技术改造", "产业升级",
+    "工业互联网", "人工智能", "新质生产力", "新型工业化", "跨境电商", "跨境电子商务", "企业年金", "社保", "养老保险", "固体废物", "循环利用",
+    "科技创新", "知识产权", "增值税", "消费税", "所得税", "进口关税", "工信部", "财政部", "科技部", "发改委", "国务院", "海关总署", "税务总局",
+    "金融监管总局",
+)
 
 
 def tokenize(c, han_words=HAN_WORDS):
     """Runs of letters and digits of two characters or more, numbers left out; case kept.
 
     Han characters: the longest word of ``han_words`` at each place; between such words,
-    every two neighbours.  Another dictionary takes the place of this one by the parameter."""
-    plain = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[#*>\-|`]", " ")
+    every two neighbours.  Another dictionary takes the place of this one by the parameter.
+    Texts without Han characters, the common case, take one plain pattern."""
+    text = F.col(c) if isinstance(c, str) else c
     known = "|".join(sorted(han_words, key=lambda w: (-len(w), w))) or "(?!)"
     pattern = rf"(?:{known})|(?:(?!{known})\p{{IsHan}})+|(?:(?!\p{{IsHan}})[\p{{L}}\p{{N}}])+"
-    runs = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     cut = F.transform(runs, lambda r: F.when(r.rlike(rf"^(?!(?:{known})$)\p{{IsHan}}{{3,}}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array(r)))
-    words = F.when(F.coalesce(plain.rlike(r"\p{IsHan}{3}"), F.lit(False)), F.flatten(cut)).otherwise(runs)
-    return F.filter(words, lambda t: (F.length(t) >= 2) & ~t.rlike(r"^[\d.%]+$"))
+    plain = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
+    words = F.when(text.rlike(r"\p{IsHan}"), F.filter(F.flatten(cut), lambda t: F.length(t) >= 2)).otherwise(plain)
+    # A token of digits alone is a number; most tokens are told apart by their first character.
+    return F.filter(words, lambda t: (F.left(t, F.lit(1)) > "9") | (F.left(t, F.lit(1)) < "0") | ~t.rlike(r"^\d+$"))
 
 
 def postings(chunks, id_col="id", text_col="text", keywords=None):
@@ -35,26 +41,43 @@ def postings(chunks, id_col="id", text_col="text", keywords=None):
     return words.unionByName(extra.withColumn("tf", F.col("tf").cast("bigint"))).groupBy("term", id_col).agg(F.sum("tf").alias("tf"))
 
 
-def build_index(chunks, id_col="id", text_col="text", keywords=None):
+def build_index(chunks, id_col="id", text_col="text", keywords=None, path=None):
     """The index tables: ``postings``, ``doc_len``, ``terms`` (df, idf) and ``stats`` (one row).
 
-    Okapi idf, where terms in more than half of the chunks get EPSILON times the mean idf."""
+    Okapi idf, where terms in more than half of the chunks get EPSILON times the mean idf.
+    With ``path`` the tables are written below it, each from the written postings, so that
+    texts are tokenised once however often the index is used."""
     posts = postings(chunks, id_col, text_col, keywords)
-    length = posts.groupBy(id_col).agg(F.sum("tf").alias("dl"))
-    stats = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(length.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total")))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    raw = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return {"postings": posts, "doc_len": length, "terms": terms, "stats": stats}
+    index = {}
+
+    def made(name, frame):
+        if path is not None:
+            frame.write.mode("overwrite").parquet(f"{path}/{name}")
+            frame = frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/{name}")
+        index[name] = frame
+        return frame
+
+    posts = made("postings", posts)
+    length = made("doc_len", posts.groupBy(id_col).agg(F.sum("tf").alias("dl")))
+    total = length.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    stats = chunks.agg(F.count(F.lit(1)).alias("n")).select("n", (total.scalar() / F.nullif("n", F.lit(0))).alias("avgdl"))
+    stats = made("stats", stats)
+    n = stats.select("n").scalar()
+    raw = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", (F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean")).scalar()
+    made("terms", raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf")))
+    return index
 
 
 def scored(index, queries, id_col="id", query_id="query_id", query_text="query"):
     """All (query, chunk) with a positive BM25 score.  Repeated query tokens count each time."""
     asked = queries.select(query_id, F.explode(tokenize(query_text)).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
     weighted = asked.join(index["terms"], "term").select(query_id, "term", (F.col("times") * F.col("idf")).alias("w"))
-    norm = index["doc_len"].crossJoin(F.broadcast(index["stats"])).select(id_col, (K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).alias("norm"))
-    hit = index["postings"].join(weighted, "term").join(norm, id_col)
-    return hit.groupBy(query_id, id_col).agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.col("norm"))), 6).alias("score")).filter("score > 0")
+    mean = index["stats"].select("avgdl").scalar()
+    # Postings of the queries' terms first: the scores are summed up over those alone.
+    hit = index["postings"].join(weighted, "term").join(index["doc_len"], id_col)
+    norm = K1 * (1 - B + B * F.col("dl") / mean)
+    return hit.groupBy(query_id, id_col).agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), 6).alias("score")).filter("score > 0")
 
 
 def bm25_search(index, queries, k=20, id_col="id", query_id="query_id", query_text="query"):

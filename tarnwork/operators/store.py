@@ -23,10 +23,20 @@ def get_by_ids(chunks, wanted, id_col="id"):
     return chunks.join(wanted.select(id_col), id_col, "left_semi")
 
 
-def document_detail(requested, chunks, missing="未找到文档"):
-    """Texts of each requested source in chunk order, under its name."""
-    body = chunks.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("body"))
-    return requested.join(body, "source", "left").select("source", F.when(F.col("body").isNull(), F.lit(missing)).otherwise(F.concat(F.lit("文件："), F.col("source"), F.lit("\n"), F.col("body"))).alias("detail"))
+PART_CHARS = 1 << 20
+
+
+def document_detail(requested, chunks, missing="未找到文档", part_chars=PART_CHARS):
+    """Texts of each requested source in chunk order, under its name: ``source``, ``part``, ``detail``.
+
+    A document comes in parts of whole chunks of about ``part_chars`` characters, so that no row
+    holds a source of any size; the parts' texts, joined by line feeds, are the document."""
+    before = Window.partitionBy("source").orderBy("chunk_index", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = chunks.withColumn("part", (F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)) / part_chars).cast("int"))
+    body = placed.groupBy("source", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    head = F.when(F.col("part") == 0, F.concat(F.lit("文件："), F.col("source"), F.lit("\n"))).otherwise("")
+    found = requested.join(body, "source", "left")
+    return found.select("source", F.coalesce("part", F.lit(0)).alias("part"), F.when(F.col("body").isNull(), F.lit(missing)).otherwise(F.concat(head, F.col("body"))).alias("detail"))
 
 
 def get_by_source(chunks, sources, source_col="source", order="chunk_index"):

@@ -1,6 +1,7 @@
 """Sections by heading level, and parent and child chunks made of them."""
 
 import re
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Window
@@ -54,15 +55,19 @@ def split_structure(docs, id_col="source", text_col="markdown"):
     return parts.unionByName(singles)
 
 
+def items_of(text, pattern):
+    """The stripped stretches between the places where items begin; blank ones go."""
+    places = sorted({0, len(text), *(m.start() for m in re.finditer(pattern, text))})
+    return [part for part in (text[a:b].strip() for a, b in pairwise(places)) if part]
+
+
 def sub_sections(text, size=300, overlap=50):
-    """A short text whole; else at its items, if none of these is too long; else packed lines."""
+    """A text of at most ``size`` characters whole.  Else its items, by the first kind of item that
+    gives two or more of at most half as much again; else packed lines."""
     if len(text) <= size:
         return [text]
-    for pattern in ITEMS:
-        items = [s for s in map(str.strip, re.split(pattern, text)) if s]
-        if len(items) > 1 and max(map(len, items)) <= 1.5 * size:
-            return items
-    return pack_lines(text, size, overlap)
+    kinds = (items_of(text, pattern) for pattern in ITEMS)
+    return next((items for items in kinds if len(items) > 1 and all(2 * len(i) <= 3 * size for i in items)), None) or pack_lines(text, size, overlap)
 
 
 def parent_child(docs, id_col="source", text_col="markdown", parent_size=1000, child_size=300):

@@ -1,12 +1,15 @@
 """Unit vectors and exact cosine neighbours in blocks."""
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..folders import stage
 from .lexical import top_k
 
 BLOCK = 4096
@@ -49,46 +52,57 @@ def embed_column(rows, text_col="text", encode=hashed_words, batch_size=32, name
 def vector_topk(vectors, queries, k=20, id_col="id", query_id="query_id", vector_col="embedding", exclude_self=False, block=BLOCK):
     """Top ``k`` rows of each query by cosine of unit vectors (``score`` to 4 digits); ties by id.
 
-    Queries are broadcast in blocks of at most ``block`` rows; every partition keeps its own
-    top ``k`` of each query, and only those are shuffled."""
-    spark = vectors.sparkSession
-    parts, held = [], []
-    for row in queries.select(query_id, vector_col).toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            parts.append(_against(spark, vectors, held, k, id_col, query_id, vector_col, exclude_self))
-            held = []
-    if held or not parts:
-        parts.append(_against(spark, vectors, held, k, id_col, query_id, vector_col, exclude_self))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    Queries go in blocks of at most ``block`` rows, one broadcast and one scan a block; where
+    there are several, the hits of each are staged before the next is sent, so that the driver
+    and the executors hold one block at a time.  Every partition keeps its own top ``k`` of each
+    query, and only those are shuffled.  Ids may have any type; null vectors match nothing."""
+    spark, parts, asked = vectors.sparkSession, [], queries.select(query_id, vector_col).filter(F.col(vector_col).isNotNull())
+    rows = asked.toLocalIterator()
+    held = list(islice(rows, block))
+    while True:
+        shared = spark.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], np.float64)))
+        hits = _against(vectors, shared, asked.schema[query_id].dataType, k, id_col, query_id, vector_col, exclude_self)
+        held = list(islice(rows, block)) if len(held) == block else []
+        if held or parts:
+            hits = stage(hits, "nearest")
+            shared.unpersist()
+        parts.append(hits)
+        if not held:
+            break
+    # Dealt anew by query, as for every union of such legs.
+    hits = parts[0] if len(parts) == 1 else reduce(lambda a, b: a.unionByName(b), parts).repartition(query_id)
     best = top_k(hits, k, query_id, F.desc("exact"), F.col(id_col))
     return best.select(query_id, id_col, F.round("exact", 4).alias("score"), "rank")
 
 
-def _against(spark, vectors, rows, k, id_col, query_id, vector_col, exclude_self):
-    asked = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
+def _against(vectors, shared, query_type, k, id_col, query_id, vector_col, exclude_self):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = vectors.schema[id_col].dataType
+    types = [to_arrow_type(query_type), to_arrow_type(id_type), pa.float64()]
 
     def run(batches):
-        names, matrix = asked.value
-        if not names:
-            return
-        best_i, best_s = None, None
+        names, matrix = shared.value
+        best = [(np.zeros(0), None)] * len(names)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not names:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            flat = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
-            scores = matrix @ flat.T
+            ids = np.array(batch.column(0).to_pylist())
+            scores = matrix @ np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1).T
             if exclude_self:
                 scores[np.array(names)[:, None] == ids[None, :]] = -np.inf
-            all_i = np.broadcast_to(ids, scores.shape) if best_i is None else np.concatenate([best_i, np.broadcast_to(ids, scores.shape)], 1)
-            all_s = scores if best_s is None else np.concatenate([best_s, scores], 1)
-            order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best_i, best_s = np.take_along_axis(all_i, order, 1), np.take_along_axis(all_s, order, 1)
-        if best_i is not None:
-            q, j = np.nonzero(np.isfinite(best_s))
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q]), pa.array(best_i[q, j]), pa.array(best_s[q, j])], ["q", "i", "s"])
-
-    return vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull()).mapInArrow(run, f"{query_id} bigint, {id_col} bigint, exact double")
+            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(names), -np.inf)
+            for q, (old_s, old_i) in enumerate(best):
+                floor = max(least[q], old_s[-1]) if len(old_s) == k else least[q]
+                at = np.flatnonzero((scores[q] >= floor) & np.isfinite(scores[q]))
+                if len(at):
+                    s = np.concatenate([old_s, scores[q, at]])
+                    i = ids[at] if old_i is None else np.concatenate([old_i, ids[at]])
+                    order = np.lexsort((i, -s))[:k]
+                    best[q] = (s[order], i[order])
+        rows = [(n, i, s) for n, (s_, i_) in zip(names, best) if i_ is not None for i, s in zip(i_.tolist(), s_.tolist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["q", "i", "s"])
+
+    schema = f"{query_id} {query_type.simpleString()}, {id_col} {id_type.simpleString()}, exact double"
+    return vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull()).mapInArrow(run, schema)

@@ -5,9 +5,11 @@ A query takes (spark, sf_dir).  Chinese formats are exercised on notices compose
 
 from pyspark.sql import functions as F
 
+from ..folders import fresh_dir, stage
 from ..functions import metadata as M
 from ..functions import text as T
 from ..operators import cache, chunking, conversation, evaluation, hybrid, lexical, sections, store, vectors
+from ..sources import files
 
 QUERIES, SQL = {}, {}
 
@@ -42,13 +44,19 @@ def drop_empty_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(T.strip("text") != "").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS total_files, count(*) FILTER (n_chars >= 100) AS processed, count(*) FILTER (n_chars < 100) AS failed, coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (n_chars < 100), '') AS failed_ids FROM documents")
+@query("SELECT count(*) AS total_files, count(*) FILTER (n_chars >= 100) AS processed, count(*) FILTER (n_chars < 100) AS failed FROM documents")
 def ingest_report(spark, sf_dir):
-    bad = F.col("n_chars") < 100
-    failed = F.array_sort(F.collect_list(F.when(bad, F.col("doc_id"))))
-    return table(spark, sf_dir, "documents").agg(
-        F.count(F.lit(1)).alias("total_files"), F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"), F.array_join(F.transform(failed, lambda x: x.cast("string")), ",").alias("failed_ids")
-    )
+    return files.ingest_report(_partly_blank(spark, sf_dir))
+
+
+@query("SELECT doc_id, source FROM documents WHERE n_chars < 100")
+def failed_docs(spark, sf_dir):
+    return files.failed_docs(_partly_blank(spark, sf_dir)).select("doc_id", "source")
+
+
+def _partly_blank(spark, sf_dir):
+    """The documents, with blanks in place of the texts under 100 characters."""
+    return table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("n_chars") < 100, " \n\t ").otherwise(F.col("text")))
 
 
 CLEAN = r"regexp_replace(regexp_replace(regexp_replace(replace(%s, chr(12288), ' '), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -134,9 +142,6 @@ def html_text(spark, sf_dir):
 
 # ---- metadata of notices composed from orders
 
-NAMES = ["财政部", "工业和信息化部"]
-
-
 def notices(spark, sf_dir):
     o, d = table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date")
     day = lambda c: F.concat(F.year(c).cast("string"), F.lit("年"), F.month(c).cast("string"), F.lit("月"), F.day(c).cast("string"), F.lit("日"))
@@ -150,19 +155,19 @@ def notices(spark, sf_dir):
 @query(
     """SELECT o_orderkey, '财金〔2024〕' || o_orderkey || '号' AS policy_number, CASE WHEN o_orderkey % 2 = 0 THEN '财政部' END AS issuing_authority,
 strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS publish_date, strftime(CAST(o_orderdate AS DATE) + 10, '%Y-%m-%d') AS effective_date, strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d') AS expiry_date,
-'全国' AS applicable_region, '关于融资支持的通知' AS title, '融资' AS category, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'issuing_authority' END AS missing FROM orders"""
+'全国' AS applicable_region, '关于融资支持的通知' AS title, '融资支持' AS category, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'issuing_authority' END AS missing FROM orders"""
 )
 def extract_metadata(spark, sf_dir):
     found = notices(spark, sf_dir).select(
         "o_orderkey",
         M.policy_number("text").alias("policy_number"),
-        M.issuing_authority("text", NAMES).alias("issuing_authority"),
+        M.issuing_authority("text").alias("issuing_authority"),
         M.publish_date("text").alias("publish_date"),
         M.effective_date("text").alias("effective_date"),
         M.expiry_date("text").alias("expiry_date"),
         M.applicable_region("text").alias("applicable_region"),
         M.guess_title("text", ["通知", "办法"]).alias("title"),
-        M.classify_category(F.lit(""), "text", {"人才": ["人才", "就业"], "融资": ["融资", "贷款"]}).alias("category"),
+        M.classify_category(F.lit(""), "text").alias("category"),
     )
     return found.withColumn("missing", F.array_join(M.missing_fields(found.columns[1:]), ","))
 
@@ -179,10 +184,14 @@ def classify_category(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", M.classify_category("source", "text", CATS).alias("category"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE o_orderstatus END AS title FROM orders")
+@query("SELECT o_orderkey AS source, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN o_orderpriority WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS title, CASE WHEN o_orderkey % 4 <> 0 THEN 'reply' END AS category FROM orders")
 def merge_metadata(spark, sf_dir):
-    k = F.col("o_orderkey") % 3
-    return table(spark, sf_dir, "orders").select("o_orderkey", M.first_present(F.when(k == 0, F.col("o_custkey").cast("string")).otherwise(""), F.when(k == 1, F.col("o_orderpriority")), "o_orderstatus").alias("title"))
+    """Three sources joined: parsed titles (some empty), matched ones, and replies for some."""
+    o, k = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "source"), F.col("source") % 3
+    parsed = o.select("source", F.when(k == 0, F.col("o_custkey").cast("string")).otherwise("").alias("title"))
+    matched = o.filter(k == 1).select("source", F.col("o_orderpriority").alias("title"))
+    replied = o.filter("source % 4 != 0").select("source", F.col("o_orderstatus").alias("title"), F.lit("reply").alias("category"))
+    return M.merge_metadata(parsed, matched, replied, ["title", "category"])
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'title=' || o_custkey END AS found FROM orders")
@@ -222,12 +231,23 @@ def split_level(spark, sf_dir):
     return sections.split_level(sections.parse_sections(composed(spark, sf_dir), "o_custkey", "md"), "o_custkey")
 
 
-@query()
+# Chunks by recursion: ``s`` is where the last chunk starts, ``f`` how many units are used up.  ``o`` lists
+# the offsets behind the units; a chunk takes one new unit at least.
+CHUNKED = """WITH RECURSIVE t AS (SELECT doc_id, {body} AS body FROM documents), u AS (SELECT doc_id, body, list_transform(string_split(body, chr(10)), lambda x: length(x) + 1) AS c FROM t WHERE {some}),
+p AS (SELECT doc_id, body, list_prepend(0, list_transform(range(1, len(c) + 1), lambda i: CAST(list_sum(c[1:i]) AS BIGINT))) AS o FROM u),
+e AS (SELECT doc_id, body, o, CAST(0 AS BIGINT) AS s, CAST(greatest(1, len(list_filter(o, lambda x: x <= {fit})) - 1) AS BIGINT) AS f, 0 AS k FROM p
+UNION ALL SELECT doc_id, body, o, n, CAST(greatest(f + 1, len(list_filter(o, lambda x: x <= n + {fit})) - 1) AS BIGINT), k + 1 FROM (SELECT *, CAST(greatest(s, {restart}) AS BIGINT) AS n FROM e WHERE f < len(o) - 1)),
+chunk AS (SELECT doc_id, k AS chunk_index, f = len(o) - 1 AS final, substring(body, s + 1, o[f + 1] - 1 - s) AS text FROM e)"""
+PARAGRAPHS = CHUNKED.format(body=r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))", some="body <> ''", fit="401", restart="o[f + 1] - 1 - 50")
+FIXED = CHUNKED.format(body="text", some="length(body) > 800", fit="800", restart="list_min(list_filter(o, lambda x: x >= o[f + 1] - 1 - 100))")
+
+
+@query(PARAGRAPHS + r" SELECT doc_id, chunk_index, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM chunk")
 def chunk_paragraphs(spark, sf_dir):
     return chunking.chunk_paragraphs(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query()
+@query(FIXED + r" SELECT doc_id, chunk_index, text FROM chunk WHERE NOT final OR regexp_matches(text, '\S') UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 800")
 def split_fixed(spark, sf_dir):
     return chunking.split_fixed(table(spark, sf_dir, "documents"), "doc_id")
 
@@ -254,13 +274,14 @@ def get_by_ids(spark, sf_dir):
 
 
 @query(
-    """WITH b AS (SELECT source, string_agg(left(text, 20), chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY source), r AS (SELECT DISTINCT source FROM documents UNION ALL SELECT 'none')
-SELECT r.source, CASE WHEN body IS NULL THEN '未找到文档' ELSE '文件：' || r.source || chr(10) || body END AS detail FROM r LEFT JOIN b ON r.source = b.source"""
+    """WITH d AS (SELECT source, doc_id, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000 AS INT) AS part FROM documents),
+b AS (SELECT source, part, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM d GROUP BY source, part), r AS (SELECT DISTINCT source FROM documents UNION ALL SELECT 'none')
+SELECT r.source, coalesce(part, 0) AS part, CASE WHEN body IS NULL THEN '未找到文档' WHEN part = 0 THEN '文件：' || r.source || chr(10) || body ELSE body END AS detail FROM r LEFT JOIN b ON r.source = b.source"""
 )
 def document_detail(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("chunk_index"), F.left("text", F.lit(20)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("chunk_index"), "text")
     asked = docs.select("source").distinct().unionByName(spark.createDataFrame([("none",)], "source string"))
-    return store.document_detail(asked, docs)
+    return store.document_detail(asked, docs, part_chars=50_000)
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
@@ -268,21 +289,38 @@ def store_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("WITH d AS (SELECT doc_id, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') AS p, source, lang FROM documents), q AS (SELECT item_id, '2024-0' || (item_id % 8 + 1) || '-01' AS f, CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 20) END AS s, CASE WHEN item_id % 3 = 0 THEN 'de' ELSE '' END AS l FROM benchmark) SELECT item_id AS query_id, count(*) AS n FROM q JOIN d ON p >= f AND (s IS NULL OR s = source) AND (l = '' OR l = lang) GROUP BY 1")
+def query_filter(spark, sf_dir):
+    """Limits of each query: how many documents it may find."""
+    d = _dated(spark, sf_dir)
+    k = F.col("item_id")
+    q = table(spark, sf_dir, "benchmark").select(
+        k.alias("query_id"), F.concat(F.lit("2024-0"), (k % 8 + 1).cast("string"), F.lit("-01")).alias("date_from"), F.lit(None).cast("string").alias("date_to"),
+        F.when(k % 2 == 0, F.concat(F.lit("src"), (k % 20).cast("string"))).alias("issuing_authority"), F.when(k % 3 == 0, "de").otherwise("").alias("category"),
+    )
+    return d.alias("c").join(q.alias("q"), hybrid.query_filter()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT doc_id FROM documents WHERE strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') BETWEEN '2024-03-01' AND '2024-08-31' AND source = 'src3' AND lang = 'en'")
 def metadata_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("child").alias("role"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd").alias("publish_date"), F.col("source").alias("issuing_authority"), F.col("lang").alias("category"))
-    return d.filter(hybrid.metadata_filter("2024-03-01", "2024-08-31", "src3", "en")).select("doc_id")
+    return _dated(spark, sf_dir).filter(hybrid.metadata_filter("2024-03-01", "2024-08-31", "src3", "en")).select("doc_id")
+
+
+def _dated(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit("child").alias("role"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd").alias("publish_date"), F.col("source").alias("issuing_authority"), F.col("lang").alias("category"))
 
 
 # ---- lexical search
 
 TOKENS = r"""tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[#*>\-|`]', ' ', 'g'), '[\p{L}\p{N}]+'), lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[0-9.%]+$'))) AS term FROM documents)"""
-BM25 = rf"""WITH {TOKENS}, tf AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
-st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM documents) AS avgdl),
-raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+BM25 = rf"""WITH {TOKENS}, tf AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), dl AS MATERIALIZED (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+st AS MATERIALIZED (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM tf) / (SELECT count(*) FROM documents) AS avgdl),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[#*>\-|`]', ' ', 'g'), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 2 AND NOT regexp_matches(t, '^[0-9.%]+$'))) AS term FROM benchmark) GROUP BY ALL),
-sc AS (SELECT item_id AS query_id, tf.doc_id AS id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
+sc AS (SELECT item_id AS query_id, tf.doc_id AS id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL),
 top AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 20)"""
 
 
@@ -300,14 +338,19 @@ def tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_terms")).filter("n_tokens > 0")
 
 
+def index(spark, sf_dir):
+    """The index of the documents, written once."""
+    return lexical.build_index(corpus(spark, sf_dir), path=fresh_dir(spark, "index"))
+
+
 @query(BM25 + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def build_index(spark, sf_dir):
-    return lexical.build_index(corpus(spark, sf_dir))["terms"].withColumn("idf", F.round("idf", 6))
+    return index(spark, sf_dir)["terms"].withColumn("idf", F.round("idf", 6))
 
 
 @query(BM25 + " SELECT * FROM top")
 def bm25_search(spark, sf_dir):
-    return lexical.bm25_search(lexical.build_index(corpus(spark, sf_dir)), asked(spark, sf_dir))
+    return lexical.bm25_search(index(spark, sf_dir), asked(spark, sf_dir))
 
 
 def flagship(spark, sf_dir):
@@ -384,14 +427,14 @@ def resolve_parents(spark, sf_dir):
 
 @query(
     BM25
-    + """, h AS (SELECT query_id, rank, source, score, left(text, 30) AS t FROM top JOIN documents ON id = doc_id WHERE rank <= 3)
+    + """, h AS (SELECT query_id, rank, source, score, text AS t FROM top JOIN documents ON id = doc_id WHERE rank <= 3)
 SELECT item_id AS query_id, coalesce(a, '未找到相关政策') AS answer, coalesce(s, '') AS sources FROM benchmark LEFT JOIN (SELECT query_id, string_agg('[片段 ' || rank || ']' || chr(10) || '来源文件：' || source || chr(10) || '相关度：' || format('{:.4f}', score) || chr(10) || '内容：' || t, chr(10) || '---' || chr(10) ORDER BY rank) AS a FROM h GROUP BY 1) x ON x.query_id = item_id
 LEFT JOIN (SELECT query_id, string_agg(source, ',' ORDER BY r) AS s FROM (SELECT query_id, source, min(rank) AS r FROM h GROUP BY ALL) GROUP BY 1) y ON y.query_id = item_id"""
 )
 def format_hits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.left("text", F.lit(30)).alias("text"))
-    hits = bm25_search(spark, sf_dir).filter("rank <= 3").join(docs, "id")
-    said = hybrid.format_hits(asked(spark, sf_dir), hits)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    hits = bm25_search(spark, sf_dir).join(docs, "id")
+    said = hybrid.format_hits(asked(spark, sf_dir), hits, 3)
     return said.withColumn("sources", F.array_join(hybrid.hit_sources("answer"), ","))
 
 
@@ -449,10 +492,20 @@ def cache_stats(spark, sf_dir):
     return entries(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.lit(1000).alias("capacity"))
 
 
-@query(f"WITH {ENTRIES} SELECT key FROM e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') u WHERE split_part(key, ':', 1) = CAST(u.user_id AS VARCHAR))")
+@query(f"WITH {ENTRIES} SELECT key FROM e WHERE CAST(split_part(key, ':', 1) AS BIGINT) % 3 <> 0")
 def cache_invalidate(spark, sf_dir):
-    updated = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("source")).distinct()
-    return cache.cache_invalidate(entries(spark, sf_dir).withColumn("sources", F.array(F.split("key", ":")[0], F.lit("all"))), updated).select("key")
+    return cache.cache_invalidate(*_sourced(spark, sf_dir)).select("key")
+
+
+@query(f"WITH {ENTRIES} SELECT count(*) AS invalidated FROM e WHERE CAST(split_part(key, ':', 1) AS BIGINT) % 3 = 0")
+def cache_invalidated(spark, sf_dir):
+    return cache.cache_invalidated(*_sourced(spark, sf_dir))
+
+
+def _sourced(spark, sf_dir):
+    """Entries whose sources are their user and ``all``; a third of the users are updated."""
+    updated = table(spark, sf_dir, "events").filter("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("source")).distinct()
+    return entries(spark, sf_dir).withColumn("sources", F.array(F.split("key", ":")[0], F.lit("all"))), updated
 
 
 @query(f"WITH {ENTRIES} SELECT key, CASE WHEN split_part(key, ':', 2) = 'click' THEN ts ELSE seen END AS last_accessed FROM e")
@@ -468,9 +521,18 @@ def cache_upsert(spark, sf_dir):
     return cache.cache_upsert(old, new).select("key", "answer")
 
 
-@query(f"SELECT query_id, CASE WHEN s >= 0.5 THEN id END AS hit FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM ({VEC})) WHERE r = 1")
+@query(f"SELECT q.vec_id AS query_id, CASE WHEN round(s, 4) >= 0.5 THEN 'k' || id END AS key FROM embeddings q LEFT JOIN (SELECT query_id, id, s FROM ({VEC}) WHERE id % 20 <> 0 AND id % 48 <= 24 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, 'k' || id) = 1) ON query_id = q.vec_id WHERE q.vec_id % 20 = 0")
 def cache_lookup(spark, sf_dir):
-    return _near(spark, sf_dir, 1).select("query_id", F.when(F.col("score") >= 0.5, F.col("id")).alias("hit"))
+    """Entries of all ages up to two days, a day to live."""
+    e = table(spark, sf_dir, "embeddings")
+    now = F.lit("2024-06-03 00:00:00").cast("timestamp")
+    held = e.filter("vec_id % 20 != 0").select(F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("key"), "embedding", (now - F.make_interval(hours=(F.col("vec_id") % 48).cast("int"))).alias("ts"))
+    return cache.cache_lookup(held, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), now, threshold=0.5).select("query_id", "key")
+
+
+@query("SELECT vec_id, md5(array_to_string(list_transform(embedding[1:10], lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',')) AS key FROM embeddings")
+def cache_key(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", cache.cache_key("embedding").alias("key"))
 
 
 # ---- evaluation: items against the documents that contain them
@@ -480,14 +542,9 @@ RANKED = f"rk AS (SELECT query_id, source, row_number() OVER (PARTITION BY query
 
 
 def expected(spark, sf_dir):
-    """Sources whose texts hold the item: shared five-word windows first, then ``contains``."""
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5))))  # noqa: E731, ARG005
-    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"), words.alias("w"))
-    # The second window: whole words at both ends wherever the item lies in the text.
-    b = b.select("query_id", "item", F.xxhash64(F.slice("w", 2, 5)).alias("g"))
-    d = table(spark, sf_dir, "documents").select("source", "text", words.alias("w")).select("source", "text", F.explode(gram("w")).alias("g"))
-    return d.join(b, "g").filter(F.contains("text", F.col("item"))).select("query_id", "source").distinct()
+    """Sources whose texts hold the item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return evaluation.containing(docs, asked(spark, sf_dir).withColumnRenamed("query", "item")).select("query_id", "source").distinct()
 
 
 def ranked(spark, sf_dir):
@@ -515,9 +572,42 @@ def evaluate_retrieval(spark, sf_dir):
     return evaluation.evaluate_retrieval(scored(spark, sf_dir))
 
 
-@query(BM25 + f", {RANKED} SELECT query_id FROM score WHERE recall = 0")
+LABELLED = f"""WITH {LEGS}, lab AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS source FROM embeddings), e2 AS (SELECT vec_id AS query_id, CAST(label AS VARCHAR) AS source FROM embeddings WHERE vec_id % 20 = 0),
+rv AS (SELECT query_id, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source) AS INT) AS rank FROM v JOIN lab USING (id) GROUP BY query_id, source),
+rl AS (SELECT query_id, source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY min(rank), source) AS INT) AS rank FROM l JOIN lab USING (id) GROUP BY query_id, source)"""
+
+
+def _labelled(spark, sf_dir):
+    """Queries, the label each expects, and the labels that both legs of a search rank."""
+    lab = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("source"))
+    wanted = lab.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    legs = stage(_legs(spark, sf_dir), "legs").join(lab, "id")
+    return wanted, *(evaluation.dedup_sources(legs.filter(F.col("leg") == n)) for n in (0, 1))
+
+
+@query(LABELLED + " SELECT e2.query_id, e2.source AS expected, r.retrieved FROM e2 JOIN (SELECT query_id, string_agg(source, ',' ORDER BY rank) AS retrieved FROM rl WHERE rank <= 3 GROUP BY 1) r USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM rl WHERE rl.query_id = e2.query_id AND rl.source = e2.source AND rank <= 3)")
 def retrieval_failures(spark, sf_dir):
-    return scored(spark, sf_dir).filter("recall = 0").select("query_id")
+    """Searches by distance of ids that miss the label of the query among the first three."""
+    wanted, _, far = _labelled(spark, sf_dir)
+    found = evaluation.score_queries(wanted.select("query_id"), wanted, far, 3)
+    lost = evaluation.retrieval_failures(found, wanted, far, 3)
+    return lost.select("query_id", F.array_join("expected", ",").alias("expected"), F.array_join("retrieved", ",").alias("retrieved"))
+
+
+SWEPT = "round(avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_at_k, round(avg(CASE WHEN first <= {k} THEN 1.0::DOUBLE / first ELSE 0 END), 6) AS mrr, count(*) FILTER (first IS NULL OR first > {k}) AS failures"
+
+
+@query(LABELLED + f", h AS (SELECT e2.query_id, min(rl.rank) AS first FROM e2 LEFT JOIN rl USING (query_id, source) GROUP BY 1) SELECT k AS value, {SWEPT.format(k='k')} FROM h, (SELECT CAST(unnest([1, 3, 5]) AS INT) AS k) GROUP BY k")
+def sweep_top_k(spark, sf_dir):
+    wanted, _, far = _labelled(spark, sf_dir)
+    return evaluation.cut_sweep(far, wanted, [1, 3, 5])
+
+
+@query(LABELLED + f", h AS (SELECT false AS value, e2.query_id, rv.rank AS first FROM e2 LEFT JOIN rv USING (query_id, source) UNION ALL SELECT true, e2.query_id, rl.rank FROM e2 LEFT JOIN rl USING (query_id, source)) SELECT value, {SWEPT.format(k='3')} FROM h GROUP BY value")
+def sweep_use_rerank(spark, sf_dir):
+    """The vector leg against the other, in the place of a reranked list."""
+    wanted, near, far = _labelled(spark, sf_dir)
+    return evaluation.rerank_sweep(near, far, wanted, 3)
 
 
 @query("SELECT DISTINCT source, source AS name FROM documents")
@@ -544,7 +634,7 @@ def param_sweep(spark, sf_dir):
 
 @query(f"WITH {SWEEP} SELECT value, recall_at_k FROM sweep ORDER BY recall_at_k DESC, value LIMIT 1")
 def best_param(spark, sf_dir):
-    return _sweep(spark, sf_dir).agg(F.max(F.struct("recall_at_k", (-F.col("value")).alias("v"))).alias("b")).select((-F.col("b.v")).alias("value"), "b.recall_at_k")
+    return evaluation.best_param(_sweep(spark, sf_dir)).select("value", "recall_at_k")
 
 
 JUDGED = "j AS (SELECT o_orderkey, o_orderpriority AS category, o_orderkey % 10 = 0 AS bad, CAST(o_orderkey % 5 + 1 AS INT) AS f FROM orders)"
@@ -568,8 +658,8 @@ def judge_summary(spark, sf_dir):
     return evaluation.judge_summary(judged(spark, sf_dir))
 
 
-@query(BM25 + """ SELECT item_id AS query_id, coalesce(c, '（无检索结果）') AS context FROM benchmark LEFT JOIN (SELECT query_id, left(string_agg(left(text, 600), chr(10) || '---' || chr(10) ORDER BY rank), 2000) AS c FROM top JOIN documents ON id = doc_id WHERE rank <= 5 GROUP BY 1) ON query_id = item_id""")
+@query(BM25 + """ SELECT item_id AS query_id, coalesce(c, '（无检索结果）') AS context FROM benchmark LEFT JOIN (SELECT query_id, left(string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank), 2000) AS c FROM top JOIN documents ON id = doc_id WHERE rank <= 5 GROUP BY 1) ON query_id = item_id""")
 def judge_input(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(600)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     hits = bm25_search(spark, sf_dir).filter("rank <= 5").join(docs, "id").select("query_id", "rank", "text")
     return evaluation.judge_input(asked(spark, sf_dir).select("query_id").join(hits, "query_id", "left"))

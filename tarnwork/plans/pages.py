@@ -3,13 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..folders import fresh_dir
 from ..functions import html as H
 from ..functions import metadata as M
 from ..operators import evaluation, hybrid, lexical, store, vectors
 from ..sources import files
 from ..streaming import jobs
-from .catalogue import BM25, LEGS, SPOKEN, _legs, corpus, query, table
-from .folders import fresh_dir
+from .catalogue import BM25, LEGS, SPOKEN, SWEEP, _legs, _sweep, corpus, query, table
 
 @query(r"SELECT page_id, 'made ' || page_id AS author, 'a,b' AS keywords, strftime(DATE '2024-01-01' + CAST(page_id % 365 AS INT), '%Y-%m-%d') AS publish_date FROM pages")
 def html_meta(spark, sf_dir):
@@ -59,7 +59,7 @@ def hybrid_search(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     chunks = corpus(spark, sf_dir).select("id", "text", "source").join(e, "id")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(e.withColumnRenamed("id", "query_id"), "query_id")
-    return hybrid.hybrid_search(chunks, asked, lexical.build_index(chunks))
+    return hybrid.hybrid_search(chunks, asked, lexical.build_index(chunks, path=fresh_dir(spark, "index")))
 
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS chunk_index FROM documents WHERE source IN ('src1', 'src2')")
@@ -69,13 +69,13 @@ def get_by_source(spark, sf_dir):
     return store.get_by_source(numbered, ["src1", "src2"])
 
 
-@query("SELECT source AS stem, max(doc_id) AS doc_id FROM documents WHERE source IS NOT NULL GROUP BY source")
+@query("SELECT source AS stem, max(doc_id) AS doc_id, arg_max(text, doc_id) AS text FROM documents WHERE source IS NOT NULL GROUP BY source")
 def write_parsed(spark, sf_dir):
     """The table written and read back: the last document of each stem."""
     path = fresh_dir(spark, "parsed")
     docs = table(spark, sf_dir, "documents").filter("source is not null")
     files.write_parsed(docs.select("doc_id", F.col("source").alias("stem"), F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("path"), "text"), path)
-    return spark.read.parquet(path).select("stem", "doc_id")
+    return spark.read.parquet(path).select("stem", "doc_id", "text")
 
 
 @query(BM25 + " SELECT * FROM top")
@@ -87,6 +87,44 @@ def save_and_load_index(spark, sf_dir):
     return lexical.bm25_search(files.load_index(spark, path), asked)
 
 
+@query("SELECT source, 'markdown' AS file_type, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents WHERE source IS NOT NULL GROUP BY source")
+def scan_corpus(spark, sf_dir):
+    """The documents written as text files, a folder a source, and scanned."""
+    path = fresh_dir(spark, "files")
+    table(spark, sf_dir, "documents").filter("source is not null").select("source", "text").write.partitionBy("source").text(path)
+    found = files.scan_corpus(spark, path).withColumn("source", F.regexp_extract("path", "source=([^/]+)/", 1))
+    return found.groupBy("source", "file_type").agg(F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+@query("SELECT doc_id AS id, source, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM documents")
+def write_chunks(spark, sf_dir):
+    """A chunk table written over an older one and added to, then read back."""
+    path, chunks = fresh_dir(spark, "chunks"), corpus(spark, sf_dir).select("id", "source")
+    files.write_chunks(chunks.limit(0), path)
+    files.write_chunks(chunks, path, clean=True)
+    files.write_chunks(chunks.filter("id % 2 = 0"), path)
+    return spark.read.parquet(path).groupBy("id", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(item_id AS INT) AS id, text AS question, 'src' || item_id || ',x' AS expected, CASE WHEN item_id % 2 = 0 THEN 'even' END AS category FROM benchmark")
+def read_eval_set(spark, sf_dir):
+    """The benchmark written as an evaluation set, one item a line, and read back."""
+    path, b = fresh_dir(spark, "eval-set"), table(spark, sf_dir, "benchmark")
+    made = b.select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.array(F.concat(F.lit("src"), F.col("item_id").cast("string")), F.lit("x")).alias("expected_sources"), F.when(F.col("item_id") % 2 == 0, "even").alias("category"))
+    made.write.json(path)
+    return files.read_eval_set(spark, path, lines=True).select("id", "question", F.array_join("expected_sources", ",").alias("expected"), "category")
+
+
+@query(f"WITH {SWEEP}, best AS (SELECT value FROM sweep ORDER BY recall_at_k DESC, value LIMIT 1) SELECT CAST(s.value AS BIGINT) AS value, round(recall_at_k, 4) AS recall_at_k, round(mrr, 4) AS mrr, CAST(failures AS BIGINT) AS failures, s.value = best.value AS best FROM sweep s, best")
+def write_report(spark, sf_dir):
+    """The report of a sweep with its best row, written as JSON and read back."""
+    path, sweep = fresh_dir(spark, "report"), _sweep(spark, sf_dir)
+    files.write_report(sweep, path, best=evaluation.best_param(sweep))
+    shape = "value double, recall_at_k double, mrr double, failures bigint"
+    best = spark.read.schema(shape).json(f"{path}-best").select("value", F.lit(True).alias("best"))
+    return spark.read.schema(shape).json(path).join(best, "value", "left").select(F.col("value").cast("bigint").alias("value"), "recall_at_k", "mrr", "failures", F.coalesce("best", F.lit(False)).alias("best"))
+
+
 def streamed(spark, rows, label):
     """``rows`` written as a table and read as a stream."""
     path = fresh_dir(spark, label)

@@ -41,9 +41,9 @@ def table_to_sentences(spark, sf_dir):
     return extract_tables(spark, sf_dir).select("source", T.table_to_sentences("markdown").alias("said"))
 
 
-@query("SELECT DISTINCT o_custkey AS source, 'Orders of ' || o_custkey AS section FROM orders")
+@query("SELECT DISTINCT o_custkey AS source, CAST(0 AS INT) AS table_no, 'Orders of ' || o_custkey AS section FROM orders")
 def table_section(spark, sf_dir):
-    return tables.process_tables(order_reports(spark, sf_dir)).select("source", "section")
+    return tables.process_tables(order_reports(spark, sf_dir)).select("source", "table_no", "section")
 
 
 @query("SELECT DISTINCT o_custkey AS source, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'q' || o_custkey END AS questions, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'k' || o_custkey || '=5' END AS keywords FROM orders")

@@ -45,12 +45,30 @@ def load_index(spark, path, names=("postings", "doc_len", "terms", "stats")):
 EVAL_ITEM = "id int, question string, expected_answer string, expected_sources array<string>, category string"
 
 
-def read_eval_set(spark, path):
-    """The items of a JSON array (or of JSON lines, one an item, where it is large)."""
-    return spark.read.schema(EVAL_ITEM).json(path, multiLine=True)
+def read_eval_set(spark, path, lines=False):
+    """The items of a JSON array, or of JSON lines, one an item."""
+    return spark.read.schema(EVAL_ITEM).json(path, multiLine=not lines)
 
 
-def write_report(report, path, digits=4):
-    """JSON lines, fractions rounded."""
+def write_report(report, path, digits=4, best=None):
+    """JSON lines, fractions rounded; the row of ``best`` (of a sweep) in a folder of its own."""
     rounded = [F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in report.dtypes]
     report.select(*rounded).write.mode("overwrite").json(path)
+    if best is not None:
+        write_report(best, f"{path}-best", digits)
+
+
+def ingest_report(docs, text_col="text"):
+    """One row: ``total_files``, ``processed``, ``failed`` (blank or of an unknown type, where
+    ``file_type`` is a column).  The failed ones themselves are rows: see ``failed_docs``."""
+    ok = _usable(docs, text_col)
+    return docs.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(ok).alias("processed"), F.count_if(~ok).alias("failed"))
+
+
+def failed_docs(docs, text_col="text"):
+    return docs.filter(~_usable(docs, text_col))
+
+
+def _usable(docs, text_col):
+    full = F.coalesce(strip(text_col) != "", F.lit(False))
+    return full & F.col("file_type").isNotNull() if "file_type" in docs.columns else full
