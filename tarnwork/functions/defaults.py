@@ -17,6 +17,9 @@ CATEGORIES = {
     "科技创新": ("科技", "创新", "研发", "专利", "技术", "人工智能", "数字化"),
 }
 
+# Words that mark a line as a title.
+TITLE_WORDS = ("关于", "办法", "通知", "意见", "方案", "规定", "条例", "公告", "计划")
+
 # How lines of site noise begin, on pages and in Markdown or plain text.
 PAGE_NOISE = (
     r"登录\s*\|?\s*注册", r"\d{4}年\d{1,2}月\d{1,2}日\s*星期", r"首页\s*Home", "政策文件库", "政策申报", "政策宣贯", "政策汇编",

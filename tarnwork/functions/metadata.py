@@ -2,16 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from .defaults import AUTHORITIES, CATEGORIES
-from .text import col, first, lines, strip
+from .defaults import AUTHORITIES, CATEGORIES, TITLE_WORDS
+from .text import col, first, let, lines, strip
 
 # Patterns of the document formats.
 DATE = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
+REGION = r"(?:^|\s)([一-鿿]{2,6}(?:省|自治区|直辖市))"
 NUMBER = r"[^\s,，。；\n〔\[]{2,20}[〔\[]\d{4}[〕\]]\d+号"
 
 
 def _found(c, pattern, group=0):
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    return let(F.regexp_extract(c, pattern, group), lambda x: F.nullif(x, F.lit("")))
 
 
 def normalize_date(c):
@@ -32,9 +33,9 @@ def policy_number(c):
 def issuing_authority(c, names=AUTHORITIES):
     """The first known name in the number's prefix, else in the head, else the source line."""
     known = F.array(*map(F.lit, names))
-    named = lambda where: first(F.filter(known, lambda a: F.contains(where, a)))
+    named = lambda where: let(where, lambda w: first(F.filter(known, lambda a: F.contains(w, a))))
     prefix = F.split(policy_number(c), r"[〔\[]")[0]
-    said = F.nullif(strip(F.regexp_extract(F.left(col(c), F.lit(300)), r"发布来源[:：][ \t]*(.+)", 1)), F.lit(""))
+    said = let(strip(F.regexp_extract(F.left(col(c), F.lit(300)), r"发布来源[:：][ \t]*(.+)", 1)), lambda x: F.nullif(x, F.lit("")))
     return F.coalesce(named(prefix), named(F.left(col(c), F.lit(500))), said)
 
 
@@ -48,9 +49,8 @@ def publish_date(c):
 def effective_date(c):
     """The date of the first ``自…起`` with the first of three verbs that occurs."""
     said = F.regexp_extract_all(col(c), F.lit(f"自{DATE}起(?:施行|执行|实施)"), F.lit(0))
-    ends = lambda verb: first(F.filter(said, lambda x: F.endswith(x, F.lit(verb))))
-    one = F.coalesce(*map(ends, ("施行", "执行", "实施")))
-    return _iso(_found(one, DATE))
+    ends = lambda found, verb: first(F.filter(found, lambda x: F.endswith(x, F.lit(verb))))
+    return _iso(_found(let(said, lambda found: F.coalesce(*(ends(found, verb) for verb in ("施行", "执行", "实施")))), DATE))
 
 
 def expiry_date(c):
@@ -59,11 +59,11 @@ def expiry_date(c):
 
 def applicable_region(c):
     head = F.left(col(c), F.lit(500))
-    place = _found(head, r"(?:^|\s)([一-鿿]{2,6}(?:省|自治区|直辖市))", 1)
+    place = _found(head, REGION, 1)
     return F.when(head.rlike("各省、自治区|全国|各地区"), F.lit("全国")).otherwise(place)
 
 
-def guess_title(c, words, least=5, long=10):
+def guess_title(c, words=TITLE_WORDS, least=5, long=10):
     fits = lambda x: (F.length(x) >= least) & ~x.rlike(r"^\d{4}年") & (x.rlike("|".join(words)) | (F.length(x) >= long))
     return first(F.filter(F.transform(lines(c), strip), fits))
 
@@ -71,12 +71,9 @@ def guess_title(c, words, least=5, long=10):
 def classify_category(title, c, keywords=CATEGORIES, other="其他"):
     """The category with most distinct keywords in title and head; ties by order."""
     where = F.concat_ws(" ", col(title), F.left(col(c), F.lit(1000)))
-    counts = {k: sum((F.contains(where, F.lit(w)).cast("int") for w in ws), F.lit(0)) for k, ws in keywords.items()}
-    most = F.greatest(*counts.values())
-    out = F.when(most == 0, F.lit(other))
-    for k, n in counts.items():
-        out = out.when(n == most, F.lit(k))
-    return out
+    counts = let(where, lambda w: F.array(*(sum((F.contains(w, F.lit(k)).cast("int") for k in ws), F.lit(0)) for ws in keywords.values())))
+    most = lambda n: F.when(F.array_max(n) == 0, F.lit(other)).otherwise(F.get(F.array(*map(F.lit, keywords)), F.array_position(n, F.array_max(n)).cast("int") - 1))
+    return let(counts, most)
 
 
 def missing_fields(fields):
@@ -118,3 +115,30 @@ def merge_metadata(parsed, matched, replied, fields, id_col="source"):
     joined = side(parsed, "p").join(side(matched, "m"), id_col, "left").join(side(replied, "r"), id_col, "left")
     values = lambda f: [F.col(f"{n}_{f}").cast("string") for n in "pmr" if f"{n}_{f}" in joined.columns] or [F.lit(None).cast("string")]
     return joined.select(id_col, *(first_present(*values(f)).alias(f) for f in fields))
+
+
+def _first_named(where, names):
+    """The first name, in list order, that a column holds; compiled, and done at the first."""
+    return F.coalesce(*(F.when(F.contains(where, F.lit(n)), F.lit(n)) for n in names))
+
+
+def extract_metadata(docs, text_col="text", title_words=TITLE_WORDS, names=AUTHORITIES, categories=CATEGORIES, other="其他"):
+    """The eight fields of every document, as columns beside those of ``docs``.
+
+    What several fields read (head, tail, number) is a column of its own first, so that no pattern
+    runs twice over a row and the searches for names stay compiled."""
+    t, hidden = F.col(text_col), ["_head", "_tail", "_wide", "_number", "_prefix", "_said", *(f"_n{i}" for i in range(len(categories)))]
+    rows = docs.withColumns({"_head": F.left(t, F.lit(500)), "_tail": F.right(t, F.lit(500)), "_wide": F.left(t, F.lit(1000))})
+    rows = rows.withColumns({"_number": F.regexp_extract("_head", NUMBER, 0), "_said": strip(F.regexp_extract(F.left("_head", F.lit(300)), r"发布来源[:：][ \t]*(.+)", 1))})
+    rows = rows.withColumn("_prefix", F.regexp_replace("_number", r"[〔\[].*", ""))
+    rows = rows.withColumns({"policy_number": F.nullif("_number", F.lit("")), "issuing_authority": F.coalesce(_first_named(F.col("_prefix"), names), _first_named(F.col("_head"), names), F.nullif("_said", F.lit("")))})
+    dates = lambda part: F.regexp_extract_all(part, F.lit(DATE), F.lit(0))
+    rows = rows.withColumns({"publish_date": _iso(F.coalesce(F.try_element_at(dates("_tail"), F.lit(-1)), first(dates("_head")))), "effective_date": effective_date(t), "expiry_date": expiry_date(t), "title": guess_title(t, title_words)})
+    place = _found(F.col("_head"), REGION, 1)
+    rows = rows.withColumn("applicable_region", F.when(F.col("_head").rlike("各省、自治区|全国|各地区"), F.lit("全国")).otherwise(place))
+    rows = rows.withColumns({f"_n{i}": sum((F.contains("_wide", F.lit(k)).cast("int") for k in ws), F.lit(0)) for i, ws in enumerate(categories.values())})
+    most = F.greatest(*(F.col(f"_n{i}") for i in range(len(categories)))) if len(categories) > 1 else F.col("_n0")
+    named = F.when(most == 0, F.lit(other))
+    for i, name in enumerate(categories):
+        named = named.when(F.col(f"_n{i}") == most, F.lit(name))
+    return rows.withColumn("category", named).drop(*hidden)

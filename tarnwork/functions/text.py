@@ -9,6 +9,11 @@ def col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c, use):
+    """``use`` of a column that is computed once per row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(col(c)), use), F.lit(0))
+
+
 def strip(c):
     """Without white space at both ends."""
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")

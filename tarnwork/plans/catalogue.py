@@ -158,18 +158,9 @@ strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS publish_date, strftime(CAST(o
 '全国' AS applicable_region, '关于融资支持的通知' AS title, '融资支持' AS category, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'issuing_authority' END AS missing FROM orders"""
 )
 def extract_metadata(spark, sf_dir):
-    found = notices(spark, sf_dir).select(
-        "o_orderkey",
-        M.policy_number("text").alias("policy_number"),
-        M.issuing_authority("text").alias("issuing_authority"),
-        M.publish_date("text").alias("publish_date"),
-        M.effective_date("text").alias("effective_date"),
-        M.expiry_date("text").alias("expiry_date"),
-        M.applicable_region("text").alias("applicable_region"),
-        M.guess_title("text", ["通知", "办法"]).alias("title"),
-        M.classify_category(F.lit(""), "text").alias("category"),
-    )
-    return found.withColumn("missing", F.array_join(M.missing_fields(found.columns[1:]), ","))
+    fields = ["policy_number", "issuing_authority", "publish_date", "effective_date", "expiry_date", "applicable_region", "title", "category"]
+    found = M.extract_metadata(notices(spark, sf_dir)).select("o_orderkey", *fields)
+    return found.withColumn("missing", F.array_join(M.missing_fields(fields), ","))
 
 
 CATS = {"sea": ["the", "of"], "hill": ["le", "que", "de"], "field": ["der", "die"]}
