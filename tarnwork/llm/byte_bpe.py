@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 WHITE = "\t-\r \x85\xa0  -     　"
+CACHE_SIZE = 450_000  # of a generation; an entry takes about 170 bytes
 CHUNK = 1 << 20  # characters whose new runs go to the library together
 # A run of letters ends before a mark; the mark begins a run of its own.
 RUN = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,;:!?|)])| ?[^{WHITE}]++|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -23,7 +24,7 @@ RUN = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,;:!?|)])| ?[^{WHITE}]++|[{WH
 class ByteBpe:
     """``encode(texts)`` gives each text's ids as the bytes of a little-endian array."""
 
-    def __init__(self, path, cache_size=150_000):
+    def __init__(self, path, cache_size=CACHE_SIZE):
         import json
         import os
 
@@ -75,10 +76,10 @@ class ByteBpe:
         return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join(map(get, r)) for t, w, r in zip(texts, whole, runs)]
 
 
-@lru_cache(maxsize=2)
-def shared(path):
+@lru_cache(maxsize=1)
+def shared(path, cache_size=CACHE_SIZE):
     """The worker's own encoder for this file: its cache serves all tasks of the worker."""
-    return ByteBpe(path)
+    return ByteBpe(path, cache_size)
 
 
 def encoded_rows(column, bpe, rows=512):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import encoded_rows
+from .byte_bpe import CACHE_SIZE, encoded_rows
 from .byte_bpe import shared as byte_bpe
 from .common import partitions, stage
 
@@ -46,7 +46,7 @@ def assign(lengths, capacity, linear=1.0, quadratic=1.0 / 1024):
     return out
 
 
-def pack(docs, tokenizer_path, end_id, capacity=1024, id_col="doc_id", text_col="text", linear=1.0, quadratic=1.0 / 1024, group_bytes=GROUP_BYTES):
+def pack(docs, tokenizer_path, end_id, capacity=1024, id_col="doc_id", text_col="text", linear=1.0, quadratic=1.0 / 1024, group_bytes=GROUP_BYTES, cache_size=CACHE_SIZE):
     """One row a piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset``.  Sequence ids are gapless from 0."""
     spark = docs.sparkSession
@@ -60,7 +60,7 @@ def pack(docs, tokenizer_path, end_id, capacity=1024, id_col="doc_id", text_col=
         return zlib.crc32(ids.astype("<u4").tobytes())
 
     def encode(batches):
-        bpe = byte_bpe(tokenizer_path)
+        bpe = byte_bpe(tokenizer_path, cache_size)
         end = bpe.pack([end_id])
         for batch in batches:
             out = {"i": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "rest": []}
@@ -82,7 +82,7 @@ def pack(docs, tokenizer_path, end_id, capacity=1024, id_col="doc_id", text_col=
 
     def place(batches):
         """Rows of a group are adjacent; full pieces (no ``rest``) come first."""
-        dtype = byte_bpe(tokenizer_path).dtype
+        dtype = byte_bpe(tokenizer_path, cache_size).dtype
         held, name, sequence = [], None, 0
 
         def flush():

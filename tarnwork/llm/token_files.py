@@ -32,6 +32,7 @@ from .common import fresh_dir, mix64, partitions, stage
 
 GAMMA = 2.0
 READ_IDS = 1 << 20
+CACHE_SIZE = 900_000  # runs that a worker remembers, in each of two generations
 MAGIC = b"TKIX0002"
 MOST_LEVELS = 60
 HEADER = struct.Struct(f"<8sQQQ8sQ{MOST_LEVELS}Q")  # magic, documents, null ids, seed, dtype, levels, their sizes in blocks
@@ -172,7 +173,7 @@ def filesystem(uri):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_shards(docs, tokenizer_path, end_id, id_col="doc_id", text_col="text", shards=None):
+def write_token_shards(docs, tokenizer_path, end_id, id_col="doc_id", text_col="text", shards=None, cache_size=CACHE_SIZE):
     """Encode, append ``end_id`` and write; returns the manifest, a row a shard."""
     spark = docs.sparkSession
     root = fresh_dir(spark, "token-shards")
@@ -186,7 +187,7 @@ def write_token_shards(docs, tokenizer_path, end_id, id_col="doc_id", text_col="
         fs, path = filesystem(root)
         fs.create_dir(path, recursive=True)
         name = f"{path}/{shard:06d}-{uuid.uuid4().hex}"
-        bpe = byte_bpe(tokenizer_path)
+        bpe = byte_bpe(tokenizer_path, cache_size)
         end = bpe.pack([end_id])
         ids, valid, lengths = [], [], []
         with fs.open_output_stream(name + ".ids") as out:
