@@ -36,7 +36,7 @@ def leaks_stage(spark, docs, sf_dir):
 
 def packing_stage(spark, docs, sf_dir):
     """Pieces of the documents in sequences of 1024 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, cache_size=200_000)
 
 
 STAGES = [
