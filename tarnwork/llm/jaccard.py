@@ -299,9 +299,12 @@ def jaccard_groups(docs, k=3, num=90, den=100, id_col="doc_id", text_col="text",
 
     # First product: each entry of a column with the one before it.  Rows of one size are
     # ordered by another hash in each column, so that a row meets other rows in each.
+    # Columns of one entry give no pair; the others are staged for both products.
     entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = entries.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1")
+    shared = stage(shared.select("key", "cid", "n", "pos"), "jaccard-entries")
     near = Window.partitionBy("key").orderBy("n", F.xxhash64("cid", "key"), "cid")
-    first = entries.withColumn("a", F.lag("cid").over(near)).withColumn("m", F.lag("n").over(near)).withColumn("q", F.lag("pos").over(near)).filter(f"a is not null and {den} * m >= {num} * n")
+    first = shared.withColumn("a", F.lag("cid").over(near)).withColumn("m", F.lag("n").over(near)).withColumn("q", F.lag("pos").over(near)).filter(f"a is not null and {den} * m >= {num} * n")
     first = first.filter(f"least(n - pos, m - q) >= ((n + m) * {num} + {den + num - 1}) div {den + num}")
     first = first.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
     pairs = stage(candidates_between(first, classes, num, den), "jaccard-pairs")
@@ -309,9 +312,8 @@ def jaccard_groups(docs, k=3, num=90, den=100, id_col="doc_id", text_col="text",
     labels = components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
 
     # Second product: all columns that can matter, between first components.
-    marked = classes.select("cid", "n", "prefix").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    entries = marked.select("cid", "n", "comp", F.posexplode("prefix").alias("pos", "key"))
-    second = stage(cross_pairs(entries, classes, num, den, block), "jaccard-pairs")
+    marked = shared.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    second = stage(cross_pairs(marked, classes, num, den, block), "jaccard-pairs")
     links = links.unionByName(stage(verify(second, classes, docs, id_col, text_col, k, num, den), "jaccard-links"))
 
     labels = components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
