@@ -47,10 +47,24 @@ def small_batches(spark, rows=BATCH_ROWS):
         spark.conf.set(BATCH_SETTING, before)
 
 
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark):
+    """Shuffle files of an action of ours go when it ends: nothing reads them again."""
+    before = spark.conf.get(CLEAN_SETTING, "false")
+    spark.conf.set(CLEAN_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_SETTING, before)
+
+
 def stage(df, label):
     """Write ``df`` to the shared folder and read it back."""
     path = fresh_dir(df.sparkSession, label)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession), shuffles_removed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
