@@ -6,7 +6,8 @@ them; runs of blanks; line feeds) whose token counts add up exactly.  Lengths of
 units are looked up in two tiers inside each task: a table of frequent units,
 broadcast, then a cache in the worker that is filled by the library.  Units of texts are
 not shuffled.  To choose the frequent ones each task sums up all its texts in one row of
-at most ``table_size`` units, and such rows are merged in a tree.
+at most ``table_size`` units of fewer than UNIT_LIMIT characters (longer ones are left to the
+caches), and such rows are merged in a tree down to one, which the driver reads.
 
 Nulls count as empty texts (0 tokens).  Rows are independent: ties, repeated rows
 and other columns change nothing, an empty table gives an empty result.
@@ -23,6 +24,7 @@ from .common import stage
 TABLE_SIZE = 32_768
 CACHE_SIZE = 500_000
 FAN_IN = 64
+UNIT_LIMIT = 256
 UNIT = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n")
 
 
@@ -88,7 +90,7 @@ def frequent_units(docs, text_col="text", table_size=TABLE_SIZE):
         counts = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(units(text))
+                counts.update(u for u in units(text) if len(u) < UNIT_LIMIT)
                 if len(counts) > 8 * table_size:
                     counts = trim(counts, 2 * table_size)
         if counts:
@@ -107,16 +109,13 @@ def frequent_units(docs, text_col="text", table_size=TABLE_SIZE):
     level = docs.select(F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(summarise, schema)
     size = level.rdd.getNumPartitions()
     level = stage(level, "unit-summaries")
-    while size > FAN_IN:
+    while size > 1:
         # A tree: FAN_IN neighbours a group, so that no task reads more than FAN_IN summaries.
         size = -(-size // FAN_IN)
         groups = level.withColumn("slot", F.expr(f"slot div {FAN_IN}").cast("int")).repartitionByRange(size, "slot").sortWithinPartitions("slot")
         level = stage(groups.mapInArrow(by_slot(merge), schema), "unit-summaries")
-    total = Counter()
-    for row in level.toLocalIterator():  # FAN_IN rows at most
-        total.update(dict(zip(row["units"], row["counts"])))
-        total = trim(total, 4 * table_size)
-    return [u for u, _ in total.most_common(table_size)]
+    last = level.collect()  # one row, or none for an empty table
+    return [u for row in last for u in row["units"]]
 
 
 def by_slot(merge):
@@ -141,12 +140,12 @@ def token_counts(docs, model_path, id_col="doc_id", text_col="text", limit=4096,
     """One row a document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
     ``model_path`` is read by every executor.  The broadcast table holds
-    ``table_size`` units at most, whatever the input.
+    ``table_size`` units of fewer than UNIT_LIMIT characters at most, whatever the input.
     """
     spark = docs.sparkSession
     check_model(model_path)
     blank = UnitLengths({}, model_path)
-    table = spark.sparkContext.broadcast({u: blank.encode(u) for u in frequent_units(docs, text_col, table_size) if len(u) < 256})
+    table = spark.sparkContext.broadcast({u: blank.encode(u) for u in frequent_units(docs, text_col, table_size)})
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def count(batches):

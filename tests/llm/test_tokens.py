@@ -183,3 +183,10 @@ def test_packing(spark, docs):
 def test_assign_prefers_the_cheapest():
     out = packing.assign([6, 5, 5, 4], 10)
     assert {(i, b) for i, _, _, b, _ in out} == {(0, 0), (1, 1), (2, 1), (3, 0)}
+
+
+def test_long_units_stay_out_of_the_summaries(spark):
+    docs = spark.createDataFrame([(i, "short " + "x" * 5000 + " y" * 3) for i in range(20)], "doc_id bigint, text string").repartition(5)
+    got = token_counts.frequent_units(docs, table_size=50)
+    assert sorted(got) == [" short", " y"]
+    assert token_counts.frequent_units(docs.limit(0), table_size=50) == []
