@@ -2,7 +2,9 @@
 
 import public_tokenizers
 
-from . import decontamination, html_text, jaccard, packing, quality, sharding, substrings, token_counts, token_files, warc
+from pyspark.sql import functions as F
+
+from . import alignment, decontamination, html_text, jaccard, packing, quality, rank_bpe, sharding, substrings, token_counts, token_files, vector_codes, warc
 
 
 def _table(spark, sf_dir, name):
@@ -62,8 +64,27 @@ def op10_substrings(spark, sf_dir):
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_vector_codes(spark, sf_dir):
+    """Method: memoised grid cells with the entries that nothing dominates in their box."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark, sf_dir):
+    """Method: each distinct text tokenised and aligned once, counts weighted by its copies."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), *paths, groups="sha256").withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_rank_bpe(spark, sf_dir):
+    """Method: a sentencepiece BPE model written from the ranks; decoding by the inverse map."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = rank_bpe.decode_ids(rank_bpe.encode_texts(_table(spark, sf_dir, "documents"), *ranks), *ranks)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_token_files, op4_jaccard, op5_warc, op6_packing, op7_quality_rules, op8_html_text, op9_decontamination, op10_substrings)}
+    made = (op1_token_counts, op2_sharding, op3_token_files, op4_jaccard, op5_warc, op6_packing, op7_quality_rules, op8_html_text, op9_decontamination, op10_substrings, op11_vector_codes, op12_alignment, op13_rank_bpe)
+    return {f.__name__: f for f in made}
 
 
 # Pages whose payload repeats revisit the largest page_id among them.
