@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .lexical import bm25_search, top_k
+from .lexical import bm25_search, tokenize, top_k
+from .limited import limited_topk, matching
 from .vectors import vector_topk
 
 
@@ -39,22 +40,42 @@ def resolve_parents(hits, parents):
     return top_k(found.unionByName(alone), 2**31 - 1, "query_id", F.desc("rrf_score"), F.col("first")).select("query_id", "id", "rrf_score", "rank")
 
 
-def hybrid_search(chunks, queries, index, keep=None, score=None, top=7, leg_top=20, k=60, parents=None):
+def hybrid_search(chunks, queries, index, keep=None, score=None, top=7, leg_top=20, k=60, parents=None, limits=False, filter_legs=("vector",)):
     """Vector and lexical legs over ``chunks`` (id, text, embedding, perhaps parent_id), fused.
 
-    ``queries``: query_id, query, embedding.  ``keep``: predicate on the chunks (see
-    ``metadata_filter``); the index is built over those it keeps.  ``score``: a function that
-    adds ``rerank_score`` to (query_id, query, id, text, rrf_score); with it ten fused hits are scored."""
+    ``queries``: query_id, query, embedding.  ``keep``: a predicate on the chunks (see
+    ``metadata_filter``); ``limits``: whether the queries carry limits of their own (see
+    ``limited``).  Both hold for the legs that ``filter_legs`` names ("vector", "bm25"); a leg
+    that is not named may return chunks that they reject, and the index keeps the statistics
+    of all its chunks.  ``score``: a function that adds ``rerank_score`` to (query_id, query, id,
+    text, rrf_score), as ``overlap_score``; with it ten fused hits are scored."""
     kept = chunks if keep is None else chunks.filter(keep)
-    near = vector_topk(kept, queries, leg_top).select("query_id", F.lit(0).alias("leg"), "id", "rank")
-    said = bm25_search(index, queries, leg_top).select("query_id", F.lit(1).alias("leg"), "id", "rank")
-    hits = rrf_merge(near.unionByName(said), k, top if score is None else 10)
+    if "vector" not in filter_legs:
+        near = vector_topk(chunks, queries, leg_top)
+    else:
+        near = limited_topk(kept, queries, leg_top) if limits else vector_topk(kept, queries, leg_top)
+
+    def admitted_hits(hits):
+        hits = hits.join(kept.select("id"), "id", "left_semi") if keep is not None else hits
+        return hits.join(matching(kept, queries), ["query_id", "id"], "left_semi") if limits else hits
+
+    said = bm25_search(index, queries, leg_top, keep=admitted_hits if "bm25" in filter_legs else None)
+    legs = near.select("query_id", F.lit(0).alias("leg"), "id", "rank").unionByName(said.select("query_id", F.lit(1).alias("leg"), "id", "rank"))
+    hits = rrf_merge(legs, k, top if score is None else 10)
     if score is not None:
-        pairs = hits.join(kept.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
+        pairs = hits.join(chunks.select("id", "text"), "id").join(queries.select("query_id", "query"), "query_id")
         hits = rerank_scored(score(pairs), top).select("query_id", "id", "rrf_score", "rerank_score", "rank")
     if parents is None:
         return hits
-    return resolve_parents(hits.join(kept.select("id", "parent_id"), "id"), parents)
+    return resolve_parents(hits.join(chunks.select("id", "parent_id"), "id"), parents)
+
+
+def overlap_score(pairs):
+    """``rerank_score``: the share of the query's different tokens that the text has (0 without
+    tokens): the pair scorer where no model is plugged in."""
+    asked = F.array_distinct(tokenize("query"))
+    share = F.size(F.array_intersect(asked, tokenize("text"))) / F.greatest(F.size(asked), F.lit(1))
+    return pairs.withColumn("rerank_score", F.coalesce(F.round(share, 6), F.lit(0.0)))
 
 
 def shown_score(columns):
@@ -87,16 +108,3 @@ def metadata_filter(date_from=None, date_to=None, issuing_authority=None, catego
     if category:
         out &= F.col("category") == category
     return out
-
-
-def query_filter(chunk="c", asked="q"):
-    """The same as a join condition with limits of each query: nullable columns ``date_from``,
-    ``date_to``, ``issuing_authority`` and ``category`` of the queries; null or empty ones are ignored."""
-    c, q = (lambda name, side=side: F.col(f"{side}.{name}") for side in (chunk, asked))
-    free = lambda name: F.coalesce(q(name), F.lit("")) == ""
-    pairs = [("date_from", c("publish_date") >= q("date_from")), ("date_to", c("publish_date") <= q("date_to"))]
-    pairs += [(name, c(name) == q(name)) for name in ("issuing_authority", "category")]
-    out = c("role") == "child"
-    for name, met in pairs:
-        out &= free(name) | F.coalesce(met, F.lit(False))
-    return out

@@ -81,9 +81,11 @@ def scored(index, queries, id_col="id", query_id="query_id", query_text="query")
     return hit.groupBy(query_id, id_col).agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)), 6).alias("score")).filter("score > 0")
 
 
-def bm25_search(index, queries, k=20, id_col="id", query_id="query_id", query_text="query"):
-    """Top ``k`` chunks of each query with ``score`` and ``rank``; ties by id."""
-    return top_k(scored(index, queries, id_col, query_id, query_text), k, query_id, F.desc("score"), F.col(id_col))
+def bm25_search(index, queries, k=20, id_col="id", query_id="query_id", query_text="query", keep=None):
+    """Top ``k`` chunks of each query with ``score`` and ``rank``; ties by id.  ``keep`` takes all
+    scored hits (query, id, score) and gives those that may be returned."""
+    hits = scored(index, queries, id_col, query_id, query_text)
+    return top_k(hits if keep is None else keep(hits), k, query_id, F.desc("score"), F.col(id_col))
 
 
 def top_k(hits, k, query_id, *order):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..folders import stage
 from .lexical import top_k
+from .nearest import matrix
 
 BLOCK = 4096
 
@@ -55,12 +56,13 @@ def vector_topk(vectors, queries, k=20, id_col="id", query_id="query_id", vector
     Queries go in blocks of at most ``block`` rows, one broadcast and one scan a block; where
     there are several, the hits of each are staged before the next is sent, so that the driver
     and the executors hold one block at a time.  Every partition keeps its own top ``k`` of each
-    query, and only those are shuffled.  Ids may have any type; null vectors match nothing."""
+    query, and only those are shuffled.  Ids may have any type.  Vectors match only those of their
+    own length; null vectors, empty ones and those that hold nulls match nothing."""
     spark, parts, asked = vectors.sparkSession, [], queries.select(query_id, vector_col).filter(F.col(vector_col).isNotNull())
     rows = asked.toLocalIterator()
     held = list(islice(rows, block))
     while True:
-        shared = spark.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], np.float64)))
+        shared = spark.sparkContext.broadcast(_by_width(held))
         hits = _against(vectors, shared, asked.schema[query_id].dataType, k, id_col, query_id, vector_col, exclude_self)
         held = list(islice(rows, block)) if len(held) == block else []
         if held or parts:
@@ -75,6 +77,15 @@ def vector_topk(vectors, queries, k=20, id_col="id", query_id="query_id", vector
     return best.select(query_id, id_col, F.round("exact", 4).alias("score"), "rank")
 
 
+def _by_width(asked):
+    """[(names, matrix)] of the rows (name, vector), a pair for each length."""
+    widths = {}
+    for name, vector in asked:
+        if vector and None not in vector:
+            widths.setdefault(len(vector), []).append((name, vector))
+    return [([n for n, _ in rows], np.array([v for _, v in rows], np.float64)) for rows in widths.values()]
+
+
 def _against(vectors, shared, query_type, k, id_col, query_id, vector_col, exclude_self):
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -82,25 +93,29 @@ def _against(vectors, shared, query_type, k, id_col, query_id, vector_col, exclu
     types = [to_arrow_type(query_type), to_arrow_type(id_type), pa.float64()]
 
     def run(batches):
-        names, matrix = shared.value
-        best = [(np.zeros(0), None)] * len(names)
+        asked = shared.value
+        best = [[(np.zeros(0), None)] * len(names) for names, _ in asked]
         for batch in batches:
-            if not batch.num_rows or not names:
+            if not batch.num_rows:
                 continue
-            ids = np.array(batch.column(0).to_pylist())
-            scores = matrix @ np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1).T
-            if exclude_self:
-                scores[np.array(names)[:, None] == ids[None, :]] = -np.inf
-            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(names), -np.inf)
-            for q, (old_s, old_i) in enumerate(best):
-                floor = max(least[q], old_s[-1]) if len(old_s) == k else least[q]
-                at = np.flatnonzero((scores[q] >= floor) & np.isfinite(scores[q]))
-                if len(at):
-                    s = np.concatenate([old_s, scores[q, at]])
-                    i = ids[at] if old_i is None else np.concatenate([old_i, ids[at]])
-                    order = np.lexsort((i, -s))[:k]
-                    best[q] = (s[order], i[order])
-        rows = [(n, i, s) for n, (s_, i_) in zip(names, best) if i_ is not None for i, s in zip(i_.tolist(), s_.tolist())]
+            every = np.array(batch.column(0).to_pylist())
+            for (names, queries), best_here in zip(asked, best):
+                at, vectors = matrix(batch.column(1), queries.shape[1])
+                if not len(at):
+                    continue
+                ids, scores = every[at], queries @ vectors.T
+                if exclude_self:
+                    scores[np.array(names)[:, None] == ids[None, :]] = -np.inf
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(names), -np.inf)
+                for q, (old_s, old_i) in enumerate(best_here):
+                    floor = max(least[q], old_s[-1]) if len(old_s) == k else least[q]
+                    at = np.flatnonzero((scores[q] >= floor) & np.isfinite(scores[q]))
+                    if len(at):
+                        s = np.concatenate([old_s, scores[q, at]])
+                        i = ids[at] if old_i is None else np.concatenate([old_i, ids[at]])
+                        order = np.lexsort((i, -s))[:k]
+                        best_here[q] = (s[order], i[order])
+        rows = [(n, i, s) for (names, _), found in zip(asked, best) for n, (s_, i_) in zip(names, found) if i_ is not None for i, s in zip(i_.tolist(), s_.tolist())]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["q", "i", "s"])
 

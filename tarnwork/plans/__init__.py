@@ -1,3 +1,3 @@
 """Registered queries and their SQL."""
 
-from . import catalogue, pages, structure  # noqa: F401  (the other two register their queries)
+from . import catalogue, pages, search, structure  # noqa: F401  (the others register their queries)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..folders import fresh_dir, stage
 from ..functions import metadata as M
 from ..functions import text as T
-from ..operators import cache, chunking, conversation, evaluation, hybrid, lexical, sections, store, vectors
+from ..operators import cache, chunking, conversation, evaluation, hybrid, lexical, limited, sections, store, vectors
 from ..sources import files
 
 QUERIES, SQL = {}, {}
@@ -280,16 +280,24 @@ def store_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH d AS (SELECT doc_id, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') AS p, source, lang FROM documents), q AS (SELECT item_id, '2024-0' || (item_id % 8 + 1) || '-01' AS f, CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 20) END AS s, CASE WHEN item_id % 3 = 0 THEN 'de' ELSE '' END AS l FROM benchmark) SELECT item_id AS query_id, count(*) AS n FROM q JOIN d ON p >= f AND (s IS NULL OR s = source) AND (l = '' OR l = lang) GROUP BY 1")
-def query_filter(spark, sf_dir):
-    """Limits of each query: how many documents it may find."""
-    d = _dated(spark, sf_dir)
+LIMITED = """d AS (SELECT *, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') AS p FROM documents),
+lq AS (SELECT *, '2024-0' || (item_id % 8 + 1) || '-01' AS f, CASE WHEN item_id % 5 = 0 THEN '2024-11-30' END AS t, CASE WHEN item_id % 2 = 0 THEN 'src' || (item_id % 20) END AS s, CASE WHEN item_id % 3 = 0 THEN 'de' ELSE '' END AS l FROM benchmark),
+lim AS (SELECT item_id AS query_id, doc_id AS id FROM lq JOIN d ON p >= f AND (t IS NULL OR p <= t) AND (s IS NULL OR s = source) AND (l = '' OR l = lang))"""
+
+
+def limited_items(spark, sf_dir):
+    """The benchmark items as queries with limits of their own."""
     k = F.col("item_id")
-    q = table(spark, sf_dir, "benchmark").select(
-        k.alias("query_id"), F.concat(F.lit("2024-0"), (k % 8 + 1).cast("string"), F.lit("-01")).alias("date_from"), F.lit(None).cast("string").alias("date_to"),
-        F.when(k % 2 == 0, F.concat(F.lit("src"), (k % 20).cast("string"))).alias("issuing_authority"), F.when(k % 3 == 0, "de").otherwise("").alias("category"),
+    return table(spark, sf_dir, "benchmark").select(
+        k.alias("query_id"), F.col("text").alias("query"), F.concat(F.lit("2024-0"), (k % 8 + 1).cast("string"), F.lit("-01")).alias("date_from"),
+        F.when(k % 5 == 0, "2024-11-30").alias("date_to"), F.when(k % 2 == 0, F.concat(F.lit("src"), (k % 20).cast("string"))).alias("issuing_authority"), F.when(k % 3 == 0, "de").otherwise("").alias("category"),
     )
-    return d.alias("c").join(q.alias("q"), hybrid.query_filter()).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LIMITED} SELECT query_id, count(*) AS n FROM lim GROUP BY 1")
+def query_filter(spark, sf_dir):
+    """Limits of each query: how many documents it may find."""
+    return limited.matching(_dated(spark, sf_dir), limited_items(spark, sf_dir), "doc_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id FROM documents WHERE strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INT), '%Y-%m-%d') BETWEEN '2024-03-01' AND '2024-08-31' AND source = 'src3' AND lang = 'en'")
