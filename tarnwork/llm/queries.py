@@ -77,8 +77,7 @@ def op12_alignment(spark, sf_dir):
 
 def op13_rank_bpe(spark, sf_dir):
     """Method: a sentencepiece BPE model written from the ranks; decoding by the inverse map."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = rank_bpe.decode_ids(rank_bpe.encode_texts(_table(spark, sf_dir, "documents"), *ranks), *ranks)
+    coded = rank_bpe.encode_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

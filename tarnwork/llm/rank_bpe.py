@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import RUN, WHITE
 from .memo import Memo, slices
 
-ENTRIES = 400_000  # runs of a generation of the memo
+ENTRIES = 250_000  # runs of a generation of the memo
 BYTES = [chr(0x100 + b) for b in range(256)]
 ROWS = 512
 
@@ -136,7 +136,12 @@ class RankBpe:
             yield from [b"".join(map(get, r)) for r in runs]
 
     def decode(self, ids):
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decode(self.tokens, ids)
+
+
+def decode(tokens, ids):
+    """The bytes that ids (little-endian unsigned 32-bit) stand for; ``tokens``: id -> bytes."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=1)
@@ -145,30 +150,38 @@ def shared(path, pattern):
     return RankBpe(path, pattern)
 
 
-def encode_texts(docs, path, pattern, id_col="doc_id", text_col="text"):
+@lru_cache(maxsize=1)
+def shared_tokens(path):
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def encode_texts(docs, path, pattern, id_col="doc_id", text_col="text", decoded=False):
     """One row a document: its id, ``n_tokens`` and ``ids`` (binary, little-endian unsigned
-    32-bit integers).  Every executor reads ``path``."""
+    32-bit integers); with ``decoded`` also the bytes that these ids stand for, in the same
+    pass.  Every executor reads ``path``."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded
 
     def encode(batches):
         bpe = shared(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = pa.array(bpe.encode(part.column(1).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i.as_py()) // 4 for i in ids], pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
+                ids = list(bpe.encode(part.column(1).to_pylist()))
+                columns = [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(map(bpe.decode, ids), pa.binary())] if decoded else []), names)
 
-    coded = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, f"doc_id {id_type}, n_tokens bigint, ids binary")
-    return coded.withColumnRenamed("doc_id", id_col)
+    schema = f"doc_id {id_type}, n_tokens bigint, ids binary" + ", decoded binary" * decoded
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema).withColumnRenamed("doc_id", id_col)
 
 
-def decode_ids(coded, path, pattern, ids_col="ids"):
+def decode_ids(coded, path, ids_col="ids"):
     """``coded`` with the column ``decoded``: the bytes (binary) that its ids stand for.  Null
     ids give null."""
 
     @F.pandas_udf("binary")
-    def decoded(ids):
-        decode = shared(path, pattern).decode
-        return ids.map(decode, na_action="ignore")
+    def run(ids):
+        tokens = shared_tokens(path)
+        return ids.map(lambda i: decode(tokens, i), na_action="ignore")
 
-    return coded.withColumn("decoded", decoded(F.col(ids_col)))
+    return coded.withColumn("decoded", run(F.col(ids_col)))

@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from test_tokens import ODD, texts
 from tokenizers import Tokenizer
 
@@ -188,7 +189,10 @@ def test_rank_bpe_equals_the_library(spark):
     signs = [chr(c) for c in [*range(0x3000), *range(0x10000, 0x12000), *range(0x1D400, 0x1D800), *range(0xA000, 0xA800)]]
     every = texts(9, 300) + ["".join(r.choices(signs, k=60)) for _ in range(400)] + [None, "", "x" * 20_000 + " " + "字" * 20_000]
     made = spark.createDataFrame([(i // 2 if i % 5 else None, t, "x") for i, t in enumerate(every)], "doc_id int, text string, ids string").repartition(3)
-    coded = rank_bpe.decode_ids(rank_bpe.encode_texts(made, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
+    coded = rank_bpe.encode_texts(made, RANKS, P.PATTERN, decoded=True)
+    again = rank_bpe.decode_ids(coded.select("ids", F.col("decoded").alias("before")), RANKS)
+    assert again.filter("decoded <> before").count() == 0 and again.count() == made.count()
+    coded = coded.collect()
     ids = lambda t: np.array(known.encode_ordinary(t or ""), "<u4").tobytes()
     want = Counter((i, len(ids(t)) // 4, ids(t), (t or "").encode()) for i, t, _ in made.collect())
     assert Counter((x["doc_id"], x["n_tokens"], bytes(x["ids"]), bytes(x["decoded"])) for x in coded) == want
