@@ -1,15 +1,14 @@
 """Metadata by pattern: numbers, dates, authorities, regions, categories."""
 
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .defaults import AUTHORITIES, CATEGORIES, TITLE_WORDS
+from .scan import DATE, FIELDS, NUMBER, REGION, Scanner
 from .text import col, first, let, lines, strip
 
-# Patterns of the document formats.
-DATE = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
-REGION = r"(?:^|\s)([一-鿿]{2,6}(?:省|自治区|直辖市))"
-NUMBER = r"[^\s,，。；\n〔\[]{2,20}[〔\[]\d{4}[〕\]]\d+号"
-
 
 def _found(c, pattern, group=0):
     return let(F.regexp_extract(c, pattern, group), lambda x: F.nullif(x, F.lit("")))
@@ -117,28 +116,23 @@ def merge_metadata(parsed, matched, replied, fields, id_col="source"):
     return joined.select(id_col, *(first_present(*values(f)).alias(f) for f in fields))
 
 
-def _first_named(where, names):
-    """The first name, in list order, that a column holds; compiled, and done at the first."""
-    return F.coalesce(*(F.when(F.contains(where, F.lit(n)), F.lit(n)) for n in names))
+def extract_metadata(docs, text_col="text", title_words=TITLE_WORDS, names=AUTHORITIES, categories=CATEGORIES, other="其他"):
+    """The eight fields of every document, as columns beside those of ``docs``: one pass over each
+    text in Arrow batches (``scan.Scanner``); only the texts go to Python.  Null where there is
+    none; all null for a null text."""
+    struct = ", ".join(f"{f} string" for f in FIELDS)
+    settings = tuple(names), tuple((k, tuple(v)) for k, v in categories.items()), tuple(title_words), other
 
+    @F.arrow_udf(f"struct<{struct.replace(' string', ':string')}>")
+    def found(texts: pa.Array) -> pa.Array:
+        scan = _scanner(*settings).fields
+        rows = [scan(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] or [pa.array([], pa.string())] * len(FIELDS), list(FIELDS))
 
-def extract_metadata(docs, text_col="text", title_words=TITLE_WORDS, names=AUTHORITIES, categories=CATEGORIES, other="其他"):
-    """The eight fields of every document, as columns beside those of ``docs``.
-
-    What several fields read (head, tail, number) is a column of its own first, so that no pattern
-    runs twice over a row and the searches for names stay compiled."""
-    t, hidden = F.col(text_col), ["_head", "_tail", "_wide", "_number", "_prefix", "_said", *(f"_n{i}" for i in range(len(categories)))]
-    rows = docs.withColumns({"_head": F.left(t, F.lit(500)), "_tail": F.right(t, F.lit(500)), "_wide": F.left(t, F.lit(1000))})
-    rows = rows.withColumns({"_number": F.regexp_extract("_head", NUMBER, 0), "_said": strip(F.regexp_extract(F.left("_head", F.lit(300)), r"发布来源[:：][ \t]*(.+)", 1))})
-    rows = rows.withColumn("_prefix", F.regexp_replace("_number", r"[〔\[].*", ""))
-    rows = rows.withColumns({"policy_number": F.nullif("_number", F.lit("")), "issuing_authority": F.coalesce(_first_named(F.col("_prefix"), names), _first_named(F.col("_head"), names), F.nullif("_said", F.lit("")))})
-    dates = lambda part: F.regexp_extract_all(part, F.lit(DATE), F.lit(0))
-    rows = rows.withColumns({"publish_date": _iso(F.coalesce(F.try_element_at(dates("_tail"), F.lit(-1)), first(dates("_head")))), "effective_date": effective_date(t), "expiry_date": expiry_date(t), "title": guess_title(t, title_words)})
-    place = _found(F.col("_head"), REGION, 1)
-    rows = rows.withColumn("applicable_region", F.when(F.col("_head").rlike("各省、自治区|全国|各地区"), F.lit("全国")).otherwise(place))
-    rows = rows.withColumns({f"_n{i}": sum((F.contains("_wide", F.lit(k)).cast("int") for k in ws), F.lit(0)) for i, ws in enumerate(categories.values())})
-    most = F.greatest(*(F.col(f"_n{i}") for i in range(len(categories)))) if len(categories) > 1 else F.col("_n0")
-    named = F.when(most == 0, F.lit(other))
-    for i, name in enumerate(categories):
-        named = named.when(F.col(f"_n{i}") == most, F.lit(name))
-    return rows.withColumn("category", named).drop(*hidden)
+    rows = docs.drop(*FIELDS).withColumn("_found", found(F.col(text_col)))
+    return rows.select(*(c for c in rows.columns if c != "_found"), "_found.*")
+
+
+@lru_cache(maxsize=4)
+def _scanner(names, categories, title_words, other):
+    return Scanner(names, dict(categories), title_words, other)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..folders import fresh_dir, stage
 from ..functions import metadata as M
 from ..functions import text as T
+from ..functions.defaults import AUTHORITIES, CATEGORIES
 from ..operators import cache, chunking, conversation, evaluation, hybrid, lexical, limited, sections, store, vectors
 from ..sources import files
 
@@ -142,20 +143,46 @@ def html_text(spark, sf_dir):
 
 # ---- metadata of notices composed from orders
 
+NAMED = ("某局", *AUTHORITIES)
+SUBJECTS = ("事项", *(w for words in CATEGORIES.values() for w in words))
+_D = "CAST(o_orderdate AS DATE)"
+NOTICES = f"""n AS (SELECT o_orderkey, o_orderdate, {list(NAMED)!r}[o_orderkey % 33 + 1] AS name, CASE WHEN o_orderkey % 5 = 0 THEN {list(NAMED)!r}[(o_orderkey * 7 + 3) % 33 + 1] || '发' ELSE '财金' END AS prefix,
+'关于' || {list(SUBJECTS)!r}[o_orderkey % 36 + 1] || '和' || {list(SUBJECTS)!r}[(o_orderkey * 5 + 1) % 36 + 1] || '的通知' AS title,
+CASE o_orderkey % 4 WHEN 0 THEN '全国适用。' WHEN 1 THEN '各地区执行。' WHEN 2 THEN '浙江省' ELSE '' END AS region, ['施行', '执行', '实施'][o_orderkey % 3 + 1] AS verb FROM orders),
+t AS (SELECT *, title || chr(10) || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE prefix || '〔2024〕' || o_orderkey || '号' || chr(10) END || CASE WHEN o_orderkey % 33 = 0 THEN '发布来源：' ELSE '' END || name || chr(10) || region AS said FROM n)"""
+
+
 def notices(spark, sf_dir):
-    o, d = table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date")
-    day = lambda c: F.concat(F.year(c).cast("string"), F.lit("年"), F.month(c).cast("string"), F.lit("月"), F.day(c).cast("string"), F.lit("日"))
-    key = F.col("o_orderkey").cast("string")
+    """Notices that name every authority and keyword, with all forms of the fields."""
+    day = lambda c: F.concat(F.year(c).cast("string"), F.lit("年"), F.month(c).cast("string"), F.lit("月"), F.dayofmonth(c).cast("string"), F.lit("日"))
+    # One small file is one task; the notices made of it are dealt to all cores.
+    o, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").repartition(spark.sparkContext.defaultParallelism), F.col("o_orderkey")
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    d = F.col("o_orderdate").cast("date")
+    prefix = F.when(k % 5 == 0, F.concat(pick(NAMED, (k * 7 + 3) % 33), F.lit("发"))).otherwise("财金")
+    until = day(F.date_add(d, 400))
     body = F.concat(
-        F.lit("关于融资支持的通知\n财金〔2024〕"), key, F.lit("号\n"), F.when(F.col("o_orderkey") % 2 == 0, "财政部").otherwise("某局"), F.lit("\n全国适用。\n自"), day(F.date_add(d, 10)), F.lit("起施行，有效期至"), day(F.date_add(d, 400)), F.lit("。\n"), day(d)
-    )
+        F.lit("关于"), pick(SUBJECTS, k % 36), F.lit("和"), pick(SUBJECTS, (k * 5 + 1) % 36), F.lit("的通知\n"),
+        F.when(k % 11 == 0, "").otherwise(F.concat(prefix, F.lit("〔2024〕"), k.cast("string"), F.lit("号\n"))),
+        F.when(k % 33 == 0, "发布来源：").otherwise(""), pick(NAMED, k % 33), F.lit("\n"), pick(("全国适用。\n", "各地区执行。\n", "浙江省 \n", ""), k % 4),
+        F.lit("自"), day(F.date_add(d, 10)), F.lit("起"), pick(("施行", "执行", "实施"), k % 3), F.lit("，"),
+        F.when(k % 5 == 1, F.concat(F.lit("执行至"), until)).when(k % 5 == 2, F.concat(F.lit("有效期自发布起，到"), until, F.lit("止"))).when(k % 5 == 3, "").otherwise(F.concat(F.lit("有效期至"), until)),
+        F.lit("。\n"), day(d),
+    )
     return o.select("o_orderkey", body.alias("text"))
 
 
+_COUNTS = ", ".join(f"len(list_filter({list(words)!r}, lambda x: contains(said, x)))" for words in CATEGORIES.values())
+
+
 @query(
-    """SELECT o_orderkey, '财金〔2024〕' || o_orderkey || '号' AS policy_number, CASE WHEN o_orderkey % 2 = 0 THEN '财政部' END AS issuing_authority,
-strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS publish_date, strftime(CAST(o_orderdate AS DATE) + 10, '%Y-%m-%d') AS effective_date, strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d') AS expiry_date,
-'全国' AS applicable_region, '关于融资支持的通知' AS title, '融资支持' AS category, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'issuing_authority' END AS missing FROM orders"""
+    f"""WITH {NOTICES}, f AS (SELECT o_orderkey, title, CASE WHEN o_orderkey % 11 <> 0 THEN prefix || '〔2024〕' || o_orderkey || '号' END AS policy_number,
+coalesce(CASE WHEN o_orderkey % 11 <> 0 THEN list_filter({list(AUTHORITIES)!r}, lambda x: contains(prefix, x))[1] END, list_filter({list(AUTHORITIES)!r}, lambda x: contains(said, x))[1], CASE WHEN o_orderkey % 33 = 0 THEN '某局' END) AS issuing_authority,
+strftime({_D}, '%Y-%m-%d') AS publish_date, strftime({_D} + 10, '%Y-%m-%d') AS effective_date, CASE WHEN o_orderkey % 5 <> 3 THEN strftime({_D} + 400, '%Y-%m-%d') END AS expiry_date,
+CASE WHEN o_orderkey % 4 < 2 THEN '全国' WHEN o_orderkey % 4 = 2 THEN '浙江省' END AS applicable_region, [{_COUNTS}] AS c FROM t),
+g AS (SELECT *, CASE WHEN list_max(c) = 0 THEN '其他' ELSE {list(CATEGORIES)!r}[list_position(c, list_max(c))] END AS category FROM f)
+SELECT o_orderkey, policy_number, issuing_authority, publish_date, effective_date, expiry_date, applicable_region, title, category,
+array_to_string(list_filter([CASE WHEN policy_number IS NULL THEN 'policy_number' END, CASE WHEN issuing_authority IS NULL THEN 'issuing_authority' END, CASE WHEN expiry_date IS NULL THEN 'expiry_date' END, CASE WHEN applicable_region IS NULL THEN 'applicable_region' END], lambda x: x IS NOT NULL), ',') AS missing FROM g"""
 )
 def extract_metadata(spark, sf_dir):
     fields = ["policy_number", "issuing_authority", "publish_date", "effective_date", "expiry_date", "applicable_region", "title", "category"]
