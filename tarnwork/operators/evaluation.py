@@ -1,8 +1,13 @@
 """Hit rate, reciprocal rank, reports, sweeps and judge scores."""
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from ..folders import stage
 from ..functions.metadata import unfenced
 
 
@@ -97,26 +102,58 @@ def retrieval_failures(scored, expected, ranked, k):
     return missed.join(wanted, "query_id").join(got, "query_id", "left").select("query_id", "expected", F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
 
 
-def containing(docs, items, text_col="text", item_col="item", window=5):
-    """Which documents hold which items (``query_id``, ``item``) as a substring: the columns of
-    ``docs`` but the text, and ``query_id``.
-
-    Whole words inside an item are whole words of a text that holds it.  So items of ``window`` + 2
-    words or more meet texts by the hash of their second to last but one words; only hashes of some item
-    are kept of a text, before its words are spread, and texts come back for the pairs found.
-    Shorter items, a stated set, are searched for in every text."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    rest, hashes = [c for c in docs.columns if c != text_col], lambda w, i: F.xxhash64(*(F.get(w, i + j) for j in range(window)))
-    asked = items.withColumn("_w", words(item_col)).withColumn("_long", F.size("_w") >= window + 2)
-    keys = asked.filter("_long").select("query_id", item_col, hashes(F.col("_w"), F.lit(1)).alias("_g"))
-    spread = docs.select(*rest, words(F.col(text_col)).alias("_w")).filter(F.size("_w") >= window)
-    grams = spread.select(*rest, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - window), lambda i: hashes(F.col("_w"), i)))).alias("_g"))
-    pairs = grams.join(keys.select("_g").distinct(), "_g", "left_semi").join(keys.select("_g", "query_id"), "_g").drop("_g").distinct()
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in rest]
-    found = docs.alias("d").join(pairs.alias("p"), same).join(items.select("query_id", F.col(item_col).alias("_item")), "query_id").filter(F.contains(F.col(f"d.{text_col}"), F.col("_item")))
-    long = found.select("query_id", *(F.col(f"d.{c}").alias(c) for c in rest)).distinct()
-    short = docs.join(asked.filter("not _long").select("query_id", F.col(item_col).alias("_item")), F.contains(F.col(text_col), F.col("_item"))).select("query_id", *rest)
-    return long.unionByName(short)
+ITEM_CHARS = 1 << 20  # of the items that one automaton holds
+
+
+def containing(docs, items, text_col="text", item_col="item", item_chars=ITEM_CHARS):
+    """Which documents hold which items (``query_id``, ``item``) as a substring: ``query_id`` and the
+    columns of ``docs`` but the text.
+
+    One scan of the texts finds all items of a block at once, with an automaton (Aho-Corasick)
+    that the tasks build of them.  A block holds at most ``item_chars`` characters and is all
+    that is broadcast; with several blocks each is a scan, staged before the next.  An empty item
+    is in every text; null items and texts match nothing."""
+    rest = [c for c in docs.columns if c != text_col]
+    rows = items.select("query_id", F.col(item_col).alias("item")).filter(F.col("item").isNotNull()).toLocalIterator()
+    parts, block, size, kind = [], [], 0, items.schema["query_id"].dataType
+    for row in rows:
+        if block and size + len(row["item"]) > item_chars:
+            parts.append(stage(_holding(docs, block, kind, rest, text_col), "holding"))
+            block, size = [], 0
+        block.append((row["query_id"], row["item"]))
+        size += len(row["item"])
+    last = _holding(docs, block, kind, rest, text_col)
+    return reduce(lambda a, b: a.unionByName(b), [*parts, last])
+
+
+def _holding(docs, block, kind, rest, text_col):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names, lists = {}, pa.list_(to_arrow_type(kind))
+    for query, item in block:
+        names.setdefault(item, []).append(query)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+    made = []
+
+    @F.arrow_udf(ArrayType(kind))
+    def found(texts: pa.Array) -> pa.Array:
+        import ahocorasick
+
+        if not made:
+            automaton = ahocorasick.Automaton()
+            for item, queries in shared.value.items():
+                if item:
+                    automaton.add_word(item, tuple(queries))
+            automaton.make_automaton()
+            made.append(automaton if len(automaton) else None)
+        always = shared.value.get("", [])
+        out = []
+        for text in texts.to_pylist():
+            hits = {q for _, queries in made[0].iter(text) for q in queries} if text and made[0] else set()
+            out.append([*always, *hits] if text is not None else [])
+        return pa.array(out, lists)
+
+    return docs.select(F.explode(found(F.col(text_col))).alias("query_id"), *rest)
 
 
 DIMENSIONS = ["faithfulness", "relevance", "completeness", "correctness"]

@@ -155,8 +155,7 @@ t AS (SELECT *, title || chr(10) || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE p
 def notices(spark, sf_dir):
     """Notices that name every authority and keyword, with all forms of the fields."""
     day = lambda c: F.concat(F.year(c).cast("string"), F.lit("年"), F.month(c).cast("string"), F.lit("月"), F.dayofmonth(c).cast("string"), F.lit("日"))
-    # One small file is one task; the notices made of it are dealt to all cores.
-    o, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").repartition(spark.sparkContext.defaultParallelism), F.col("o_orderkey")
+    o, k = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")), F.col("o_orderkey")
     pick = lambda words, n: F.get(F.array(*map(F.lit, words)), n.cast("int"))
     d = F.col("o_orderdate").cast("date")
     prefix = F.when(k % 5 == 0, F.concat(pick(NAMED, (k * 7 + 3) % 33), F.lit("发"))).otherwise("财金")
@@ -364,9 +363,14 @@ def tokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(words)).cast("bigint").alias("n_terms")).filter("n_tokens > 0")
 
 
+def spread(rows):
+    """Rows of a small file, which is one task to read, dealt to all cores."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def index(spark, sf_dir):
     """The index of the documents, written once."""
-    return lexical.build_index(corpus(spark, sf_dir), path=fresh_dir(spark, "index"))
+    return lexical.build_index(spread(corpus(spark, sf_dir).select("id", "text")), path=fresh_dir(spark, "index"))
 
 
 @query(BM25 + " SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -568,9 +572,9 @@ RANKED = f"rk AS (SELECT query_id, source, row_number() OVER (PARTITION BY query
 
 
 def expected(spark, sf_dir):
-    """Sources whose texts hold the item."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return evaluation.containing(docs, asked(spark, sf_dir).withColumnRenamed("query", "item")).select("query_id", "source").distinct()
+    """Sources whose texts hold the item, worked out once."""
+    docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
+    return stage(evaluation.containing(docs, asked(spark, sf_dir).withColumnRenamed("query", "item")).distinct(), "expected")
 
 
 def ranked(spark, sf_dir):

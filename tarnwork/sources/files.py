@@ -38,7 +38,7 @@ def save_index(index, path, mode="overwrite"):
         frame.write.mode(mode).parquet(f"{path}/{name}")
 
 
-def load_index(spark, path, names=("postings", "doc_len", "terms", "stats")):
+def load_index(spark, path, names=("blocks", "terms", "stats", "words")):
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 

@@ -40,8 +40,12 @@ def test_chunk_laws(seed):
 def test_containing(spark):
     docs = spark.createDataFrame([(1, "a", "one two three four five six seven eight"), (2, "b", "x one two y"), (None, "c", "onetwo zone two"), (4, "d", None), (5, "e", "")], "doc_id bigint, source string, text string")
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "e two three four five six seven e"), (3, "one two"), (4, "two"), (5, "absent words are not in here at all")], "query_id bigint, item string")
-    got = {(r["query_id"], r["source"]) for r in evaluation.containing(docs, items).collect()}
-    assert got == {(1, "a"), (2, "a"), (3, "a"), (3, "b"), (3, "c"), (4, "a"), (4, "b"), (4, "c")}
+    for chars in (1, 40, 1 << 20):  # one item a block, a few, all
+        got = [(r["query_id"], r["source"]) for r in evaluation.containing(docs, items, item_chars=chars).collect()]
+        assert sorted(got) == [(1, "a"), (2, "a"), (3, "a"), (3, "b"), (3, "c"), (4, "a"), (4, "b"), (4, "c")]
+    odd = spark.createDataFrame([("q", ""), ("r", None), ("s", "x"), ("t", "x")], "query_id string, item string")
+    assert sorted((r["query_id"], r["source"]) for r in evaluation.containing(docs, odd).collect()) == [("q", "a"), ("q", "b"), ("q", "c"), ("q", "e"), ("s", "a"), ("s", "b"), ("t", "a"), ("t", "b")]
+    assert evaluation.containing(docs, odd.limit(0)).count() == 0 and evaluation.containing(docs.limit(0), odd).count() == 0
 
 
 def test_vector_topk_takes_any_ids_and_null_vectors(spark):
