@@ -1,22 +1,14 @@
-"""Web pages to Markdown, their meta tags, and tables of layout; built-in expressions only.
-
-Pages are taken apart by patterns, not by a tree: an unclosed block is left as it is, and
-where tables are nested the outer one counts as layout.  White space of preformatted blocks is
-compressed like that of others.  A null page gives null."""
+"""Web pages to Markdown, their meta tags, and tables of layout.  A null page gives null."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .text import cells_to_table, col, compress_blank_lines, decode, html_title, join_lines, lines, noise_lines, strip
+from .defaults import PAGE_NOISE, any_of
+from .markdown import markdown
+from .text import col, compress_blank_lines, decode, html_title, noise_lines, strip
 
-DROPPED = "script|style|nav|footer|header|aside|iframe"
-BLOCKS = "p|div|section|article|main|ul|ol|dl|dt|dd|table|tr|form|figure|body|html"
 # The names of meta tags that are read, and the field each fills.
 META = {"publishdate": "publish_date", "publish-date": "publish_date", "date": "publish_date", "author": "author", "source": "author", "keywords": "keywords", "description": "description"}
-def without_blocks(c):
-    """Without scripts, navigation, images and comments."""
-    bare = F.regexp_replace(col(c), r"(?s)<!--.*?-->", "")
-    bare = F.regexp_replace(bare, rf"(?is)<({DROPPED})\b.*?</\1\s*>", "")
-    return F.regexp_replace(bare, r"(?i)<img\b[^>]*>", "")
 
 
 def plain(c):
@@ -53,38 +45,14 @@ def is_layout_table(c, longest=200):
     return ~col(c).rlike(r"(?i)<th\b") & ((F.size(rows) == 0) | (~wide & long))
 
 
-def html_markdown(c, stem, noise):
-    """Markdown of a page: ``#`` headings, lists, quotes, emphasis, data tables; links and layout
-    tables keep their text.  Lines that begin like ``noise`` go; the title leads."""
-    bare = without_blocks(c)
-    body = F.coalesce(F.nullif(F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1), F.lit("")), F.regexp_replace(bare, r"(?is)<(head|title)\b.*?</\1\s*>", ""))
-    parts = F.split(body, r"(?i)(?=<table\b)|(?<=</table>)", -1)
-    whole = F.transform(parts, lambda p: F.when(p.rlike(r"(?is)^<table\b.*</table\s*>$"), _table(p)).otherwise(_prose(p)))
-    text = F.regexp_replace(F.array_join(whole, ""), r"[ \t]+\n", "\n")
-    text = strip(compress_blank_lines(noise_lines(text, noise)))
-    title = html_title(c, stem)
-    return F.when(F.startswith(text, F.concat(F.lit("# "), title)), text).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), text))
+def html_markdown(c, stem, noise=any_of(PAGE_NOISE)):
+    """Markdown of a page (``markdown.markdown``); lines that begin like ``noise`` go; the title
+    leads.  Null for a null page."""
 
+    @F.arrow_udf("string")
+    def body(pages: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else markdown(p) for p in pages.to_pylist()], pa.string())
 
-def _table(p):
-    cells = F.filter(table_cells(p), lambda r: F.size(r) > 0)
-    texts = F.filter(F.flatten(cells), lambda x: x != "")
-    return F.concat(F.lit("\n\n"), F.when(is_layout_table(p), join_lines(texts)).otherwise(cells_to_table(cells)), F.lit("\n\n"))
-
-
-def _prose(p):
-    out = F.regexp_replace(p, r"\s+", " ")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, rf"(?i)<h{level}\b[^>]*>\s*", "\n\n" + "#" * level + " ")
-    for pattern, mark in (
-        (r"</h[1-6]\s*>", "\n\n"),
-        (r"<(?:b|strong)\b[^>]*>|</(?:b|strong)\s*>", "**"),
-        (r"<(?:i|em)\b[^>]*>|</(?:i|em)\s*>", "*"),
-        (r"<br\b[^>]*>", "\n"),
-        (r"<li\b[^>]*>\s*", "\n- "),
-        (r"<blockquote\b[^>]*>\s*(?:<p\b[^>]*>\s*)?", "\n\n> "),
-        (rf"</?(?:blockquote|{BLOCKS})\b[^>]*>", "\n\n"),
-        (r"<[^>]*>", ""),
-    ):
-        out = F.regexp_replace(out, "(?i)" + pattern, mark)
-    return decode(F.array_join(F.transform(lines(out), lambda x: F.regexp_replace(x, r"^ +| +$", "")), "\n"))
+    text = strip(compress_blank_lines(noise_lines(body(col(c)), noise)))
+    title = html_title(c, stem)
+    return F.when(F.startswith(text, F.concat(F.lit("# "), title)), text).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), text))

@@ -9,7 +9,7 @@ from ..functions import metadata as M
 from ..operators import evaluation, hybrid, lexical, store, vectors
 from ..sources import files
 from ..streaming import jobs
-from .catalogue import BM25, LEGS, SPOKEN, SWEEP, _legs, _sweep, corpus, query, table
+from .catalogue import BM25, LEGS, SPOKEN, SWEEP, _legs, _sweep, corpus, query, spread, table
 
 @query(r"SELECT page_id, 'made ' || page_id AS author, 'a,b' AS keywords, strftime(DATE '2024-01-01' + CAST(page_id % 365 AS INT), '%Y-%m-%d') AS publish_date FROM pages")
 def html_meta(spark, sf_dir):
@@ -24,6 +24,28 @@ def html_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.html_markdown("html", F.lit("stem"), "登录|首页").alias("markdown"))
 
 
+MARKDOWN = """SELECT o_orderkey, '# Order ' || o_orderkey || chr(10) || chr(10) || '## State **' || o_orderstatus || '**' || chr(10) || chr(10) || 'Priority *' || o_orderpriority || '*' || chr(10) || chr(10)
+|| CASE WHEN o_orderkey % 2 = 0 THEN array_to_string(['- one', '  - inner ' || o_orderkey, '  - last', '- two'], chr(10)) ELSE array_to_string(['1. one', '   - inner ' || o_orderkey, '   - last', '2. two'], chr(10)) END || chr(10) || chr(10)
+|| array_to_string(['> said ' || o_custkey, '>', '> end'], chr(10)) || chr(10) || chr(10) || array_to_string(['```', '  a ' || o_custkey, '    b <', '```'], chr(10)) || chr(10) || chr(10)
+|| array_to_string(CASE WHEN o_orderkey % 3 = 0 THEN [repeat('wide ', 41) || 'x', CAST(o_custkey AS VARCHAR)] ELSE ['| k | v |', '| --- | --- |', '| ' || o_custkey || ' | ' || o_orderstatus || ' & x |'] END, chr(10)) || chr(10) || chr(10) || 'tail' AS markdown FROM orders"""
+
+
+@query(MARKDOWN)
+def html_markdown_composed(spark, sf_dir):
+    """Pages with nested and unclosed lists, quotes, preformatted blocks, data and layout tables."""
+    o = spread(table(spark, sf_dir, "orders"))
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "ul").otherwise("ol")
+    grid = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<table><tr><td>"), F.repeat(F.lit("wide "), F.lit(41)), F.lit("x<td>"), cust, F.lit("</table>"))).otherwise(
+        F.concat(F.lit("<table><tr><th>k</th><th>v</th></tr><tr><td>"), cust, F.lit("</td><td>"), "o_orderstatus", F.lit(" &amp; x</table>"))
+    )
+    page = F.concat(
+        F.lit("<html><head><title>Order "), key, F.lit("</title><style>p{}</style></head><body><nav><ul><li>menu</ul></nav><p>登录 | 注册</p><h2>State <b>"), "o_orderstatus", F.lit("</b></h2><div><p>Priority <i>"), "o_orderpriority",
+        F.lit("</i>\n<"), kind, F.lit("><li>one<ul><li>inner "), key, F.lit("<li>last</ul><li>two</"), kind, F.lit("></div><blockquote><p>said "), cust, F.lit("<p>end</blockquote><pre>  a "), cust, F.lit("\n    b &lt;</pre>"), grid, F.lit("<footer>foot</footer>tail"),
+    )
+    return o.select("o_orderkey", H.html_markdown(page, F.lit("stem")).alias("markdown"))
+
+
 @query("SELECT o_orderkey, o_orderkey % 4 = 1 AS layout FROM orders")
 def layout_table(spark, sf_dir):
     k = F.col("o_orderkey")
