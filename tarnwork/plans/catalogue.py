@@ -506,6 +506,14 @@ def entries(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(key).agg(F.max("ts").alias("ts"), F.min("ts").alias("seen"))
 
 
+@query("SELECT event_id FROM events ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT (SELECT count(*) // 2 FROM events)")
+def cache_evict_half(spark, sf_dir):
+    """Half of a cache with an entry an event."""
+    e = table(spark, sf_dir, "events")
+    held = e.select("event_id", F.col("event_id").cast("string").alias("key"), F.col("ts").alias("last_accessed"))
+    return cache.cache_evict_lru(held, e.count() // 2, take=0).select("event_id")
+
+
 @query(f"WITH {ENTRIES}, n AS (SELECT max(ts) AS now FROM events) SELECT key FROM e, n WHERE epoch(date_trunc('second', now)) - epoch(date_trunc('second', ts)) <= 86400")
 def cache_expire(spark, sf_dir):
     now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..folders import fresh_dir
 from ..functions import html as H
 from ..functions import metadata as M
+from ..functions.text import clean_markdown
 from ..operators import evaluation, hybrid, lexical, store, vectors
 from ..sources import files
 from ..streaming import jobs
@@ -164,6 +165,24 @@ def stream_ingest(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(path).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+CLEANED = r"regexp_replace(regexp_replace(regexp_replace(replace(text, '　', ' '), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, CAST(1 AS BIGINT) AS parents, CAST(1 AS BIGINT) AS ids FROM (SELECT doc_id, {CLEANED} AS t FROM documents) WHERE t <> '' AND length(t) <= 1500")
+def stream_ingest_documents(spark, sf_dir):
+    """Documents cleaned and cut into parents and children inside the stream, twice over; of those
+    that are one parent, how many parents the table holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = fresh_dir(spark, "chunk-table")
+    plan = lambda batch: jobs.clean_and_chunk(batch, "doc_id")
+    for run in ("first", "second"):
+        jobs.stream_ingest(streamed(spark, docs, f"documents-{run}"), path, fresh_dir(spark, "checkpoint"), prepare=plan).start().awaitTermination()
+    stored = spark.read.parquet(path)
+    short = docs.withColumn("t", clean_markdown("text")).filter("t <> '' and length(t) <= 1500").select("doc_id")
+    parents = stored.filter("role = 'parent'").join(short, "doc_id", "left_semi")
+    return parents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parents"), F.count_distinct("id").alias("ids"))
+
+
 @query(f"WITH {SPOKEN} SELECT conv_id, string_agg(turn || ':' || role, ',' ORDER BY turn) AS kept FROM m WHERE back <= 4 AND NOT (total > 4 AND back = 4 AND role = 'assistant') GROUP BY conv_id")
 def stream_history(spark, sf_dir):
     """The windows after the last message, from a stream of all messages."""

@@ -4,25 +4,121 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructType
 
+from ..folders import stage
+from ..functions.text import clean_markdown
 from ..operators.store import dedup_ids, new_chunks_only
+from ..operators.structure import parent_child
 
 
-def stream_ingest(stream, path, checkpoint, id_col="id", order=None):
-    """Adds the rows of a stream whose ids the table at ``path`` lacks.  A batch that is run
-    again after a failure finds its ids there.  Returns a writer; ``.start()`` runs it."""
-    spark, schema = stream.sparkSession, stream.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+BUCKETS = 64
+FILTER_BITS, HASHES = 10, 7  # bits an id, places an id: one id in a hundred is taken for stored in error
+
+
+def _places(hashes, bits):
+    """The places of each id (by its two 64-bit hashes) in a filter of ``bits`` bits."""
+    return (hashes[:, :1] + np.arange(HASHES, dtype=np.uint64) * (hashes[:, 1:] | np.uint64(1))) % np.uint64(bits)
+
+
+def make_filter(hashes):
+    bits = max(64, -(-FILTER_BITS * len(hashes) // 8) * 8)
+    held = np.zeros(bits, bool)
+    held[_places(hashes, bits).ravel()] = True
+    return np.packbits(held).tobytes()
+
+
+def may_hold(made, hashes):
+    """Which ids the filter may hold; never false for one it was made of."""
+    held = np.unpackbits(np.frombuffer(made, np.uint8))
+    return (held[_places(hashes, len(held))] == 1).all(1)
+
+
+def _hashed(rows, id_col, buckets):
+    """``rows`` with ``_h`` (two hashes of the id) and ``_bucket``."""
+    h = F.array(F.xxhash64(id_col), F.xxhash64(F.lit("second"), id_col))
+    return rows.withColumn("_h", h).withColumn("_bucket", F.pmod(F.col("_h")[0], F.lit(buckets)).cast("int"))
+
+
+def _uint64(column):
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 2)
+
+
+def filters_of(rows, id_col, buckets=BUCKETS):
+    """``_bucket``, ``made``: a filter of the ids of each bucket of ``rows``."""
+
+    def run(group):
+        return pa.table({"_bucket": group["_bucket"].slice(0, 1), "made": pa.array([make_filter(_uint64(group["_h"]))], pa.binary())})
+
+    return _hashed(rows.select(id_col), id_col, buckets).select("_bucket", "_h").groupBy("_bucket").applyInArrow(run, "_bucket int, made binary")
+
+
+def perhaps_stored(batch, filters, id_col, buckets=BUCKETS):
+    """``_bucket`` and id of the rows of ``batch`` that some filter of their bucket may hold."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = batch.schema[id_col].dataType
+
+    def run(rows, filters):
+        hashes = _uint64(rows["_h"]) if rows.num_rows else np.zeros((0, 2), np.uint64)
+        hit = np.zeros(len(hashes), bool)
+        for made in filters["made"].to_pylist():
+            hit |= may_hold(made, hashes)
+        return rows.select(["_bucket", id_col]).filter(pa.array(hit)) if rows.num_rows else pa.table({"_bucket": pa.array([], pa.int32()), id_col: pa.array([], to_arrow_type(kind))})
+
+    left = _hashed(batch.select(id_col), id_col, buckets).groupBy("_bucket")
+    return left.cogroup(filters.groupBy("_bucket")).applyInArrow(run, f"_bucket int, {id_col} {kind.simpleString()}")
+
+
+def add_new(batch, path, id_col="id", order=None, buckets=BUCKETS):
+    """Adds the rows of ``batch`` whose ids the table at ``path`` lacks; returns the buckets of the
+    table that were read for it.
+
+    The table is partitioned by a hash of the id (``_bucket``), and ``path``-filters holds a Bloom
+    filter for each bucket and batch, some ten bits an id.  Ids that no filter knows are new; only
+    the buckets of the others are read, and only their ids.  Filters are written before rows, so
+    that a batch that failed between the two is added when it runs again."""
+    spark, schema = batch.sparkSession, batch.schema
+    fresh = stage(dedup_ids(batch, order or [id_col], id_col), "ingested")
+    known = spark.read.schema("_bucket int, made binary").parquet(f"{path}-filters")
+    perhaps = stage(perhaps_stored(fresh, known, id_col, buckets), "perhaps-stored")
+    wanted = sorted(r[0] for r in perhaps.select("_bucket").distinct().collect())  # at most ``buckets``
+    new = fresh
+    if wanted:
+        stored = spark.read.schema(StructType([schema[id_col]]).add("_bucket", IntegerType())).parquet(path)
+        held = stored.filter(F.col("_bucket").isin(wanted)).select(id_col).join(perhaps.select(id_col), id_col, "left_semi")
+        new = new_chunks_only(fresh, held, id_col)
+    new = stage(new.select(*fresh.columns), "new-chunks")
+    filters_of(new, id_col, buckets).write.mode("append").parquet(f"{path}-filters")
+    dealt = _hashed(new, id_col, buckets).drop("_h")
+    dealt.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
+    return wanted
+
+
+def stream_ingest(stream, path, checkpoint, id_col="id", order=None, prepare=None, buckets=BUCKETS):
+    """Adds the rows of a stream whose ids the table at ``path`` lacks (see ``add_new``).
+    ``prepare`` makes the rows of each batch, as ``clean_and_chunk`` does of documents.  A batch
+    that is run again after a failure finds its ids there.  Returns a writer; ``.start()`` runs
+    it.  A table that was begun with other buckets must keep them."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], "_bucket int, made binary").write.mode("append").parquet(f"{path}-filters")
 
     def add(batch, _):
-        stored = batch.sparkSession.read.schema(schema).parquet(path)
-        new_chunks_only(dedup_ids(batch, order or [id_col], id_col), stored, id_col).write.mode("append").parquet(path)
+        add_new(batch if prepare is None else prepare(batch), path, id_col, order, buckets)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def clean_and_chunk(docs, source_col="source", text_col="text"):
+    """The ingest plan of documents: cleaned Markdown, parents and children with their ids and the
+    other columns; blank documents have no chunks."""
+    cleaned = docs.withColumn("markdown", clean_markdown(text_col)).filter("markdown <> ''").drop(text_col)
+    return parent_child(cleaned, source_col, "markdown")
+
+
 SLICE = 50_000  # rows of a frame that a stream's step returns
 
 

@@ -65,6 +65,30 @@ def test_cache_lookup_forgets(spark):
     assert got == {1: "new", 2: None}
 
 
+def test_evicted_entries_are_the_oldest(spark):
+    import random
+
+    r = random.Random(7)
+    time = lambda: r.choice([None, "2024-01-01 00:00:00"] + [f"2024-01-{r.randrange(2, 29):02} 00:00:{r.randrange(60):02}" for _ in range(3)])
+    rows = [(f"k{i:03}", time()) for i in range(200)]
+    held = spark.createDataFrame(rows, "key string, t string").select("key", F.to_timestamp("t").alias("last_accessed")).repartition(3)
+    oldest = sorted(sorted(rows), key=lambda x: x[1] or "", reverse=True)  # stable: ties by key
+    for size in (0, 1, 37, 100, 170, 199, 200, 500):
+        for take in (0, 1000):
+            got = {x["key"] for x in cache.cache_evict_lru(held, size, take=take).collect()}
+            assert got == {k for k, _ in oldest[:size]}, (size, take)
+    same = held.withColumn("last_accessed", F.lit("2024-01-01").cast("timestamp"))
+    assert {x["key"] for x in cache.cache_evict_lru(same, 20, take=0).collect()} == {f"k{i:03}" for i in range(20)}
+
+
+def test_document_of_one_source_over_many_ranges(spark):
+    rows = [("big" if i % 10 else None, i // 2, f"text {i} " + "x" * (i % 7)) for i in range(400)] + [("big", 5, None)]
+    chunks = spark.createDataFrame(rows, "source string, chunk_index int, text string").repartition(5)
+    got = sorted((r["part"], r["detail"]) for r in store.document_detail(spark.createDataFrame([("big",)], "source string"), chunks, part_chars=100).collect())
+    want = [t for s, _, t in sorted((x for x in rows if x[0] and x[2]), key=lambda x: (x[1], x[2]))]
+    assert "\n".join(d for _, d in got) == "文件：big\n" + "\n".join(want) and [p for p, _ in got] == list(range(len(got)))
+
+
 def test_document_in_parts(spark):
     chunks = spark.createDataFrame([("s", i, f"text {i}") for i in range(20)] + [("t", 0, "one")], "source string, chunk_index int, text string")
     asked = spark.createDataFrame([("s",), ("t",), ("u",)], "source string")

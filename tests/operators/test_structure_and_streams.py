@@ -4,6 +4,7 @@ import json
 import random
 import weakref
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -97,6 +98,38 @@ def test_stream_ingest_adds_each_id_once(spark, tmp_path):
         assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2"]
 
 
+def test_filters_forget_nothing_and_bound_what_is_read(spark, tmp_path):
+    hashes = np.random.default_rng(1).integers(0, 2**63, (5000, 2)).astype(np.uint64)
+    made = jobs.make_filter(hashes[:2500])
+    assert jobs.may_hold(made, hashes[:2500]).all() and jobs.may_hold(made, hashes[2500:]).mean() < 0.03
+    assert len(made) < 2500 * 1.3 and not jobs.may_hold(jobs.make_filter(hashes[:0]), hashes).any()
+
+    path, rows = str(tmp_path / "table"), lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).alias("x"))
+    spark.createDataFrame([], "_bucket int, made binary").write.parquet(f"{path}-filters")
+    assert jobs.add_new(rows(0, 1000), path, buckets=16) == []
+    assert len(jobs.add_new(rows(1000, 1020), path, buckets=16)) <= 6  # all new: only errors of the filters
+    read = jobs.add_new(rows(990, 1000).unionByName(rows(2000, 2005)), path, buckets=16)
+    of = {r["id"]: r["_bucket"] for r in jobs._hashed(rows(0, 2005), "id", 16).collect()}
+    assert {of[str(i)] for i in range(990, 1000)} <= set(read) and len(read) < 16
+    assert jobs.add_new(rows(0, 1020), path, buckets=16) == sorted(set(of[str(i)] for i in range(1020)))
+    stored = sorted(int(r["id"]) for r in spark.read.parquet(path).collect())
+    assert stored == [*range(1020), *range(2000, 2005)]
+    # A batch that failed after its filters were written and before its rows.
+    jobs.filters_of(rows(3000, 3010), "id", 16).write.mode("append").parquet(f"{path}-filters")
+    jobs.add_new(rows(3000, 3010), path, buckets=16)
+    assert spark.read.parquet(path).count() == len(stored) + 10
+
+
+def test_documents_are_chunked_inside_the_stream(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "# T\n\n## A\nx　\n\n\n\ny\n## B\nz"), ("b", "  \n"), ("c", None), ("d", "plain")], "source string, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    for run in range(2):
+        stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
+        jobs.stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / f"cp{run}"), prepare=jobs.clean_and_chunk).start().awaitTermination()
+        got = sorted((r["source"], r["role"], r["text"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert got == [(s, r, t) for s, r, t in sorted((s, r, t) for r in ("child", "parent") for s, t in (("a", "## A\nx\n\ny"), ("a", "## B\nz"), ("d", "plain")))]
+
+
 def test_stream_history_equals_the_batch_window(spark, tmp_path):
     said = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for c in (1, 2) for t in range(4 + 3 * c)] + [(1, 99, "system", "x")]
     rows = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
