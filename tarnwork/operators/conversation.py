@@ -16,6 +16,17 @@ def history_window(messages, max_rounds=10):
     return back.filter((F.col("back") <= size) & ~trimmed).select("conv_id", "turn", "role", "text")
 
 
+def history_at_turns(messages, max_rounds=10):
+    """The window that each message leaves behind it: ``conv_id``, ``turn``, ``kept`` (turn, role and
+    text in order).  Frames of ``2 * max_rounds`` rows, so no row holds more than that."""
+    size = 2 * max_rounds
+    spoken = messages.filter(F.col("role").isin("user", "assistant"))
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    seen = spoken.withColumn("kept", F.collect_list(F.struct("turn", "role", "text")).over(order.rowsBetween(-(size - 1), 0))).withColumn("_n", F.row_number().over(order))
+    trimmed = (F.col("_n") > size) & (F.col("kept")[0]["role"] == "assistant")
+    return seen.select("conv_id", "turn", F.when(trimmed, F.slice("kept", 2, size)).otherwise(F.col("kept")).alias("kept"))
+
+
 def recent_context(messages, rounds=3, most=200, names=("用户", "助手")):
     """The last rounds as text, a line a message, each cut at ``most`` characters."""
     spoken = messages.filter(F.col("role").isin("user", "assistant"))

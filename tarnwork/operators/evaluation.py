@@ -43,12 +43,14 @@ def evaluate_retrieval(scored, other="其他"):
     )
 
 
-def compare_modes(expected, hits, k):
+def compare_modes(expected, hits, k, repeats=()):
     """Means and totals of several searches (``mode``) over the queries of ``expected``.  ``hits``:
-    mode, query_id, source, rank; repeats of a source count once."""
+    mode, query_id, source, rank; repeats of a source count once, but in the modes that
+    ``repeats`` names each takes a rank."""
     dealt = hits.repartition("mode", "query_id", "source")  # see rrf_merge on unions
     first = dealt.groupBy("mode", "query_id", "source").agg(F.min("rank").alias("rank"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("mode", "query_id").orderBy("rank", "source")))
+    once = F.row_number().over(Window.partitionBy("mode", "query_id").orderBy("rank", "source"))
+    ranked = first.withColumn("rank", F.when(F.col("mode").isin(*repeats), F.col("rank")).otherwise(once) if repeats else once)
     best = ranked.join(expected, ["query_id", "source"]).groupBy("mode", "query_id").agg(F.min("rank").alias("first"))
     every = expected.select("query_id").distinct().crossJoin(F.broadcast(hits.select("mode").distinct()))
     scored = every.join(best, ["mode", "query_id"], "left").withColumn("recall", F.coalesce((F.col("first") <= k).cast("double"), F.lit(0.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..folders import fresh_dir, stage
 from ..functions import metadata as M
 from ..functions import text as T
-from ..functions.defaults import AUTHORITIES, CATEGORIES
+from ..functions.defaults import AUTHORITIES, CATEGORIES, REFERRING, TEXT_NOISE, any_of
 from ..operators import cache, chunking, conversation, evaluation, hybrid, lexical, limited, sections, store, vectors
 from ..sources import files
 
@@ -42,7 +42,8 @@ def oracle_sql():
 
 @query("SELECT source, count(*) AS n FROM documents WHERE regexp_matches(text, '\\S') GROUP BY source")
 def drop_empty_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(T.strip("text") != "").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    full, _ = files.split_blank(table(spark, sf_dir, "documents"))
+    return full.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT count(*) AS total_files, count(*) FILTER (n_chars >= 100) AS processed, count(*) FILTER (n_chars < 100) AS failed FROM documents")
@@ -141,6 +142,16 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_title("html", F.lit("stem")).alias("title"), T.html_text("html").alias("body"))
 
 
+# Lines that the default list of site noise takes away, one for each way they begin, and two that stay.
+NOISE = ("登录 | 注册", "2024年1月2日 星期二", "首页 Home", "首页", "Home", "政策文件库", "政策申报x", "政策宣贯", "政策汇编", "政策图谱", "政策传播", "搜索", "易找 易懂", "便捷易享", "汇编 聚焦", "数据服务", "观点 监测", "政策 活动", "| |", "首页 政策详情", "请输入政策标题", "原文", "![a](b)", "[登录", "- 首页", "- 政策文件", "-政策详情", "原文如下", "搜索结果")
+
+
+@query(rf"SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split({list(NOISE)!r}[doc_id % 29 + 1] || chr(10) || text, chr(10)), lambda x: NOT regexp_matches(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^(?:{any_of(TEXT_NOISE)})')), chr(10)), '^(?:[ \t]*\n)+', '') AS body FROM documents".replace("\\\\", "\\"))
+def noise_lines_defaults(spark, sf_dir):
+    line = F.get(F.array(*map(F.lit, NOISE)), (F.col("doc_id") % 29).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.noise_lines(F.concat(line, F.lit("\n"), "text")).alias("body"))
+
+
 # ---- metadata of notices composed from orders
 
 NAMED = ("某局", *AUTHORITIES)
@@ -489,6 +500,23 @@ def needs_rewrite(spark, sf_dir):
     return said.select("conv_id", "turn", conversation.needs_rewrite("text", "history", ["it", "that"]).alias("rewrite"))
 
 
+@query(
+    f"""WITH m AS (SELECT *, row_number() OVER w AS n, list({{'turn': turn, 'role': role}}) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS kept FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, array_to_string(list_transform(CASE WHEN n > 4 AND kept[1].role = 'assistant' THEN kept[2:] ELSE kept END, lambda x: x.turn || ':' || x.role), ',') AS kept FROM m"""
+)
+def history_at_turns(spark, sf_dir):
+    made = conversation.history_at_turns(table(spark, sf_dir, "conversations"), 2)
+    return made.select("conv_id", "turn", F.array_join(F.transform("kept", lambda m: F.concat_ws(":", m["turn"].cast("string"), m["role"])), ",").alias("kept"))
+
+
+@query(f"SELECT conv_id, turn, turn > 0 AND (len(list_filter({list(REFERRING)!r}, lambda w: contains(q, w))) > 0 OR length(q) < 10) AS rewrite FROM (SELECT conv_id, turn, text || coalesce({list(REFERRING)!r}[(conv_id * 7 + turn) % 17], '') AS q FROM conversations WHERE role = 'user')")
+def needs_rewrite_defaults(spark, sf_dir):
+    """Each of the words that refer to what was said, at the end of a query, or none."""
+    word = F.get(F.array(*map(F.lit, REFERRING)), ((F.col("conv_id") * 7 + F.col("turn")) % 17).cast("int") - 1)
+    said = table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat("text", F.coalesce(word, F.lit(""))).alias("q"), F.when(F.col("turn") > 0, "x").alias("history"))
+    return said.select("conv_id", "turn", conversation.needs_rewrite("q", "history").alias("rewrite"))
+
+
 @query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text WHEN item_id % 3 = 1 THEN 'ok reply' ELSE text END AS query FROM benchmark")
 def accept_rewrite(spark, sf_dir):
     k = F.col("item_id") % 3

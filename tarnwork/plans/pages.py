@@ -69,6 +69,14 @@ def embed_column(spark, sf_dir):
     return vectors.embed_column(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "embedding")
 
 
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS letters, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks FROM documents")
+def embed_column_plugged(spark, sf_dir):
+    """An encoder that callers plug in: a vector of the text's length and its blanks."""
+    encode = lambda texts: [[len(t), t.count(" ")] for t in texts]
+    made = vectors.embed_column(table(spark, sf_dir, "documents").select("doc_id", "text"), encode=encode)
+    return made.select("doc_id", F.col("embedding")[0].cast("bigint").alias("letters"), F.col("embedding")[1].cast("bigint").alias("blanks"))
+
+
 HYBRID = f"""{BM25.replace("FROM documents", "FROM chunk").replace("WITH tok", "WITH chunk AS (SELECT doc_id, text, source, embedding FROM documents JOIN embeddings ON vec_id = doc_id), tok").replace("FROM benchmark", "FROM asked").replace("tok AS (SELECT doc_id,", "asked AS (SELECT item_id, b.text, embedding FROM benchmark b JOIN embeddings ON vec_id = item_id), tok AS (SELECT doc_id,")},
 near AS (SELECT item_id AS query_id, doc_id AS id, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM asked a, chunk c),
 legs AS (SELECT query_id, 0 AS leg, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM near QUALIFY rank <= 20 UNION ALL SELECT query_id, 1, id, rank FROM top),
@@ -138,6 +146,15 @@ def read_eval_set(spark, sf_dir):
     return files.read_eval_set(spark, path, lines=True).select("id", "question", F.array_join("expected_sources", ",").alias("expected"), "category")
 
 
+@query("SELECT CAST(item_id AS INT) AS id, text AS question, 'src' || item_id AS expected FROM benchmark")
+def read_eval_set_array(spark, sf_dir):
+    """The same as one JSON array, the form in which such a set (a stated, small one) is kept."""
+    path, b = fresh_dir(spark, "eval-array"), table(spark, sf_dir, "benchmark")
+    item = F.struct(F.col("item_id").alias("id"), F.col("text").alias("question"), F.array(F.concat(F.lit("src"), F.col("item_id").cast("string"))).alias("expected_sources"))
+    b.agg(F.to_json(F.collect_list(item)).alias("value")).coalesce(1).write.text(path)
+    return files.read_eval_set(spark, path).select("id", "question", F.array_join("expected_sources", ",").alias("expected"))
+
+
 @query(f"WITH {SWEEP}, best AS (SELECT value FROM sweep ORDER BY recall_at_k DESC, value LIMIT 1) SELECT CAST(s.value AS BIGINT) AS value, round(recall_at_k, 4) AS recall_at_k, round(mrr, 4) AS mrr, CAST(failures AS BIGINT) AS failures, s.value = best.value AS best FROM sweep s, best")
 def write_report(spark, sf_dir):
     """The report of a sweep with its best row, written as JSON and read back."""
@@ -222,6 +239,20 @@ def compare_modes(spark, sf_dir):
     return evaluation.compare_modes(wanted, modes.join(named, "id"), 3)
 
 
+@query(
+    f"""WITH {LEGS}, lab AS (SELECT vec_id AS id, label AS source FROM embeddings), e2 AS (SELECT vec_id AS query_id, label AS source FROM embeddings WHERE vec_id % 20 = 0),
+h AS (SELECT query_id, min(rank) AS first FROM l JOIN lab USING (id) JOIN e2 USING (query_id, source) GROUP BY 1)
+SELECT 'v1' AS mode, count(*) AS total, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM e2 LEFT JOIN h USING (query_id)"""
+)
+def compare_modes_repeats(spark, sf_dir):
+    """A mode in which repeats of a source keep their ranks."""
+    e = table(spark, sf_dir, "embeddings")
+    named = e.select(F.col("vec_id").alias("id"), F.col("label").alias("source"))
+    wanted = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("source"))
+    hits = _legs(spark, sf_dir).filter("leg = 1").join(named, "id").select(F.lit("v1").alias("mode"), "query_id", "source", "rank")
+    return evaluation.compare_modes(wanted, hits, 3, repeats=("v1",))
+
+
 @query(
     """WITH RECURSIVE o AS (SELECT user_id || ':' || event_type AS key, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS i FROM events),
 r AS (SELECT key, i, ts, ts AS stored, false AS hit FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, o.ts, CASE WHEN epoch_us(o.ts) - epoch_us(stored) <= 86400000000 THEN stored ELSE o.ts END, epoch_us(o.ts) - epoch_us(stored) <= 86400000000 FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)

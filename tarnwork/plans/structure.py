@@ -56,9 +56,9 @@ def _pairs(c):
     return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("keywords")
 
 
-@query(f"SELECT o_custkey AS source, CAST(0 AS INT) AS table_no, {SAID} AS natural_language, 'Orders of ' || o_custkey AS section, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'k' || o_custkey || '=5' END AS keywords FROM orders GROUP BY o_custkey")
+@query(f"SELECT o_custkey AS source, CAST(0 AS INT) AS table_no, CAST(0 AS INT) AS page, {SAID} AS natural_language, 'Orders of ' || o_custkey AS section, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE 'k' || o_custkey || '=5' END AS keywords FROM orders GROUP BY o_custkey")
 def process_tables(spark, sf_dir):
-    return tables.process_tables(order_reports(spark, sf_dir), replies(spark, sf_dir)).select("source", "table_no", "natural_language", "section", _pairs("keywords"))
+    return tables.process_tables(order_reports(spark, sf_dir), replies(spark, sf_dir)).select("source", "table_no", "page", "natural_language", "section", _pairs("keywords"))
 
 
 @query("SELECT DISTINCT o_custkey AS source, CAST(0 AS INT) AS table_no, md5(o_custkey || '::child::0::0::0') AS id FROM orders WHERE o_custkey % 10 <> 0")
