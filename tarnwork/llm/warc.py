@@ -116,18 +116,57 @@ def parse_head(raw, at):
     return fields, end + 2, end + 2 + int(length) + 4
 
 
+class Lines:
+    """The header lines from ``first`` to the blank line behind them, each read once: what decides
+    for any of their starts whether a head may begin there."""
+
+    def __init__(self, raw, first):
+        self.first, line = first, first
+        self.bad = self.typed = self.sized = -1  # starts of the last lines of these kinds
+        self.length = b""
+        while True:
+            end = raw.find(b"\r\n", line)
+            if end < 0:
+                raise Incomplete
+            if end == line:
+                break
+            key, colon, val = raw[line:end].partition(b":")
+            key = key.strip().lower()
+            if not colon:
+                self.bad = line
+            elif key == b"content-length":
+                self.sized, self.length = line, val.strip()
+            elif key == b"warc-type":
+                self.typed = line
+            line = end + 2
+        self.end = line
+
+    def next_record(self, line):
+        """Where the record ends whose header lines start at ``line``; None if none does."""
+        if self.bad >= line or self.sized < line or self.typed < line or not self.length.isdigit():
+            return None
+        return self.end + 2 + int(self.length) + 4
+
+
 def candidates(raw, start, stop, base, more=lambda: b""):
     """{offset: successor} of what looks like a record head in [start, stop) of the file;
-    ``raw`` begins at ``base``, and ``more()`` gives the bytes behind it (none at the end)."""
-    out, at = {}, raw.find(MAGIC, start - base)
+    ``raw`` begins at ``base``, and ``more()`` gives the bytes behind it (none at the end).
+    Magics that share the blank line behind their headers share its lines, so a line is read
+    once however many magics stand before it."""
+    out, at, lines = {}, raw.find(MAGIC, start - base), None
     while 0 <= at < stop - base:
+        line = at + len(MAGIC)
         try:
-            if head := parse_head(raw, at):
-                out[base + at] = base + head[2]
+            if lines is None or not lines.first <= line <= lines.end:
+                lines = Lines(raw, line)
+            after = lines.next_record(line)
+            if after is not None:
+                out[base + at] = base + after
         except Incomplete:
             if next_bytes := more():
                 raw += next_bytes
                 continue
+            break  # no blank line follows this magic, nor any later one
         at = raw.find(MAGIC, at + 1)
     return out
 

@@ -155,3 +155,36 @@ def test_few_labels_reject_symbol_junk(spark):
     got = {x["doc_id"]: x["kept"] for x in quality.quality_rules(docs, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
     assert got.pop(5000)  # no labels, no certificate
     assert got == {i: bool(q) for i, q in labels}
+
+
+def plain_candidates(raw):
+    out, at = {}, raw.find(warc.MAGIC)
+    while at >= 0:
+        try:
+            head = warc.parse_head(raw, at)
+        except warc.Incomplete:
+            head = None
+        if head:
+            out[at] = head[2]
+        at = raw.find(warc.MAGIC, at + 1)
+    return out
+
+
+def test_candidates_read_each_line_once():
+    import random
+    import time
+
+    r = random.Random(1)
+    parts = [warc.MAGIC, b"WARC-Type: response\r\n", b"Content-Length: 12\r\n", b"Content-Length: x\r\n", b"a:b\r\n", b"no colon\r\n", b"\r\n", b"\r\n\r\n", b"x", b":", b"A:" + warc.MAGIC]
+    for _ in range(3000):
+        raw = b"".join(r.choices(parts, k=r.randrange(30)))
+        for cut in (len(raw), r.randrange(len(raw) + 1)):
+            rest = [raw[cut:]] if cut < len(raw) else []
+            stop = len(raw) if not rest else max(0, cut - len(warc.MAGIC))  # a range is read to a magic behind its end
+            got = warc.candidates(raw[:cut], 0, stop, 0, lambda: rest.pop() if rest else b"")  # noqa: B023
+            assert got == {a: b for a, b in plain_candidates(raw).items() if a < stop}, raw
+    for line in (b"A:" + warc.MAGIC, warc.MAGIC, b"A:b\r\n" + warc.MAGIC):
+        raw, began = line * (1_000_000 // len(line)), time.time()
+        for tail in (b"", b"WARC-Type: x\r\nContent-Length: 3\r\n\r\n"):
+            warc.candidates(raw + tail, 0, len(raw), 0)
+        assert time.time() - began < 5
