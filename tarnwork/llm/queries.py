@@ -100,5 +100,24 @@ FROM w
 """
 
 
+# Six rounds of moving the codebooks, spelt out: nearest entries as distance * 16 + entry, then means.
+CODES_SQL = """
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT vec_id, label, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] AS x FROM k, range(8) t(p)
+), b0 AS MATERIALIZED (
+  SELECT p, e, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 16) USING (vec_id)
+), {rounds}, {last}
+SELECT vec_id, string_agg(printf('%02x', CAST(m % 16 AS INT)), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error, CAST(sum(sum(m // 16)) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM b6) AS codebooks_sha256
+FROM a6 GROUP BY vec_id, label
+"""
+NEAREST_SQL = "a{n} AS MATERIALIZED (SELECT vec_id, label, v.p, any_value(v.x) AS x, min(CAST(list_sum(list_transform(v.x, lambda y, i: (y - b.x[i]) * (y - b.x[i]))) AS HUGEINT) * 16 + e) AS m FROM v JOIN b{n} b ON b.p = v.p GROUP BY vec_id, label, v.p)"
+MOVE_SQL = "b{next} AS MATERIALIZED (SELECT p, e, coalesce(n.x, b.x) AS x FROM b{n} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS x FROM (SELECT p, m % 16 AS e, i, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM (SELECT p, m, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{n}) GROUP BY ALL) GROUP BY ALL) n USING (p, e))"
+
+
 def oracle_sql():
-    return {"op5_warc": WARC_SQL}
+    rounds = ", ".join(f"{NEAREST_SQL.format(n=n)}, {MOVE_SQL.format(n=n, next=n + 1)}" for n in range(6))
+    return {"op5_warc": WARC_SQL, "op11_vector_codes": CODES_SQL.format(rounds=rounds, last=NEAREST_SQL.format(n=6))}
