@@ -143,12 +143,12 @@ def html_text(spark, sf_dir):
 
 
 # Lines that the default list of site noise takes away, one for each way they begin, and two that stay.
-NOISE = ("登录 | 注册", "2024年1月2日 星期二", "首页 Home", "首页", "Home", "政策文件库", "政策申报x", "政策宣贯", "政策汇编", "政策图谱", "政策传播", "搜索", "易找 易懂", "便捷易享", "汇编 聚焦", "数据服务", "观点 监测", "政策 活动", "| |", "首页 政策详情", "请输入政策标题", "原文", "![a](b)", "[登录", "- 首页", "- 政策文件", "-政策详情", "原文如下", "搜索结果")
+NOISE_LINES = ("登录 | 注册", "2024年1月2日 星期二", "首页 Home", "首页", "Home", "政策文件库", "政策申报x", "政策宣贯", "政策汇编", "政策图谱", "政策传播", "搜索", "易找 易懂", "便捷易享", "汇编 聚焦", "数据服务", "观点 监测", "政策 活动", "| |", "首页 政策详情", "请输入政策标题", "原文", "![a](b)", "[登录", "- 首页", "- 政策文件", "-政策详情", "原文如下", "搜索结果")
 
 
-@query(rf"SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split({list(NOISE)!r}[doc_id % 29 + 1] || chr(10) || text, chr(10)), lambda x: NOT regexp_matches(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^(?:{any_of(TEXT_NOISE)})')), chr(10)), '^(?:[ \t]*\n)+', '') AS body FROM documents".replace("\\\\", "\\"))
+@query(rf"SELECT doc_id, regexp_replace(array_to_string(list_filter(string_split({list(NOISE_LINES)!r}[doc_id % 29 + 1] || chr(10) || text, chr(10)), lambda x: NOT regexp_matches(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^(?:{any_of(TEXT_NOISE)})')), chr(10)), '^(?:[ \t]*\n)+', '') AS body FROM documents".replace("\\\\", "\\"))
 def noise_lines_defaults(spark, sf_dir):
-    line = F.get(F.array(*map(F.lit, NOISE)), (F.col("doc_id") % 29).cast("int"))
+    line = F.get(F.array(*map(F.lit, NOISE_LINES)), (F.col("doc_id") % 29).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", T.noise_lines(F.concat(line, F.lit("\n"), "text")).alias("body"))
 
 
