@@ -33,18 +33,20 @@ def document_detail(requested, chunks, missing="未找到文档", part_chars=PAR
 
     A document comes in parts of whole chunks of about ``part_chars`` characters, so that no row
     holds a source of any size; the parts' texts, joined by line feeds, are the document.  Chunks
-    are numbered by ranges of (source, chunk), so that one large source is many tasks."""
+    are numbered by ranges of (source, chunk), so that one large source is many tasks; chunks of
+    one number are in one part, in order of their texts."""
     spark, size = chunks.sparkSession, F.coalesce(F.length("text") + 1, F.lit(0))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = chunks.select("source", "chunk_index", "text").repartitionByRange(parts, "source", "chunk_index", "text").withColumn("_range", F.spark_partition_id())
-    dealt = stage(dealt, "ranged-chunks")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = chunks.groupBy("source", "chunk_index").agg(F.sum(size).alias("_size"))  # texts stay where they are
+    dealt = stage(sizes.repartitionByRange(ranges, "source", "chunk_index").withColumn("_range", F.spark_partition_id()), "chunk-sizes")
     # A running sum in two steps: what the ranges before hold of the source, and inside the range.
-    sums = dealt.groupBy("source", "_range").agg(F.sum(size).alias("_size"))
+    sums = dealt.groupBy("source", "_range").agg(F.sum("_size").alias("_held"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_source"), F.col("_range").alias("_own"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_range", "source").orderBy("chunk_index", "text").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumn("_inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_own")))
-    placed = placed.withColumn("part", ((F.col("_before") + F.col("_inside")) / part_chars).cast("int"))
+    sums = sums.select(F.col("source").alias("_source"), F.col("_range").alias("_own"), F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range", "source").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_own")))
+    numbered = numbered.select(F.col("source").alias("_source"), F.col("chunk_index").alias("_index"), ((F.col("_before") + F.col("_inside")) / part_chars).cast("int").alias("part"))
+    placed = chunks.select("source", "chunk_index", "text").join(numbered, F.col("source").eqNullSafe(F.col("_source")) & F.col("chunk_index").eqNullSafe(F.col("_index")))
     body = placed.groupBy("source", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("body"))
     head = F.when(F.col("part") == 0, F.concat(F.lit("文件："), F.col("source"), F.lit("\n"))).otherwise("")
     found = requested.join(body, "source", "left")
