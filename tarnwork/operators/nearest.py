@@ -3,7 +3,9 @@
 Rows and queries that share a key (``deal``) meet in groups of about ROWS rows and QUERIES
 queries, whatever the size of the key: a key of many rows is cut into blocks by a hash of the
 row, a key of many queries into blocks of queries, and each block of rows meets each block of
-queries once.  A group is one matrix product; it gives the best ``k`` rows of each query."""
+queries once.  A group is a matrix product, made SLICE queries at a time; it gives the best ``k``
+rows of each query.  The product only picks candidates: their scores are added up anew in order of
+the components, so that equal vectors have equal scores wherever they stand."""
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from .lexical import top_k
 
 ROWS, QUERIES = 8192, 512
+SLICE = 128  # queries whose scores a task holds at once
+ROUNDING = 1e-9  # more than a product in another order can differ, for components up to a thousand
 
 
 def matrix(column, width=None):
@@ -30,14 +34,31 @@ def matrix(column, width=None):
     return at, made
 
 
-def best_of(scores, ids, k):
-    """For each row of ``scores`` (-inf: not a candidate) the places of its best ``k``, ties by
-    id, as lists."""
-    many = scores.shape[1] > k
-    floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if many else np.full(len(scores), -np.inf)
-    for q, least in enumerate(floor):
-        at = np.flatnonzero((scores[q] >= least) & (scores[q] > -np.inf))
-        yield at[np.lexsort((ids[at], -scores[q, at]))[:k]] if len(at) else at
+def in_order(left, right):
+    """The dot products of the rows of two matrices, each added up in order of the components."""
+    total = np.zeros(len(left))
+    for d in range(left.shape[1]):
+        total += left[:, d] * right[:, d]
+    return total
+
+
+def best_of(queries, vectors, ids, k, allowed=None):
+    """(query number, vector number, score) of the best ``k`` rows of ``vectors`` for each row of
+    ``queries``, ties by id, as arrays in order.  ``allowed``: which pairs count (queries x vectors)."""
+    scores = queries @ vectors.T
+    if allowed is not None:
+        scores[~allowed] = -np.inf
+    floor = np.full((len(scores), 1), -np.inf)
+    if scores.shape[1] > k:
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+    # Room for rounding, also of large values; what is not finite is no candidate.
+    room = ROUNDING * np.maximum(1, np.abs(np.where(np.isfinite(floor), floor, 0)))
+    q, v = np.nonzero((scores >= floor - room) & np.isfinite(scores))
+    exact = in_order(queries[q], vectors[v])
+    order = np.lexsort((ids[v], -exact, q))
+    q, v, exact = q[order], v[order], exact[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], v[best], exact[best]
 
 
 def dealt_blocks(rows, asked, row_hash, query_hash, block_rows=ROWS, block_queries=QUERIES):
@@ -55,44 +76,50 @@ def grouped_topk(rows, asked, k, exclude_self=False, allowed=None, block_rows=RO
     """Top ``k`` of ``rows`` (deal, id, embedding) for each query of ``asked`` (deal, query_id,
     embedding) among the rows it shares a deal with: query_id, id, ``exact``, ``rank``.
 
-    ``allowed(rows, queries)`` takes the two sides of a group as Arrow tables and returns which
+    ``allowed(rows, queries)`` takes the two sides of a product as Arrow tables and returns which
     pairs count (queries x rows), or None for all.  Of a query in several deals the hits are
     put together; deals of one query must not share rows.  Vectors whose length differs from
     the query's, and vectors that are null or hold nulls, match nothing.  Ids are unique."""
+    left, right = dealt_blocks(rows, asked, F.xxhash64("id"), F.xxhash64("query_id"), block_rows, block_queries)
+    return block_topk(left, right, k, exclude_self, allowed)
+
+
+def block_topk(left, right, k, exclude_self=False, allowed=None):
+    """The same for sides that are dealt to blocks already (with ``deal``, ``block``, ``qblock``)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    query_type, id_type = asked.schema["query_id"].dataType, rows.schema["id"].dataType
+    query_type, id_type = right.schema["query_id"].dataType, left.schema["id"].dataType
     types = [to_arrow_type(query_type), to_arrow_type(id_type), pa.float64()]
-    left, right = dealt_blocks(rows, asked, F.xxhash64("id"), F.xxhash64("query_id"), block_rows, block_queries)
 
     # Names of their own: both sides may come from one table.
     right = right.select(*(F.col(c).alias(f"q_{c}") for c in right.columns))
 
     def run(left, right):
         right = right.rename_columns([c.removeprefix("q_") for c in right.column_names])
-        out = ([], [], [])
+        out = [pa.table([pa.array([], t) for t in types], ["query_id", "id", "exact"])]
         q_sizes = np.asarray(right["embedding"].combine_chunks().value_lengths().fill_null(0))
         for width in set(q_sizes[q_sizes > 0].tolist()):
             q_at, q = matrix(right["embedding"], width)
             v_at, v = matrix(left["embedding"], width)
             if not len(q_at) or not len(v_at):
                 continue
-            ids, names = left["id"].take(pa.array(v_at)).to_pylist(), right["query_id"].take(pa.array(q_at)).to_pylist()
-            scores = q @ v.T
-            keys = np.array(ids)
-            if allowed is not None:
-                scores[~allowed(left.take(pa.array(v_at)), right.take(pa.array(q_at)))] = -np.inf
+            rows = left.take(pa.array(v_at))
+            ids = rows["id"].to_pylist()
+            keys, place = np.array(ids), {}
             if exclude_self:
-                place = {}
                 for n, i in enumerate(ids):
                     place.setdefault(i, []).append(n)
-                for n, name in enumerate(names):
-                    scores[n, place.get(name, [])] = -np.inf
-            for n, at in enumerate(best_of(scores, keys, k)):
-                out[0].extend([names[n]] * len(at))
-                out[1].extend(ids[i] for i in at)
-                out[2].extend(scores[n, at].tolist())
-        return pa.table([pa.array(c, t) for c, t in zip(out, types)], ["query_id", "id", "exact"])
+            for a in range(0, len(q), SLICE):
+                asked = right.take(pa.array(q_at[a : a + SLICE]))
+                ok = None if allowed is None else allowed(rows, asked)
+                if exclude_self:
+                    ok = np.ones((len(asked), len(ids)), bool) if ok is None else ok
+                    for n, name in enumerate(asked["query_id"].to_pylist()):
+                        ok[n, place.get(name, [])] = False
+                which, at, exact = best_of(q[a : a + SLICE], v, keys, k, ok)
+                names, found = asked["query_id"].take(pa.array(which)), rows["id"].take(pa.array(at))
+                out.append(pa.table([names.cast(types[0]), found.cast(types[1]), pa.array(exact)], ["query_id", "id", "exact"]))
+        return pa.concat_tables(out).combine_chunks()
 
     keys = ("deal", "block", "qblock")
     schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, exact double"

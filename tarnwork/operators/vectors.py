@@ -1,17 +1,12 @@
 """Unit vectors and exact cosine neighbours in blocks."""
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..folders import stage
-from .lexical import top_k
-from .nearest import matrix
+from .nearest import ROWS, block_topk
 
 BLOCK = 4096
 
@@ -53,71 +48,17 @@ def embed_column(rows, text_col="text", encode=hashed_words, batch_size=32, name
 def vector_topk(vectors, queries, k=20, id_col="id", query_id="query_id", vector_col="embedding", exclude_self=False, block=BLOCK):
     """Top ``k`` rows of each query by cosine of unit vectors (``score`` to 4 digits); ties by id.
 
-    Queries go in blocks of at most ``block`` rows, one broadcast and one scan a block; where
-    there are several, the hits of each are staged before the next is sent, so that the driver
-    and the executors hold one block at a time.  Every partition keeps its own top ``k`` of each
-    query, and only those are shuffled.  Ids may have any type.  Vectors match only those of their
-    own length; null vectors, empty ones and those that hold nulls match nothing."""
-    spark, parts, asked = vectors.sparkSession, [], queries.select(query_id, vector_col).filter(F.col(vector_col).isNotNull())
-    rows = asked.toLocalIterator()
-    held = list(islice(rows, block))
-    while True:
-        shared = spark.sparkContext.broadcast(_by_width(held))
-        hits = _against(vectors, shared, asked.schema[query_id].dataType, k, id_col, query_id, vector_col, exclude_self)
-        held = list(islice(rows, block)) if len(held) == block else []
-        if held or parts:
-            hits = stage(hits, "nearest")
-            shared.unpersist()
-        parts.append(hits)
-        if not held:
-            break
-    # Dealt anew by query, as for every union of such legs.
-    hits = parts[0] if len(parts) == 1 else reduce(lambda a, b: a.unionByName(b), parts).repartition(query_id)
-    best = top_k(hits, k, query_id, F.desc("exact"), F.col(id_col))
-    return best.select(query_id, id_col, F.round("exact", 4).alias("score"), "rank")
-
-
-def _by_width(asked):
-    """[(names, matrix)] of the rows (name, vector), a pair for each length."""
-    widths = {}
-    for name, vector in asked:
-        if vector and None not in vector:
-            widths.setdefault(len(vector), []).append((name, vector))
-    return [([n for n, _ in rows], np.array([v for _, v in rows], np.float64)) for rows in widths.values()]
-
-
-def _against(vectors, shared, query_type, k, id_col, query_id, vector_col, exclude_self):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = vectors.schema[id_col].dataType
-    types = [to_arrow_type(query_type), to_arrow_type(id_type), pa.float64()]
-
-    def run(batches):
-        asked = shared.value
-        best = [[(np.zeros(0), None)] * len(names) for names, _ in asked]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            every = np.array(batch.column(0).to_pylist())
-            for (names, queries), best_here in zip(asked, best):
-                at, vectors = matrix(batch.column(1), queries.shape[1])
-                if not len(at):
-                    continue
-                ids, scores = every[at], queries @ vectors.T
-                if exclude_self:
-                    scores[np.array(names)[:, None] == ids[None, :]] = -np.inf
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(names), -np.inf)
-                for q, (old_s, old_i) in enumerate(best_here):
-                    floor = max(least[q], old_s[-1]) if len(old_s) == k else least[q]
-                    at = np.flatnonzero((scores[q] >= floor) & np.isfinite(scores[q]))
-                    if len(at):
-                        s = np.concatenate([old_s, scores[q, at]])
-                        i = ids[at] if old_i is None else np.concatenate([old_i, ids[at]])
-                        order = np.lexsort((i, -s))[:k]
-                        best_here[q] = (s[order], i[order])
-        rows = [(n, i, s) for (names, _), found in zip(asked, best) for n, (s_, i_) in zip(names, found) if i_ is not None for i, s in zip(i_.tolist(), s_.tolist())]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["q", "i", "s"])
-
-    schema = f"{query_id} {query_type.simpleString()}, {id_col} {id_type.simpleString()}, exact double"
-    return vectors.select(id_col, vector_col).filter(F.col(vector_col).isNotNull()).mapInArrow(run, schema)
+    Rows and queries are cut into blocks, of at most about ROWS and ``block``, and each block of
+    rows meets each block of queries in one group (``nearest``): a task holds one pair of blocks
+    and the scores of a few queries, whatever the sizes, and nothing goes through the driver.
+    Each group keeps its own top ``k`` of each query, and only those are shuffled on.  Ids may have
+    any type.  Vectors match only those of their own length; null vectors, empty ones and those
+    that hold nulls match nothing."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")).filter(F.size("embedding") > 0)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector_col).alias("embedding")).filter(F.size("embedding") > 0)
+    blocks, qblocks = (max(1, -(-side.count() // size)) for side, size in ((rows, ROWS), (asked, block)))
+    own, every = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumns({"deal": F.lit(0), "block": own("id", blocks)}).withColumn("qblock", every(qblocks))
+    right = asked.withColumns({"deal": F.lit(0), "qblock": own("query_id", qblocks)}).withColumn("block", every(blocks))
+    best = block_topk(left, right, k, exclude_self)
+    return best.select(F.col("query_id").alias(query_id), F.col("id").alias(id_col), F.round("exact", 4).alias("score"), "rank")
