@@ -48,10 +48,12 @@ def probes_for(sample, centroids, recall, trials=TRIALS, neighbours=NEIGHBOURS):
     if len(sample) < 2:
         return 1
     asked = np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int)
-    scores = sample[asked] @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    k = min(neighbours, len(sample) - 1)
-    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    k, near = min(neighbours, len(sample) - 1), []
+    for a in range(0, len(asked), 32):
+        scores = sample[asked[a : a + 32]] @ sample.T
+        scores[np.arange(len(scores)), asked[a : a + 32]] = -np.inf
+        near.append(np.argpartition(-scores, k - 1, axis=1)[:, :k])
+    near = np.concatenate(near)
     own = np.concatenate([(sample[a : a + 4096] @ centroids.T).argmax(1) for a in range(0, len(sample), 4096)])
     order = np.argsort(-(sample[asked] @ centroids.T), axis=1)
     place = np.empty_like(order)
@@ -60,6 +62,38 @@ def probes_for(sample, centroids, recall, trials=TRIALS, neighbours=NEIGHBOURS):
     return int(needed[min(len(needed) - 1, ceil(recall * len(needed)) - 1)])
 
 
+def picked(rows, sample, n):
+    """The vectors of ``rows`` (``n`` of them) with the ``sample`` least hashes of their id, in that
+    order and in one partition.  Hashes are spread evenly, so only those below a bound go to it."""
+    full = rows.filter(F.size("embedding") > 0)
+    if n > 4 * sample:
+        low = full.filter(F.xxhash64("id") < int(2 * sample / n * 2**64) - 2**63)
+        full = low if low.count() >= sample else full
+    return full.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").coalesce(1)
+
+
+def fitter(most, recall):
+    """The fitting of at most ``most`` lists, as a step of the one task that has the sample (at
+    most SAMPLE rows): a row a centroid, each with the number of probes."""
+
+    def run(batches):
+        lists = [b.column(0) for b in batches]
+        _, sample = matrix(pa.chunked_array(lists)) if lists else (None, np.zeros((0, 1)))
+        if len(sample):
+            centroids = fit_centroids(sample, min(most, len(sample)))
+            probes = probes_for(sample, centroids, recall)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(centroids)), pa.int32()), pa.array(centroids.tolist(), pa.list_(pa.float64())), pa.array([probes] * len(centroids), pa.int32())], ["list", "centroid", "probes"])
+
+    return run
+
+
+def _read(fitted):
+    """(probes, centroids) of a table of centroids; at most MOST_LISTS rows."""
+    found = sorted((r.asDict() for r in fitted.collect()), key=lambda r: r["list"])
+    centroids = np.array([r["centroid"] for r in found]) if found else np.zeros((0, 1))
+    return found[0].get("probes", 0) if found else 0, centroids
+
+
 def _listed(rows, centroids, count, out):
     """``rows`` with the ``count`` nearest lists of each vector (array<int>) as ``out``; empty
     for vectors that match nothing."""
@@ -92,28 +126,24 @@ class VectorIndex:
         """Writes the index of ``vectors`` below ``path`` and returns it."""
         spark = vectors.sparkSession
         rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"))
-        picked = rows.filter(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
-        _, fitted = matrix(picked["embedding"])
         n = rows.count()
-        lists = min(lists or max(1, round(sqrt(n))), MOST_LISTS, max(1, len(fitted)))
-        centroids = fit_centroids(fitted, lists) if len(fitted) else np.zeros((0, 1))
-        probes = probes_for(fitted, centroids, recall) if len(fitted) else 0
+        most = min(lists or max(1, round(sqrt(n))), MOST_LISTS)
+        fitted = stage(picked(rows, sample, n).mapInArrow(fitter(most, recall), "list int, centroid array<double>, probes int"), "fitted-lists")
+        probes, centroids = _read(fitted)
         listed = _listed(rows, centroids, 1, "lists").filter(F.size("lists") > 0).select("id", "embedding", F.col("lists")[0].alias("list"))
         dealt = stage(listed, "listed-vectors")
         sizes = dealt.groupBy("list").agg(F.ceil(F.count("*") / F.lit(FILE_ROWS)).cast("int").alias("files"))
         parts = dealt.join(F.broadcast(sizes), "list").withColumn("file", F.pmod(F.xxhash64("id"), F.col("files")))  # a row a list
         parts.repartition("list", "file").drop("file", "files").write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
         about = {"probes": probes, "width": int(centroids.shape[1]), "id": dealt.schema["id"].dataType.jsonValue()}
-        stored = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
-        spark.createDataFrame(stored, "list int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        fitted.select("list", "centroid").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
         spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         return cls(spark, path, centroids, probes)
 
     @classmethod
     def load(cls, spark, path):
         about = json.loads(spark.read.parquet(f"{path}/about").first()[0])
-        rows = sorted(tuple(r) for r in spark.read.parquet(f"{path}/centroids").collect())  # at most MOST_LISTS
-        return cls(spark, path, np.array([c for _, c in rows]).reshape(len(rows), about["width"]), about["probes"])
+        return cls(spark, path, _read(spark.read.parquet(f"{path}/centroids"))[1], about["probes"])
 
     def lists_read(self, queries):
         """The lists that these queries (with ``lists``) probe; at most MOST_LISTS."""

@@ -132,3 +132,21 @@ def test_filters_of_either_leg(spark):
 def test_overlap_score(spark):
     pairs = spark.createDataFrame([("one two two", "two three"), ("", "a b"), (None, "x"), ("one", None)], "query string, text string")
     assert [r["rerank_score"] for r in hybrid.overlap_score(pairs).collect()] == [0.5, 0.0, 0.0, 0.0]
+
+
+def test_neighbours_and_fitting_send_no_rows_through_the_driver(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8))
+    made = np.tile(base / np.linalg.norm(base, axis=1, keepdims=True), (50, 1))  # copies tie exactly, in whatever block they are
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(made)], "id long, embedding array<float>")
+    q = v.filter("id < 100").withColumnRenamed("id", "query_id")
+    for name in ("toLocalIterator", "toArrow", "toPandas"):
+        monkeypatch.setattr(type(v), name, lambda *a, **b: pytest.fail("rows sent to the driver"))
+    found = {}
+    for r in vectors.vector_topk(v, q, 5, exclude_self=True, block=7).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    assert all(sorted(f) == list(enumerate([i for i in range(n % 40, 2000, 40) if i != n][:5], 1)) for n, f in found.items()) and len(found) == 100
+    index = VectorIndex.build(v, str(tmp_path / "index"), sample=256)  # the least hashes alone are sorted
+    again = VectorIndex.load(spark, str(tmp_path / "index"))
+    assert again.probes == index.probes and (again.centroids == index.centroids).all()
+    assert index.search(q, 5, exclude_self=True).count() == 500
