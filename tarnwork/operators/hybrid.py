@@ -1,5 +1,6 @@
 """Fusion of legs, reranking, parents and presentation."""
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -83,10 +84,20 @@ def shown_score(columns):
     return F.coalesce(*(F.col(c).cast("double") for c in ("rrf_score", "rerank_score", "score") if c in columns), F.lit(0.0))
 
 
+def four_digits(c):
+    """Rounded by the exact value, as by C; "%.4f" of Java rounds the shortest decimal, half up."""
+
+    @F.arrow_udf("string")
+    def run(scores: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.4f}" for x in scores.to_pylist()], pa.string())
+
+    return run(c)
+
+
 def format_hits(queries, hits, top=5, empty="未找到相关政策"):
     """One text a query: its first ``top`` hits (1 to 10) as numbered blocks in rank order."""
     most = min(max(1, top), 10)
-    piece = F.concat(F.lit("[片段 "), F.col("rank").cast("string"), F.lit("]\n来源文件："), F.col("source"), F.lit("\n相关度："), F.format_string("%.4f", shown_score(hits.columns)), F.lit("\n内容："), F.col("text"))
+    piece = F.concat(F.lit("[片段 "), F.col("rank").cast("string"), F.lit("]\n来源文件："), F.col("source"), F.lit("\n相关度："), four_digits(shown_score(hits.columns)), F.lit("\n内容："), F.col("text"))
     said = hits.filter(F.col("rank") <= most).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n---\n").alias("answer"))
     return queries.select("query_id").join(said, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(empty)))
 

@@ -150,3 +150,10 @@ def test_neighbours_and_fitting_send_no_rows_through_the_driver(spark, tmp_path,
     again = VectorIndex.load(spark, str(tmp_path / "index"))
     assert again.probes == index.probes and (again.centroids == index.centroids).all()
     assert index.search(q, 5, exclude_self=True).count() == 500
+
+
+def test_formatted_scores_are_rounded_by_their_exact_value(spark):
+    values = [207.21855, 0.03125, 1234.00005, 0.00005, 2.5]
+    hits = spark.createDataFrame([(i, 1, "s", "t", x) for i, x in enumerate(values)], "query_id int, rank int, source string, text string, score double")
+    said = dict(hybrid.format_hits(hits.select("query_id"), hits).collect())
+    assert [said[i].split("相关度：")[1].split("\n")[0] for i in range(len(values))] == [f"{x:.4f}" for x in values]
