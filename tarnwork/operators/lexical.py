@@ -14,6 +14,7 @@ are skipped.  Each shard gives the best ``k`` of each query, and these are ranke
 exact.  Ids are unique; chunks without tokens count in the averages."""
 
 from collections import Counter
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -251,6 +252,12 @@ def best_in_shard(rows, lengths, ids, k, mean):
             yield q, i, -s
 
 
+def tabled(found, types, names, rows=20_000):
+    """An Arrow table of an iterator of tuples, of which ``rows`` are held as objects at a time."""
+    parts = (pa.table([pa.array(c, t) for c, t in zip(zip(*part), types)], names) for part in batched(found, rows))
+    return pa.concat_tables([pa.table([pa.array([], t) for t in types], names), *parts])
+
+
 def scored(index, queries, k=2**31 - 1, id_col="id", query_id="query_id", query_text="query", additions=HAN_WORDS):
     """The best ``k`` chunks of each query in each shard: query, id, ``score``."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -273,8 +280,7 @@ def scored(index, queries, k=2**31 - 1, id_col="id", query_id="query_id", query_
         bounds = saturation(group["most"].to_numpy(), group["shortest"].to_numpy(), mean).tolist()
         named = [[(a["q"], a["w"]) for a in x] for x in group["asked"].to_pylist()]
         rows = [r for r in zip(terms, bounds, docs, tf, named) if r[0] is not None]
-        found = list(zip(*best_in_shard(rows, tf[own], group["ids"][own].as_py(), k, mean))) or [(), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(found, types)], [query_id, id_col, "score"])
+        return tabled(best_in_shard(rows, tf[own], group["ids"][own].as_py(), k, mean), types, [query_id, id_col, "score"])
 
     dealt = hit.select("shard", "qblock", "term", "most", "shortest", "docs", "tf", "ids", "asked").groupBy("shard", "qblock")
     return dealt.applyInArrow(run, f"{query_id} {query_kind.simpleString()}, {id_col} {id_kind.simpleString()}, score double")

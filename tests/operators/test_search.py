@@ -157,3 +157,18 @@ def test_formatted_scores_are_rounded_by_their_exact_value(spark):
     hits = spark.createDataFrame([(i, 1, "s", "t", x) for i, x in enumerate(values)], "query_id int, rank int, source string, text string, score double")
     said = dict(hybrid.format_hits(hits.select("query_id"), hits).collect())
     assert [said[i].split("相关度：")[1].split("\n")[0] for i in range(len(values))] == [f"{x:.4f}" for x in values]
+
+
+def test_hits_without_a_limit_are_not_held_as_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    types = [pa.int64(), pa.int64(), pa.float64()]
+    tracemalloc.start()
+    made = lexical.tabled(((i // 1000, i, i / 7) for i in range(300_000)), types, ["q", "i", "s"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.num_rows == 300_000 and made["i"].to_pylist()[-1] == 299_999 and made.schema.types == types
+    assert lexical.tabled(iter(()), types, ["q", "i", "s"]).num_rows == 0
+    assert peak < 12 << 20  # as objects, some 40 MB
