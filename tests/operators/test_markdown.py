@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.functions import html
-from tarnwork.functions.markdown import DEPTH, markdown
+from tarnwork.functions.markdown import DEPTH, markdown, pieces
 
 CASES = {
     "<p>a<p>b": "a\n\nb",
@@ -76,6 +76,11 @@ def test_a_megabyte_of_anything_is_linear():
     assert markdown("<blockquote>" * 100 + "x") == "> " * DEPTH + "x"
 
 
+def test_a_piece_is_a_text_with_the_known_tag_behind_it():
+    page = "a<P x>b<span>c</span>d</p><!-- <p> --><script>if (a<b) </Script><3"
+    assert list(pieces(page)) == [("a", "", "p"), ("b", "", None), ("c", "", None), ("d", "/", "p"), ("", "", "script"), ("", "/", "script"), ("<", "", None), ("3", "", None)]
+
+
 def test_column(spark):
     rows = spark.createDataFrame([("<title>T</title><body><p>首页Home<p>原文<p>text",), (None,), ("",), ("<h1>T</h1>",)], "page string")
     got = [r["m"] for r in rows.select(html.html_markdown("page", F.lit("stem")).alias("m")).collect()]
