@@ -24,8 +24,8 @@ def fresh_dir(spark, label):
     return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df, label):
-    """``df`` written below the shared folder and read back."""
+def stage(df, label, **options):
+    """``df`` written below the shared folder, with the writer's ``options``, and read back."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

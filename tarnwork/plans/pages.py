@@ -192,8 +192,9 @@ def stream_ingest_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_dir(spark, "chunk-table")
     plan = lambda batch: jobs.clean_and_chunk(batch, "doc_id")
-    for run in ("first", "second"):
-        jobs.stream_ingest(streamed(spark, docs, f"documents-{run}"), path, fresh_dir(spark, "checkpoint"), prepare=plan).start().awaitTermination()
+    stream = streamed(spark, docs, "documents")
+    for _ in range(2):
+        jobs.stream_ingest(stream, path, fresh_dir(spark, "checkpoint"), prepare=plan).start().awaitTermination()
     stored = spark.read.parquet(path)
     short = docs.withColumn("t", clean_markdown("text")).filter("t <> '' and length(t) <= 1500").select("doc_id")
     parents = stored.filter("role = 'parent'").join(short, "doc_id", "left_semi")

@@ -5,13 +5,14 @@ import json
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructType
 
 from ..folders import stage
 from ..functions.text import clean_markdown
-from ..operators.store import dedup_ids, new_chunks_only
+from ..operators.store import new_chunks_only
 from ..operators.structure import parent_child
 
 
@@ -80,21 +81,31 @@ def add_new(batch, path, id_col="id", order=None, buckets=BUCKETS):
     The table is partitioned by a hash of the id (``_bucket``), and ``path``-filters holds a Bloom
     filter for each bucket and batch, some ten bits an id.  Ids that no filter knows are new; only
     the buckets of the others are read, and only their ids.  Filters are written before rows, so
-    that a batch that failed between the two is added when it runs again."""
+    that a batch that failed between the two is added when it runs again.
+
+    What is stored is found from ids alone.  The other columns are staged once, and those of new
+    rows are dealt once, to their buckets, where repeats of an id (the first by ``order`` stays) go too."""
     spark, schema = batch.sparkSession, batch.schema
-    fresh = stage(dedup_ids(batch, order or [id_col], id_col), "ingested")
+    staged = stage(_hashed(batch, id_col, buckets).drop("_h"), "ingested", compression="zstd")
+    ids, new = staged.select("_bucket", id_col), staged
     known = spark.read.schema("_bucket int, made binary").parquet(f"{path}-filters")
-    perhaps = stage(perhaps_stored(fresh, known, id_col, buckets), "perhaps-stored")
-    wanted = sorted(r[0] for r in perhaps.select("_bucket").distinct().collect())  # at most ``buckets``
-    new = fresh
+    wanted = []
+    if not known.isEmpty():
+        perhaps = stage(perhaps_stored(ids, known, id_col, buckets), "perhaps-stored")
+        wanted = sorted(r[0] for r in perhaps.select("_bucket").distinct().collect())  # at most ``buckets``
     if wanted:
         stored = spark.read.schema(StructType([schema[id_col]]).add("_bucket", IntegerType())).parquet(path)
         held = stored.filter(F.col("_bucket").isin(wanted)).select(id_col).join(perhaps.select(id_col), id_col, "left_semi")
-        new = new_chunks_only(fresh, held, id_col)
-    new = stage(new.select(*fresh.columns), "new-chunks")
-    filters_of(new, id_col, buckets).write.mode("append").parquet(f"{path}-filters")
-    dealt = _hashed(new, id_col, buckets).drop("_h")
-    dealt.repartition("_bucket").write.mode("append").partitionBy("_bucket").parquet(path)
+        held = stage(held, "stored-already")
+        ids = stage(new_chunks_only(ids, held, id_col), "new-ids")
+        if ids.isEmpty():
+            return wanted
+        new = new_chunks_only(staged, held, id_col)
+    filters_of(ids, id_col, buckets).write.mode("append").parquet(f"{path}-filters")
+    # An id has one bucket, so rows that are dealt by it need no other deal to meet their repeats.
+    first = F.row_number().over(Window.partitionBy("_bucket", id_col).orderBy(*(order or [id_col])))
+    once = new.repartition("_bucket").withColumn("_n", first).filter("_n = 1")
+    once.select(*schema.names, "_bucket").write.mode("append").option("compression", "zstd").partitionBy("_bucket").parquet(path)
     return wanted
 
 

@@ -130,6 +130,21 @@ def test_documents_are_chunked_inside_the_stream(spark, tmp_path):
         assert got == [(s, r, t) for s, r, t in sorted((s, r, t) for r in ("child", "parent") for s, t in (("a", "## A\nx\n\ny"), ("a", "## B\nz"), ("d", "plain")))]
 
 
+def test_ingest_stages_texts_once_and_keeps_the_first_of_repeats(spark, tmp_path, monkeypatch):
+    staged, stage = [], jobs.stage
+    monkeypatch.setattr(jobs, "stage", lambda df, label, **options: staged.append(df.columns) or stage(df, label, **options))
+    path, kind = str(tmp_path / "table"), "id string, n int, text string"
+    spark.createDataFrame([], "_bucket int, made binary").write.parquet(f"{path}-filters")
+    one = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "n")], kind)
+    two = spark.createDataFrame([("a", 0, "late"), ("c", 2, "v"), ("c", 1, "w")], kind)
+    for batch in (one, two, one.filter("id is not null"), two):
+        staged.clear()
+        jobs.add_new(batch, path, order=["n"], buckets=4)
+        assert sum("text" in columns for columns in staged) == 1
+    got = spark.read.parquet(path).select("id", "n", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a", 1, "y"), ("b", 1, "z"), ("c", 1, "w"), (None, 1, "n")], key=str)
+
+
 def test_stream_history_equals_the_batch_window(spark, tmp_path):
     said = [(c, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for c in (1, 2) for t in range(4 + 3 * c)] + [(1, 99, "system", "x")]
     rows = spark.createDataFrame(said, "conv_id bigint, turn bigint, role string, text string")
