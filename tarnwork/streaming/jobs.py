@@ -131,6 +131,7 @@ def clean_and_chunk(docs, source_col="source", text_col="text"):
 
 
 SLICE = 50_000  # rows of a frame that a stream's step returns
+CACHE_BUCKETS = 1024
 
 
 def last_window(kept, frames, most):
@@ -159,20 +160,61 @@ def last_window(kept, frames, most):
     return [*kept, *([turn, role, text] for turn, _, role, text in last)][-size:] if size else []
 
 
-def walk_times(stored, frames, ttl_seconds):
-    """(stored, times, hits): the times of ``frames`` in order, which of them are hits, and the
-    time of the last miss; times in microseconds.  Only the times are held, 8 bytes a row."""
-    times = np.sort(np.concatenate([rows["ts"].to_numpy("datetime64[us]", copy=True) for rows in frames]))
-    at, ttl = times.view(np.int64), int(ttl_seconds * 1_000_000)
+def walk(stored, at, ttl):
+    """(time of the last miss, hits) of times ``at`` in order, after a miss at ``stored``."""
     hits, i = np.ones(len(at), bool), 0
     while True:
         if stored is not None:
             i = int(np.searchsorted(at, stored + ttl, "right"))
         if i >= len(at):
-            return stored, times, hits
+            return stored, hits
         hits[i], stored = False, int(at[i])
 
 
+def walk_times(stored, frames, ttl_seconds):
+    """(stored, times, hits): the times of ``frames`` in order, which of them are hits, and the
+    time of the last miss; times in microseconds.  Only the times are held, 8 bytes a row."""
+    times = np.sort(np.concatenate([rows["ts"].to_numpy("datetime64[us]", copy=True) for rows in frames]))
+    stored, hits = walk(stored, times.view(np.int64), int(ttl_seconds * 1_000_000))
+    return stored, times, hits
+
+
+def walk_keys(held, frames, ttl_seconds):
+    """(names, key numbers, times, hits) of the rows of ``frames`` (key, ts), by key and time; times
+    in microseconds.  ``held`` (key -> time of the last miss) is brought up to date.
+
+    Of a row its time and the number of its key are held, 12 bytes; each key is held once."""
+    place, codes, times = {}, [], []
+    for rows in frames:
+        own, names = pd.factorize(rows["key"].to_numpy(object))  # -1: null
+        names = [*names, None] if (own < 0).any() else names
+        codes.append(np.array([place.setdefault(name, len(place)) for name in names], np.int32)[own])
+        times.append(rows["ts"].to_numpy("datetime64[us]", copy=True))
+    codes, times = np.concatenate(codes), np.concatenate(times)
+    order = np.lexsort((times.view(np.int64), codes))
+    codes, times = codes[order], times[order]
+    ends = np.searchsorted(codes, np.arange(len(place)), "right").tolist()
+    hits, at, begin = np.ones(len(times), bool), times.view(np.int64), 0
+    for name, end in zip(place, ends):
+        held[name], hits[begin:end] = walk(held.get(name), at[begin:end], int(ttl_seconds * 1_000_000))
+        begin = end
+    return list(place), codes, times, hits
+
+
+def packed(held):
+    """A dict of key -> time as bytes (an Arrow stream)."""
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], ["key", "stored"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(made):
+    table = pa.ipc.open_stream(bytes(made)).read_all()
+    return dict(zip(table["key"].to_pylist(), table["stored"].to_pylist()))
+
+
 def stream_history(messages, max_rounds=10):
     """The running window of each conversation, as ``turns``, ``roles``, ``texts``: a row for each
     conversation that got messages (update mode).  The window grows to ``2 * max_rounds``; from
@@ -190,21 +232,33 @@ def stream_history(messages, max_rounds=10):
     return spoken.groupBy("conv_id").applyInPandasWithState(step, f"conv_id {kind}, turns array<bigint>, roles array<string>, texts array<string>", "kept string", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_cache(asked, ttl_seconds=86400, delay="1 hour"):
+def stream_cache(asked, ttl_seconds=86400, delay="1 hour", buckets=CACHE_BUCKETS):
     """``key``, ``ts``, ``hit`` for each query of a stream (``key``, ``ts``): a hit within
     ``ttl_seconds`` of the miss that stored the answer.  Entries leave when the watermark has
-    passed their end; queries later than the watermark are ignored."""
-
-    def step(key, frames, state):
-        if state.hasTimedOut:
+    passed their end; queries later than the watermark are ignored.
+
+    Keys are dealt to ``buckets`` by a hash, and a bucket's live entries are one state, so that
+    a batch calls Python once a bucket and not once a key.  A step holds the entries of a bucket
+    and 12 bytes for each of its rows in the batch: with more keys or rows, take more buckets.  A
+    checkpoint keeps the number of buckets it was begun with."""
+    ttl = int(ttl_seconds * 1_000_000)
+
+    def step(bucket, frames, state):
+        held, now = unpacked(state.get[0]) if state.exists else {}, state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            names, codes, times, hits = walk_keys(held, frames, ttl_seconds)
+            names = np.array(names, object)
+            for a in range(0, len(hits), SLICE):
+                part = slice(a, a + SLICE)
+                yield pd.DataFrame({"key": names[codes[part]], "ts": times[part].astype("datetime64[ns]"), "hit": hits[part]})
+        # Queries of later batches are later than the watermark, so no entry that ends before it can serve one.
+        held = {key: at for key, at in held.items() if at + ttl > now * 1000}
+        if held:
+            state.update((packed(held),))
+            state.setTimeoutTimestamp(-(-(min(held.values()) + ttl) // 1000))
+        elif state.exists:
             state.remove()
-            return
-        stored, times, hits = walk_times(state.get[0] if state.exists else None, frames, ttl_seconds)
-        state.update((stored,))
-        state.setTimeoutTimestamp(max(stored // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
-        for a in range(0, len(hits), SLICE):
-            part = slice(a, a + SLICE)
-            yield pd.DataFrame({"key": key[0], "ts": times[part].astype("datetime64[ns]"), "hit": hits[part]})
 
     marked = asked.select("key", "ts").withWatermark("ts", delay)
-    return marked.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, hit boolean", "stored bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = marked.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, "key string, ts timestamp, hit boolean", "held binary", "append", GroupStateTimeout.EventTimeTimeout)

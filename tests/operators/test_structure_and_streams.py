@@ -3,6 +3,7 @@
 import json
 import random
 import weakref
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -202,3 +203,34 @@ def test_stream_steps_hold_no_frames_and_equal_the_plain_walk():
             hits.append(at is not None and t * 1_000_000 - at <= 10_000_000)
             at = at if hits[-1] else t * 1_000_000
         assert (found[0], found[1].view("int64").tolist(), found[2].tolist()) == (at, [t * 1_000_000 for t in sorted(seconds)], hits)
+
+
+def test_stream_cache_holds_a_state_a_bucket_and_carries_its_keys_on(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    first, second = [("a", 0), ("b", 8), (None, 20), *((f"k{i}", 19) for i in range(50))], [("a", 16), ("b", 17), ("b", 19), (None, 29), ("k7", 29), ("k8", 30)]
+    for n, rows in enumerate((first, second)):
+        spark.createDataFrame([(k, at(s)) for k, s in rows], "key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    made = jobs.stream_cache(stream, 10, "5 seconds", buckets=3)
+    run = made.writeStream.format("memory").queryName("cached_buckets").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {(r["key"], r["ts"].second): r["hit"] for r in spark.table("cached_buckets").collect()}
+    want = {(k, s): False for k, s in first} | {("a", 16): False, ("b", 17): True, ("b", 19): False, (None, 29): True, ("k7", 29): True, ("k8", 30): False}
+    assert got == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 3
+
+
+def test_walk_of_many_keys_equals_the_walk_of_each():
+    r = random.Random(5)
+    for _ in range(100):
+        held = {k: 1_000_000 * r.randrange(50) for k in r.sample("abc", r.randrange(4))}
+        rows = [(r.choice(["a", "b", "c", "d", None]), r.randrange(200)) for _ in range(r.randrange(1, 60))]
+        parts = [rows[a : a + 7] for a in range(0, len(rows), 7)]
+        frame = lambda p: pd.DataFrame({"key": pd.Series([k for k, _ in p], dtype=object), "ts": pd.to_datetime([s for _, s in p], unit="s")})
+        after = jobs.unpacked(jobs.packed(held))
+        assert after == held
+        names, codes, times, hits = jobs.walk_keys(after, one_at_a_time([lambda p=p: frame(p) for p in parts]), 10)
+        for n, name in enumerate(names):
+            stored, at, hit = jobs.walk_times(held.get(name), [frame([(k, s) for k, s in rows if k == name])], 10)
+            assert after[name] == stored and times[codes == n].tolist() == at.tolist() and hits[codes == n].tolist() == hit.tolist()
+        assert {k for k, _ in rows} == set(names) and {**held, **after} == after
