@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..folders import stage
 from .lexical import top_k
 
 ROWS, QUERIES = 8192, 512
+FEW_DEALS = 100_000  # so many sizes of deals may be broadcast
 SLICE = 128  # queries whose scores a task holds at once
 ROUNDING = 1e-9  # more than a product in another order can differ, for components up to a thousand
 
@@ -63,9 +65,14 @@ def best_of(queries, vectors, ids, k, allowed=None):
 
 def dealt_blocks(rows, asked, row_hash, query_hash, block_rows=ROWS, block_queries=QUERIES):
     """``rows`` and ``asked`` (both with ``deal``) with ``block`` and ``qblock``: every row of a
-    deal meets every query of it in exactly one pair.  Deals of one side alone are left out."""
+    deal meets every query of it in exactly one pair.  Deals of one side alone are left out.
+
+    Either side may come of an ``explode``, whose rows Spark does not count in its estimates, so it
+    is said here what may be broadcast: the sizes, a row a deal, if they are few; vectors never."""
     sizes = rows.groupBy("deal").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    sizes = sizes.join(asked.groupBy("deal").agg(F.ceil(F.count("*") / F.lit(block_queries)).cast("int").alias("qblocks")), "deal")
+    sizes = sizes.hint("merge").join(asked.groupBy("deal").agg(F.ceil(F.count("*") / F.lit(block_queries)).cast("int").alias("qblocks")), "deal")
+    sizes = stage(sizes, "deal-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_DEALS else sizes.hint("merge")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.join(sizes, "deal").withColumn("block", F.pmod(row_hash, F.col("blocks")).cast("int")).withColumn("qblock", each("qblocks"))
     right = asked.join(sizes, "deal").withColumn("qblock", F.pmod(query_hash, F.col("qblocks")).cast("int")).withColumn("block", each("blocks"))

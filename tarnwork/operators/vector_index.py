@@ -7,10 +7,13 @@ many lists a query probes follows from ``recall``: the least number that finds t
 the nearest rows of sampled queries among the sample.  A search therefore is approximate; what
 it returns are true scores.
 
-Queries are rows: each is dealt to its lists, and lists of any size are cut into blocks
-(``nearest``).  Vectors that are null, hold nulls or have another length than the sample's
-first vector are not indexed, as they match nothing; queries of such kinds get no hits.  An
-empty table gives an index without lists.  Ids may have any type and are unique."""
+Queries are rows.  Lists of near centroids are put together in packs of at most ROWS rows, and a
+query is dealt once to each pack that has a list it probes, so that queries and hits are
+multiplied by packs and not by probes; inside a pack only the rows of probed lists count.  A
+list beyond ROWS is a pack of its own and is cut into blocks (``nearest``).  Vectors that are
+null, hold nulls or have another length than the sample's first vector are not indexed, as they
+match nothing; queries of such kinds get no hits.  An empty table gives an index without lists.
+Ids may have any type and are unique."""
 
 import json
 from math import ceil, sqrt
@@ -21,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..folders import stage
-from .nearest import grouped_topk, matrix
+from .nearest import ROWS, grouped_topk, matrix
 
 SAMPLE = 65_536
 MOST_LISTS = 4096
 FILE_ROWS = 1_000_000
 ROUNDS, TRIALS, NEIGHBOURS = 10, 256, 20
+QUERIES = 4096  # in a block that meets a pack
+PACKS, LEAST_ROWS = 32, 1024  # so many packs, for as many tasks, unless they had fewer rows than that
 
 
 def fit_centroids(sample, lists, rounds=ROUNDS):
@@ -115,6 +120,32 @@ def _listed(rows, centroids, count, out):
     return rows.mapInArrow(run, schema)
 
 
+def packed(sizes, centroids, rows=ROWS):
+    """The number of the pack of each list, -1 for lists without rows.  ``sizes``: list to rows."""
+    total = sum(sizes.values())
+    rows = min(rows, max(LEAST_ROWS, -(-total // PACKS)))
+    coarse = fit_centroids(centroids, min(len(centroids), -(-total // rows))) if total else centroids
+    near, packs, pack, held = (centroids @ coarse.T).argmax(1), [-1] * len(centroids), -1, 0
+    for n in sorted(sizes, key=lambda n: (near[n], n)):
+        if pack < 0 or held + sizes[n] > rows:
+            pack, held = pack + 1, 0
+        packs[n], held = pack, held + sizes[n]
+    return packs
+
+
+def probed(rows, asked):
+    """Which rows (with ``list``) are in a list that a query (``lists``) probes, as a matrix of
+    queries by rows, for two Arrow tables."""
+    known, own = np.unique(np.asarray(rows["list"]), return_inverse=True)
+    lists = asked["lists"].combine_chunks()
+    query, wanted = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    met = np.zeros((len(lists), len(known)), bool)
+    here = known[at] == wanted
+    met[query[here], at[here]] = True
+    return None if met.all() else met[:, own]
+
+
 class VectorIndex:
     """A written index; ``search`` gives the hits of a table of queries."""
 
@@ -157,8 +188,12 @@ class VectorIndex:
         rows = self.spark.read.parquet(f"{self.path}/vectors") if wanted else None
         if rows is None:
             return asked.filter("false").select(F.col("query_id").alias(query_id), F.lit(None).cast("bigint").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-        rows = rows.filter(F.col("list").isin(wanted)).select(F.col("list").alias("deal"), "id", "embedding")
-        hits = grouped_topk(rows, asked.select("query_id", "embedding", F.explode("lists").alias("deal")), k, exclude_self)
+        rows = rows.filter(F.col("list").isin(wanted))
+        sizes = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}  # at most MOST_LISTS
+        packs = F.lit(packed(sizes, self.centroids))
+        asked = asked.withColumn("deal", F.explode(F.array_distinct(F.transform("lists", lambda n: packs[n]))))
+        asked = asked.withColumn("lists", F.filter("lists", lambda n: packs[n] == F.col("deal")))
+        hits = grouped_topk(rows.withColumn("deal", packs[F.col("list")]), asked, k, exclude_self, probed, block_queries=QUERIES)
         return hits.select(F.col("query_id").alias(query_id), "id", F.round("exact", 4).alias("score"), "rank")
 
 

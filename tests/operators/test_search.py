@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork.operators import hybrid, lexical, limited, nearest, vectors
+from tarnwork.operators import hybrid, lexical, limited, nearest, vector_index, vectors
 from tarnwork.operators.vector_index import VectorIndex, recall_at
 
 RAGGED = [(100, None), (101, []), (102, [1.0, 0.0, 0.0]), (103, [0.6, None]), (104, [0.6, 0.8])]
@@ -80,6 +80,54 @@ def test_index_of_odd_vectors(spark, tmp_path):
     assert VectorIndex.load(spark, str(tmp_path / "b")).search(e.withColumnRenamed("id", "query_id")).count() == 0 and empty.probes == 0
 
 
+def broadcast_parts(df):
+    """The lines of the plan that stand below a broadcast."""
+    out, deep = [], None
+    for line in df._jdf.queryExecution().executedPlan().treeString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-*"))
+        deep = None if deep is not None and at <= deep else deep
+        if deep is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            deep = at
+    return out
+
+
+def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+    r = np.random.default_rng(3)
+    e = spark.createDataFrame([(i, unit(r.normal(size=8))) for i in range(3000)], "id int, embedding array<double>")
+    index = VectorIndex.build(e, str(tmp_path / "index"), lists=60)
+    hits = index.search(e.limit(40).withColumnRenamed("id", "query_id"), 5, probes=50)
+    assert not [x for x in broadcast_parts(hits) if "Generate" in x or "embedding" in x]
+    few = e.filter("id < 50").select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("deal"), F.col("id").alias("query_id"), "embedding")
+    dealt = nearest.dealt_blocks(e.withColumn("deal", F.col("id") % 10), few, F.xxhash64("id"), F.xxhash64("query_id"))
+    for side in dealt:
+        assert not [x for x in broadcast_parts(side) if "Generate" in x or "embedding" in x]
+
+
+@pytest.mark.parametrize("rows", [40, 90, 100_000])
+def test_packs_give_what_their_lists_give(spark, tmp_path, monkeypatch, rows):
+    r = np.random.default_rng(5)
+    v = np.round(r.normal(size=(600, 6)), 1)  # with ties
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, embedding array<double>")
+    index = VectorIndex.build(e, str(tmp_path / "index"), lists=12)
+    monkeypatch.setattr(vector_index, "LEAST_ROWS", rows)
+    monkeypatch.setattr(vector_index.packed, "__defaults__", (rows,))
+    monkeypatch.setattr(vector_index, "QUERIES", 16)
+    own = {x["id"]: x["list"] for x in spark.read.parquet(str(tmp_path / "index/vectors")).select("id", "list").collect()}
+    sizes = {n: list(own.values()).count(n) for n in set(own.values())}
+    packs = vector_index.packed(sizes, index.centroids)
+    filled = {p: [sizes[n] for n in sizes if packs[n] == p] for p in {packs[n] for n in sizes}}
+    assert all(sum(x) <= rows or len(x) == 1 for x in filled.values()) and set(filled) == set(range(len(filled)))
+    stored = [(i, np.float32(x).astype(float).tolist()) for i, x in enumerate(v)]
+    asked = [(q, v[q].tolist()) for q in range(0, 600, 7)]
+    lists = {q: set(np.argsort(-(index.centroids @ np.array(x)), kind="stable")[:4].tolist()) for q, x in asked}
+    want = plain_topk(stored, asked, 6, lambda q, i: q != i and own[i] in lists[q])
+    got = index.search(e.filter("id % 7 = 0").withColumnRenamed("id", "query_id"), 6, probes=4, exclude_self=True)
+    assert ranked(got) == want
+
+
 def limits_case(seed, n=90, m=25):
     r = random.Random(seed)
     date = lambda: r.choice([None, "", "2024-02", "odd", "2023-99-01", "1999-12-31", "２０２４"] + [f"202{r.randrange(3, 6)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}"] * 20)
