@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import hybrid, lexical, limited, nearest, vector_index, vectors
 from tarnwork.operators.vector_index import VectorIndex, recall_at
+from tarnwork.plans import catalogue
 
 RAGGED = [(100, None), (101, []), (102, [1.0, 0.0, 0.0]), (103, [0.6, None]), (104, [0.6, 0.8])]
 
@@ -93,7 +94,7 @@ def broadcast_parts(df):
     return out
 
 
-def test_exploded_sides_are_not_broadcast(spark, tmp_path):
+def test_exploded_sides_are_not_broadcast(spark, tmp_path, monkeypatch):
     r = np.random.default_rng(3)
     e = spark.createDataFrame([(i, unit(r.normal(size=8))) for i in range(3000)], "id int, embedding array<double>")
     index = VectorIndex.build(e, str(tmp_path / "index"), lists=60)
@@ -103,6 +104,16 @@ def test_exploded_sides_are_not_broadcast(spark, tmp_path):
     dealt = nearest.dealt_blocks(e.withColumn("deal", F.col("id") % 10), few, F.xxhash64("id"), F.xxhash64("query_id"))
     for side in dealt:
         assert not [x for x in broadcast_parts(side) if "Generate" in x or "embedding" in x]
+    want = ranked(hits)
+    monkeypatch.setattr(nearest, "FEW_DEALS", 0)  # too many sizes to broadcast
+    merged = index.search(e.limit(40).withColumnRenamed("id", "query_id"), 5, probes=50)
+    assert len(want) == 200 and ranked(merged) == want and not broadcast_parts(merged)
+
+
+@pytest.mark.parametrize("name", ["vector_index", "vector_index_recall"])
+def test_registered_index_queries_broadcast_no_vectors(spark, name):
+    hits = catalogue.queries()[name](spark, "/root/testdata/sf0.1")
+    assert not [x for x in broadcast_parts(hits) if "Generate" in x or "embedding" in x]
 
 
 @pytest.mark.parametrize("rows", [40, 90, 100_000])
